@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
 from tidemark.llm.quality import quality
+from tidemark.llm.template import main_text
+from tidemark.llm.toxicity import toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,9 +18,19 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
+        "op5_toxicity_lexicon": op5_toxicity_lexicon,
+        "op6_template_extraction": op6_template_extraction,
     }
 
 
