@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import table
 from tidemark.llm.quality import quality
 from tidemark.llm.template import main_text
@@ -18,6 +19,10 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +34,7 @@ def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
+        "op2_bpe_forced_boundaries": op2_bpe_forced_boundaries,
         "op5_toxicity_lexicon": op5_toxicity_lexicon,
         "op6_template_extraction": op6_template_extraction,
     }
