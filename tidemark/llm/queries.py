@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import table
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
 from tidemark.llm.template import main_text
+from tidemark.llm.tokenbin import packed_rows
 from tidemark.llm.toxicity import toxicity
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,12 +33,22 @@ def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op10_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
         "op2_bpe_forced_boundaries": op2_bpe_forced_boundaries,
         "op5_toxicity_lexicon": op5_toxicity_lexicon,
         "op6_template_extraction": op6_template_extraction,
+        "op8_packed_token_rows": op8_packed_token_rows,
+        "op10_certified_packing": op10_certified_packing,
     }
 
 
