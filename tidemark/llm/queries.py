@@ -10,6 +10,7 @@ from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import table
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
+from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.template import main_text
 from tidemark.llm.tokenbin import packed_rows
 from tidemark.llm.toxicity import toxicity
@@ -33,6 +34,10 @@ def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_forced_boundaries": op2_bpe_forced_boundaries,
         "op5_toxicity_lexicon": op5_toxicity_lexicon,
         "op6_template_extraction": op6_template_extraction,
+        "op7_simhash_pigeonring": op7_simhash_pigeonring,
         "op8_packed_token_rows": op8_packed_token_rows,
         "op10_certified_packing": op10_certified_packing,
     }
