@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import table
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.suffix import remove_repeats
 from tidemark.llm.template import main_text
 from tidemark.llm.tokenbin import packed_rows
 from tidemark.llm.toxicity import toxicity
@@ -42,6 +44,11 @@ def op8_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -54,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_template_extraction": op6_template_extraction,
         "op7_simhash_pigeonring": op7_simhash_pigeonring,
         "op8_packed_token_rows": op8_packed_token_rows,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_certified_packing": op10_certified_packing,
     }
 
