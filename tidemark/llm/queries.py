@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import table
+from tidemark.llm.gru import language_scores
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_duplicates
@@ -28,6 +29,10 @@ def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
         "op2_bpe_forced_boundaries": op2_bpe_forced_boundaries,
+        "op4_gru_language_model": op4_gru_language_model,
         "op5_toxicity_lexicon": op5_toxicity_lexicon,
         "op6_template_extraction": op6_template_extraction,
         "op7_simhash_pigeonring": op7_simhash_pigeonring,
