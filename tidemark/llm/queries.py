@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ann import nearest
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import table
 from tidemark.llm.gru import language_scores
@@ -29,6 +30,10 @@ def op2_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
         "op2_bpe_forced_boundaries": op2_bpe_forced_boundaries,
+        "op3_projected_neighbours": op3_projected_neighbours,
         "op4_gru_language_model": op4_gru_language_model,
         "op5_toxicity_lexicon": op5_toxicity_lexicon,
         "op6_template_extraction": op6_template_extraction,
