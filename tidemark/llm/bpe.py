@@ -12,9 +12,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
+import operator
 import unicodedata
+from array import array
+from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -24,7 +29,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, column, map_arrow
 
 #: Words and fragments a worker remembers; then it forgets all and starts again.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Fragments from this length on are merged one by one, and words from this length on aren't remembered.
+LONG_FRAGMENT = 96
 #: White space as the tokenizer's patterns have it: unlike Python's, without the four separators 1C to 1F.
 _WHITE_CLASS = r"\t-\r \x85\p{Z}"
 _WHITE = regex.compile(f"[{_WHITE_CLASS}]+")
@@ -47,17 +54,23 @@ class BytePairCoder:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
-        self.merged = ["".join(pair) for pair in model["merges"]]
+        vocab = self.vocab
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(model["merges"])}
+        self.merged = np.array([vocab[a + b] for a, b in model["merges"]], dtype=np.int32)
+        pairs = sorted(((a << 32) | b, rank) for (a, b), rank in self.ranks.items())
+        self._pair_keys, self._pair_ranks = (np.array(x, dtype=np.int64) for x in zip(*pairs))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pieces = regex.compile(pattern.replace(r"\s", _WHITE_CLASS)).findall
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.tokens = {i: t for t, i in self.vocab.items()}
         self._bytes = byte_characters()
+        self._byte_ids, self._last_ids = np.full(512, -1, dtype=np.int32), np.full(512, -1, dtype=np.int32)
+        for shown in self._bytes:
+            self._byte_ids[ord(shown)], self._last_ids[ord(shown)] = vocab[shown], vocab[shown + self.suffix]
         self._joined = self._inner_pairs()
-        self._fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._fragments: dict[tuple[str, bool], bytes] = {}
+        self._words: dict[str, bytes] = {}
         self.texts = self.tokens | {i: t for t, i in self.special.items()}
         self.decimals = {i: str(i) for i in self.texts}
 
@@ -71,7 +84,10 @@ class BytePairCoder:
 
     def fragments(self, piece: str) -> list[str]:
         """A piece, as byte characters, cut at its forced boundaries."""
-        joined, out, start = self._joined, [], 0
+        joined = self._joined
+        if joined.issuperset(map(operator.add, piece, piece[1:])):
+            return [piece]
+        out, start = [], 0
         for at in range(1, len(piece)):
             if piece[at - 1 : at + 1] not in joined:
                 out.append(piece[start:at])
@@ -79,74 +95,129 @@ class BytePairCoder:
         out.append(piece[start:])
         return out
 
-    def _merge(self, fragment: str, last: bool) -> tuple[int, ...]:
-        """The ids of one fragment: merges by rank, all occurrences of the best pair from left to right."""
-        parts = list(fragment)
-        if last:
-            parts[-1] += self.suffix
-        rank_of, none = self.ranks.get, len(self.ranks)
-        ranks = [rank_of(pair, none) for pair in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            at = ranks.index(best)
-            parts[at : at + 2] = [self.merged[best]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank_of((parts[at - 1], parts[at]), none)
-            if at < len(ranks):
-                ranks[at] = rank_of((parts[at], parts[at + 1]), none)
-        return tuple([self.vocab[p] for p in parts])
-
-    def _piece(self, piece: str) -> list[int] | tuple[int, ...]:
-        """The ids of one piece of a word: its fragments' ids."""
-        whole = self._fragments.get((piece, True))
-        if whole is not None:  # a fragment that stands for itself
-            return whole
-        if piece.isascii() and piece.isprintable():
-            characters = piece
-        else:
-            shown = self._bytes
-            characters = "".join([shown[b] for b in piece.encode("utf-8")])
-        cuts = self.fragments(characters)
-        ids: list[int] = []
-        for at, cut in enumerate(cuts):
-            key = (cut, at == len(cuts) - 1)
-            found = self._fragments.get(key)
-            if found is None:
-                if len(self._fragments) >= REMEMBERED:
-                    self._fragments.clear()
-                found = self._merge(*key)
-                if len(cut) <= 64:
-                    self._fragments[key] = found
-            ids += found
-        return ids
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        """The ids of a run without white space."""
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The ids of one long fragment: a heap of mergeable pairs over a linked list of parts."""
+        n = len(parts)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(rank, at, a, b) for at, (a, b) in enumerate(zip(parts, parts[1:])) if (rank := self.ranks.get((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, at, a, b = heapq.heappop(heap)
+            following = after[at]
+            if parts[at] != a or following < 0 or parts[following] != b:
+                continue  # one of the two has been merged since
+            parts[at], parts[following] = int(self.merged[rank]), -1
+            after[at] = after[following]
+            if after[at] >= 0:
+                before[after[at]] = at
+            for left in (before[at], at):
+                if left >= 0 and after[left] >= 0:
+                    pair = (parts[left], parts[after[left]])
+                    if (rank := self.ranks.get(pair)) is not None:
+                        heapq.heappush(heap, (rank, left, *pair))
+        return [i for i in parts if i >= 0]
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; the number of merges where a pair can't be merged."""
+        keys = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
+        at = np.minimum(np.searchsorted(self._pair_keys, keys), len(self._pair_keys) - 1)
+        return np.where(self._pair_keys[at] == keys, self._pair_ranks[at], len(self.merged)).astype(np.int32)
+
+    def _merge_equal(self, parts: np.ndarray) -> list[bytes]:
+        """The ids of fragments of one length, a row each: each turn merges every row's best pair, the leftmost of equals."""
+        out: list[bytes] = [b""] * len(parts)
+        rows, none = np.arange(len(parts)), len(self.merged)
+        ranks = self._ranks_of(parts[:, :-1], parts[:, 1:]) if parts.shape[1] > 1 else None
+        while True:
+            if parts.shape[1] == 1:
+                done = np.ones(len(parts), dtype=bool)
+            else:
+                at = ranks.argmin(axis=1)
+                best = ranks[np.arange(len(at)), at]
+                done = best == none
+            if done.any():
+                width = 4 * parts.shape[1]
+                raw = np.ascontiguousarray(parts[done], dtype="<u4").tobytes()
+                for k, row in enumerate(rows[done].tolist()):
+                    out[row] = raw[k * width : (k + 1) * width]
+                if done.all():
+                    return out
+                keep = ~done
+                parts, rows, ranks, at, best = parts[keep], rows[keep], ranks[keep], at[keep], best[keep]
+            line, columns = np.arange(len(at)), np.arange(parts.shape[1] - 1)
+            parts[line, at] = self.merged[best]
+            parts = np.take_along_axis(parts, columns + (columns > at[:, None]), axis=1)
+            if parts.shape[1] == 1:
+                continue
+            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= at[:, None]), axis=1)
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self._ranks_of(parts[left, at[left] - 1], parts[left, at[left]])
+            right = np.flatnonzero(at < parts.shape[1] - 1)
+            ranks[right, at[right]] = self._ranks_of(parts[right, at[right]], parts[right, at[right] + 1])
+
+    def _merge_all(self, fragments: list[tuple[str, bool]]) -> None:
+        """Remember the ids of fragments; those of one length are merged together."""
+        by_length: dict[int, list[tuple[str, bool]]] = defaultdict(list)
+        for fragment in fragments:
+            by_length[len(fragment[0])].append(fragment)
+        for length, members in by_length.items():
+            if length > LONG_FRAGMENT:
+                for text, last in members:
+                    parts = [self._byte_ids[ord(c)] for c in text]
+                    parts[-1] = self._last_ids[ord(text[-1])] if last else parts[-1]
+                    self._fragments[text, last] = array("I", self._merge_long(parts)).tobytes()
+                continue
+            codes = np.frombuffer("".join([m[0] for m in members]).encode("utf-16-le"), dtype="<u2").reshape(len(members), length)
+            parts = self._byte_ids[codes]
+            last = np.array([m[1] for m in members])
+            parts[last, -1] = self._last_ids[codes[last, -1]]
+            self._fragments.update(zip(members, self._merge_equal(parts)))
+
+    def _word_pieces(self, word: str) -> list[tuple[str, bool]]:
+        """A run without white space as fragments of byte characters, each with whether it ends a piece."""
         if word.isalpha():
-            out = tuple(self._piece(word))
-        elif word[-1] in ".," and word[:-1].isalpha():
-            out = (*self._piece(word[:-1]), *self._piece(word[-1]))
+            pieces = [word]
+        elif word[-1:] in (".", ",") and word[:-1].isalpha():
+            pieces = [word[:-1], word[-1]]
         else:
-            out = tuple(i for piece in self._pieces(word) for i in self._piece(piece))
-        if len(self._words) >= REMEMBERED:
-            self._words.clear()
-        if len(word) <= 64:
-            self._words[word] = out
+            pieces = self._pieces(word)
+        out = []
+        for piece in pieces:
+            if (piece, True) in self._fragments:  # a fragment that stands for itself
+                out.append((piece, True))
+                continue
+            if not (piece.isascii() and piece.isprintable()):
+                shown = self._bytes
+                piece = "".join([shown[b] for b in piece.encode("utf-8")])
+            cuts = self.fragments(piece)
+            out += [(cut, False) for cut in cuts[:-1]]
+            out.append((cuts[-1], True))
         return out
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words, as numbers of four bytes."""
+        if len(self._words) + len(words) > REMEMBERED:
+            self._words.clear()
+            self._fragments.clear()
+        pieces = {word: self._word_pieces(word) for word in words}
+        self._merge_all(list({f for parts in pieces.values() for f in parts}.difference(self._fragments)))
+        ids = self._fragments
+        for word, parts in pieces.items():
+            self._words[word] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+
+    def _forget_long(self, words: set[str]) -> None:
+        for word in words:
+            if len(word) > LONG_FRAGMENT:
+                self._words.pop(word, None)
+
     def _normal_words(self, text: str) -> list[str]:
-        """NFC and lower case (as Unicode's full mapping without context), cut at white space."""
+        """NFC and lower case (each letter alone: no final form of sigma), cut at white space."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # no final form: each letter is mapped alone
+            if "Σ" in text:
                 text = "".join(map(str.lower, text))
-            else:
-                text = text.lower()
-            return _WHITE.sub(" ", text).split(" ")
         text = text.lower()
+        # Python's white space is the pattern's and the four separators.
         return _WHITE.sub(" ", text).split(" ") if _SEPARATORS.search(text) else text.split()
 
     def _runs(self, text: str) -> list[tuple[int, list[str]]]:
@@ -161,16 +232,22 @@ class BytePairCoder:
                 out.append((-1, self._normal_words(part)))
         return out
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as numbers of four bytes; words that are new in any of the texts are merged together."""
+        runs = [self._runs(text or "") for text in texts]
+        used = {word for run in runs for _, words in run for word in words}
+        new = used.difference(self._words)
+        if new:
+            if len(self._words) + len(new) > REMEMBERED:  # all is forgotten: what is used here must be learned again
+                new = used
+            self._learn(new)
+        ids = self._words
+        out = [b"".join([array("I", [special]).tobytes() if special >= 0 else b"".join(map(ids.__getitem__, words)) for special, words in run]) for run in runs]
+        self._forget_long(new)
+        return out
+
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        for special, words in self._runs(text or ""):
-            if special >= 0:
-                ids.append(special)
-            known, slow = self._words.get, self._word
-            for word in words:
-                if word:
-                    ids += known(word) or slow(word)
-        return ids
+        return array("I", self.encode_all([text])[0]).tolist()
 
     def spell(self, ids: list[int]) -> str:
         """The ids in decimal, joined by one space."""
@@ -200,8 +277,8 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
         bpe = coder(vocabulary)
         for part in batches:
             rows = []
-            for text in column(part, "text"):
-                ids = bpe.encode(text)
+            for raw in bpe.encode_all(column(part, "text")):
+                ids = array("I", raw).tolist()
                 digests = [hashlib.sha256(x.encode("utf-8")).hexdigest() for x in (bpe.spell(ids), bpe.decode(ids))]
                 rows.append((len(ids), *digests))
             yield batch(

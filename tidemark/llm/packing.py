@@ -94,15 +94,14 @@ def pieces(docs: DataFrame, vocabulary: str, rules: PackingRules = PackingRules(
     capacity = rules.capacity
 
     def run(batches):
-        bpe = coder(vocabulary)
+        bpe, end = coder(vocabulary), array("I", [END_ID]).tobytes()
         for part in batches:
             rows = []
-            for doc_id, text in zip(column(part, "doc_id"), column(part, "text")):
-                ids = bpe.encode(text)
-                ids.append(END_ID)
-                raw = array("I", ids).tobytes()
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    rows.append((doc_id, piece, start, min(capacity, len(ids) - start), zlib.crc32(raw[4 * start : 4 * (start + capacity)])))
+            for doc_id, raw in zip(column(part, "doc_id"), bpe.encode_all(column(part, "text"))):
+                raw += end
+                total = len(raw) // 4
+                for piece, start in enumerate(range(0, total, capacity)):
+                    rows.append((doc_id, piece, start, min(capacity, total - start), zlib.crc32(raw[4 * start : 4 * (start + capacity)])))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield batch(**{n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("doc_id", "piece", "start", "length", "ids_crc32"), types))})
 

@@ -74,6 +74,7 @@ class Texts:
 
     def __init__(self, table: pa.Table):
         table = table.sort_by([("doc_id", "ascending"), ("tag", "ascending")])
+        self.table = table
         self.doc_id = table.column("doc_id").to_numpy()
         texts = [t.encode("utf-8") if t else b"" for t in table.column("text").to_pylist()]
         self.tag = table.column("tag").to_numpy()
@@ -398,42 +399,51 @@ def _step_sorted(part: pa.Table) -> pa.Table:
     return _blobs(out)
 
 
-def _step_cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
-    """Texts and spans -> what is left of each document."""
-    if not docs.num_rows:
-        return pa.table({n: pa.array([], t) for n, t in _CUT})
-    texts = Texts(docs)
-    depth = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
-    copies = [(i, t) for i, t, v in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "tag", "value"))) if v is None]
-    if copies:
-        marked = texts.marked(np.array([c[0] for c in copies]), np.array([c[1] for c in copies])) & (texts.length >= MATCH)
-        np.add.at(depth, texts.start[:-1][marked], 1)
-        np.add.at(depth, texts.start[1:][marked], -1)
-    for value in spans.column("value").to_pylist():
-        if value is not None:
-            index, start, end = load(value, "<u4", "<u4", "<u4")
-            base = texts.start[index]
-            np.add.at(depth, base + start, 1)
-            np.add.at(depth, base + end, -1)
-    gone = np.cumsum(depth) > 0
-    rows = []
-    for i, n, at in zip(texts.doc_id.tolist(), texts.length.tolist(), texts.start.tolist()):
-        away = gone[at : at + n]
-        removed = int(away.sum())
-        kept = texts.bytes[at : at + n][~away].tobytes() if removed else texts.bytes[at : at + n].tobytes()
-        runs = int(away[0]) + int(np.count_nonzero(away[1:] & ~away[:-1])) if removed else 0
-        rows.append((i, n, removed, runs, kept))
-    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(_CUT)})
-
-
-_CUT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
+def _step_cut(as_text: bool, carried: list[str]):
+    """Texts and spans -> what is left of each document, with the columns that it carries."""
+
+    def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        texts = Texts(docs)
+        depth = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
+        copies = [(i, t) for i, t, v in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "tag", "value"))) if v is None]
+        if copies:
+            marked = texts.marked(np.array([c[0] for c in copies]), np.array([c[1] for c in copies])) & (texts.length >= MATCH)
+            np.add.at(depth, texts.start[:-1][marked], 1)
+            np.add.at(depth, texts.start[1:][marked], -1)
+        for value in spans.column("value").to_pylist():
+            if value is not None:
+                index, start, end = load(value, "<u4", "<u4", "<u4")
+                base = texts.start[index]
+                np.add.at(depth, base + start, 1)
+                np.add.at(depth, base + end, -1)
+        gone = np.cumsum(depth) > 0
+        rows = []
+        for i, n, at in zip(texts.doc_id.tolist(), texts.length.tolist(), texts.start.tolist()):
+            away = gone[at : at + n]
+            removed = int(away.sum())
+            kept = (texts.bytes[at : at + n][~away] if removed else texts.bytes[at : at + n]).tobytes()
+            runs = int(away[0]) + int(np.count_nonzero(away[1:] & ~away[:-1])) if removed else 0
+            rows.append((i, n, removed, runs, kept.decode("utf-8", "ignore") if as_text else kept))
+        kinds = [*_CUT, ("kept", pa.string() if as_text else pa.binary())]
+        out = pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
+        for name in carried:
+            out = out.append_column(name, texts.table.column(name))
+        return out
+
+    return run
+
+
+_CUT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
 #: The id that a null doc_id has inside: smaller than any other.
 _NULL_ID = -(1 << 63)
 
 
-def remove_repeats(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
+def remove_repeats(docs: DataFrame, rules: SuffixRules = SuffixRules(), as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of `docs` (doc_id, text).
 
+    With as_text, `kept` is text, without what is left of characters that a cut goes through. Columns named in `carry`
+    come along.
+
     A null text is an empty one. Rows with equal ids never count as smaller than each other, so exact repeats of a row
     lose the same bytes; a null id is smaller than any other. Texts under MATCH bytes lose nothing. Other columns are
     ignored; an empty table gives an empty result. Texts are read whole, whatever their length.
@@ -444,7 +454,7 @@ def remove_repeats(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataF
     buckets = shuffle_partitions(spark)
     if size < 1 << 50:  # else Spark doesn't know
         buckets = max(buckets, -(-2 * size // rules.bucket_bytes))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     tagged = rows.withColumn("tag", F.xxhash64("text"))
     dealt = tagged.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets)).cast("int"))
     # Exact copies: of each text, by a strong digest, all but the smallest id.
@@ -462,8 +472,12 @@ def remove_repeats(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataF
     both = spans.select("bucket", none.cast("long").alias("doc_id"), none.cast("long").alias("tag"), "value").unionByName(
         copies.select("bucket", "doc_id", "tag", none.cast("binary").alias("value"))
     )
-    out = texts.cogroup(both.groupBy("bucket")).applyInArrow(_step_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") == _NULL_ID, None).otherwise(F.col("doc_id")))
+    inner = [f"carried_{k}" for k in range(len(carry))]
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    schema += "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(inner, carry))
+    out = texts.cogroup(both.groupBy("bucket")).applyInArrow(_step_cut(as_text, inner), schema)
+    doc_id = F.when(F.col("doc_id") == _NULL_ID, None).otherwise(F.col("doc_id")).alias("doc_id")
+    return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept", *(F.col(n).alias(c) for n, c in zip(inner, carry)))
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, bytes]]:

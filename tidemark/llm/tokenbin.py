@@ -132,10 +132,8 @@ def packed_rows(docs: DataFrame, vocabulary: str, rules: TokenRules = TokenRules
 
         limit = rules.buffer_tokens
         for part in batches:
-            for doc_id, text in zip(column(part, "doc_id"), column(part, "text")):
-                ids = bpe.encode(text)
-                ids.append(END_ID)
-                whole = np.array(ids, dtype=kind)
+            for doc_id, raw in zip(column(part, "doc_id"), bpe.encode_all(column(part, "text"))):
+                whole = np.append(np.frombuffer(raw, dtype="<u4").astype(kind), kind.type(END_ID))
                 for start in range(0, len(whole), capacity):
                     held.append((doc_id, start, whole[start : start + capacity].copy()))
                 tokens += len(whole)
