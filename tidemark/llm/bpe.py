@@ -183,7 +183,7 @@ class BytePairCoder:
             pieces = self._pieces(word)
         out = []
         for piece in pieces:
-            if (piece, True) in self._fragments:  # a fragment that stands for itself
+            if piece.isascii() and (piece, True) in self._fragments:  # byte characters stand for other letters beyond ASCII
                 out.append((piece, True))
                 continue
             if not (piece.isascii() and piece.isprintable()):

@@ -65,7 +65,7 @@ class References:
 
 
 def _class_table() -> np.ndarray:
-    """The class of each code point below 0x250; what lies above is `other`, or `accented` if a letter."""
+    """The class of each code point below 0x250; what lies above counts as the last of these, a letter with an accent."""
     out = np.full(0x250, _OTHER, dtype=np.uint8)
     for code in range(0x250):
         char = chr(code)
