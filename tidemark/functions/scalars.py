@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 DAYS_A_YEAR = 365.25
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß"
@@ -130,7 +131,7 @@ def near(a: Column, b: Column, tolerance: float) -> Column:
     return F.coalesce(F.abs(a - b) <= tolerance, a.isNull() & b.isNull())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The Ratcliff-Obershelp similarity of two texts; nulls count as empty. Arrow batches, since Spark has no such function."""
     import difflib
@@ -163,7 +164,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
     return front * (out - 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_t_p(t: pd.Series, degrees: pd.Series) -> pd.Series:
     """The two-sided p-value of Student's t; null where the degrees of freedom aren't positive."""
     return pd.Series([_beta_tail(n / 2, 0.5, n / (n + x * x)) if n > 0 and x == x else None for x, n in zip(t, degrees)], dtype=float)

@@ -105,7 +105,7 @@ def skyline(df: DataFrame, low: str, high: str, slices: int = 64) -> DataFrame:
     range, and a second one over the few ranges tells each the best of those before it.
     """
     best = df.groupBy(low).agg(F.max(high).alias(high))
-    edges = best.agg(F.expr(f"percentile_approx({low}, transform(sequence(1, {slices - 1}), i -> i / {float(slices)}))").alias("_e"))
+    edges = best.agg(F.percentile_approx(low, [i / slices for i in range(1, slices)]).alias("_e"))
     cut = best.crossJoin(F.broadcast(edges)).withColumn("_s", F.size(F.filter("_e", lambda e: e < F.col(low)))).drop("_e")
     tops = cut.groupBy("_s").agg(F.max(high).alias("_m"))
     past = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
