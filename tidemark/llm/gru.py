@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -88,15 +89,12 @@ class Lexicon:
 
     def __init__(self, classes: int):
         self.classes = classes
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__  # a word that is new gets the next number
 
     def read(self, text: str | None) -> np.ndarray:
-        numbers = self.numbers
         found = tokens(text)
-        for word in found:
-            if word not in numbers:
-                numbers[word] = len(numbers)
-        return np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+        return np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
 
     def hashes(self) -> np.ndarray:
         return np.fromiter(map(word_hash, self.numbers), np.uint64, len(self.numbers))
@@ -116,14 +114,12 @@ def _step_words(buckets: int, classes: int):
     def run(docs: pa.Table) -> pa.Table:
         source = docs.column("bucket")[0].as_py()
         words = Lexicon(classes)
-        counts = np.zeros(0, np.int64)
+        learned = [np.empty(0, np.int32)]
         for text, held in zip(docs.column("text").to_pylist(), docs.column("held_out").to_pylist()):
             ids = words.read(text)
-            if len(counts) < len(words.numbers):
-                counts = np.concatenate([counts, np.zeros(len(words.numbers) - len(counts) + 50_000, np.int64)])
             if not held:
-                np.add.at(counts, ids, 1)
-        hashes, tails, counts = words.hashes(), words.tails(), counts[: len(words.numbers)]
+                learned.append(ids)
+        hashes, tails, counts = words.hashes(), words.tails(), np.bincount(np.concatenate(learned), minlength=len(words.numbers)).astype(np.int64)
         order, target = _by_bucket(hashes, buckets)
         rows = []
         for part in np.split(order, np.flatnonzero(np.diff(target)) + 1):
@@ -134,7 +130,7 @@ def _step_words(buckets: int, classes: int):
 
 
 def _step_counts(most: int, classes: int):
-    """Sum the counts of each word; answer each bucket in its own order, and report totals and the most frequent words."""
+    """Sum the counts of each word; answer each bucket in its own order, and report the most frequent words and the tail classes' totals in one row."""
 
     def run(part: pa.Table) -> pa.Table:
         bucket, sources = part.column("bucket")[0].as_py(), part.column("source").to_pylist()
@@ -144,19 +140,39 @@ def _step_counts(most: int, classes: int):
         total = np.bincount(place, weights=counts, minlength=len(first)).astype(np.int64)
         rows = []
         for source, answer in zip(sources, np.split(total[place], np.cumsum([len(x[0]) for x in loaded])[:-1])):
-            rows.append(("answer", source, bucket, dump(answer), 0, 0, 0))
-        for k in range(classes):
-            own = total[tails[first] == k]
-            rows.append(("tail", k, bucket, None, int(own.sum()), int((own > 0).sum()), 0))
-        for at in np.lexsort((hashes[first], -total))[:most]:
-            if total[at]:
-                rows.append(("word", int(tails[first[at]]), bucket, None, int(total[at]), 0, int(hashes[first[at]].astype(np.int64))))
-        names = (("kind", pa.string()), ("bucket", pa.int32()), ("source", pa.int32()), ("value", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64()), ("hash", pa.int64()))
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(names)})
+            rows.append(("answer", source, bucket, dump(answer)))
+        own, seen = tails[first], total > 0
+        rows.append(("facts", bucket, bucket, _facts(hashes[first], own, total, np.bincount(own, weights=total, minlength=classes), np.bincount(own[seen], minlength=classes), most)))
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(_ANSWERS)})
 
     return run
 
 
+_ANSWERS = (("kind", pa.string()), ("bucket", pa.int32()), ("source", pa.int32()), ("value", pa.binary()))
+
+
+def _facts(hashes: np.ndarray, tails: np.ndarray, total: np.ndarray, tail_total: np.ndarray, tail_distinct: np.ndarray, most: int) -> bytes:
+    """The most frequent of distinct words (the end first, ties by hash) with their tail classes and counts, and the totals of the tail classes."""
+    top = np.lexsort((hashes.astype(np.int64), -total, hashes != np.uint64(word_hash(END))))[:most]
+    top = top[total[top] > 0]
+    return dump(hashes[top], tails[top], total[top], tail_total.astype(np.int64), tail_distinct.astype(np.int64))
+
+
+def _merge_facts(most: int):
+    """Facts of several buckets as one; their words are distinct, since a word has one bucket."""
+
+    def run(part: pa.Table) -> pa.Table:
+        return pa.table({"value": pa.array([_merged(part.column("value").to_pylist(), most)], pa.binary())})
+
+    return run
+
+
+def _merged(values: list[bytes], most: int) -> bytes:
+    loaded = [load(v, "<u8", "u1", "<i8", "<i8", "<i8") for v in values]
+    hashes, tails, total = (np.concatenate([x[i] for x in loaded]) for i in range(3))
+    return _facts(hashes, tails, total, sum(x[3] for x in loaded), sum(x[4] for x in loaded), most)
+
+
 @dataclass
 class Counts:
     """Of the training documents: tokens, distinct words, the model's words by frequency, and what the tail classes hold beside them."""
@@ -175,18 +191,18 @@ def _buckets(docs: DataFrame, rules: GruRules) -> int:
     return max(n, -(-2 * size // rules.bucket_bytes)) if size < 1 << 50 else n
 
 
-def _counts(answers: DataFrame, rules: GruRules) -> Counts:
-    tails = {r.bucket: r for r in answers.where("kind = 'tail'").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect()}
-    total = np.array([tails[k].n if k in tails else 0 for k in range(rules.tail_classes)], dtype=np.int64)
-    distinct = np.array([tails[k].distinct if k in tails else 0 for k in range(rules.tail_classes)], dtype=np.int64)
-    end = np.uint64(word_hash(END)).astype(np.int64)
-    top = answers.where("kind = 'word'").orderBy((F.col("hash") == F.lit(int(end))).desc(), F.desc("n"), "hash").limit(rules.words).collect()
-    tail_total, tail_distinct = total.copy(), distinct.copy()
-    for r in top:
-        tail_total[r.bucket] -= r.n
-        tail_distinct[r.bucket] -= 1
-    hashes = np.array([r.hash for r in top], dtype=np.int64).view(np.uint64)
-    return Counts(int(total.sum()), int(distinct.sum()), hashes, np.array([r.n for r in top], dtype=np.float64), tail_total, tail_distinct)
+def _counts(answers: DataFrame, rules: GruRules, buckets: int) -> Counts:
+    """Facts are merged in groups, of which there are as many as a group has buckets; what is collected is bounded by that."""
+    groups = math.isqrt(buckets) + 1
+    merged = answers.where("kind = 'facts'").select((F.col("bucket") % groups).alias("group"), "value").groupBy("group").applyInArrow(_merge_facts(rules.words), "value binary")
+    values = [bytes(r.value) for r in merged.collect()]
+    if not values:
+        none = np.zeros(rules.tail_classes, dtype=np.int64)
+        return Counts(0, 0, np.empty(0, np.uint64), np.empty(0), none, none.copy())
+    hashes, tails, frequency, total, distinct = load(_merged(values, rules.words), "<u8", "u1", "<i8", "<i8", "<i8")
+    tail_total = total - np.bincount(tails, weights=frequency, minlength=rules.tail_classes).astype(np.int64)
+    tail_distinct = distinct - np.bincount(tails, minlength=rules.tail_classes)
+    return Counts(int(total.sum()), int(distinct.sum()), hashes, frequency.astype(np.float64), tail_total, tail_distinct)
 
 
 def model_ids(hashes: np.ndarray, tails: np.ndarray, counts: Counts, rules: GruRules) -> np.ndarray:
@@ -548,8 +564,8 @@ def language_scores(docs: DataFrame, rules: GruRules = GruRules()) -> DataFrame:
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
     texts = dealt.groupBy("bucket")
     asked = texts.applyInArrow(_step_words(buckets, rules.tail_classes), "bucket int, source int, value binary")
-    schema = "kind string, bucket int, source int, value binary, n long, distinct long, hash long"
+    schema = "kind string, bucket int, source int, value binary"
     answers = materialize(asked.groupBy("bucket").applyInArrow(_step_counts(rules.words, rules.tail_classes), schema))
-    model = train(rows, _counts(answers, rules), rules)
+    model = train(rows, _counts(answers, rules, buckets), rules)
     own = answers.where("kind = 'answer'").select("bucket", "source", "value").groupBy("bucket")
     return texts.cogroup(own).applyInArrow(_step_scores(model, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
