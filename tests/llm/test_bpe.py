@@ -2,7 +2,7 @@ import hashlib
 
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -40,6 +40,9 @@ def test_same_as_the_library(spark, tiny, library):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="ab'sS .,!?<|>endoftxŕΣσ \x1c\x85123", max_size=40))
+@example("0¼")
+@example(":\U0003d000")
+@example("a\U0003d000b, \U000e0001x")
 def test_any_text(own, library, text):
     assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 

@@ -36,6 +36,8 @@ LONG_FRAGMENT = 96
 _WHITE_CLASS = r"\t-\r \x85\p{Z}"
 _WHITE = regex.compile(f"[{_WHITE_CLASS}]+")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Code points without a character, some of which the regex module counts as letters; to the tokenizer they are signs.
+_UNASSIGNED = regex.compile("[\U000323B0-\U000DFFFF]")
 
 
 def byte_characters() -> list[str]:
@@ -173,6 +175,14 @@ class BytePairCoder:
             parts[last, -1] = self._last_ids[codes[last, -1]]
             self._fragments.update(zip(members, self._merge_equal(parts)))
 
+    def _pieces_unassigned(self, word: str) -> list[str]:
+        """The pieces of a word as if a sign stood for each code point without a character."""
+        out, at = [], 0
+        for piece in self._pieces(_UNASSIGNED.sub("\u2603", word)):
+            out.append(word[at : at + len(piece)])
+            at += len(piece)
+        return out
+
     def _word_pieces(self, word: str) -> list[tuple[str, bool]]:
         """A run without white space as fragments of byte characters, each with whether it ends a piece."""
         if word.isalpha():
@@ -180,7 +190,7 @@ class BytePairCoder:
         elif word[-1:] in (".", ",") and word[:-1].isalpha():
             pieces = [word[:-1], word[-1]]
         else:
-            pieces = self._pieces(word)
+            pieces = self._pieces(word) if word.isascii() or not _UNASSIGNED.search(word) else self._pieces_unassigned(word)
         out = []
         for piece in pieces:
             if piece.isascii() and (piece, True) in self._fragments:  # byte characters stand for other letters beyond ASCII
