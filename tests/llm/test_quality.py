@@ -53,3 +53,25 @@ def test_distance_and_histogram():
     expected = math.sqrt(0.5 * (math.log2(1 / 0.75) + 0.5 * math.log2(0.5 / 0.75) + 0.5 * math.log2(0.5 / 0.25)))
     assert js_distance(p, np.array([1.0, 1.0])) == pytest.approx(expected) and m.sum() == 1
     assert dict(zip(CLASSES, class_histogram("aB1 .#é日×"))) == {"lower": 1, "upper": 1, "digit": 1, "blank": 1, "stop": 1, "symbol": 1, "accented": 2, "other": 1}
+
+
+def _texts(lang, letters, n, first):
+    rng = np.random.default_rng(first)
+    vocabulary = ["".join(rng.choice(list(letters), 4)) for _ in range(60)]
+    return [(first + i, lang, " ".join(rng.choice(vocabulary, 90))) for i in range(n)]
+
+
+def test_languages_of_a_small_share_have_their_own_reference(spark):
+    """A script of its own is judged by its own language, be it collected or joined; one of too few texts isn't judged."""
+    from tidemark.llm.quality import QualityRules
+
+    rows = _texts("en", "abcdefghijklmnop", 300, 0) + _texts("el", "αβγδεζηθικλμν", 120, 1000) + _texts("ru", "абвгдежзиклмн", 110, 2000) + _texts("zh", "日本語中文字", 3, 3000)
+    rows += [(4000, "el", " ".join(["abcd efgh"] * 2 + [f"w{i}x" for i in range(150)]))]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    read = lambda share: sorted((r.doc_id, r.kept, r.class_distance, r.word_distance) for r in quality(table, QualityRules(language_share=share)).collect())
+    collected, joined = read(0.001), read(0.5)
+    assert [x[:2] for x in collected] == [x[:2] for x in joined]
+    assert len(joined) == len(rows) and all(kept for doc_id, kept, *_ in joined if doc_id < 4000)
+    assert joined[-1][:2] == (4000, False) and joined[-1][2] > 0.28
+    assert all(by_class is None and by_word is None for doc_id, _, by_class, by_word in joined if 3000 <= doc_id < 4000)
+    assert all(a[2] == pytest.approx(b[2]) for a, b in zip(collected, joined) if a[2] is not None)

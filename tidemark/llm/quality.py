@@ -4,15 +4,18 @@ Each document's character-class histogram and common-word histogram are compared
 references of its language by the Jensen-Shannon distance. A histogram with too few
 observations isn't judged. The references are statistics of all documents:
 
-1. One pass finds, in each task, the words that a share of a language's documents hold there; a
-   word that has this share overall has it in some task, so no such word is missed.
-2. A second pass counts these words and the character classes exactly.
-3. A third pass gives the verdicts. What is broadcast is bounded: at most 1 / language_share
-   languages of common_words words each.
+1. One pass counts the documents of each (language, word); the common words of each language are ranked there.
+2. A second pass adds up the character classes and the shares of these words.
+3. A third pass gives the verdicts.
+
+Every language of min_language_docs texts has a reference; documents of the others aren't judged by distance. What
+is broadcast or collected is bounded: at most 1 / language_share languages of common_words words each. Documents
+of further languages meet their words and their reference in a join by language.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, column, map_arrow, words
+from tidemark.session import materialize
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -36,11 +40,12 @@ _LOWER, _UPPER, _DIGIT, _BLANKS, _STOP, _SYMBOL, _ACCENTED, _OTHER = range(8)
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Parameters: how many common words a reference has, which languages and words get one, and the limits."""
+    """Parameters: how many common words a reference has, which languages and words get one, the share from which a language's is broadcast, and the limits."""
 
     common_words: int = 64
     word_share: float = 0.02
     language_share: float = 0.001
+    min_language_docs: int = 100
     min_chars: int = 200
     min_common: int = 20
     max_class_distance: float = 0.28
@@ -56,12 +61,12 @@ class QualityRules:
 
 
 @dataclass
-class References:
-    """Of each language, the character-class distribution and the common words with their distribution."""
+class Reference:
+    """Of a language, the character-class distribution and the common words with their distribution."""
 
-    classes: dict[str, np.ndarray] = field(default_factory=dict)
-    words: dict[str, dict[str, int]] = field(default_factory=dict)
-    shares: dict[str, np.ndarray] = field(default_factory=dict)
+    classes: np.ndarray
+    words: dict[str, int] = field(default_factory=dict)
+    shares: np.ndarray | None = None
 
 
 def _class_table() -> np.ndarray:
@@ -135,119 +140,144 @@ def base_fails(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
 
 
-def _frequent_words(share: float):
-    """In each task, by language: the words that at least this share of its documents hold."""
+def _count_words(batches):
+    """In each task, by language: the documents that hold each word; the empty word stands for all documents."""
+    seen: dict[str, Counter] = defaultdict(Counter)
+
+    def found():
+        rows = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
+        seen.clear()
+        types = {"lang": pa.string(), "word": pa.string(), "docs": pa.int64()}
+        return batch(**{name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(types.items())})
+
+    for part in batches:
+        for lang, text in zip(column(part, "lang"), column(part, "text")):
+            if text:
+                seen[lang].update({w.lower() for w in words(text)})
+                seen[lang][""] += 1
+        if sum(map(len, seen.values())) > 400_000:
+            yield found()
+    yield found()
+
+
+def _sum_shares(batches, wanted_of):
+    """In each task, by language: the sums of the class shares and of the common words' shares of each document."""
+    classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES)))
+    shares: dict[str, Counter] = defaultdict(Counter)
+
+    def found():
+        rows = [(k, "class", CLASSES[i], float(v)) for k, h in classes.items() for i, v in enumerate(h)]
+        rows += [(k, "word", w, float(x)) for k, c in shares.items() for w, x in c.items()]
+        classes.clear(), shares.clear()
+        types = {"lang": pa.string(), "kind": pa.string(), "item": pa.string(), "share": pa.float64()}
+        return batch(**{name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(types.items())})
+
+    for part in batches:
+        for lang, text, wanted in zip(column(part, "lang"), column(part, "text"), wanted_of(part)):
+            if not text or wanted is None:
+                continue
+            histogram = class_histogram(text)
+            classes[lang] += histogram / histogram.sum()
+            counts = Counter(w for w in map(str.lower, words(text)) if w in wanted)
+            total = sum(counts.values())
+            for word, n in counts.items():
+                shares[lang][word] += n / total
+        if len(classes) > 4_000:
+            yield found()
+    yield found()
+
+
+def _read_words(known: str) -> frozenset:
+    return frozenset(json.loads(known))
+
+
+def _read_reference(known: str) -> Reference:
+    rows = json.loads(known)
+    by = {(r["kind"], r["item"]): r["share"] for r in rows}
+    top = sorted(r["item"] for r in rows if r["kind"] == "word")
+    shares = np.array([by["word", w] for w in top])
+    return Reference(np.array([by["class", c] for c in CLASSES]), {w: i for i, w in enumerate(top)}, shares)
 
-    def run(batches):
-        seen: dict[str, Counter] = defaultdict(Counter)
-        docs: Counter = Counter()
 
-        def found():
-            rows = [(k, w) for k, c in seen.items() for w, n in c.items() if n >= share * docs[k]]
-            seen.clear(), docs.clear()
-            return batch(lang=pa.array([k for k, _ in rows], pa.string()), word=pa.array([w for _, w in rows], pa.string()))
+@dataclass
+class Known:
+    """What is known of languages: collected for the common ones, a table of (lang, known) for the rest, if there are any."""
 
-        for part in batches:
-            for lang, text in zip(column(part, "lang"), column(part, "text")):
-                if text:
-                    seen[lang or ""].update({w.lower() for w in words(text)})
-                    docs[lang or ""] += 1
-            if sum(map(len, seen.values())) > 400_000:  # a chunk of a task is as good as a task
-                yield found()
-        yield found()
+    common: dict[str, str]
+    rest: DataFrame | None
 
-    return run
+    @staticmethod
+    def of(table: DataFrame, common: list[str]) -> Known:
+        """Of a table (lang, known) that is at rest; only the rows of common languages are collected."""
+        rest = table.where(~F.col("lang").isin(common))
+        return Known({r.lang: r.known for r in table.where(F.col("lang").isin(common)).collect()}, None if rest.isEmpty() else rest)
 
+    def map(self, docs: DataFrame, run, read, schema: str) -> DataFrame:
+        """run(batches, function from a batch to what is known of each row's language or None) over all docs."""
+        fixed = {k: read(v) for k, v in self.common.items()}
 
-def _exact_counts(candidates: dict[str, frozenset]):
-    """In each task, by language: documents, class shares and the candidates' documents and shares."""
+        def of_common(batches):
+            return run(batches, lambda part: [fixed.get(k) for k in column(part, "lang")])
 
-    def run(batches):
-        docs: Counter = Counter()
-        classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES)))
-        held: dict[str, Counter] = defaultdict(Counter)
-        shares: dict[str, Counter] = defaultdict(Counter)
-        for part in batches:
-            for lang, text in zip(column(part, "lang"), column(part, "text")):
-                if not text:
-                    continue
-                lang = lang or ""
-                docs[lang] += 1
-                histogram = class_histogram(text)
-                classes[lang] += histogram / histogram.sum()
-                wanted = candidates.get(lang, frozenset())
-                counts = Counter(w for w in map(str.lower, words(text)) if w in wanted)
-                total = sum(counts.values())
-                held[lang].update(counts.keys())
-                for word, n in counts.items():
-                    shares[lang][word] += n / total
-        rows = [(k, "docs", "", n, float(n)) for k, n in docs.items()]
-        rows += [(k, "class", CLASSES[i], 0, float(v)) for k, h in classes.items() for i, v in enumerate(h)]
-        rows += [(k, "word", w, n, float(shares[k][w])) for k, c in held.items() for w, n in c.items()]
-        names, types = ("lang", "kind", "item", "docs", "share"), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64())
-        yield batch(**{n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
+        if self.rest is None:
+            return map_arrow(docs, of_common, schema)
 
-    return run
+        def of_rest(batches):
+            last: list = [None, None]
 
+            def known(part):
+                for text in column(part, "known"):
+                    if text is not None and text != last[0]:
+                        last[:] = text, read(text)
+                    yield None if text is None else last[1]
 
-def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> References:
-    """Language references over all documents; a null language is one of its own. Tiny and bounded, so collected."""
-    texts = docs.select("lang", "text")
-    frequent = map_arrow(texts, _frequent_words(rules.word_share), "lang string, word string").distinct()
-    candidates: dict[str, set] = defaultdict(set)
-    for row in frequent.collect():
-        candidates[row.lang].add(row.word)
-    fixed = {k: frozenset(v) for k, v in candidates.items()}
-    sums = (
-        map_arrow(texts, _exact_counts(fixed), "lang string, kind string, item string, docs long, share double")
-        .groupBy("lang", "kind", "item")
-        .agg(F.sum("docs").alias("docs"), F.sum("share").alias("share"))
-    )
-    rank = Window.partitionBy("lang", "kind").orderBy(F.desc("docs"), F.asc("item"))
-    kept = sums.withColumn("rank", F.row_number().over(rank)).where((F.col("kind") != "word") | (F.col("rank") <= rules.common_words))
-    out, docs_of, rows = References(), {}, kept.orderBy("lang", "kind", "rank").collect()
-    for row in rows:
-        if row.kind == "docs":
-            docs_of[row.lang] = row.docs
-    total = sum(docs_of.values())
-    for lang, n in docs_of.items():
-        if n < rules.language_share * total:
-            continue
-        shares = {r.item: r.share for r in rows if r.lang == lang and r.kind == "class"}
-        out.classes[lang] = np.array([shares[c] for c in CLASSES])
-        top = [r for r in rows if r.lang == lang and r.kind == "word" and r.docs >= rules.word_share * n]
-        if top:
-            out.words[lang] = {r.item: i for i, r in enumerate(top)}
-            out.shares[lang] = np.array([r.share for r in top])
-    return out
+            return run(batches, known)
 
+        here = F.col("lang").isin(list(self.common))
+        joined = docs.where(~here).join(self.rest, "lang", "left")
+        return map_arrow(docs.where(here), of_common, schema).unionByName(map_arrow(joined, of_rest, schema))
 
-def distances(text: str, lang: str | None, found: list[str], known: References, rules: QualityRules) -> tuple[float | None, float | None]:
-    """Class and word distance to the language's reference (to the nearest, if it has none); None where a guard holds."""
-    langs = [lang or ""] if (lang or "") in known.classes else sorted(known.classes)
+
+def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> Known:
+    """Language references over all documents (lang not null)."""
+    texts = docs.select("lang", "text")
+    counted = map_arrow(texts, _count_words, "lang string, word string, docs long").groupBy("lang", "word").agg(F.sum("docs").alias("docs"))
+    # The empty word, in all documents of a language, comes first; Spark limits each language before it deals out.
+    rank = Window.partitionBy("lang").orderBy(F.desc("docs"), F.asc("word"))
+    ranked = counted.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= rules.common_words + 1)
+    by_lang = ranked.groupBy("lang").agg(F.max("docs").alias("docs"), F.collect_list(F.struct("word", F.col("docs").alias("n"))).alias("top"))
+    wanted = F.expr(f"transform(filter(top, x -> x.word != '' and x.n >= {rules.word_share} * docs), x -> x.word)")
+    languages = materialize(by_lang.select("lang", "docs", F.to_json(wanted).alias("known")))
+    total = languages.agg(F.sum("docs")).first()[0] or 0
+    enough = languages.where(F.col("docs") >= rules.min_language_docs)
+    common = [r.lang for r in enough.where(F.col("docs") >= rules.language_share * total).select("lang").collect()]
+    top = Known.of(enough.select("lang", "known"), common)
+    sums = top.map(texts, _sum_shares, _read_words, "lang string, kind string, item string, share double").groupBy("lang", "kind", "item").agg(F.sum("share").alias("share"))
+    known = sums.groupBy("lang").agg(F.to_json(F.collect_list(F.struct("kind", "item", "share"))).alias("known"))
+    return Known.of(materialize(known), common)
+
+
+def distances(text: str, found: list[str], known: Reference | None, rules: QualityRules) -> tuple[float | None, float | None]:
+    """Class and word distance to the language's reference; None where a guard holds or the language has none."""
     by_class = by_word = None
-    if len(text) >= rules.min_chars and langs:
-        histogram = class_histogram(text)
-        by_class = min(js_distance(histogram, known.classes[k]) for k in langs)
-    for k in langs:
-        index = known.words.get(k)
-        if not index:
-            continue
-        at = [index[w] for w in map(str.lower, found) if w in index]
-        if len(at) >= rules.min_common:
-            d = js_distance(np.bincount(at, minlength=len(index)).astype(float), known.shares[k])
-            by_word = d if by_word is None else min(by_word, d)
+    if known is None:
+        return by_class, by_word
+    if len(text) >= rules.min_chars:
+        by_class = js_distance(class_histogram(text), known.classes)
+    at = [known.words[w] for w in map(str.lower, found) if w in known.words]
+    if at and len(at) >= rules.min_common:
+        by_word = js_distance(np.bincount(at, minlength=len(known.words)).astype(float), known.shares)
     return by_class, by_word
 
 
-def _judge(known: References, rules: QualityRules):
-    def run(batches):
+def _judge(rules: QualityRules):
+    def run(batches, known_of):
         for part in batches:
             rows = []
-            for doc_id, lang, text in zip(*(column(part, c) for c in ("doc_id", "lang", "text"))):
+            for doc_id, text, known in zip(column(part, "doc_id"), column(part, "text"), known_of(part)):
                 *counts, found = base_counts(text)
                 failed = base_fails(counts[0], counts[4])
-                by_class, by_word = distances(text or "", lang, found, known, rules)
+                by_class, by_word = distances(text or "", found, known, rules)
                 rows.append((doc_id, *counts, failed, not failed and rules.accepts(by_class, by_word), by_class, by_word))
             names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
             types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2
@@ -259,12 +289,13 @@ def _judge(known: References, rules: QualityRules):
 def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang): base counts, base_failed, kept and both distances.
 
-    A null or empty text has no words, so its base fails. Repeated rows and ids are judged one by one; other
-    columns are ignored; an empty table gives an empty result. Texts of any length are judged whole.
+    A null or empty text has no words, so its base fails; a null language is the same as an empty one. Repeated rows
+    and ids are judged one by one; other columns are ignored; an empty table gives an empty result. Texts of any
+    length are judged whole.
     """
-    known = references(docs, rules)
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, kept boolean, class_distance double, word_distance double"
     )
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "lang", "text"), _judge(known, rules), schema)
+    return references(texts, rules).map(texts, _judge(rules), _read_reference, schema)
