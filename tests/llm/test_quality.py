@@ -75,3 +75,15 @@ def test_languages_of_a_small_share_have_their_own_reference(spark):
     assert joined[-1][:2] == (4000, False) and joined[-1][2] > 0.28
     assert all(by_class is None and by_word is None for doc_id, _, by_class, by_word in joined if 3000 <= doc_id < 4000)
     assert all(a[2] == pytest.approx(b[2]) for a, b in zip(collected, joined) if a[2] is not None)
+
+
+def test_what_reaches_the_driver_is_bounded(spark):
+    """Partitions of few documents, each with words of its own: only the common words of a language are collected."""
+    import json
+
+    from tidemark.llm.quality import QualityRules, references
+
+    rows = [("en", " ".join([f"all{k}" for k in range(30)] + [f"w{i}x{k}" for k in range(200)])) for i in range(120)]
+    known = references(spark.createDataFrame(rows, "lang string, text string").repartition(24), QualityRules())
+    found = {x["item"] for x in json.loads(known.common["en"]) if x["kind"] == "word"}
+    assert known.rest is None and found == {f"all{k}" for k in range(30)}
