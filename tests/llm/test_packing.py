@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import docs, read
 from tidemark.llm.packing import PackingRules, bound, pack, pack_documents
-from tidemark.llm.tokenbin import CapacityTree, fill, packed_rows, unpack, write_packed
+from tidemark.llm.tokenbin import CapacityTree, TokenRules, fill, packed_rows, unpack, write_packed
 
 NAME = "word_bpe_49k.json"
 
@@ -100,3 +100,18 @@ def test_capacity_tree_takes_the_tightest():
         tree.put(space, bin_)
     assert tree.take(4) == (2, 5) and tree.take(4) == (1, 7) and tree.take(4) is None and tree.take(3) == (0, 3)
     assert fill([6, 4, 5, 5], 10) == [[0, 1], [2, 3]] or sorted(map(sorted, fill([6, 4, 5, 5], 10))) == [[0, 1], [2, 3]]
+
+
+def test_fill_does_not_depend_on_partitions(spark, small, encode):
+    table = read(spark, small, "documents")
+    least = bound(np.array([min(4096, n - s) for r in table.select("text").collect() for n in [len(encode(r.text))] for s in range(0, n, 4096)]), 4096)
+    for n in (1, 64):
+        rows = packed_rows(table.repartition(n), NAME, TokenRules(buffer_tokens=200_000)).collect()
+        assert len({r.sequence_id for r in rows}) == len(rows) <= 1.03 * least + 1
+
+
+def test_null_ids_are_packed(spark, encode):
+    table = spark.createDataFrame([(None, "a few words"), (None, None), (3, "x")], "doc_id long, text string")
+    check_packing(pack_documents(table.where("doc_id = 3"), NAME).collect(), [(3, encode("x"))])
+    assert sorted(map(str, ((r.doc_id, r.length) for r in pack_documents(table, NAME).collect()))) == sorted(["(None, 4)", "(None, 1)", f"(3, {len(encode('x'))})"])
+    assert sum(len(r.doc_ids) for r in packed_rows(table, NAME).collect()) == 3

@@ -2,7 +2,8 @@
 
 A byte pair that no vocabulary token holds side by side can never be merged, so a cut between its two bytes is
 certain. Each word of the text is cut at such pairs, the fragments are merged independently, and their ids are
-concatenated. Fragments and whole words repeat, so a worker remembers a bounded number of both.
+concatenated. All new words of a batch of texts are cut at once, as one array of bytes. Fragments and whole words
+repeat, so a worker remembers a bounded number of both.
 
 The vocabulary file is that of a public tokenizer with NFC and lower-case normalisation, words split by a
 pattern, bytes as printable characters and a suffix that marks the end of a word.
@@ -14,10 +15,11 @@ import functools
 import hashlib
 import heapq
 import json
-import operator
 import unicodedata
 from array import array
 from collections import defaultdict
+from collections.abc import Iterable
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -28,16 +30,27 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, column, map_arrow
 
-#: Words and fragments a worker remembers; then it forgets all and starts again.
-REMEMBERED = 400_000
-#: Fragments from this length on are merged one by one, and words from this length on aren't remembered.
+#: Words and fragments a worker remembers, of each in two generations: when the young one is full, the old one is forgotten.
+REMEMBERED = 300_000
+#: Fragments from this length on are merged one by one, and words and fragments from this length on aren't remembered.
 LONG_FRAGMENT = 96
 #: White space as the tokenizer's patterns have it: unlike Python's, without the four separators 1C to 1F.
 _WHITE_CLASS = r"\t-\r \x85\p{Z}"
 _WHITE = regex.compile(f"[{_WHITE_CLASS}]+")
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
-#: Code points without a character, some of which the regex module counts as letters; to the tokenizer they are signs.
-_UNASSIGNED = regex.compile("[\U000323B0-\U000DFFFF]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Code points that newer versions of Unicode made letters or numbers; to the tokenizer they are signs, as are all from 323B0 on.
+_UNASSIGNED = regex.compile(
+    "["
+    "\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1"
+    "\uAB6C-\uAB6D\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A"
+    "\U00011DB0-\U00011DDB\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686"
+    "\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA"
+    "\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128"
+    "\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF"
+    "\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4"
+    "\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U000DFFFF"
+    "]"
+)
 
 
 def byte_characters() -> list[str]:
@@ -47,6 +60,40 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class Memory(dict):
+    """A bounded memory: what no batch asked for while a whole generation was learned is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.old: dict = {}
+        self.most = most
+        self.long: list = []
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't remembered; those of the old generation become young again."""
+        out = []
+        for key in keys.difference(self):
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self[key] = value
+        return out
+
+    def learn(self, found: dict) -> None:
+        self.update(found)
+        self.long += [key for key in found if len(key) > LONG_FRAGMENT]
+
+    def forget(self) -> None:
+        """Called between batches, so that all a batch asked for is young in the meantime."""
+        for key in self.long:
+            self.pop(key, None)
+        self.long = []
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class BytePairCoder:
     """Encoder and decoder for one vocabulary file."""
 
@@ -63,16 +110,18 @@ class BytePairCoder:
         self._pair_keys, self._pair_ranks = (np.array(x, dtype=np.int64) for x in zip(*pairs))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._pieces = regex.compile(pattern.replace(r"\s", _WHITE_CLASS)).findall
+        self._pieces = regex.compile(pattern.replace(r"\s", _WHITE_CLASS) + "|\n").findall
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.tokens = {i: t for t, i in self.vocab.items()}
-        self._bytes = byte_characters()
-        self._byte_ids, self._last_ids = np.full(512, -1, dtype=np.int32), np.full(512, -1, dtype=np.int32)
-        for shown in self._bytes:
-            self._byte_ids[ord(shown)], self._last_ids[ord(shown)] = vocab[shown], vocab[shown + self.suffix]
+        shown = byte_characters()
+        self._bytes = {c: b for b, c in enumerate(shown)}
+        self._byte_ids = np.array([vocab[c] for c in shown], dtype=np.int32)
+        self._last_ids = np.array([vocab[c + self.suffix] for c in shown], dtype=np.int32)
         self._joined = self._inner_pairs()
-        self._fragments: dict[tuple[str, bool], bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._inside = np.zeros((256, 256), dtype=bool)
+        for first, second in self._joined:
+            self._inside[self._bytes[first], self._bytes[second]] = True
+        self._fragments, self._words, self._spelled = (Memory(REMEMBERED) for _ in range(3))
         self.texts = self.tokens | {i: t for t, i in self.special.items()}
         self.decimals = {i: str(i) for i in self.texts}
 
@@ -84,18 +133,14 @@ class BytePairCoder:
             pairs.update(map("".join, zip(core, core[1:])))
         return frozenset(pairs)
 
+    def _cut(self, raw: np.ndarray) -> np.ndarray:
+        """For each byte but the first, whether a cut before it is certain."""
+        return ~self._inside[raw[:-1], raw[1:]]
+
     def fragments(self, piece: str) -> list[str]:
         """A piece, as byte characters, cut at its forced boundaries."""
-        joined = self._joined
-        if joined.issuperset(map(operator.add, piece, piece[1:])):
-            return [piece]
-        out, start = [], 0
-        for at in range(1, len(piece)):
-            if piece[at - 1 : at + 1] not in joined:
-                out.append(piece[start:at])
-                start = at
-        out.append(piece[start:])
-        return out
+        cuts = np.flatnonzero(self._cut(np.array([self._bytes[c] for c in piece], dtype=np.uint8))) + 1
+        return [piece[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)])]
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The ids of one long fragment: a heap of mergeable pairs over a linked list of parts."""
@@ -157,68 +202,66 @@ class BytePairCoder:
             right = np.flatnonzero(at < parts.shape[1] - 1)
             ranks[right, at[right]] = self._ranks_of(parts[right, at[right]], parts[right, at[right] + 1])
 
-    def _merge_all(self, fragments: list[tuple[str, bool]]) -> None:
-        """Remember the ids of fragments; those of one length are merged together."""
-        by_length: dict[int, list[tuple[str, bool]]] = defaultdict(list)
+    def _merge_all(self, fragments: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of fragments, where a line feed ends one that ends its piece; those of one length are merged together."""
+        by_length: dict[int, list[bytes]] = defaultdict(list)
         for fragment in fragments:
-            by_length[len(fragment[0])].append(fragment)
+            by_length[len(fragment)].append(fragment)
+        out: dict[bytes, bytes] = {}
         for length, members in by_length.items():
             if length > LONG_FRAGMENT:
-                for text, last in members:
-                    parts = [self._byte_ids[ord(c)] for c in text]
-                    parts[-1] = self._last_ids[ord(text[-1])] if last else parts[-1]
-                    self._fragments[text, last] = array("I", self._merge_long(parts)).tobytes()
-                continue
-            codes = np.frombuffer("".join([m[0] for m in members]).encode("utf-16-le"), dtype="<u2").reshape(len(members), length)
-            parts = self._byte_ids[codes]
-            last = np.array([m[1] for m in members])
-            parts[last, -1] = self._last_ids[codes[last, -1]]
-            self._fragments.update(zip(members, self._merge_equal(parts)))
-
-    def _pieces_unassigned(self, word: str) -> list[str]:
-        """The pieces of a word as if a sign stood for each code point without a character."""
-        out, at = [], 0
-        for piece in self._pieces(_UNASSIGNED.sub("\u2603", word)):
-            out.append(word[at : at + len(piece)])
-            at += len(piece)
-        return out
-
-    def _word_pieces(self, word: str) -> list[tuple[str, bool]]:
-        """A run without white space as fragments of byte characters, each with whether it ends a piece."""
-        if word.isalpha():
-            pieces = [word]
-        elif word[-1:] in (".", ",") and word[:-1].isalpha():
-            pieces = [word[:-1], word[-1]]
-        else:
-            pieces = self._pieces(word) if word.isascii() or not _UNASSIGNED.search(word) else self._pieces_unassigned(word)
-        out = []
-        for piece in pieces:
-            if piece.isascii() and (piece, True) in self._fragments:  # byte characters stand for other letters beyond ASCII
-                out.append((piece, True))
+                for fragment in members:
+                    core = np.frombuffer(fragment.removesuffix(b"\n"), dtype=np.uint8)
+                    parts = self._byte_ids[core]
+                    if len(core) < length:
+                        parts[-1] = self._last_ids[core[-1]]
+                    out[fragment] = array("I", self._merge_long(parts.tolist())).tobytes()
                 continue
-            if not (piece.isascii() and piece.isprintable()):
-                shown = self._bytes
-                piece = "".join([shown[b] for b in piece.encode("utf-8")])
-            cuts = self.fragments(piece)
-            out += [(cut, False) for cut in cuts[:-1]]
-            out.append((cuts[-1], True))
+            codes = np.frombuffer(b"".join(members), dtype=np.uint8).reshape(len(members), length)
+            last = codes[:, -1] == 10
+            for rows, width in ((np.flatnonzero(last), length - 1), (np.flatnonzero(~last), length)):
+                if not len(rows):
+                    continue
+                core = codes[rows, :width]
+                parts = self._byte_ids[core]
+                if width < length:
+                    parts[:, -1] = self._last_ids[core[:, -1]]
+                out.update(zip([members[k] for k in rows.tolist()], self._merge_equal(parts)))
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of words, as numbers of four bytes."""
-        if len(self._words) + len(words) > REMEMBERED:
-            self._words.clear()
-            self._fragments.clear()
-        pieces = {word: self._word_pieces(word) for word in words}
-        self._merge_all(list({f for parts in pieces.values() for f in parts}.difference(self._fragments)))
-        ids = self._fragments
-        for word, parts in pieces.items():
-            self._words[word] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
-
-    def _forget_long(self, words: set[str]) -> None:
-        for word in words:
-            if len(word) > LONG_FRAGMENT:
-                self._words.pop(word, None)
+    def _split(self, joined: str) -> list[str]:
+        """The pieces of words that are joined by line feeds, which are pieces too; a sign stands for each code point without a character."""
+        if joined.isascii() or not _UNASSIGNED.search(joined):
+            return self._pieces(joined)
+        lengths = map(len, self._pieces(_UNASSIGNED.sub("\u2603", joined)))
+        ends = list(accumulate(lengths))
+        return [joined[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of new words, as numbers of four bytes.
+
+        Each piece is followed by a line feed, and each word by one more; a fragment runs to the next forced boundary or through
+        the line feed after its piece.
+        """
+        pieces = self._split("\n".join(words))
+        raw = "\n".join(pieces).encode("utf-8") + b"\n\n\n"  # a word's line feed stands between those after pieces
+        codes = np.frombuffer(raw, dtype=np.uint8)
+        feed = codes == 10
+        cut = self._cut(codes) & ~feed[1:]
+        starts = np.flatnonzero(np.concatenate([[True], cut]) & ~feed)
+        feeds = np.flatnonzero(feed)
+        stops = np.append(starts[1:], len(raw) - 1)
+        after = feeds[np.searchsorted(feeds, starts)]  # the line feed that ends the fragment's piece
+        stops = np.minimum(stops, after + 1)
+        fragments = [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+        missing = self._fragments.missing(set(fragments))
+        self._fragments.learn(self._merge_all(missing))
+        ends = feeds[np.flatnonzero(feed[feeds - 1] & feed[feeds - 2])] if len(feeds) > 2 else feeds[:0]
+        edges = np.searchsorted(starts, ends).tolist()
+        parts = list(map(self._fragments.__getitem__, fragments))
+        self._fragments.forget()
+        found = {word: parts[a] if b - a == 1 else b"".join(parts[a:b]) for word, a, b in zip(words, [0, *edges], edges)}
+        self._words.learn(found)
 
     def _normal_words(self, text: str) -> list[str]:
         """NFC and lower case (each letter alone: no final form of sigma), cut at white space."""
@@ -228,7 +271,7 @@ class BytePairCoder:
                 text = "".join(map(str.lower, text))
         text = text.lower()
         # Python's white space is the pattern's and the four separators.
-        return _WHITE.sub(" ", text).split(" ") if _SEPARATORS.search(text) else text.split()
+        return [word for word in _WHITE.split(text) if word] if any(c in text for c in _SEPARATORS) else text.split()
 
     def _runs(self, text: str) -> list[tuple[int, list[str]]]:
         """Alternating words and special tokens: (special id or -1, words)."""
@@ -242,29 +285,47 @@ class BytePairCoder:
                 out.append((-1, self._normal_words(part)))
         return out
 
+    def _know(self, words: set[str]) -> None:
+        """Have the ids of all these words in memory; those that are new are learned together."""
+        missing = self._words.missing(words)
+        if missing:
+            self._learn(missing)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as numbers of four bytes; words that are new in any of the texts are merged together."""
+        """The ids of each text as numbers of four bytes."""
         runs = [self._runs(text or "") for text in texts]
-        used = {word for run in runs for _, words in run for word in words}
-        new = used.difference(self._words)
-        if new:
-            if len(self._words) + len(new) > REMEMBERED:  # all is forgotten: what is used here must be learned again
-                new = used
-            self._learn(new)
-        ids = self._words
-        out = [b"".join([array("I", [special]).tobytes() if special >= 0 else b"".join(map(ids.__getitem__, words)) for special, words in run]) for run in runs]
-        self._forget_long(new)
+        self._know(set().union(*(words for run in runs for _, words in run)))
+        ids = self._words.__getitem__
+        out = [b"".join([array("I", [special]).tobytes() if special >= 0 else b"".join(map(ids, words)) for special, words in run]) for run in runs]
+        self._words.forget()
         return out
 
     def encode(self, text: str | None) -> list[int]:
         return array("I", self.encode_all([text])[0]).tolist()
 
-    def spell(self, ids: list[int]) -> str:
+    def spell_all(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """Of each text, the ids in decimal and what they decode to; a word's own are remembered as its ids are."""
+        runs = [self._runs(text or "") for text in texts]
+        missing = self._spelled.missing(set().union(*(words for run in runs for _, words in run)))
+        if missing:
+            self._know(set(missing))
+            numbers = [array("I", self._words[word]) for word in missing]
+            self._spelled.learn({word: (self.spell(ids), self.decode(ids)) for word, ids in zip(missing, numbers)})
+            self._words.forget()
+        spelled = self._spelled.__getitem__
+        out = []
+        for run in runs:
+            parts = [part for special, words in run for part in ([(self.decimals[special], self.texts[special])] if special >= 0 else map(spelled, words))]
+            out.append((" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])))
+        self._spelled.forget()
+        return out
+
+    def spell(self, ids: Iterable[int]) -> str:
         """The ids in decimal, joined by one space."""
         decimals = self.decimals
         return " ".join([decimals[i] for i in ids])
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """What the public library gives without a decoder: the tokens' own spellings, joined by one space."""
         texts = self.texts
         return " ".join([texts[i] for i in ids])
@@ -287,10 +348,9 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
         bpe = coder(vocabulary)
         for part in batches:
             rows = []
-            for raw in bpe.encode_all(column(part, "text")):
-                ids = array("I", raw).tolist()
-                digests = [hashlib.sha256(x.encode("utf-8")).hexdigest() for x in (bpe.spell(ids), bpe.decode(ids))]
-                rows.append((len(ids), *digests))
+            for spelled in bpe.spell_all(column(part, "text")):
+                n_tokens = spelled[0].count(" ") + 1 if spelled[0] else 0
+                rows.append((n_tokens, *(hashlib.sha256(x.encode("utf-8")).hexdigest() for x in spelled)))
             yield batch(
                 doc_id=part.column(part.schema.get_field_index("doc_id")),
                 n_tokens=pa.array([r[0] for r in rows], pa.int64()),
