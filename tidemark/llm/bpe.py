@@ -24,6 +24,7 @@ from itertools import accumulate
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,62 +264,84 @@ class BytePairCoder:
         found = {word: parts[a] if b - a == 1 else b"".join(parts[a:b]) for word, a, b in zip(words, [0, *edges], edges)}
         self._words.learn(found)
 
-    def _normal_words(self, text: str) -> list[str]:
-        """NFC and lower case (each letter alone: no final form of sigma), cut at white space."""
+    @staticmethod
+    def _normal(text: str) -> str:
+        """NFC and lower case, each letter alone: no final form of sigma."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = "".join(map(str.lower, text))
-        text = text.lower()
-        # Python's white space is the pattern's and the four separators.
-        return [word for word in _WHITE.split(text) if word] if any(c in text for c in _SEPARATORS) else text.split()
-
-    def _runs(self, text: str) -> list[tuple[int, list[str]]]:
-        """Alternating words and special tokens: (special id or -1, words)."""
-        if self._special is None or "<|" not in text:
-            return [(-1, self._normal_words(text))]
+        return text.lower()
+
+    def _odd_words(self, text: str) -> list[str]:
+        """The words of a text with special tokens or separators; a special token is a word after a line feed."""
         out = []
-        for at, part in enumerate(self._special.split(text)):
-            if at % 2:
-                out.append((self.special[part], []))
-            elif part:
-                out.append((-1, self._normal_words(part)))
+        for at, part in enumerate(self._special.split(text) if self._special else [text]):
+            out += ["\n" + part] if at % 2 else [word for word in _WHITE.split(self._normal(part)) if word]
         return out
 
-    def _know(self, words: set[str]) -> None:
+    def _words_of(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts as a dictionary array, and where each text's words start and the last one's end."""
+        odd = {k: self._odd_words(t) for k, t in enumerate(texts) if t and ("<|" in t or any(c in t for c in _SEPARATORS))}
+        # Arrow's white space is the pattern's and the four separators.
+        split = pc.utf8_split_whitespace(pa.array(["" if k in odd else self._normal(t or "") for k, t in enumerate(texts)], pa.large_string()))
+        words = split.flatten()
+        real = pc.not_equal(words, "")  # an empty word stands before and after white space at a text's ends
+        kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        sizes = np.diff(kept[split.offsets.to_numpy()])
+        words = words.filter(real)
+        if odd:
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            parts, done = [], 0
+            for k, found in odd.items():
+                parts += [words.slice(at[done], at[k] - at[done]), pa.array(found, pa.large_string())]
+                sizes[k], done = len(found), k
+            words = pa.concat_arrays([*parts, words.slice(at[done])])
+        return words.dictionary_encode(), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _know(self, words: list[str]) -> None:
         """Have the ids of all these words in memory; those that are new are learned together."""
-        missing = self._words.missing(words)
+        self._words.update(("\n" + text, array("I", [number]).tobytes()) for text, number in self.special.items())
+        missing = self._words.missing(set(words))
         if missing:
             self._learn(missing)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as numbers of four bytes."""
-        runs = [self._runs(text or "") for text in texts]
-        self._know(set().union(*(words for run in runs for _, words in run)))
-        ids = self._words.__getitem__
-        out = [b"".join([array("I", [special]).tobytes() if special >= 0 else b"".join(map(ids, words)) for special, words in run]) for run in runs]
+        words, edges = self._words_of(texts)
+        distinct = words.dictionary.to_pylist()
+        self._know(distinct)
+        known = list(map(self._words.__getitem__, distinct))
         self._words.forget()
-        return out
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, place = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        counts = sizes[place]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(starts[place] - before[:-1], counts) + np.arange(before[-1])
+        raw = np.frombuffer(b"".join(known), dtype="<u4")[at].tobytes()
+        ends = (4 * before[edges]).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, text: str | None) -> list[int]:
         return array("I", self.encode_all([text])[0]).tolist()
 
     def spell_all(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """Of each text, the ids in decimal and what they decode to; a word's own are remembered as its ids are."""
-        runs = [self._runs(text or "") for text in texts]
-        missing = self._spelled.missing(set().union(*(words for run in runs for _, words in run)))
+        words, edges = self._words_of(texts)
+        distinct = words.dictionary.to_pylist()
+        missing = self._spelled.missing(set(distinct))
         if missing:
-            self._know(set(missing))
+            self._know(missing)
             numbers = [array("I", self._words[word]) for word in missing]
             self._spelled.learn({word: (self.spell(ids), self.decode(ids)) for word, ids in zip(missing, numbers)})
             self._words.forget()
-        spelled = self._spelled.__getitem__
-        out = []
-        for run in runs:
-            parts = [part for special, words in run for part in ([(self.decimals[special], self.texts[special])] if special >= 0 else map(spelled, words))]
-            out.append((" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])))
+        known = list(map(self._spelled.__getitem__, distinct))
         self._spelled.forget()
-        return out
+        joined = []
+        for k in (0, 1):
+            spelled = pa.array([x[k] for x in known], pa.large_string()).take(words.indices)
+            joined.append(pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), spelled), pa.scalar(" ", pa.large_string())).to_pylist())
+        return list(zip(*joined))
 
     def spell(self, ids: Iterable[int]) -> str:
         """The ids in decimal, joined by one space."""
