@@ -3,10 +3,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import docs, read
-from tidemark.llm.gru import language_scores
+from tidemark.llm.gru import Counts, GruRules, Lexicon, Trainer, initial, language_scores, score_documents
 
 
 def lower(text):
@@ -38,3 +40,37 @@ def test_odd_texts(spark):
 
 def test_empty_table(spark):
     assert language_scores(docs(spark, [])).count() == 0
+
+
+def test_slices_are_read_whole():
+    texts = pa.array(["é", "First", None, "a B\tb", "Ünder ÜNDER"])
+    words = Lexicon(4)
+    read = [words.read(texts.slice(k, 2)) for k in (0, 2, 4)]
+    spelled = list(words.numbers)
+    assert [spelled[i].decode() for ids, _ in read for i in ids] == ["é", "", "first", "", "", "a", "b", "b", "", "Ünder", "Ünder", ""]
+    assert [n for _, sizes in read for n in sizes] == [2, 2, 1, 4, 3]
+
+
+def test_gradients_match_differences():
+    """The window's gradients against numerical ones of the plain log likelihood, lanes of unlike length and a lead included."""
+    rules = GruRules(words=8, class_words=4, tail_classes=2, hidden=3, window=4, lanes=8, segment=6, rate=1.0)
+    counts = Counts(40, 8, np.arange(8, dtype=np.uint64), np.arange(8, 0, -1).astype(float), np.array([2, 2]), np.array([1, 1]))
+    start = {k: v.astype(np.float64) + 0.05 for k, v in initial(counts, rules).items()}
+    docs = [np.array([1, 4, 9, 0], dtype=np.int32), np.array([5, 0], dtype=np.int32)]
+
+    class Kept(Trainer):
+        def _move(self, name, gradient, rows=slice(None)):
+            found.setdefault(name, np.zeros_like(start[name]))[rows] += gradient
+
+    found = {}
+    Kept(start, rules).learn(docs, 0)
+    loss = lambda p: -score_documents(p, docs, 0, rules).sum() / (6 / 4)
+    rng = np.random.default_rng(1)
+    for name, value in start.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in value.shape)
+            moved = {k: v.copy() for k, v in start.items()}
+            moved[name][at] += 1e-2
+            up = loss(moved)
+            moved[name][at] -= 2e-2
+            assert found.get(name, np.zeros_like(value))[at] == pytest.approx((up - loss(moved)) / 2e-2, rel=2e-2, abs=2e-3)

@@ -1,14 +1,18 @@
 """A gated recurrent language model over words, trained in numpy inside Spark tasks, and the scores of whole documents.
 
-Counts come first. Each bucket of documents sends its distinct words, as hashes with their counts in training documents, to
-where all buckets' counts of a word meet, and gets the corpus's counts back in the same order; so every count is exact
-and covers the corpus, and no vocabulary travels through the driver.
+Each text is read once: a task numbers the words of a chunk of documents and writes the numbers, with the chunk's distinct
+words as 64-bit hashes and their counts in training documents. The counts of a word meet in Spark as plain rows of (chunk, hash,
+count), and each chunk gets the corpus's counts of its words back; no vocabulary travels through the driver. Counts cover the
+whole corpus; they are exact as far as no two words share a hash, which among a thousand million distinct words happens
+with a chance of 3 %.
 
 The model reads a token's row of an input table and predicts the next token in two factors: its class, then the word in
 its class. Frequent words form classes of equal size; all others fall into tail classes by their last letters, and inside a
 tail class the smoothed counts decide. Output biases start at the log frequencies, so training starts from
 the unigram model. Each task trains on its documents by truncated back-propagation, in lanes of documents laid end to end, with
-the state carried from window to window; after each round the tasks' parameters are averaged, in Spark.
+the state carried from window to window; after each round the tasks' parameters are averaged, in Spark. Only for training,
+documents longer than a segment are cut into segments, so that lanes end together; each segment but the first reads the
+window before it, without learning from it, to come to its state.
 
 A document's score is the sum over all its tokens, its state carried from first to last.
 """
@@ -22,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, column, map_arrow
 from tidemark.llm.suffix import dump, load
-from tidemark.session import input_bytes, materialize, shuffle_partitions, ship
+from tidemark.session import materialize, shuffle_partitions, ship
 
 #: Fixed values of the contract: the smoothing of counts, and the share of documents held out.
 SMOOTH = 0.1
@@ -40,7 +45,7 @@ END = b""
 
 @dataclass(frozen=True)
 class GruRules:
-    """Sizes of the model and of training, and bytes of text that one bucket should hold."""
+    """Sizes of the model and of training, bytes of text from which a chunk is full, and rows of counts that should meet in one group."""
 
     words: int = 1024
     class_words: int = 32
@@ -51,9 +56,9 @@ class GruRules:
     segment: int = 512
     rounds: int = 3
     rate: float = 0.06
-    least_updates: int = 160
-    chunk_tokens: int = 400_000
-    bucket_bytes: int = 16_000_000
+    batch_tokens: int = 400_000
+    chunk_bytes: int = 16_000_000
+    group_rows: int = 1_000_000
     seed: int = 7
 
     @property
@@ -77,24 +82,26 @@ def tail_class(word: bytes, classes: int) -> int:
     return xxhash.xxh32_intdigest(word[-3:], 1) % classes
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words, A-Z in lower case, and the end."""
-    found = text.encode("utf-8").lower().split() if text else []
-    found.append(END)
-    return found
-
-
 class Lexicon:
-    """The distinct words of one bucket: local numbers as they come, and their hashes and tail classes."""
+    """The distinct words of one chunk: local numbers as they come, and their hashes and tail classes."""
 
     def __init__(self, classes: int):
         self.classes = classes
         self.numbers: dict[bytes, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__  # a word that is new gets the next number
 
-    def read(self, text: str | None) -> np.ndarray:
-        found = tokens(text)
-        return np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of all texts, A-Z in lower case, with an end after each text, and each text's size."""
+        # A fresh array: on a slice of one, Arrow's lower case takes wrong bytes.
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts.to_pylist()], pa.large_string())))
+        found = split.flatten()
+        real = pc.not_equal(found, "")  # an empty word stands before and after white space at a text's ends
+        kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        sizes = np.diff(kept[split.offsets.to_numpy()])
+        coded = found.filter(real).dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        own = np.fromiter(map(self.numbers.__getitem__, distinct), np.int32, len(distinct))
+        return np.insert(own[coded.indices.to_numpy()], np.cumsum(sizes), self.numbers[END]).astype(np.int32), sizes + 1
 
     def hashes(self) -> np.ndarray:
         return np.fromiter(map(word_hash, self.numbers), np.uint64, len(self.numbers))
@@ -103,54 +110,78 @@ class Lexicon:
         return np.fromiter((tail_class(w, self.classes) for w in self.numbers), np.uint8, len(self.numbers))
 
 
-def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of hashes by bucket and hash, and the bucket of each in that order."""
-    target = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((hashes, target))
-    return order, target[order]
-
-
-def _step_words(buckets: int, classes: int):
-    def run(docs: pa.Table) -> pa.Table:
-        source = docs.column("bucket")[0].as_py()
-        words = Lexicon(classes)
-        learned = [np.empty(0, np.int32)]
-        for text, held in zip(docs.column("text").to_pylist(), docs.column("held_out").to_pylist()):
-            ids = words.read(text)
-            if not held:
-                learned.append(ids)
-        hashes, tails, counts = words.hashes(), words.tails(), np.bincount(np.concatenate(learned), minlength=len(words.numbers)).astype(np.int64)
-        order, target = _by_bucket(hashes, buckets)
-        rows = []
-        for part in np.split(order, np.flatnonzero(np.diff(target)) + 1):
-            rows.append((int(hashes[part[0]] % np.uint64(buckets)), source, dump(hashes[part], tails[part], counts[part])))
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("bucket", pa.int32()), ("source", pa.int32()), ("value", pa.binary())))})
+_CHUNKS = "source long, n_words long, docs binary, words binary"
+
+
+def _read_chunks(rules: GruRules):
+    """Documents of a task as chunks: their ids and numbered words, and the distinct words with training counts."""
+
+    def run(batches):
+        base, made = TaskContext.get().partitionId() << 32, 0
+        words, held, size = Lexicon(rules.tail_classes), [], 0
+
+        def finish():
+            ids, missing, out, numbers, sizes = (np.concatenate([h[i] for h in held]) for i in range(5))
+            counts = np.bincount(numbers[np.repeat(~out, sizes)], minlength=len(words.numbers)).astype(np.int64)
+            docs = dump(ids, missing, out, sizes.astype(np.int64), numbers)
+            return batch(
+                source=pa.array([base + made], pa.int64()),
+                n_words=pa.array([len(counts)], pa.int64()),
+                docs=pa.array([docs], pa.binary()),
+                words=pa.array([dump(words.hashes(), words.tails(), counts)], pa.binary()),
+            )
+
+        for part in batches:
+            ids = part.column(part.schema.get_field_index("doc_id"))
+            texts = part.column(part.schema.get_field_index("text"))
+            out = part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+            held.append((pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False), out, *words.read(texts)))
+            size += texts.nbytes
+            if size >= rules.chunk_bytes:
+                yield finish()
+                made += 1
+                words, held, size = Lexicon(rules.tail_classes), [], 0
+        if held:
+            yield finish()
 
     return run
 
 
+def _chunk(docs: bytes) -> list[np.ndarray]:
+    """ids, whether an id is null, whether it is held out, sizes and word numbers."""
+    return load(docs, "<i8", "?", "?", "<i8", "<i4")
+
+
+def _word_rows(batches):
+    """A chunk's distinct words as plain rows."""
+    for part in batches:
+        for source, value in zip(column(part, "source"), column(part, "words")):
+            hashes, tails, counts = load(value, "<u8", "u1", "<i8")
+            yield batch(source=pa.array(np.full(len(hashes), source)), hash=pa.array(hashes.view(np.int64)), tail=pa.array(tails.astype(np.int16)), count=pa.array(counts))
+
+
 def _step_counts(most: int, classes: int):
-    """Sum the counts of each word; answer each bucket in its own order, and report the most frequent words and the tail classes' totals in one row."""
+    """Sum the counts of each word; answer each chunk, and report the most frequent words and the tail classes' totals in one row."""
 
     def run(part: pa.Table) -> pa.Table:
-        bucket, sources = part.column("bucket")[0].as_py(), part.column("source").to_pylist()
-        loaded = [load(v, "<u8", "u1", "<i8") for v in part.column("value").to_pylist()]
-        hashes, tails, counts = (np.concatenate([x[i] for x in loaded]) for i in range(3))
-        _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        sources, hashes, tails, counts = (part.column(n).to_numpy() for n in ("source", "hash", "tail", "count"))
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(first)).astype(np.int64)
-        rows = []
-        for source, answer in zip(sources, np.split(total[place], np.cumsum([len(x[0]) for x in loaded])[:-1])):
-            rows.append(("answer", source, bucket, dump(answer)))
         own, seen = tails[first], total > 0
-        rows.append(("facts", bucket, bucket, _facts(hashes[first], own, total, np.bincount(own, weights=total, minlength=classes), np.bincount(own[seen], minlength=classes), most)))
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(_ANSWERS)})
+        facts = _facts(distinct.view(np.uint64), own.astype(np.uint8), total, np.bincount(own, weights=total, minlength=classes), np.bincount(own[seen], minlength=classes), most)
+        n = len(sources)
+        return pa.table(
+            {
+                "source": pa.concat_arrays([pa.array(sources), pa.nulls(1, pa.int64())]),
+                "hash": pa.concat_arrays([pa.array(hashes), pa.array([distinct[0]], pa.int64())]),
+                "total": pa.concat_arrays([pa.array(total[place]), pa.array([0], pa.int64())]),
+                "facts": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([facts], pa.binary())]),
+            }
+        )
 
     return run
 
 
-_ANSWERS = (("kind", pa.string()), ("bucket", pa.int32()), ("source", pa.int32()), ("value", pa.binary()))
-
-
 def _facts(hashes: np.ndarray, tails: np.ndarray, total: np.ndarray, tail_total: np.ndarray, tail_distinct: np.ndarray, most: int) -> bytes:
     """The most frequent of distinct words (the end first, ties by hash) with their tail classes and counts, and the totals of the tail classes."""
     top = np.lexsort((hashes.astype(np.int64), -total, hashes != np.uint64(word_hash(END))))[:most]
@@ -185,16 +216,11 @@ class Counts:
     tail_distinct: np.ndarray
 
 
-def _buckets(docs: DataFrame, rules: GruRules) -> int:
-    size = input_bytes(docs)
-    n = shuffle_partitions(docs.sparkSession)
-    return max(n, -(-2 * size // rules.bucket_bytes)) if size < 1 << 50 else n
-
-
-def _counts(answers: DataFrame, rules: GruRules, buckets: int) -> Counts:
-    """Facts are merged in groups, of which there are as many as a group has buckets; what is collected is bounded by that."""
-    groups = math.isqrt(buckets) + 1
-    merged = answers.where("kind = 'facts'").select((F.col("bucket") % groups).alias("group"), "value").groupBy("group").applyInArrow(_merge_facts(rules.words), "value binary")
+def _counts(answers: DataFrame, rules: GruRules, groups: int) -> Counts:
+    """Facts are merged in groups, of which there are as many as a group has members; what is collected is bounded by that."""
+    few = math.isqrt(groups) + 1
+    facts = answers.where("facts is not null").select(F.pmod(F.xxhash64("hash"), F.lit(few)).alias("group"), F.col("facts").alias("value"))
+    merged = facts.groupBy("group").applyInArrow(_merge_facts(rules.words), "value binary")
     values = [bytes(r.value) for r in merged.collect()]
     if not values:
         none = np.zeros(rules.tail_classes, dtype=np.int64)
@@ -254,37 +280,46 @@ def step(parameters: Parameters, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarr
     return n + z * (h - n), z, r, n, inner
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
     return x
 
 
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax at one column of each row."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), at]
+    return picked - np.log(np.exp(x, out=x).sum(axis=1))
+
+
 def _classes(target: np.ndarray, rules: GruRules) -> np.ndarray:
     return np.where(target < rules.words, target // rules.class_words, rules.word_classes + target - rules.words)
 
 
-def _groups(values: np.ndarray) -> list[np.ndarray]:
-    order = np.argsort(values, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(values[order])) + 1) if len(order) else []
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, and of each word class that occurs its number and its run in that order."""
+    order = np.argsort(cls, kind="stable")
+    edges = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
 
 
 def log_likelihood(parameters: Parameters, states: np.ndarray, target: np.ndarray, rules: GruRules) -> np.ndarray:
     """The natural log probability of each target's class, and of the word in it unless the class is a tail."""
     cls = _classes(target, rules)
-    out = _log_softmax(states @ parameters["class"] + parameters["class_bias"])[np.arange(len(target)), cls]
-    for rows in _groups(cls):
-        c = cls[rows[0]]
-        if c < rules.word_classes:
-            inside = _log_softmax(states[rows] @ parameters["word"][c] + parameters["word_bias"][c])
-            out[rows] += inside[np.arange(len(rows)), target[rows] % rules.class_words]
+    out = _log_softmax_at(states @ parameters["class"] + parameters["class_bias"], cls).astype(np.float64)
+    order, runs = _by_class(cls, rules.word_classes)
+    states, place = states[order], target[order] % rules.class_words
+    for c, a, b in runs:
+        out[order[a:b]] += _log_softmax_at(states[a:b] @ parameters["word"][c] + parameters["word_bias"][c], place[a:b])
     return out
 
 
 class Lanes:
-    """Documents laid end to end in lanes of about equal length; a document's first token is read from a fresh state."""
+    """Pieces laid end to end in lanes of about equal length; each starts from a fresh state and reads `before` at first."""
 
-    def __init__(self, docs: list[np.ndarray], lanes: int):
+    def __init__(self, docs: list[np.ndarray], lanes: int, before: np.ndarray):
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         lanes = min(lanes, len(docs))
         members: list[list[int]] = [[] for _ in range(lanes)]
@@ -300,6 +335,7 @@ class Lanes:
         self.target = np.zeros((self.length, lanes), dtype=np.int32)
         self.fresh = np.zeros((self.length, lanes), dtype=bool)
         self.doc = np.zeros((self.length, lanes), dtype=np.int32)
+        self.read = np.zeros((self.length, lanes), dtype=np.int32)  # what a step reads: the token before
         for lane, k in enumerate(by_size):
             at = 0
             for i in members[k]:
@@ -307,18 +343,14 @@ class Lanes:
                 self.target[at:end, lane] = docs[i]
                 self.doc[at:end, lane] = i
                 self.fresh[at, lane] = True
+                self.read[at, lane], self.read[at + 1 : end, lane] = before[i], docs[i][:-1]
                 at = end
 
-    def inputs(self, at: int, end_id: int) -> np.ndarray:
-        """What the lanes read at a step: the token before, or the end at a document's start."""
-        before = self.target[at - 1] if at else np.full(self.target.shape[1], end_id, np.int32)
-        return np.where(self.fresh[at], end_id, before)
-
 
 def score_documents(parameters: Parameters, docs: list[np.ndarray], end_id: int, rules: GruRules, lanes: int = 512) -> np.ndarray:
     """Of each document of model ids, the sum of its tokens' log likelihoods, without what tail counts add."""
     out = np.zeros(len(docs))
-    laid = Lanes(docs, lanes)
+    laid = Lanes(docs, lanes, np.full(len(docs), end_id, dtype=np.int32))
     h = np.zeros((laid.target.shape[1], rules.hidden), dtype=np.float32)
     block = 64
     for first in range(0, laid.length, block):
@@ -327,7 +359,7 @@ def score_documents(parameters: Parameters, docs: list[np.ndarray], end_id: int,
             n = laid.active[at]
             h = h[:n]
             h[laid.fresh[at, :n]] = 0
-            h = step(parameters, parameters["input"][laid.inputs(at, end_id)[:n]], h)[0]
+            h = step(parameters, parameters["input"][laid.read[at, :n]], h)[0]
             states.append(h), targets.append(laid.target[at, :n]), owners.append(laid.doc[at, :n])
         found = log_likelihood(parameters, np.concatenate(states), np.concatenate(targets), rules)
         out += np.bincount(np.concatenate(owners), weights=found, minlength=len(docs))
@@ -348,71 +380,83 @@ class Trainer:
         self.squares[name][rows] += gradient * gradient
         self.parameters[name][rows] -= self.rules.rate * gradient / np.sqrt(self.squares[name][rows])
 
-    def _window(self, laid: Lanes, first: int, h: np.ndarray, end_id: int) -> np.ndarray:
+    def _window(self, laid: Lanes, learned: np.ndarray, first: int, h: np.ndarray) -> np.ndarray:
+        """One window of all lanes that reach it; `learned` marks the tokens that count, which those after a lane's end don't."""
         p, rules, size = self.parameters, self.rules, self.rules.hidden
         last = min(first + rules.window, laid.length)
-        n = int(laid.active[last - 1])  # lanes that fill the window; the tails of others are scored, not learned
-        if not n:
-            return h[:0]
-        h, kept, starts, reads = h[:n], [], [], []
-        states = []
-        for at in range(first, last):
-            fresh = laid.fresh[at, :n]
-            read = laid.inputs(at, end_id)[:n]
-            start = np.where(fresh[:, None], np.float32(0), h)
-            h, *saved = step(p, p["input"][read], start)
-            states.append(h), kept.append(saved), starts.append(start), reads.append(read)
-        count = n * (last - first)
-        hs, target = np.concatenate(states), laid.target[first:last, :n].reshape(-1)
+        n = int(laid.active[first])
+        h, kept, starts = h[:n], [], []
+        states = np.empty((last - first, n, size), dtype=np.float32)
+        x = p["input"][laid.read[first:last, :n]]
+        for k, at in enumerate(range(first, last)):
+            start = np.where(laid.fresh[at, :n, None], np.float32(0), h)
+            h, *saved = step(p, x[k], start)
+            states[k] = h
+            kept.append(saved), starts.append(start)
+        counted = np.flatnonzero(learned[first:last, :n].reshape(-1))
+        if not len(counted):
+            return h
+        hs, target = states.reshape(-1, size)[counted], laid.target[first:last, :n].reshape(-1)[counted]
+        share = np.float32(len(counted) / (last - first))
         cls = _classes(target, rules)
-        d_class = np.exp(_log_softmax(hs @ p["class"] + p["class_bias"]))
-        d_class[np.arange(count), cls] -= 1
-        d_class /= n
-        d_h = d_class @ p["class"].T
+        d_class = _softmax(hs @ p["class"] + p["class_bias"])
+        d_class[np.arange(len(cls)), cls] -= 1
+        d_class /= share
+        d_counted = d_class @ p["class"].T
         g_word, g_word_bias = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-        for rows in _groups(cls):
-            c = cls[rows[0]]
-            if c < rules.word_classes:
-                d = np.exp(_log_softmax(hs[rows] @ p["word"][c] + p["word_bias"][c]))
-                d[np.arange(len(rows)), target[rows] % rules.class_words] -= 1
-                d /= n
-                g_word[c], g_word_bias[c] = hs[rows].T @ d, d.sum(axis=0)
-                d_h[rows] += d @ p["word"][c].T
+        order, runs = _by_class(cls, rules.word_classes)
+        sorted_hs, place = hs[order], target[order] % rules.class_words
+        for c, a, b in runs:
+            d = _softmax(sorted_hs[a:b] @ p["word"][c] + p["word_bias"][c])
+            d[np.arange(b - a), place[a:b]] -= 1
+            d /= share
+            g_word[c], g_word_bias[c] = sorted_hs[a:b].T @ d, d.sum(axis=0)
+            d_counted[order[a:b]] += d @ p["word"][c].T
         gradient_class, gradient_bias = hs.T @ d_class, d_class.sum(axis=0)
+        d_h = np.zeros(((last - first) * n, size), dtype=np.float32)
+        d_h[counted] = d_counted
         d_h = d_h.reshape(last - first, n, size)
-        carried, g_state, d_inputs = np.zeros((n, size), np.float32), np.zeros_like(p["state"]), []
+        carried, g_state = np.zeros((n, size), np.float32), np.zeros_like(p["state"])
+        d_x = np.empty((last - first, n, 3 * size), dtype=np.float32)
         for k in range(last - first - 1, -1, -1):
             z, r, inside, inner = kept[k]
-            start = starts[k]
+            start, d_in = starts[k], d_x[k]
             d = d_h[k] + carried
             d_n = d * (1 - z) * (1 - inside * inside)
-            d_x = np.concatenate([d * (start - inside) * z * (1 - z), d_n * inner * r * (1 - r), d_n], axis=1)
-            d_a = d_x.copy()
-            d_a[:, 2 * size :] *= r
-            g_state += start.T @ d_a
-            carried = d * z + d_a @ p["state"].T
+            d_in[:, :size] = d * (start - inside) * z * (1 - z)
+            d_in[:, size : 2 * size] = d_n * inner * r * (1 - r)
+            d_in[:, 2 * size :] = d_n * r
+            g_state += start.T @ d_in
+            carried = d * z + d_in @ p["state"].T
             carried[laid.fresh[first + k, :n]] = 0
-            d_inputs.append(d_x)
-        d_x, read = np.concatenate(d_inputs), np.concatenate(reads[::-1])
+            d_in[:, 2 * size :] = d_n
+        read = laid.read[first:last, :n].reshape(-1)
         order = np.argsort(read, kind="stable")
         edges = np.concatenate([[0], np.flatnonzero(np.diff(read[order])) + 1])
-        self._move("input", np.add.reduceat(d_x[order], edges, axis=0), read[order][edges])
+        self._move("input", np.add.reduceat(d_x.reshape(-1, 3 * size)[order], edges, axis=0), read[order][edges])
         self._move("state", g_state)
         self._move("class", gradient_class), self._move("class_bias", gradient_bias)
         self._move("word", g_word), self._move("word_bias", g_word_bias)
-        self.updates, self.tokens = self.updates + 1, self.tokens + count
+        self.updates, self.tokens = self.updates + 1, self.tokens + len(counted)
         return h
 
     def learn(self, docs: list[np.ndarray], end_id: int) -> None:
-        """One pass. Long documents are cut into segments that start from a fresh state, so that lanes end together."""
-        cut = self.rules.segment
-        pieces = [d[at : at + cut] for d in docs for at in range(0, len(d), cut)]
-        laid = Lanes(pieces, max(8, min(self.rules.lanes, sum(map(len, pieces)) // (2 * cut))))
+        """One pass over documents, cut into segments; a segment inside a document is led in by the window before it."""
+        cut, window = self.rules.segment, self.rules.window
+        pieces, before, lead = [], [], []
+        for doc in docs:
+            for at in range(0, len(doc), cut):
+                start = max(0, at - window)
+                pieces.append(doc[start : at + cut])
+                before.append(doc[start - 1] if start else end_id)
+                lead.append(at - start)
+        laid = Lanes(pieces, max(8, min(self.rules.lanes, sum(map(len, pieces)) // (2 * cut))), np.array(before, dtype=np.int32))
+        learned = np.arange(laid.target.shape[1]) < laid.active[:, None]
+        for at, lane in zip(*np.nonzero(laid.fresh)):
+            learned[at : at + lead[laid.doc[at, lane]], lane] = False
         h = np.zeros((laid.target.shape[1], self.rules.hidden), dtype=np.float32)
         for first in range(0, laid.length, self.rules.window):
-            h = self._window(laid, first, h, end_id)
-            if not len(h):
-                break
+            h = self._window(laid, learned, first, h)
 
 
 # ---------------------------------------------------------------- training in rounds
@@ -435,37 +479,24 @@ class GruModel:
 _SLICES = 16
 
 
-def _train_tasks(model: GruModel):
+def _train_tasks(model: GruModel, turn: int):
     rules, end_id = model.rules, model.end_id()
     names = sorted(model.parameters)
 
     def run(batches):
         trainer = Trainer(model.parameters, rules, model.squares)
-        words, known = Lexicon(rules.tail_classes), np.empty(0, np.int32)
-        held: list[np.ndarray] = []
-        chunks: list[list[np.ndarray]] = []
-        size = 0
-
-        def finish():
-            nonlocal words, known, held, size
-            known = model_ids(words.hashes(), words.tails(), model.counts, rules)
-            docs = [known[d] for d in held]
-            trainer.learn(docs, end_id)
-            if trainer.updates < rules.least_updates:
-                chunks.append(docs)
-            words, held, size = Lexicon(rules.tail_classes), [], 0
-
         for part in batches:
-            for text in column(part, "text"):
-                held.append(words.read(text))
-                size += len(held[-1])
-                if size >= rules.chunk_tokens:
-                    finish()
-        if held:
-            finish()
-        while chunks and trainer.updates < rules.least_updates:  # a small part is read again, up to as many updates
-            for docs in chunks:
-                trainer.learn(docs, end_id)
+            for docs, words in zip(column(part, "docs"), column(part, "words")):
+                _, _, out, sizes, numbers = _chunk(docs)
+                hashes, tails, _ = load(words, "<u8", "u1", "<i8")
+                known = model_ids(hashes, tails, model.counts, rules)[numbers]
+                own = [d for d, held, k in zip(np.split(known, np.cumsum(sizes)[:-1]), out.tolist(), range(len(out))) if not held and k % rules.rounds == turn]
+                at = 0
+                while at < len(own):  # documents that are laid in lanes together
+                    first, size = at, 0
+                    while at < len(own) and size < rules.batch_tokens:
+                        size, at = size + len(own[at]), at + 1
+                    trainer.learn(own[first:at], end_id)
         if trainer.tokens:
             flat = np.concatenate([x[k].reshape(-1) for x in (trainer.parameters, trainer.squares) for k in names]).astype(np.float64)
             task, weight = TaskContext.get().partitionId(), float(trainer.tokens)
@@ -483,14 +514,12 @@ def _sum_slices(part: pa.Table) -> pa.Table:
     return pa.table({"slice": part.column("slice").slice(0, 1), "task": pa.array([0], pa.int32()), "weight": pa.array([weight], pa.float64()), "value": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(rows: DataFrame, counts: Counts, rules: GruRules) -> GruModel:
-    """Rounds over all training documents, each round another share of them; parameters are averaged in two levels."""
+def train(chunks: DataFrame, counts: Counts, rules: GruRules) -> GruModel:
+    """Rounds over all training documents, each round another share of each chunk; parameters are averaged in two levels."""
     model = GruModel(counts, initial(counts, rules), rules)
     schema = "slice int, task int, weight double, value binary"
-    learning = rows.where("not held_out")
     for turn in range(rules.rounds):
-        share = learning.where(F.pmod(F.xxhash64("doc_id", F.lit(rules.seed)), F.lit(rules.rounds)) == turn).select("text")
-        trained = map_arrow(share, _train_tasks(model), schema)
+        trained = map_arrow(chunks.select("docs", "words"), _train_tasks(model, turn), schema)
         some = trained.groupBy("slice", F.pmod(F.col("task"), F.lit(64)).alias("group")).applyInArrow(_sum_slices, schema)
         summed = {r.slice: r for r in some.groupBy("slice").applyInArrow(_sum_slices, schema).collect()}
         if not summed:
@@ -508,39 +537,30 @@ def train(rows: DataFrame, counts: Counts, rules: GruRules) -> GruModel:
 
 # ---------------------------------------------------------------- scores
 
-_SCORED = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-
-
-def _step_scores(model: GruModel, buckets: int):
+def _step_scores(model: GruModel):
     rules, counts, end_id = model.rules, model.counts, model.end_id()
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in _SCORED})
-        words = Lexicon(rules.tail_classes)
-        read = [words.read(text) for text in docs.column("text").to_pylist()]
-        hashes, tails = words.hashes(), words.tails()
-        order, target = _by_bucket(hashes, buckets)
-        count = np.zeros(len(hashes), dtype=np.int64)
-        got = dict(zip(answers.column("source").to_pylist(), answers.column("value").to_pylist()))
-        for part in np.split(order, np.flatnonzero(np.diff(target)) + 1):
-            count[part] = load(got[int(hashes[part[0]] % np.uint64(buckets))], "<i8")[0]
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        ids_, missing, out, sizes, flat = _chunk(chunk.column("docs")[0].as_py())
+        hashes, tails, _ = load(chunk.column("words")[0].as_py(), "<u8", "u1", "<i8")
+        asked, total = answers.column("hash").to_numpy().view(np.uint64), answers.column("total").to_numpy()
+        order = np.argsort(asked)
+        count = total[order][np.searchsorted(asked[order], hashes)]
         base = np.log10((count + SMOOTH) / (counts.total + SMOOTH * (counts.distinct + 1)))
         ids = model_ids(hashes, tails, counts, rules)
         tail = ids >= rules.words
         room = counts.tail_total[tails] + SMOOTH * (counts.tail_distinct[tails] + 1)
         inside = np.where(tail, np.log((count + SMOOTH) / room), 0.0)
-        sizes = np.fromiter(map(len, read), np.int64, len(read))
-        flat, starts = np.concatenate(read), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        starts = np.cumsum(sizes) - sizes
         sums = lambda values: np.add.reduceat(values[flat], starts)
-        model_score = score_documents(model.parameters, [ids[d] for d in read], end_id, rules) + sums(inside)
+        model_score = score_documents(model.parameters, np.split(ids[flat], starts[1:]), end_id, rules) + sums(inside)
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
+                "doc_id": pa.array(ids_, mask=missing),
+                "held_out": pa.array(out),
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(sums((count > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(read), counts.total)),
+                "train_tokens": pa.array(np.full(len(sizes), counts.total)),
                 "base_score": pa.array(sums(base)),
                 "score": pa.array(model_score / math.log(10)),
             }
@@ -558,14 +578,13 @@ def language_scores(docs: DataFrame, rules: GruRules = GruRules()) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = _buckets(docs, rules)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), (F.crc32(key) % FOLDS == 0).alias("held_out"))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    texts = dealt.groupBy("bucket")
-    asked = texts.applyInArrow(_step_words(buckets, rules.tail_classes), "bucket int, source int, value binary")
-    schema = "kind string, bucket int, source int, value binary"
-    answers = materialize(asked.groupBy("bucket").applyInArrow(_step_counts(rules.words, rules.tail_classes), schema))
-    model = train(rows, _counts(answers, rules, buckets), rules)
-    own = answers.where("kind = 'answer'").select("bucket", "source", "value").groupBy("bucket")
-    return texts.cogroup(own).applyInArrow(_step_scores(model, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", (F.crc32(key) % FOLDS == 0).alias("held_out"))
+    chunks = materialize(map_arrow(rows, _read_chunks(rules), _CHUNKS))
+    groups = max(shuffle_partitions(spark), -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // rules.group_rows))
+    words = map_arrow(chunks.select("source", "words"), _word_rows, "source long, hash long, tail short, count long")
+    met = words.groupBy(F.pmod(F.xxhash64("hash"), F.lit(groups)).alias("group"))
+    answers = materialize(met.applyInArrow(_step_counts(rules.words, rules.tail_classes), "source long, hash long, total long, facts binary"))
+    model = train(chunks, _counts(answers, rules, groups), rules)
+    own = answers.where("source is not null").select("source", "hash", "total").groupBy("source")
+    return chunks.groupBy("source").cogroup(own).applyInArrow(_step_scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
