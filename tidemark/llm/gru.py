@@ -321,7 +321,7 @@ class Lanes:
 
     def __init__(self, docs: list[np.ndarray], lanes: int, before: np.ndarray):
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        lanes = min(lanes, len(docs))
+        lanes = max(1, min(lanes, len(docs), 2 * sum(map(len, docs)) // max(map(len, docs))))  # a long piece makes all lanes' arrays long
         members: list[list[int]] = [[] for _ in range(lanes)]
         load_ = [(0, k) for k in range(lanes)]
         for i in order:
