@@ -5,9 +5,7 @@ Doubles are rounded here, at the boundary, since engines add in different orders
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -15,43 +13,12 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import matching as M
 from tidemark.operators import windows as W
 from tidemark.plans import ensembles, regression, resampling
+from tidemark.registry import ORDERS as _ORDERS
+from tidemark.registry import QUERIES, SQL, Query, query, rounded
+from tidemark.registry import orders_panel as _orders
 from tidemark.sources import tables as T
 from tidemark.streaming import events as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if there is one."""
-
-    def add(function: Query) -> Query:
-        _QUERIES[function.__name__] = function
-        if sql:
-            _SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-def _orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with their customer's nation, the date as a day, and years since the first one."""
-    orders, customers = T.table(spark, folder, "orders"), T.table(spark, folder, "customer")
-    joined = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey")
-    day = F.to_date("o_orderdate")
-    return joined.withColumn("day", day).withColumn("x", S.years_since(day, "1995-01-01")).withColumn("y", F.log("o_totalprice"))
-
-
-_ORDERS = """orders_by_nation AS (
-  SELECT o.*, c.c_nationkey AS nation, CAST(o_orderdate AS DATE) AS day,
-         date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 365.25 AS x, ln(o_totalprice) AS y
-  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey)"""
-
 
 # ---------------------------------------------------------------- aggregates
 
@@ -664,9 +631,12 @@ def user_sessions(spark, folder):
     return streams.sessions(T.table(spark, folder, "events"), "6 hours", "1 day")
 
 
+from tidemark import model_queries as _models  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
