@@ -131,6 +131,58 @@ def near(a: Column, b: Column, tolerance: float) -> Column:
     return F.coalesce(F.abs(a - b) <= tolerance, a.isNull() & b.isNull())
 
 
+def in_parentheses(x: Column) -> Column:
+    """What the last pair of parentheses at the end of a name holds; null if there is none."""
+    return F.nullif(F.regexp_extract(x, r"\(([^()]*)\)\s*$", 1), F.lit(""))
+
+
+def without_suffix(x: Column, *suffixes: str) -> Column:
+    """A name without one of the suffixes and the sign before it."""
+    return F.regexp_replace(x, r"(?i)[-_: ](" + "|".join(suffixes) + r")$", "")
+
+
+def iso_date(x: Column) -> Column:
+    """A date of the form YYYY-MM-DD that the calendar has, else null."""
+    return F.when(F.regexp_like(x, F.lit(r"^\d{4}-\d{2}-\d{2}$")), x.try_cast("date"))
+
+
+def named_month_date(x: Column) -> Column:
+    """A date like 'March 5, 2024' or '5 Mar 2024', else null."""
+    month = F.lower(F.substring(F.regexp_extract(x, r"([A-Za-z]{3,9})", 1), 1, 3))
+    number = F.array_position(F.array(*map(F.lit, "jan feb mar apr may jun jul aug sep oct nov dec".split())), month)
+    day, year = F.regexp_extract(x, r"(?<!\d)(\d{1,2})(?!\d)", 1), F.regexp_extract(x, r"(\d{4})", 1)
+    return F.when((number > 0) & (day != "") & (year != ""), F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0")).try_cast("date"))
+
+
+def implied_index(difficulty: Column, slope: Column, share: Column) -> Column:
+    """The ability at which an item of a difficulty and slope is solved with a probability."""
+    return difficulty + clipped_logit(share) / slope
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number as text with so many digits after the point; null stays null."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x.cast("double")))
+
+
+def percent(x: Column, digits: int = 1) -> Column:
+    return F.concat(fixed(100 * x, digits), F.lit("%"))
+
+
+def canonical_json(columns: dict[str, Column]) -> Column:
+    """A JSON object with sorted keys and no spaces; null fields stay in it."""
+    return F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"})
+
+
+def architecture(leaves: Column, values: Column) -> tuple[Column, Column]:
+    """From a config's leaf names and numbers: 'mixture' or 'dense', and the largest number of experts.
+
+    A leaf whose name speaks of experts with a number over one makes a mixture.
+    """
+    experts = F.transform(F.filter(F.arrays_zip(leaves.alias("leaf"), values.alias("value")), lambda p: F.regexp_like(p["leaf"], F.lit(r"(?i)experts?(_|$)"))), lambda p: p["value"])
+    most = F.array_max(experts)
+    return F.when(most > 1, "mixture").otherwise("dense"), most
+
+
 @F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The Ratcliff-Obershelp similarity of two texts; nulls count as empty. Arrow batches, since Spark has no such function."""

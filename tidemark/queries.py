@@ -631,7 +631,7 @@ def user_sessions(spark, folder):
     return streams.sessions(T.table(spark, folder, "events"), "6 hours", "1 day")
 
 
-from tidemark import model_queries as _models  # noqa: E402, F401  registers its queries
+from tidemark import model_queries as _models, shape_queries as _shapes  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Query]:
