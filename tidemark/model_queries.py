@@ -173,9 +173,9 @@ def row_weighted_bootstrap(spark, folder):
 
 @query(f"""WITH r AS (SELECT s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS r FROM supplier WHERE s_acctbal IS NOT NULL), c AS (SELECT s_nationkey, count(*) AS size, row_number() OVER (ORDER BY s_nationkey) - 1 AS k FROM r GROUP BY 1), m AS (SELECT count(*) AS m FROM c),
 d AS (SELECT b.d AS draw, c.k AS slot, {_draw('41', 'b.d', 'c.k')} % m AS k FROM range(50) b(d), c, m), i AS (SELECT draw, slot, s_nationkey, size, unnest(range(size)) AS place FROM d JOIN c USING (k)), t AS (SELECT draw, slot, s_nationkey, {_draw('41', 'draw', 'slot', 'place')} % size AS r FROM i),
-v AS (SELECT draw, avg(v) AS v FROM (SELECT draw, slot, avg(s_acctbal) AS v FROM t JOIN r USING (s_nationkey, r) GROUP BY 1, 2) GROUP BY 1) SELECT count(*) AS draws, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.05), 4) AS low, round(quantile_cont(v, 0.95), 4) AS high FROM v""")
+v AS (SELECT draw, avg(v) AS v FROM (SELECT draw, slot, avg(s_acctbal) AS v FROM t JOIN r USING (s_nationkey, r) GROUP BY 1, 2) GROUP BY 1) SELECT count(*) AS draws, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS low, round(quantile_cont(v, 0.95), 6) AS high FROM v""")
 def two_level_bootstrap(spark, folder):
-    return rounded(E.two_level_bootstrap(T.table(spark, folder, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal", 50, 41), "mean", "low", "high", digits=4)
+    return rounded(E.two_level_bootstrap(T.table(spark, folder, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal", 50, 41), "mean", "low", "high", digits=6)
 
 
 # ---------------------------------------------------------------- intervals

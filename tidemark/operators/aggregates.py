@@ -8,6 +8,33 @@ from pyspark.sql import functions as F
 MAD_SCALE = 1.4826
 
 
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, slices: int = 32) -> DataFrame:
+    """Each distinct value of a key with its rows and the rows below it.
+
+    Values are counted first, and a key's values are cut into slices at approximate quantiles; running sums go inside a slice and
+    over a key's few slices, so that no task sorts or holds a whole key.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows"))
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], F.lit(1000)).alias("_e"))
+    joined = counts.join(edges, keys) if keys else counts.crossJoin(edges)  # without keys the edges are one row
+    cut = joined.withColumn("_s", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    earlier = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "_s").agg(F.sum("rows").alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
+    inside = F.sum("rows").over(Window.partitionBy(*keys, "_s").orderBy(value)) - F.col("rows")
+    return cut.join(starts, [*keys, "_s"]).withColumn("before", F.col("_b") + inside).drop("_s", "_b")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, for keys of any size: the two order statistics around each level."""
+    counts = cumulative_counts(df.where(f"{value} is not null"), keys, value)
+    sizes = counts.groupBy(*keys).agg(F.sum("rows").alias("_n"))
+    joined = counts.join(sizes, keys) if keys else counts.crossJoin(sizes)  # without keys the size is one row
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (F.col("before") + F.col("rows") > rank), F.col(value)))
+    place = {n: (F.col("_n") - 1) * F.lit(q) for n, q in levels.items()}
+    found = joined.groupBy(*keys, "_n").agg(*(at(f(p)).alias(f"_{n}{k}") for n, p in place.items() for k, f in (("l", F.floor), ("h", F.ceil))))
+    return found.select(*keys, *((F.col(f"_{n}l") + (F.col(f"_{n}h") - F.col(f"_{n}l")) * (p - F.floor(p))).alias(n) for n, p in place.items()))
+
+
 def geometric_mean(x: Column) -> Column:
     """Of the positive values; others don't count."""
     return F.exp(F.avg(F.when(x > 0, F.log(x))))
@@ -89,12 +116,13 @@ def equal_cluster_mean(df: DataFrame, cluster: str, value: str, keys: list[str]
     return df.groupBy(*keys, cluster).agg(F.avg(value).alias("_m")).groupBy(*keys).agg(F.avg("_m").alias("equal_cluster_mean"), F.count(F.lit(1)).alias("clusters"))
 
 
-def trimmed_log_mean(df: DataFrame, keys: list[str], value: str, tie: str, share: float = 0.1) -> DataFrame:
-    """The geometric mean without max(1, floor(share * n)) values at either end."""
-    ordered = Window.partitionBy(*keys).orderBy(value, tie)
-    ranked = df.where(F.col(value) > 0).withColumn("_r", F.row_number().over(ordered)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+def trimmed_log_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
+    """The geometric mean without max(1, floor(share * n)) values at either end; of equal values at an end as many go as must."""
+    counts = cumulative_counts(df.where(F.col(value) > 0), keys, value)
+    sized = counts.join(counts.groupBy(*keys).agg(F.sum("rows").alias("_n")), keys)
     cut = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return ranked.where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)).groupBy(*keys).agg(F.exp(F.avg(F.log(value))).alias("trimmed_mean"), F.count(F.lit(1)).alias("kept"))
+    left = F.greatest(F.lit(0), F.least(F.col("before") + F.col("rows"), F.col("_n") - cut) - F.greatest(F.col("before"), cut))
+    return sized.withColumn("_k", left).where("_k > 0").groupBy(*keys).agg(F.exp(F.sum(F.col("_k") * F.log(value)) / F.sum("_k")).alias("trimmed_mean"), F.sum("_k").alias("kept"))
 
 
 def jackknife(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -104,17 +132,22 @@ def jackknife(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return sums.where("n > 1").select(*keys, "n", F.exp(F.col("_s") / F.col("n")).alias("center"), left("_hi").alias("lowest"), left("_lo").alias("highest"))
 
 
-def average_rank(keys: list[str], value: str) -> Column:
-    """Ranks from 1, equal values sharing the mean of theirs."""
-    same = Window.partitionBy(*keys, value)
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(same) - 1) / 2
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Ranks from 1 of each distinct value, equal values sharing the mean of theirs."""
+    return cumulative_counts(df, keys, value).select(*keys, value, (F.col("before") + (F.col("rows") + 1) / 2).alias(name))
 
 
 def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Pearson on the values and on logs, and Spearman with average ranks."""
-    ranked = df.withColumn("_x", average_rank(keys, x)).withColumn("_y", average_rank(keys, y))
-    logs = [F.when((F.col(x) > 0) & (F.col(y) > 0), F.log(c)) for c in (x, y)]
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr(*logs).alias("log_pearson"), F.corr("_x", "_y").alias("spearman"))
+    """Pearson on the values and on logs, and Spearman with average ranks, from counts of distinct pairs."""
+    pairs = df.where(f"{x} is not null and {y} is not null").groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.where(f"{x} is not null and {y} is not null")
+    ranked = pairs.join(average_ranks(rows, keys, x, "_x"), [*keys, x]).join(average_ranks(rows, keys, y, "_y"), [*keys, y])
+    plain = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr(*(F.when((F.col(x) > 0) & (F.col(y) > 0), F.log(c)) for c in (x, y))).alias("log_pearson"))
+    middle = (F.sum("_c") + 1) / 2  # the mean of all ranks
+    c, a, b = F.col("_c"), F.col("_x"), F.col("_y")
+    spread = lambda p: F.sum(c * p) - F.sum(c) * middle * middle
+    spearman = ranked.groupBy(*keys).agg((spread(a * b) / F.sqrt(spread(a * a) * spread(b * b))).alias("spearman"))
+    return plain.join(spearman, keys)
 
 
 def regression(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -172,22 +205,14 @@ def long_form(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return df.unpivot(ids, metrics, "metric", "value").where("value is not null")
 
 
-def group_weights(keys: list[str], by: str) -> Column:
-    """One over the size of a row's group, scaled to mean one over the keys."""
-    raw = 1 / F.count(F.lit(1)).over(Window.partitionBy(*keys, by))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    groups = F.size(F.collect_set(by).over(Window.partitionBy(*keys)))
-    return raw * size / groups
-
-
 def normalised_index(df: DataFrame, fine: str, coarse: str, entity: str, value: str, least: int) -> DataFrame:
     """Entities' geometric index after removing the median of (coarse, fine) with enough rows, else of coarse, else of fine, else of all."""
-    logs = df.where(F.col(value) > 0).withColumn("_l", F.log(value))
+    logs = df.where(F.col(value) > 0).select(entity, coarse, fine, F.log(value).alias("_l"))
     levels = [([coarse, fine], "_a"), ([coarse], "_b"), ([fine], "_c")]
-    for keys, name in levels:
-        logs = logs.join(logs.groupBy(*keys).agg(F.median("_l").alias(name), F.count(F.lit(1)).alias(f"{name}n")), keys)
-    overall = logs.agg(F.median("_l").alias("_d"))
+    medians = {name: logs.groupBy(*keys).agg(F.median("_l").alias(name), F.count(F.lit(1)).alias(f"{name}n")) for keys, name in levels}
+    table = medians["_a"].join(medians["_b"], coarse).join(medians["_c"], fine).crossJoin(quantiles(logs, [], "_l", {"_d": 0.5}))  # one row
     base = F.col("_d")
     for _, name in reversed(levels):
         base = F.when(F.col(f"{name}n") >= least, F.col(name)).otherwise(base)
-    return logs.crossJoin(F.broadcast(overall)).groupBy(entity).agg(F.exp(F.median(F.col("_l") - base)).alias("index"), F.count(F.lit(1)).alias("n"))
+    bases = table.select(coarse, fine, base.alias("_base"))
+    return logs.join(bases, [coarse, fine]).groupBy(entity).agg(F.exp(F.median(F.col("_l") - F.col("_base"))).alias("index"), F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,13 +31,24 @@ def join_unique_keys(left: DataFrame, right: DataFrame, left_key: Column, right_
 def least_disagreement(left: DataFrame, right: DataFrame, keys: list[str], compared: list[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
     """Of the candidates with equal keys the one that differs in fewest fields; a tie leaves the row unmatched.
 
-    Candidates aren't ranked in a window: the best and its multiplicity come from two partial aggregates.
+    No candidate pairs are made: for each subset of the fields the right side is counted by keys and those fields, and a left row
+    looks up the count. Of the largest subsets with a candidate each candidate agrees on just one, so their counts add up.
     """
-    differing = reduce(lambda a, b: a + b, ((~F.col(a).eqNullSafe(F.col(b))).cast("int") for a, b in compared))
-    pairs = left.join(right, keys).withColumn("disagreement", differing)
-    counts = pairs.groupBy(left_id, "disagreement").agg(F.count(F.lit(1)).alias("_n"), F.min(right_id).alias("_r"))
-    best = counts.groupBy(left_id).agg(F.min(F.struct("disagreement", "_n", "_r")).alias("_b"))
-    return left.select(left_id).join(best, left_id, "left").select(left_id, F.when(F.col("_b._n") == 1, F.col("_b._r")).alias(right_id), F.col("_b.disagreement").alias("disagreement"), F.coalesce("_b._n", F.lit(0)).cast("long").alias("tied"))
+    subsets = [s for size in range(len(compared), -1, -1) for s in combinations(range(len(compared)), size)]
+    out = left
+    for at, subset in enumerate(subsets):
+        names = [compared[i][1] for i in subset]
+        seen = right.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias(f"_n{at}"), F.min(right_id).alias(f"_r{at}"))
+        seen = seen.withColumnsRenamed({c: f"_{at}_{c}" for c in (*keys, *names)})
+        same = [F.col(k) == F.col(f"_{at}_{k}") for k in keys] + [F.col(compared[i][0]).eqNullSafe(F.col(f"_{at}_{compared[i][1]}")) for i in subset]
+        out = out.join(seen, reduce(lambda a, b: a & b, same), "left").drop(*(f"_{at}_{c}" for c in (*keys, *names)))
+    best, tied, found = F.lit(None).cast("int"), F.lit(0), F.lit(None)
+    for size in range(len(compared) + 1):
+        level = [at for at, s in enumerate(subsets) if len(s) == size]
+        total = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"_n{at}"), F.lit(0)) for at in level))
+        best, tied = F.when(total > 0, len(compared) - size).otherwise(best), F.when(total > 0, total).otherwise(tied)
+        found = F.when(total > 0, F.coalesce(*(F.col(f"_r{at}") for at in level))).otherwise(found)
+    return out.select(left_id, F.when(tied == 1, found).alias(right_id), best.alias("disagreement"), tied.cast("long").alias("tied"))
 
 
 def cascade(left: DataFrame, rules: list[tuple[str, DataFrame]], key: str, target: str) -> DataFrame:

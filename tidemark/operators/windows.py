@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.aggregates import cumulative_counts
+
 
 def order_by(*keys: str) -> list[Column]:
     """Ascending keys, descending where they start with '-'."""
@@ -98,10 +100,15 @@ def first_seen(df: DataFrame, entity: list[str], moment: str, tie: str) -> DataF
 
 
 def interval_of(events: DataFrame, snapshots: DataFrame, moment: str, stamp: str) -> DataFrame:
-    """The snapshots around each event: the last one before it and the first one at or after it. Snapshots are few."""
-    edges = snapshots.select(stamp).distinct().withColumn("_prev", F.lag(stamp).over(Window.orderBy(stamp)))
-    inside = (F.col(moment) <= F.col(stamp)) & (F.col("_prev").isNull() | (F.col(moment) > F.col("_prev")))
-    return events.join(F.broadcast(edges), inside, "left").withColumnRenamed("_prev", "previous_snapshot").withColumnRenamed(stamp, "observed_snapshot")
+    """The snapshots around each event: the last one before it and the first one at or after it; both null after the last snapshot.
+
+    Snapshots are distinct stamps, in their thousands at most: they travel as one sorted array, in which each event finds its place.
+    """
+    edges = snapshots.select(stamp).distinct().agg(F.array_sort(F.collect_list(stamp)).alias("_s"))
+    before = F.size(F.filter("_s", lambda s: s < F.col(moment)))
+    placed = events.crossJoin(edges).withColumn("_b", before)  # the array is one row
+    seen = placed.withColumn("observed_snapshot", F.try_element_at("_s", F.col("_b") + 1))
+    return seen.withColumn("previous_snapshot", F.when(F.col("observed_snapshot").isNotNull(), F.try_element_at("_s", F.nullif(F.col("_b"), F.lit(0))))).drop("_s", "_b")
 
 
 def monotone_report(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
@@ -112,19 +119,17 @@ def monotone_report(df: DataFrame, group: list[str], order: list[str], value: st
 
 
 def ecdf(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """The share of the group's rows at or below each value: values are counted first."""
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("rows"))
-    up, all_ = Window.partitionBy(*group).orderBy(value), Window.partitionBy(*group)
-    return counts.withColumn("share", F.sum("rows").over(up) / F.sum("rows").over(all_))
+    """The share of the group's rows at or below each value."""
+    counts = cumulative_counts(df, group, value)
+    return counts.join(counts.groupBy(*group).agg(F.sum("rows").alias("_n")), group).select(*group, value, "rows", ((F.col("before") + F.col("rows")) / F.col("_n")).alias("share"))
 
 
-def order_statistic(df: DataFrame, group: list[str], value: str, tie: str, coverage: float) -> DataFrame:
+def order_statistic(df: DataFrame, group: list[str], value: str, coverage: float) -> DataFrame:
     """The ceil((n + 1) * coverage)-th smallest value, null where there are too few rows to have one."""
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(value, tie)))
-    wanted = F.ceil((F.col("n") + 1) * F.lit(coverage))
-    sizes = ranked.groupBy(*group).agg(F.max("_r").alias("n")).withColumn("rank", wanted.cast("long"))
-    held = ranked.select(*group, F.col("_r").cast("long").alias("rank"), F.col(value).alias("order_statistic"))
-    return sizes.join(held, [*group, "rank"], "left").select(*group, F.col("n").cast("long").alias("n"), "rank", "order_statistic")
+    counts = cumulative_counts(df.where(F.col(value).isNotNull()), group, value)
+    sizes = counts.groupBy(*group).agg(F.sum("rows").alias("n")).withColumn("rank", F.ceil((F.col("n") + 1) * F.lit(coverage)).cast("long"))
+    holds = (F.col("before") < F.col("rank")) & (F.col("before") + F.col("rows") >= F.col("rank"))
+    return counts.join(sizes, group).groupBy(*group, "n", "rank").agg(F.max(F.when(holds, F.col(value))).alias("order_statistic"))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], prefix: str) -> DataFrame:

@@ -49,7 +49,7 @@ def winsorised_tail(df: DataFrame, keys: list[str], value: str, reference: float
     levels = F.explode(F.array(*map(F.lit, strengths))).alias("strength")
     limit = F.greatest(F.col("_m"), F.lit(reference))
     pulled = F.when(F.col(value) > limit, F.exp(F.log(value) + F.col("strength") * (F.log(limit) - F.log(value)))).otherwise(F.col(value))
-    spread = df.join(F.broadcast(centre), keys).select("*", levels).withColumn("_p", pulled)
+    spread = df.join(centre, keys).select("*", levels).withColumn("_p", pulled)
     return spread.groupBy(*keys, "strength").agg(F.median("_p").alias("median"), F.percentile("_p", F.lit(0.9)).alias("p90"), F.avg("_p").alias("mean"))
 
 
@@ -63,7 +63,7 @@ def sequential_coverage(df: DataFrame, group: str, day: str, error: str, factor_
     past = lambda *keys: Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     days = cells.groupBy(day).agg(F.sum("tests").alias("_t"), F.sum("hits").alias("_h")).select(day, *(F.sum(c).over(past()).alias(f"a{c}") for c in ("_t", "_h")))
     own = cells.select("*", *(F.coalesce(F.sum(c).over(past(group)), F.lit(0)).alias(f"g_{c[0]}") for c in ("tests", "hits")))
-    joined = own.join(F.broadcast(days), day).withColumn("earlier", F.col("a_t") - F.col("g_t")).where(f"earlier >= {least}")
+    joined = own.join(days, day).withColumn("earlier", F.col("a_t") - F.col("g_t")).where(f"earlier >= {least}")
     return joined.select(group, day, "tests", "hits", "earlier", ((F.col("a_h") - F.col("g_h")) / F.col("earlier")).alias("earlier_rate"))
 
 

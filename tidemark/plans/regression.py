@@ -34,7 +34,7 @@ def walk_forward(df: DataFrame, group: str, day: str, x: str, y: str, least: int
     own = Window.partitionBy(group).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     mine = cells.select(group, day, *(F.coalesce(F.sum(c).over(own), F.lit(0.0)).alias(f"g{c}") for c in _SUMS))
     train = [F.col(f"a{c}") - F.col(f"g{c}") for c in _SUMS]
-    lines = mine.join(F.broadcast(past), day).select(group, day, train[0].cast("long").alias("train_rows"), _slope(*train).alias("slope"), *(v.alias(c) for v, c in zip(train, _SUMS)))
+    lines = mine.join(past, day).select(group, day, train[0].cast("long").alias("train_rows"), _slope(*train).alias("slope"), *(v.alias(c) for v, c in zip(train, _SUMS)))
     fits = lines.where(f"train_rows >= {least} and slope is not null").select(group, day, "train_rows", "slope", ((F.col("_y") - F.col("slope") * F.col("_x")) / F.col("_n")).alias("intercept"))
     out = df.join(fits, [group, day]).withColumn("predicted", F.col("intercept") + F.col("slope") * F.col(x))
     return out.withColumn("error", F.col("predicted") - F.col(y))
@@ -48,7 +48,7 @@ def leave_one_group_out(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     fits = cells.crossJoin(F.broadcast(total)).select(group, _slope(*train).alias("slope"), *(v.alias(f"t{c}") for v, c in zip(train, _SUMS)))
     lines = fits.select(group, "slope", ((F.col("t_y") - F.col("slope") * F.col("t_x")) / F.col("t_n")).alias("intercept"))
     error = F.abs(F.col("intercept") + F.col("slope") * F.col(x) - F.col(y))
-    return df.join(F.broadcast(lines), group).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.first("slope").alias("slope"), F.avg(error).alias("mean_abs_error"))
+    return df.join(lines, group).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.first("slope").alias("slope"), F.avg(error).alias("mean_abs_error"))
 
 
 def within_group_slope(df: DataFrame, group: str, x: str, y: str) -> DataFrame:

@@ -20,10 +20,10 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed:
     cells = df.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
     numbered = cells.withColumn("_k", F.row_number().over(Window.orderBy(cluster)) - 1).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy()))
     spark = df.sparkSession
-    slots = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(numbered.select(F.col("_k").alias("slot"), F.col("_size").alias("_m"))))
+    slots = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(numbered.select(F.col("_k").alias("slot"), F.col("_size").alias("_m")))
     picked = slots.withColumn("_k", (digest_number(F.lit(seed), F.col("draw"), F.col("slot")) % F.col("_m")).cast("int"))
     weight = F.sum("_s") / F.sum("_n") if by_row else F.avg(F.col("_s") / F.col("_n"))
-    each = picked.join(F.broadcast(numbered.select("_k", "_s", "_n")), "_k").groupBy("draw").agg(weight.alias("_v"))
+    each = picked.join(numbered.select("_k", "_s", "_n"), "_k").groupBy("draw").agg(weight.alias("_v"))
     observed = cells.agg(weight.alias("observed"), F.count(F.lit(1)).alias("clusters"))
     spread = each.agg(F.percentile("_v", F.lit(0.05)).alias("low"), F.percentile("_v", F.lit(0.95)).alias("high"), F.avg((F.col("_v") < 0).cast("double")).alias("share_below_zero"))
     return observed.crossJoin(spread)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import matching as M
 from tidemark.operators import panels as P
 from tidemark.operators import shaping as H
 from tidemark.plans.linear import near_best
 from tidemark.registry import ORDERS, orders_panel, query, rounded
+from tidemark.sources import documents as D
 from tidemark.sources import tables as T
 
 # ---------------------------------------------------------------- predicates and projections
@@ -348,3 +350,30 @@ def architecture_class(spark, folder):
     leaves = F.array(F.lit("hidden_size"), F.when(F.col("p_partkey") % 3 == 0, "num_experts_per_layer").otherwise("num_layers"))
     kind, most = S.architecture(leaves, F.array(F.lit(4096), F.col("p_size")))
     return T.table(spark, folder, "part").select("p_partkey", kind.alias("architecture"), most.alias("experts"))
+
+
+# ---------------------------------------------------------------- documents
+
+
+@query("""WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) SELECT event_id, '/a/b/0' AS pointer, k AS value_text, CAST(k AS DOUBLE) AS value FROM e UNION ALL SELECT event_id, '/a/b/1/c', CASE WHEN event_id % 2 = 0 THEN '1' ELSE '0' END, event_id % 2 = 0 FROM e UNION ALL SELECT event_id, '/t~1x', 'word', NULL FROM e""")
+def deep_leaves(spark, folder):
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('{"a": {"b": ['), k, F.lit(', {"c": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit(', "n": null}]}, "t/x": "word"}'))
+    return D.deep_leaves(T.table(spark, folder, "events").withColumn("j", text), ["event_id"], "j")
+
+
+@query("""SELECT p_partkey, p_brand AS endpoint, tier, CAST(p_size AS DOUBLE) * CASE tier WHEN 'fast' THEN 2 ELSE 1 END AS price FROM part, (VALUES ('fast'), ('standard')) t(tier)""")
+def payload_tiers(spark, folder):
+    price = lambda m: F.struct((F.col("p_size").cast("double") * m).alias("price"))
+    parts = T.table(spark, folder, "part").withColumn("tiers", F.create_map(F.concat("p_brand", F.lit("::fast")), price(2), F.col("p_brand"), price(1)))
+    return D.tier_rows(parts, ["p_partkey"], "tiers", "standard")
+
+
+@query("""SELECT count(*) AS rows, 0 AS changed_numbers, count(DISTINCT c_name) AS pseudonyms FROM customer""")
+def privacy_projection(spark, folder):
+    """Names become pseudonyms; the numbers beside them must be the same multiset as before."""
+    customers = T.table(spark, folder, "customer")
+    hidden = T.pseudonyms(customers, ["c_name"], "salt")
+    numbers = ["c_custkey", "c_nationkey", "c_acctbal"]
+    changed = M.multiset_difference(customers, hidden, numbers).agg(F.count(F.lit(1)).cast("int").alias("changed_numbers"))
+    return hidden.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("c_name").alias("pseudonyms")).crossJoin(changed)  # single rows

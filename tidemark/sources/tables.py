@@ -12,12 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file or folder (also compressed) with a header: quoted fields may hold quotes and line ends; a row of another width fails.
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file or folder (also compressed) with a header that must name the schema's columns; a row of another width fails.
 
-    Rows whose fields are all blank are left out, and blank fields are null.
+    Quoted fields may hold quotes and, with `multi_line`, line ends; without it, files are split among tasks. A byte order
+    mark is left out, and so are rows whose fields are all blank; blank fields are null.
     """
-    raw = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", encoding="UTF-8", nullValue="")
+    raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=False, multiLine=multi_line, quote='"', escape='"', mode="FAILFAST", encoding="UTF-8", nullValue="")
     return raw.dropna("all")
 
 
@@ -26,10 +27,6 @@ def write_csv(df: DataFrame, path: str, columns: list[str], key: list[str]) -> N
     df.select(*columns).orderBy(*key).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
-
-
 def json_leaves(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row for each top-level field of JSON objects, with its text and, if it is one, its number. Bad JSON gives none."""
     fields = F.explode(F.from_json(text, "map<string,string>")).alias("leaf", "value_text")
