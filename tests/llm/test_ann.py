@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import read
-from tidemark.llm.ann import AnnRules, chi_square_quantile, nearest
+from tidemark.llm.ann import AnnRules, Projection, chi_square_quantile, nearest, search_cell
 
 
 def brute(rows, k=20, every=20):
@@ -52,3 +52,26 @@ def test_empty_table(spark):
 def test_chi_square_quantile():
     assert chi_square_quantile(0.95, 2) == pytest.approx(5.991464547)
     assert chi_square_quantile(0.95, 8) == pytest.approx(15.50731306)
+
+
+def test_the_stop_spares_points_and_more_of_them_in_larger_tables():
+    rules, shares = AnnRules(), []
+    for n in (2_000, 30_000):
+        rng = np.random.default_rng(5)
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        q = x[: n : n // 100]
+        projection = Projection(64, 1.0, rules.dimensions, rules.seed)
+        rows, best, verified = search_cell(
+            x, projection.points(x), projection.scaled(q), projection.queries(q), np.full(len(q), np.inf), 21, 1.0, chi_square_quantile(rules.certainty, rules.dimensions), rules.leaf_rows
+        )
+        exact = np.argsort(-(q @ x.T), axis=1)[:, :21]
+        assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(rows.tolist(), exact.tolist())]) >= 0.9
+        shares.append(verified / (len(q) * n))
+    assert shares[1] < 0.75 * shares[0] < 0.75
+
+
+def test_salted_cells_and_blocks_find_the_same(spark, small):
+    table = read(spark, small, "embeddings")
+    plain = by_query(nearest(table, AnnRules(certainty=0.9999999)))
+    assert by_query(nearest(table, AnnRules(certainty=0.9999999, cell_rows=16, group_queries=7, sample_rows=40))) == plain
