@@ -1,7 +1,7 @@
 import zlib
 
 from tests.llm.helpers import docs, read
-from tidemark.llm.toxicity import automaton, features, fold, toxicity
+from tidemark.llm.toxicity import automaton, features, fit, fold, phrases, toxicity
 
 
 def test_held_out_accuracy(spark, small):
@@ -33,3 +33,21 @@ def test_folding_and_phrases():
     assert fold("n@sty") == " nasty " and fold(None) == " "
     matcher = automaton({" trash ": 2.0})
     assert features(matcher, "what trash")[0] > 0 and features(matcher, "the trash can")[0] == 0
+
+
+def test_phrases_of_exception_are_learned(spark):
+    assert phrases(automaton({" snark ": 1.0, " gruf": 1.0}), fold("a snark hunt was gruffly told")) == {"a snark", "snark hunt", "was gruffly", "gruffly told"}
+    bad = [(i, f"you {'utter ' * (i % 2)}snark of a man number {i}", 1) for i in range(200)]
+    good = [(1000 + i, f"the snark hunt of year {i} went well" if i < 8 else f"plain words of year {i}", 0) for i in range(800)]
+    rows = bad + good
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = fit(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), labels)
+    assert "snark hunt" in model.harmless and "you snark" not in model.harmless
+    score = model.scorer()
+    assert score("you snark of a man") >= 0.7 > score("another snark hunt began")
+
+
+def test_null_ids_are_scored_and_not_held_out(spark):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity(spark.createDataFrame([(None, "fine words"), (None, "you idiot")], "doc_id long, text string"), labels).collect()
+    assert sorted((r.held_out, r.predicted) for r in got) == [(False, 0), (False, 1)]

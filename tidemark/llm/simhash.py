@@ -5,7 +5,7 @@ of the ring the differences of the first l segments together stay within l * t /
 segments m. With t = 4 and m = 5 the first segment is equal, the first two differ in at most one bit, and so on. So
 fingerprints meet on keys of a start's first two segments, one of them with one bit set more; longer chains prune
 the pairs that meet, and only what is left gets the full check. Equal fingerprints are one to begin with, and a
-key hands on links that span what it holds, not all pairs.
+key of many fingerprints hands on links that span what its chains and the full check leave, not all pairs.
 """
 
 from __future__ import annotations
@@ -90,16 +90,24 @@ def chain_holds(difference: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _span(found: np.ndarray) -> list[tuple[int, int]]:
+def _linked(found: np.ndarray, one: int, start: int) -> np.ndarray:
+    """Which fingerprints are linked with one of them: by the chain from a start first, and what is left by all bits."""
+    difference = found ^ found[one]
+    out = chain_holds(difference, np.full(len(found), start))
+    out[out] = np.bitwise_count(difference[out]) <= DISTANCE
+    return out
+
+
+def _span(found: np.ndarray, start: int) -> list[tuple[int, int]]:
     """Links that span the linked ones among many fingerprints of one key: around a pivot first, then the rest against all."""
     bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(found), bitorder="little").view("<u8")[0]
     pivot = int(np.argmin(np.bitwise_count(found ^ centre)))
-    near = np.bitwise_count(found ^ found[pivot]) <= DISTANCE
+    near = _linked(found, pivot, start)
     label = np.where(near, pivot, np.arange(len(found)))
     links = [(int(found[pivot]), int(found[k])) for k in np.flatnonzero(near) if k != pivot]
     for k in np.flatnonzero(~near):
-        met = np.flatnonzero(np.bitwise_count(found ^ found[k]) <= DISTANCE)
+        met = np.flatnonzero(_linked(found, k, start))
         for other in np.unique(label[met]):
             if other != label[k]:
                 links.append((int(found[k]), int(found[met[np.flatnonzero(label[met] == other)[0]]])))
@@ -130,7 +138,7 @@ def _links_of_keys(batches):
             kept = (np.bitwise_count(a ^ b) <= DISTANCE) & (a != b)
             out.append(np.column_stack([a[kept], b[kept]]))
         for first, end in zip(firsts[sizes >= PIVOT_FROM], ends[sizes >= PIVOT_FROM]):
-            spanned = _span(np.unique(found[first:end]))
+            spanned = _span(np.unique(found[first:end]), int(keys[first] >> 26))
             if spanned:
                 out.append(np.array(spanned, dtype=np.uint64))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.uint64)
@@ -164,7 +172,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of `docs` (doc_id, text).
 
     A text without words, or null, has fingerprint zero and is linked like any other; fewer words than a shingle make one
-    shingle. Repeated rows are kept; other columns are ignored; an empty table gives an empty result.
+    shingle. Repeated rows are kept; other columns are ignored; an empty table gives an empty result. Links are between ids:
+    texts of one id are reachable from each other if it is the smallest of theirs. A null id never names a component; rows of
+    a fingerprint that only null ids have get a null one.
     """
     found = materialize(fingerprints(docs))
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))

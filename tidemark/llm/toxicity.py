@@ -2,9 +2,10 @@
 
 Folding lower-cases, replaces look-alike letters and digits by Latin letters, strips accents and puts one space
 between words. A lexicon entry is a whole word or the start of words; its weight is a smoothed log odds ratio
-of documents, learned from labelled rows on top of a short list of known insults. Phrases in which an entry is harmless cancel
-its weight. The total weight, alone and by length, becomes a score with a logistic curve that is fitted to
-documents whose fold the lexicon hadn't seen.
+of documents, learned from labelled rows alone. Phrases in which an entry is harmless cancel its weight: a few fixed ones, and
+those of two words that clean documents use and toxic ones don't. The total weight, alone and by length, becomes a score with
+a logistic curve that is fitted to documents whose fold the lexicon hadn't seen. A short list of known insults serves only
+where there are no labels of both kinds to learn from.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, column, map_arrow
 from tidemark.session import discard, materialize
 
-#: Insults that count as seen before any label, and phrases in which such a word is harmless.
+#: Insults for tables without labels, and phrases in which such a word is harmless.
 INSULTS = tuple("idiot moron stupid scum loser clown trash pathetic disgusting worthless imbecile dumbass bastard asshole retard scumbag".split())
 HARMLESS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "circus clown", "sore loser", "trash collection")
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -37,15 +38,18 @@ _SIGN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
 
 @dataclass(frozen=True)
 class ToxicityRules:
-    """Bounds and smoothing. At most max_labelled labelled rows are used to fit, and at most max_entries entries kept."""
+    """Bounds and smoothing. At most max_labelled labelled rows are used to fit; of what they hold, at most max_candidates
+
+    entries are counted, max_entries kept and max_phrases of exception learned, the most frequent first.
+    """
 
     max_labelled: int = 20_000
     max_candidates: int = 50_000
     max_entries: int = 2_000
+    max_phrases: int = 2_000
     prefix_lengths: tuple[int, ...] = (4, 5, 6, 7, 8)
     min_documents: int = 3
     prior: float = 0.1
-    seed_documents: float = 4.0
     min_weight: float = 2.5
     min_evidence: float = 16.0
     threshold: float = 0.7
@@ -107,16 +111,15 @@ def _count_entries(lengths: tuple[int, ...], wanted: frozenset | None):
 
 
 def choose(toxic: dict[str, float], clean: dict[str, float], n_toxic: int, n_clean: int, rules: ToxicityRules) -> dict[str, float]:
-    """The lexicon: entries by evidence, without those that a shorter chosen entry covers. Known insults have a head start."""
-    seeds = {f" {w} ": rules.seed_documents for w in INSULTS}
+    """The lexicon: entries by evidence, without those that a shorter chosen entry covers."""
     rate = (n_toxic + 1) / (n_toxic + n_clean + 2)
     scored = []
-    for entry in toxic.keys() | seeds.keys():
-        seen, c = toxic.get(entry, 0), clean.get(entry, 0)
-        t = seen + seeds.get(entry, 0.0)
+    for entry, t in toxic.items():
+        c = clean.get(entry, 0)
+        if t < rules.min_documents:
+            continue
         weight = math.log((t + rules.prior) / (n_toxic + 1)) - math.log((c + rules.prior * max(1.0, n_clean / max(1, n_toxic))) / (n_clean + 1))
-        learned = seen >= rules.min_documents and weight >= rules.min_weight and _evidence(seen, c, rate) >= rules.min_evidence
-        if learned or (entry in seeds and weight > 0):
+        if weight >= rules.min_weight and _evidence(t, c, rate) >= rules.min_evidence:
             scored.append((-t * weight, len(entry), entry, weight))
     chosen: dict[str, float] = {}
     for _, _, entry, weight in sorted(scored):
@@ -136,7 +139,7 @@ def _evidence(t: float, c: float, rate: float) -> float:
     return 2 * (t * math.log(share / rate) + (c * math.log((1 - share) / (1 - rate)) if c else 0.0))
 
 
-def automaton(lexicon: dict[str, float]) -> ahocorasick.Automaton:
+def automaton(lexicon: dict[str, float], harmless: tuple[str, ...] = HARMLESS) -> ahocorasick.Automaton:
     """Matches entries, and harmless phrases with the weight of the entries inside them taken back."""
     out = ahocorasick.Automaton()
     inside = ahocorasick.Automaton()
@@ -147,7 +150,7 @@ def automaton(lexicon: dict[str, float]) -> ahocorasick.Automaton:
         out.add_word("  ", 0.0)
     else:
         inside.make_automaton()
-        for phrase in HARMLESS:
+        for phrase in harmless:
             taken = sum(weight for _, weight in inside.iter(f" {phrase} "))
             if taken:
                 out.add_word(f" {phrase} ", -taken)
@@ -155,6 +158,33 @@ def automaton(lexicon: dict[str, float]) -> ahocorasick.Automaton:
     return out
 
 
+def phrases(matcher: ahocorasick.Automaton, folded: str) -> set[str]:
+    """The phrases of two words around each match: with the word before, and with the word after."""
+    out = set()
+    for end, _ in matcher.iter(folded):
+        last = folded.find(" ", end) if folded[end] != " " else end  # the space after the word in which the match ends
+        first = folded.rfind(" ", 0, last)
+        if first > 0:
+            out.add(folded[folded.rfind(" ", 0, first) + 1 : last])
+        if last < len(folded) - 1:
+            out.add(folded[first + 1 : folded.find(" ", last + 1)])
+    return out
+
+
+def _count_phrases(lexicon: dict[str, float]):
+    """In each task: documents by phrase around an entry, and by label."""
+
+    def run(batches):
+        matcher, counts = automaton(lexicon, ()), Counter()
+        for part in batches:
+            for text, toxic in zip(column(part, "text"), column(part, "toxic")):
+                counts.update((p, toxic) for p in phrases(matcher, fold(text)))
+        keys = list(counts)
+        yield batch(phrase=pa.array([k[0] for k in keys], pa.string()), toxic=pa.array([k[1] for k in keys], pa.int32()), n=pa.array([counts[k] for k in keys], pa.int64()))
+
+    return run
+
+
 def features(matcher: ahocorasick.Automaton, text: str | None) -> tuple[float, float]:
     """The total weight, and the weight for each hundred words, both on a log scale."""
     folded = fold(text)
@@ -186,9 +216,10 @@ class ToxicityModel:
     lexicon: dict[str, float]
     curve: tuple[float, float, float]
     threshold: float = 0.7
+    harmless: tuple[str, ...] = HARMLESS
 
     def scorer(self):
-        matcher, (a, b, c) = automaton(self.lexicon), self.curve
+        matcher, (a, b, c) = automaton(self.lexicon, self.harmless), self.curve
 
         def score(text: str | None) -> float:
             x, y = features(matcher, text)
@@ -199,19 +230,26 @@ class ToxicityModel:
 
 #: Used where there are no labels of both kinds to fit: any known insult is over the threshold.
 FALLBACK_CURVE = (-4.0, 3.0, 1.0)
+FALLBACK_WEIGHT = 4.0
 
 
 def is_held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """By the id as text; a null id counts as an empty one, which isn't held out."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
     """Learn from labelled rows that aren't held out; a bounded sample of them, the first by a hash of doc_id."""
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
     sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_labelled)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    # One text an id: what is collected below is bounded by the sample.
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     train = materialize(rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")))
     counts = {(r.toxic, r.half): r["count"] for r in train.groupBy("toxic", "half").count().collect()}
+    n = lambda kind, *halves: sum(counts.get((kind, h), 0) for h in halves)
+    if not n(0, 0, 1) or not n(1, 0, 1):
+        discard(train)
+        return ToxicityModel({f" {w} ": FALLBACK_WEIGHT for w in INSULTS}, FALLBACK_CURVE, rules.threshold)
     lengths = rules.prefix_lengths
     schema = "entry string, half int, n long"
 
@@ -220,11 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
 
     toxic = tally(1, None).groupBy("entry").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)))
     best = toxic.where(F.col("n") >= rules.min_documents).orderBy(F.desc("n"), "entry").limit(rules.max_candidates).collect()
-    wanted = frozenset(r.entry for r in best) | {f" {w} " for w in INSULTS}
+    wanted = frozenset(r.entry for r in best)
     clean: dict[int, dict[str, int]] = {0: {}, 1: {}}
     for r in tally(0, wanted).collect():
         clean[r.half][r.entry] = r.n
-    n = lambda kind, *halves: sum(counts.get((kind, h), 0) for h in halves)
     both = {e: clean[0].get(e, 0) + clean[1].get(e, 0) for e in wanted}
     lexicon = choose({r.entry: r.n for r in best}, both, n(1, 0, 1), n(0, 0, 1), rules)
     halves = {h: choose({r.entry: r[f"n{h}"] for r in best}, clean[h], n(1, h), n(0, h), rules) for h in (0, 1)}
@@ -236,11 +273,12 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
             yield batch(a=pa.array([f[0] for f in found], pa.float64()), b=pa.array([f[1] for f in found], pa.float64()), y=pa.array(column(part, "toxic"), pa.int32()))
 
     points = map_arrow(train, unseen, "a double, b double, y int").toPandas()
+    around = map_arrow(train.select("text", "toxic"), _count_phrases(lexicon), "phrase string, toxic int, n long").groupBy("phrase")
+    sides = around.agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((0, "clean"), (1, "bad"))))
+    learned = sides.where(F.col("clean") >= rules.min_documents).where("bad = 0").orderBy(F.desc("clean"), "phrase").limit(rules.max_phrases).collect()
     discard(train)
-    if points.y.nunique() < 2:
-        return ToxicityModel(lexicon, FALLBACK_CURVE, rules.threshold)
     curve = _fit_curve(points[["a", "b"]].to_numpy(), points.y.to_numpy(float))
-    return ToxicityModel(lexicon, tuple(map(float, curve)), rules.threshold)
+    return ToxicityModel(lexicon, tuple(map(float, curve)), rules.threshold, HARMLESS + tuple(r.phrase for r in learned))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -264,7 +302,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxicity
     """Fit on the labels that aren't held out, then score every row of `docs`.
 
     Null and empty texts match nothing and get the lowest score. Labels that are null or neither 0 nor 1 are
-    ignored; of several labels of one document the highest counts. Without labels of both kinds the known insults
-    and a fixed curve are used. Repeated rows are scored one by one; an empty table gives an empty result.
+    ignored; of several labels of one document the highest counts. A null id is scored, not held out, and has no label; of
+    several texts of one id one is learned from. Without labels of both kinds the known insults and a fixed curve are used.
+    Repeated rows are scored one by one; an empty table gives an empty result.
     """
     return score(docs, fit(docs, labels, rules))
