@@ -50,7 +50,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, partitioned_by: list[str] | None = None) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back, so that no lineage is needed to rebuild it."""
+    """Write a DataFrame to the shared folder and read it back, so that no lineage is needed to rebuild it.
+
+    What :func:`discard` doesn't delete before goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidemark-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
@@ -59,17 +62,23 @@ def materialize(df: DataFrame, partitioned_by: list[str] | None = None) -> DataF
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
     return out
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        hadoop = df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop).delete(target, True)
+        files, target = _files(df.sparkSession, path)
+        files.delete(target, True)
 
 
 def input_bytes(df: DataFrame) -> int:
