@@ -74,3 +74,37 @@ def test_gradients_match_differences():
             up = loss(moved)
             moved[name][at] -= 2e-2
             assert found.get(name, np.zeros_like(value))[at] == pytest.approx((up - loss(moved)) / 2e-2, rel=2e-2, abs=2e-3)
+
+
+def plain_score(p, doc, end, rules):
+    """The log likelihood of one document, token by token, from the formulas of a gated unit and two softmaxes."""
+    size, h, before, total = rules.hidden, [0.0] * rules.hidden, end, 0.0
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for token in doc:
+        x = p["input"][before].tolist()
+        a = [sum(h[i] * p["state"][i, j] for i in range(size)) for j in range(3 * size)]
+        z = [sigmoid(x[j] + a[j]) for j in range(size)]
+        r = [sigmoid(x[size + j] + a[size + j]) for j in range(size)]
+        n = [math.tanh(x[2 * size + j] + r[j] * a[2 * size + j]) for j in range(size)]
+        h = [z[j] * h[j] + (1 - z[j]) * n[j] for j in range(size)]
+        known = token < rules.words
+        cls = token // rules.class_words if known else rules.word_classes + token - rules.words
+        logits = [sum(h[i] * p["class"][i, k] for i in range(size)) + p["class_bias"][k] for k in range(len(p["class_bias"]))]
+        total += logits[cls] - math.log(sum(map(math.exp, logits)))
+        if known:
+            inner = [sum(h[i] * p["word"][cls][i, k] for i in range(size)) + p["word_bias"][cls][k] for k in range(rules.class_words)]
+            total += inner[token % rules.class_words] - math.log(sum(map(math.exp, inner)))
+        before = token
+    return total
+
+
+def test_scores_match_plain_code_and_probabilities_add_up():
+    rules = GruRules(words=8, class_words=4, tail_classes=2, hidden=3)
+    counts = Counts(40, 8, np.arange(8, dtype=np.uint64), np.arange(8, 0, -1).astype(float), np.array([2, 2]), np.array([1, 1]))
+    p = {k: 3 * v.astype(np.float64) + 0.1 for k, v in initial(counts, rules).items()}
+    docs = [np.array(d, dtype=np.int32) for d in ([1, 4, 9, 0], [5, 0], [0], [8, 2, 2, 7, 3, 6, 0])]
+    for got, doc in zip(score_documents(p, docs, 0, rules), docs):
+        assert got == pytest.approx(plain_score(p, doc.tolist(), 0, rules), rel=1e-9)
+    ends = [np.array([3, t], dtype=np.int32) for t in range(10)]
+    first = score_documents(p, [np.array([3], dtype=np.int32)], 0, rules)[0]
+    assert np.exp(score_documents(p, ends, 0, rules) - first).sum() == pytest.approx(1.0)

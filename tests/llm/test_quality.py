@@ -2,7 +2,7 @@ import math
 import re
 
 from tests.llm.helpers import ODD_TEXTS, docs, read
-from tidemark.llm.quality import CLASSES, class_histogram, js_distance, quality
+from tidemark.llm.quality import CLASSES, QualityRules, class_histogram, js_distance, quality
 
 import numpy as np
 import pytest
@@ -87,3 +87,69 @@ def test_what_reaches_the_driver_is_bounded(spark):
     known = references(spark.createDataFrame(rows, "lang string, text string").repartition(24), QualityRules())
     found = {x["item"] for x in json.loads(known.common["en"]) if x["kind"] == "word"}
     assert known.rest is None and found == {f"all{k}" for k in range(30)}
+
+
+def test_partitions_change_nothing(spark, tiny):
+    table = read(spark, tiny, "documents")
+    first, *others = (sorted(map(tuple, quality(table.repartition(n)).collect())) for n in (1, 8, 64))
+    assert all(o == first for o in others)
+
+
+def plain_quality(rows, rules):
+    """References, distances and verdicts in plain Python over all rows of (doc_id, text, lang)."""
+    blank = re.compile(r"[^\x20\x09-\x0D]+")
+    by_lang = {}
+    for _, text, lang in rows:
+        if text:
+            by_lang.setdefault(lang or "", []).append(text)
+    known = {}
+    for lang, texts in by_lang.items():
+        if len(texts) < rules.min_language_docs:
+            continue
+        holds = {}
+        for text in texts:
+            for w in {w.lower() for w in blank.findall(text)}:
+                holds[w] = holds.get(w, 0) + 1
+        top = [w for w in sorted(holds, key=lambda w: (-holds[w], w))[: rules.common_words] if holds[w] >= rules.word_share * len(texts)]
+        classes, shares = [0.0] * len(CLASSES), dict.fromkeys(top, 0.0)
+        for text in texts:
+            histogram = class_histogram(text)
+            classes = [a + b / sum(histogram) for a, b in zip(classes, histogram)]
+            found = [w for w in (w.lower() for w in blank.findall(text)) if w in shares]
+            for w in found:
+                shares[w] += 1 / len(found)
+        known[lang] = classes, shares
+    out = {}
+    for i, text, lang in rows:
+        classes, shares = known.get(lang or "", (None, None))
+        by_class = by_word = None
+        if classes and text and len(text) >= rules.min_chars:
+            by_class = divergence(list(class_histogram(text)), classes)
+        if shares:
+            found = [w for w in (w.lower() for w in blank.findall(text or "")) if w in shares]
+            if found and len(found) >= rules.min_common:
+                by_word = divergence([found.count(w) for w in shares], list(shares.values()))
+        out[i] = (not base(text)[5] and rules.accepts(by_class, by_word), by_class, by_word)
+    return out
+
+
+def divergence(a, b):
+    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    part = lambda u: sum(x * math.log2(2 * x / (x + y)) for x, y in u if x > 0)
+    return math.sqrt(max(0.0, (part(zip(p, q)) + part(zip(q, p))) / 2))
+
+
+def test_distances_and_verdicts_match_plain_code(spark, small):
+    rules = QualityRules(min_language_docs=20)
+    table = read(spark, small, "documents").where("doc_id < 400")
+    wanted = plain_quality([(r.doc_id, r.text, r.lang) for r in table.collect()], rules)
+    compared = 0
+    for r in quality(table, rules).collect():
+        kept, by_class, by_word = wanted[r.doc_id]
+        assert (r.class_distance is None) == (by_class is None) and (r.word_distance is None) == (by_word is None)
+        for a, b in ((r.class_distance, by_class), (r.word_distance, by_word)):
+            if b is not None:
+                assert a == pytest.approx(b, abs=1e-5)
+                compared += 1
+        assert r.kept == kept
+    assert compared > 400

@@ -160,16 +160,20 @@ def _count_words(batches):
     yield found()
 
 
+#: A document's share of a reference is a whole number of parts of this many, so that sums are the same in any order.
+PARTS = 1 << 24
+
+
 def _sum_shares(batches, wanted_of):
-    """In each task, by language: the sums of the class shares and of the common words' shares of each document."""
-    classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES)))
+    """In each task, by language: the sums of the class shares and of the common words' shares of each document, in parts."""
+    classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), dtype=np.int64))
     shares: dict[str, Counter] = defaultdict(Counter)
 
     def found():
-        rows = [(k, "class", CLASSES[i], float(v)) for k, h in classes.items() for i, v in enumerate(h)]
-        rows += [(k, "word", w, float(x)) for k, c in shares.items() for w, x in c.items()]
+        rows = [(k, "class", CLASSES[i], int(v)) for k, h in classes.items() for i, v in enumerate(h)]
+        rows += [(k, "word", w, x) for k, c in shares.items() for w, x in c.items()]
         classes.clear(), shares.clear()
-        types = {"lang": pa.string(), "kind": pa.string(), "item": pa.string(), "share": pa.float64()}
+        types = {"lang": pa.string(), "kind": pa.string(), "item": pa.string(), "share": pa.int64()}
         return batch(**{name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(types.items())})
 
     for part in batches:
@@ -177,11 +181,11 @@ def _sum_shares(batches, wanted_of):
             if not text or wanted is None:
                 continue
             histogram = class_histogram(text)
-            classes[lang] += histogram / histogram.sum()
+            classes[lang] += np.rint(histogram / histogram.sum() * PARTS).astype(np.int64)
             counts = Counter(w for w in map(str.lower, words(text)) if w in wanted)
             total = sum(counts.values())
             for word, n in counts.items():
-                shares[lang][word] += n / total
+                shares[lang][word] += round(n / total * PARTS)
         if len(classes) > 4_000:
             yield found()
     yield found()
@@ -195,8 +199,8 @@ def _read_reference(known: str) -> Reference:
     rows = json.loads(known)
     by = {(r["kind"], r["item"]): r["share"] for r in rows}
     top = sorted(r["item"] for r in rows if r["kind"] == "word")
-    shares = np.array([by["word", w] for w in top])
-    return Reference(np.array([by["class", c] for c in CLASSES]), {w: i for i, w in enumerate(top)}, shares)
+    shares = np.array([by["word", w] for w in top], dtype=float)
+    return Reference(np.array([by["class", c] for c in CLASSES], dtype=float), {w: i for i, w in enumerate(top)}, shares)
 
 
 @dataclass
@@ -252,7 +256,7 @@ def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> Known:
     enough = languages.where(F.col("docs") >= rules.min_language_docs)
     common = [r.lang for r in enough.where(F.col("docs") >= rules.language_share * total).select("lang").collect()]
     top = Known.of(enough.select("lang", "known"), common)
-    sums = top.map(texts, _sum_shares, _read_words, "lang string, kind string, item string, share double").groupBy("lang", "kind", "item").agg(F.sum("share").alias("share"))
+    sums = top.map(texts, _sum_shares, _read_words, "lang string, kind string, item string, share long").groupBy("lang", "kind", "item").agg(F.sum("share").alias("share"))
     known = sums.groupBy("lang").agg(F.to_json(F.collect_list(F.struct("kind", "item", "share"))).alias("known"))
     return Known.of(materialize(known), common)
 
