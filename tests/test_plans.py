@@ -2,11 +2,12 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.plans import regression
+from tidemark.plans import linear, regression
 
 
 def test_walk_forward_never_sees_its_group_or_its_day(spark):
@@ -50,4 +51,39 @@ def test_urls_paths_pointers(spark):
     row = spark.createDataFrame([("HTTPS://Hub.example/Org/Model/tree/main/?x=1", "/home/jo/file", "a/b~c")], "u string, p string, k string").select(
         S.normal_url(F.col("u")), S.scrub_paths(F.col("p")), S.json_pointer(F.lit("x"), F.col("k"))
     ).first()
-    assert tuple(row) == ("hub.example/org/model", "/home/_/file", "/x/a~1b~0c")
+    assert tuple(row) == ("https://hub.example/org/model", "/home/_/file", "/x/a~1b~0c")
+
+
+def test_huber_with_several_features(spark):
+    rng = random.Random(6)
+    rows = [("a", float(x), float(x * x % 17), 3.0 + 2.0 * x - 0.5 * (x * x % 17) + rng.gauss(0, 0.1)) for x in range(120)] + [("a", 60.0, 3.0, 9000.0)] * 6
+    fit = linear.huber_fit(spark.createDataFrame(rows, "g string, x double, z double, y double"), ["g"], ["x", "z"], "y").first()
+    assert fit.n == 126 and fit.b1 == pytest.approx(2.0, abs=0.02) and fit.b2 == pytest.approx(-0.5, abs=0.03)
+
+
+def test_dependent_features_get_the_least_coefficients(spark):
+    rows = [(float(x), 2.0 * x, 1.0 + 5.0 * x) for x in range(20)]
+    fit = linear.weighted_fit(spark.createDataFrame(rows, "x double, z double, y double").selectExpr("'a' AS g", "*"), ["g"], ["x", "z"], "y").first()
+    assert (fit.b0, fit.b1, fit.b2) == pytest.approx((1.0, 1.0, 2.0), abs=1e-6)
+
+
+def test_walk_forward_with_equal_groups(spark):
+    rng = random.Random(3)
+    rows = [(g, d, float(d), float(rng.randint(0, 4)), 0.0) for g in "abcd" for d in range(10) for _ in range(rng.randint(0, 4))]
+    rows = [(g, d, x, z, 2.0 + 0.5 * x - 0.3 * z + rng.gauss(0, 1)) for g, d, x, z, _ in rows]
+    df = spark.createDataFrame(rows, "g string, d int, x double, z double, y double")
+    got = {(r.g, r.d, r.y): r.predicted for r in linear.walk_forward(df, "g", "d", ["x", "z"], "y", 6, 2, ridge=1.0).collect()}
+    seen = 0
+    for g, d, x, z, y in rows:
+        past = [r for r in rows if r[0] != g and r[1] < d]
+        groups = {r[0] for r in past}
+        if len(past) < 6 or len(groups) < 2:
+            assert (g, d, y) not in got
+            continue
+        w = np.array([1 / sum(r[0] == p[0] for r in past) for p in past])
+        w *= len(past) / w.sum()
+        a = np.array([[1.0, p[2], p[3]] for p in past])
+        b = np.linalg.solve(a.T @ (a * w[:, None]) + np.diag([0.0, 1.0, 1.0]), a.T @ (w * np.array([p[4] for p in past])))
+        assert got[g, d, y] == pytest.approx(float(b @ [1.0, x, z]), rel=1e-6)
+        seen += 1
+    assert seen > 20

@@ -59,3 +59,12 @@ def test_streams_agree_with_batch(spark, tiny, tmp_path):
     E.run_available(stream, f"{tmp_path}/check2", lambda df, n: totals.update({(r.start, r.event_type): r.events for r in df.collect()}), "update")
     twice = events.where("event_id % 2 = 0").unionByName(events)
     assert totals == {(r.start, r.event_type): r.events for r in E.windowed_totals(twice, "1 day", "1 day").collect()}
+
+
+def test_gzip_of_the_same_rows_is_the_same_bytes(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id AS k", "cast(id % 7 AS string) AS v")
+    made = []
+    for n in (1, 5):
+        T.write_gzip_csv(rows.repartition(n), f"{tmp_path}/{n}", ["v", "k"], ["k"])
+        made.append([f.read_bytes() for f in sorted((tmp_path / str(n)).glob("*.csv.gz"))])
+    assert made[0] == made[1] and made[0]

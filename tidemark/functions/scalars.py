@@ -40,9 +40,12 @@ def first_non_blank(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
 
 
-def normal_key(x: Column) -> Column:
-    """Lower case, accents folded, everything but letters and digits gone."""
-    return F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), "[^a-z0-9]+", "")
+def normal_key(x: Column, without: tuple[str, ...] = ()) -> Column:
+    """Lower case, accents folded, everything but letters and digits gone; words named in `without` (modes like 'thinking') are dropped first."""
+    folded = F.translate(F.lower(x), ACCENTED, PLAIN)
+    if without:
+        folded = F.regexp_replace(folded, r"(?<![a-z0-9])(?:" + "|".join(without) + r")(?![a-z0-9])", "")
+    return F.regexp_replace(folded, "[^a-z0-9]+", "")
 
 
 def slug(x: Column) -> Column:
@@ -76,9 +79,9 @@ def key_part(x: Column, part: int, default: str) -> Column:
 
 
 def normal_url(x: Column) -> Column:
-    """Lower case, without scheme, query, fragment, '/tree/main' and slashes at the end."""
-    bare = F.regexp_replace(F.lower(F.trim(x)), r"^[a-z][a-z0-9+.-]*://", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), r"/tree/main/?$", ""), r"/+$", "")
+    """Lower case, without query, fragment, '/tree/main' or '/tree/master', and slashes at the end; the scheme stays."""
+    bare = F.regexp_replace(F.lower(F.trim(x)), r"[?#].*$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"/tree/(?:main|master)/?$", ""), r"/+$", "")
 
 
 def years_since(day: Column, origin: str) -> Column:

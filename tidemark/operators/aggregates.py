@@ -173,6 +173,14 @@ def coverage(df: DataFrame, key: str, entity: str, group: str, least_entities: i
     return out.withColumn("eligible", (F.col("entities") >= least_entities) & (F.col("groups") >= least_groups))
 
 
+def supported(df: DataFrame, keys: list[str], entity: str, value: str, least_rows: int, least_entities: int) -> DataFrame:
+    """Smallest, largest and mean value, nulls left out, of the keys with enough rows and distinct entities behind them."""
+    held = df.where(f"{value} is not null").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(entity).alias("entities"), F.min(value).alias("smallest"), F.max(value).alias("largest"), F.avg(value).alias("mean")
+    )
+    return held.where(f"rows >= {least_rows} and entities >= {least_entities}")
+
+
 def inconstant(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Groups whose rows disagree on a field, with the number of its values (null is one)."""
     counted = [(F.count_distinct(f) + F.max(F.col(f).isNull().cast("int"))).alias(f"{f}_values") for f in fields]

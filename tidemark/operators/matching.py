@@ -103,6 +103,50 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[st
     return out.where("change <> 'changed' or fields <> ''")
 
 
+def field_changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row for each field of a key in both snapshots that changed, with its value before and after as text."""
+    a = before.select(key, *(F.col(f).cast("string").alias(f"_a_{f}") for f in fields))
+    b = after.select(key, *(F.col(f).cast("string").alias(f"_b_{f}") for f in fields))
+    entry = lambda f: F.when(~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}")), F.struct(F.lit(f).alias("field"), F.col(f"_a_{f}").alias("before"), F.col(f"_b_{f}").alias("after")))
+    return a.join(b, key).select(key, F.explode(F.array_compact(F.array(*map(entry, fields)))).alias("_c")).select(key, "_c.*")
+
+
+def audited_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, block: str, manual: DataFrame, reviewed_none: DataFrame) -> DataFrame:
+    """Each left row's match with the rule that found it and how far to trust it.
+
+    In order: a manual pair; the only right row of its name; several of its name (ambiguous, no match); reviewed as having none; the
+    only right row of its block; else unmatched. Candidates are counted, never listed.
+    """
+    one = lambda column, n: right.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(f"_n{n}"), F.min(right_id).alias(f"_r{n}"))
+    joined = left.join(manual.select(left_id, F.col(right_id).alias("_m")), left_id, "left").join(one(name, 1), name, "left")
+    joined = joined.join(reviewed_none.select(left_id, F.lit(True).alias("_none")).distinct(), left_id, "left").join(one(block, 2), block, "left")
+    rules = [
+        (F.col("_m").isNotNull(), "manual", F.col("_m"), 1.0),
+        (F.col("_n1") == 1, "exact name", F.col("_r1"), 0.95),
+        (F.col("_n1") > 1, "ambiguous name", None, 0.0),
+        (F.col("_none"), "reviewed, none", None, 1.0),
+        (F.col("_n2") == 1, "only one in block", F.col("_r2"), 0.6),
+    ]
+    pick = lambda i, last: reduce(lambda out, r: F.when(F.coalesce(r[0], F.lit(False)), r[i] if r[i] is not None else F.lit(None)).otherwise(out), reversed(rules), last)
+    return joined.select(left_id, pick(2, F.lit(None)).alias(right_id), pick(1, F.lit("unmatched")).alias("method"), pick(3, F.lit(0.0)).alias("confidence"))
+
+
+def ratio_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: str, name: str, ratio: float, least_similarity: float) -> DataFrame:
+    """The most similar right name (ties to the nearer size, then the smaller id) whose size is within a ratio, if similar enough.
+
+    Sizes are bucketed on the log scale by the ratio, so a pair within it lies in one bucket or in neighbours: an equi-join.
+    Similarity is one less the edit distance over the longer length.
+    """
+    bucket = F.floor(F.log(size) / F.log(F.lit(ratio)))
+    a = left.where(f"{size} > 0").select(left_id, F.col(size).alias("_ls"), F.col(name).alias("_ln"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    b = right.where(f"{size} > 0").select(right_id, F.col(size).alias("_rs"), F.col(name).alias("_rn"), bucket.alias("_b"))
+    gap = F.greatest(F.col("_ls") / F.col("_rs"), F.col("_rs") / F.col("_ls"))
+    alike = 1 - F.levenshtein("_ln", "_rn") / F.greatest(F.length("_ln"), F.length("_rn"), F.lit(1))
+    pairs = a.join(b, "_b").withColumn("gap", gap).where(F.col("gap") <= ratio).withColumn("similarity", alike).where(F.col("similarity") >= least_similarity)
+    best = pairs.groupBy(left_id).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.round("gap", 9).alias("g"), F.col(right_id).alias("r"))).alias("_x"))
+    return best.select(left_id, F.col("_x.r").alias(right_id), (-F.col("_x.s")).alias("similarity"))
+
+
 def multiset_difference(left: DataFrame, right: DataFrame, signature: list[str]) -> DataFrame:
     """Signatures whose counts differ between two tables; each side is counted before they meet."""
     a = left.groupBy(*signature).agg(F.count(F.lit(1)).alias("left_rows"))

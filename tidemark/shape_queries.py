@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import aggregates as A
 from tidemark.operators import matching as M
 from tidemark.operators import panels as P
 from tidemark.operators import shaping as H
@@ -303,9 +304,81 @@ def content_freeze(spark, folder):
     return P.content_freeze(T.table(spark, folder, "nation").repartition(3), ["n_nationkey"])
 
 
+@query("""WITH c AS (SELECT c_custkey, 'k' || c_custkey % 37 AS name, c_nationkey AS block FROM customer), s AS (SELECT s_suppkey, 'k' || s_suppkey % 41 AS name, s_nationkey AS block FROM supplier), n AS (SELECT name, count(*) AS n, min(s_suppkey) AS r FROM s GROUP BY 1), b AS (SELECT block, count(*) AS n, min(s_suppkey) AS r FROM s GROUP BY 1),
+l AS (SELECT c_custkey, n.n AS n1, n.r AS r1, b.n AS n2, b.r AS r2 FROM c LEFT JOIN n USING (name) LEFT JOIN b USING (block))
+SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 3 WHEN n1 = 1 THEN r1 WHEN n1 > 1 OR c_custkey % 5 = 0 THEN NULL WHEN n2 = 1 THEN r2 END AS s_suppkey,
+ CASE WHEN c_custkey % 11 = 0 THEN 'manual' WHEN n1 = 1 THEN 'exact name' WHEN n1 > 1 THEN 'ambiguous name' WHEN c_custkey % 5 = 0 THEN 'reviewed, none' WHEN n2 = 1 THEN 'only one in block' ELSE 'unmatched' END AS method,
+ CASE WHEN c_custkey % 11 = 0 THEN 1.0 WHEN n1 = 1 THEN 0.95 WHEN n1 > 1 THEN 0.0 WHEN c_custkey % 5 = 0 THEN 1.0 WHEN n2 = 1 THEN 0.6 ELSE 0.0 END AS confidence FROM l""")
+def audited_match(spark, folder):
+    customers, suppliers = T.table(spark, folder, "customer"), T.table(spark, folder, "supplier")
+    left = customers.select("c_custkey", F.concat(F.lit("k"), F.col("c_custkey") % 37).alias("name"), F.col("c_nationkey").alias("block"))
+    right = suppliers.select("s_suppkey", F.concat(F.lit("k"), F.col("s_suppkey") % 41).alias("name"), F.col("s_nationkey").alias("block"))
+    manual = customers.where("c_custkey % 11 = 0").select("c_custkey", F.lit(3).cast("long").alias("s_suppkey"))
+    return M.audited_match(left, right, "c_custkey", "s_suppkey", "name", "block", manual, customers.where("c_custkey % 5 = 0"))
+
+
+@query("""WITH p AS (SELECT c_custkey, s_suppkey, greatest(c_acctbal / s_acctbal, s_acctbal / c_acctbal) AS g, 1 - levenshtein(c_name, s_name) / CAST(greatest(length(c_name), length(s_name)) AS DOUBLE) AS s FROM customer JOIN supplier ON c_acctbal > 0 AND s_acctbal > 0 AND greatest(c_acctbal / s_acctbal, s_acctbal / c_acctbal) <= 1.05),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY s DESC, round(g, 9), s_suppkey) AS r FROM p WHERE s >= 0.5) SELECT c_custkey, s_suppkey, round(s, 6) AS similarity FROM r WHERE r = 1""")
+def size_ratio_match(spark, folder):
+    customers = T.table(spark, folder, "customer").select("c_custkey", F.col("c_acctbal").alias("size"), F.col("c_name").alias("name"))
+    suppliers = T.table(spark, folder, "supplier").select("s_suppkey", F.col("s_acctbal").alias("size"), F.col("s_name").alias("name"))
+    return rounded(M.ratio_match(customers, suppliers, "c_custkey", "s_suppkey", "size", "name", 1.05, 0.5), "similarity")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, abs(date_diff('day', DATE '1997-06-01', CAST(o_orderdate AS DATE))), o_orderkey) AS r FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus FROM r WHERE r = 1""")
+def truth_resolution(spark, folder):
+    distance = F.abs(F.datediff(F.to_date("o_orderdate"), F.lit("1997-06-01")))
+    return M.with_priority(T.table(spark, folder, "orders"), ["o_custkey"], "o_orderstatus", ["P", "F", "O"], [distance, F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT p_partkey, 'p_size' AS field, CAST(p_size AS VARCHAR) AS before, CASE WHEN p_partkey % 14 <> 0 THEN CAST(p_size + 1 AS VARCHAR) END AS after FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'p_brand', p_brand, 'none' FROM part WHERE p_partkey % 5 = 0""")
+def field_changes(spark, folder):
+    before = T.table(spark, folder, "part").select("p_partkey", "p_size", "p_brand", "p_name")
+    size = F.when(F.col("p_partkey") % 14 == 0, None).when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))
+    after = before.withColumn("p_size", size).withColumn("p_brand", F.when(F.col("p_partkey") % 5 == 0, "none").otherwise(F.col("p_brand")))
+    return M.field_changes(before, after, "p_partkey", ["p_size", "p_brand", "p_name"])
+
+
+@query("""WITH u AS (SELECT 'customer' AS kind, c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_nationkey, s_acctbal, NULL FROM supplier) SELECT kind, nation, count(*) AS rows, count(segment) AS segments, round(sum(balance), 2) AS balance FROM u GROUP BY 1, 2""")
+def heterogeneous_union(spark, folder):
+    customers = T.table(spark, folder, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    suppliers = T.table(spark, folder, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    both = customers.unionByName(suppliers, allowMissingColumns=True)
+    return both.groupBy("kind", "nation").agg(F.count(F.lit(1)).alias("rows"), F.count("segment").alias("segments"), F.round(F.sum("balance"), 2).alias("balance"))
+
+
+@query("""SELECT 'both' AS side, count(*) AS keys FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) UNION ALL SELECT 'orders only', count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) UNION ALL SELECT 'customers only', count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0 EXCEPT SELECT o_custkey FROM orders)""")
+def key_sets(spark, folder):
+    a = T.table(spark, folder, "orders").select(F.col("o_custkey").alias("k"))
+    b = T.table(spark, folder, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    counted = lambda df, side: df.agg(F.count(F.lit(1)).alias("keys")).select(F.lit(side).alias("side"), "keys")
+    return counted(a.intersect(b), "both").unionByName(counted(a.subtract(b), "orders only")).unionByName(counted(b.subtract(a), "customers only"))
+
+
+@query("SELECT p_brand, p_type, count(*) AS rows, count(DISTINCT p_name) AS entities, min(p_size) AS smallest, max(p_size) AS largest, round(avg(p_size), 6) AS mean FROM part GROUP BY 1, 2 HAVING count(*) >= 4 AND count(DISTINCT p_name) >= 3")
+def supported_groups(spark, folder):
+    return rounded(A.supported(T.table(spark, folder, "part"), ["p_brand", "p_type"], "p_name", "p_size", 4, 3), "mean")
+
+
+@query("""SELECT s, p_brand, count(*) AS rows, round(avg(greatest(-s, least(s, (p_retailprice - 1400) / 300))), 6) AS mean FROM part, (SELECT unnest([0.5, 1.0, 2.0]) AS s) GROUP BY 1, 2""")
+def specification_grid(spark, folder):
+    """Specifications that are data: each row is unfolded by the grid, whose size is fixed."""
+    rows = T.table(spark, folder, "part").withColumn("s", F.explode(F.array(*map(F.lit, (0.5, 1.0, 2.0)))))
+    clipped = F.greatest(-F.col("s"), F.least(F.col("s"), (F.col("p_retailprice") - 1400) / 300))
+    return rounded(rows.groupBy("s", "p_brand").agg(F.count(F.lit(1)).alias("rows"), F.avg(clipped).alias("mean")), "mean")
+
+
 # ---------------------------------------------------------------- scalars
 
 
+@query("""SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS plain_key, 'https://hub.example/' || lower(replace(p_name, ' ', '-')) AS url FROM part""")
+def key_and_url_modes(spark, folder):
+    named = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (Thinking)").otherwise(" high"))
+    url = F.concat(F.lit(" HTTPS://hub.example/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_partkey") % 3 == 0, "/tree/main/").when(F.col("p_partkey") % 3 == 1, "/tree/master?x=1#y").otherwise("//"))
+    return T.table(spark, folder, "part").select("p_partkey", S.normal_key(named, ("thinking", "high")).alias("plain_key"), S.normal_url(url).alias("url"))
+
+
+
 @query("""SELECT p_partkey, p_type AS configuration, p_name AS base, CASE WHEN p_partkey % 2 = 0 THEN 'fast' END AS tier FROM part""")
 def suffix_extraction(spark, folder):
     name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "-think").when(F.col("p_partkey") % 3 == 1, "_Thinking").otherwise(""))
