@@ -4,7 +4,8 @@ A window of MATCH bytes holds one anchor, the SEED-byte string in it with the sm
 two documents hold the same anchor at the same place. Only suffixes that start at anchors are sorted:
 
 1. Exact copies of a document with a smaller id are marked; they need no search.
-2. The anchors of all other documents are dealt by hash, and those found in two documents or more stay.
+2. The distinct anchors of each bucket of documents are dealt by hash, each with whether two documents hold it, and one bit
+   for each comes back: whether the corpus has it in two documents or more. Only such anchors stay.
 3. Their contexts, MATCH bytes to the right and what a window may hold to the left, are dealt by the same hash. Equal
    contexts of one task are one: the smallest document stands for them, and the others are covered already.
 4. In each bucket the right contexts and the reversed left contexts are sorted deep-shallow: multikey quicksort to a
@@ -39,7 +40,7 @@ _INDEX_BITS = np.uint64(22)
 _LOW = (np.uint64(1) << _INDEX_BITS) - np.uint64(1)
 #: Depth to which multikey quicksort goes, in eight-byte characters, and the segments that it leaves to a plain sort.
 SHALLOW_WORDS = 3
-SMALL_SEGMENT = 2048
+SMALL_SEGMENT = 256
 
 
 @dataclass(frozen=True)
@@ -293,55 +294,71 @@ def _split(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(target[part[0]]), part) for part in np.split(order, firsts[1:])] if len(order) else []
 
 
+class Anchors:
+    """The anchors of a bucket's documents that aren't exact copies, and the distinct ones by the bucket that asks about them."""
+
+    def __init__(self, texts: Texts, copies: list[tuple[int, int]], buckets: int):
+        ids, tags = (np.array([c[k] for c in copies], dtype=np.int64) for k in (0, 1))
+        self.index, self.place, h = bucket_anchors(texts, texts.marked(ids, tags))
+        self.distinct, first, self.group = np.unique(h >> np.uint64(24), return_index=True, return_inverse=True)
+        self.several = np.zeros(len(self.distinct), dtype=bool)
+        self.several[self.group[self.index != self.index[first][self.group]]] = True
+        self.parts = _split((self.distinct % np.uint64(buckets)).astype(np.int64))
+
+
+def _copies(table: pa.Table) -> list[tuple[int, int]]:
+    """The (doc_id, tag) pairs of exact copies among what came to a bucket."""
+    return [(i, t) for i, t, v in zip(*(table.column(c).to_pylist() for c in ("doc_id", "tag", "value"))) if v is None]
+
+
 def _step_anchors(buckets: int):
-    """Texts and marks of exact copies -> hashes and places of anchors, by hash."""
+    """Texts and marks of exact copies -> the distinct anchors and whether two documents here hold them, by hash."""
 
     def run(docs: pa.Table, copies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _blobs([])
-        source, texts = docs.column("bucket")[0].as_py(), Texts(docs)
-        index, place, h = bucket_anchors(texts, texts.marked(copies.column("doc_id").to_numpy(), copies.column("tag").to_numpy()))
-        top = h >> np.uint64(24)
+        source, found = docs.column("bucket")[0].as_py(), Anchors(Texts(docs), _copies(copies), buckets)
         rows = []
-        for bucket, at in _split((top % np.uint64(buckets)).astype(np.int64)):
-            low = np.ascontiguousarray(top[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-            rows.append((bucket, source, dump(low.reshape(-1), np.diff(index[at], prepend=np.uint32(0)), place[at])))
+        for bucket, at in found.parts:
+            low = np.ascontiguousarray(found.distinct[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            rows.append((bucket, source, dump(low.reshape(-1), found.several[at])))
         return _blobs(rows)
 
     return run
 
 
 def _step_shared(part: pa.Table) -> pa.Table:
-    """Anchors of one bucket -> those found in two documents or more, back to where they came from."""
-    tops, sources, indexes, places = [], [], [], []
-    for source, value in zip(part.column("source").to_pylist(), part.column("value").to_pylist()):
-        low, steps, place = load(value, "u1", "<u4", "<u4")
-        wide = np.zeros((len(place), 8), dtype=np.uint8)
+    """Anchors of one bucket -> to where they came from, in their order, whether two documents or more hold each."""
+    asked, sources = part.column("bucket")[0].as_py(), part.column("source").to_pylist()
+    tops, several = [], []
+    for value in part.column("value").to_pylist():
+        low, flags = load(value, "u1", "?")
+        wide = np.zeros((len(flags), 8), dtype=np.uint8)
         wide[:, :5] = low.reshape(-1, 5)
-        tops.append(wide.view("<u8").reshape(-1)), indexes.append(np.cumsum(steps, dtype=np.uint32)), places.append(place)
-        sources.append(np.full(len(place), source, dtype=np.int64))
-    tops, sources, indexes, places = map(np.concatenate, (tops, sources, indexes, places))
-    owner = (sources << 32) | indexes
-    order = np.argsort(tops, kind="stable")
-    first = np.concatenate([[True], np.diff(tops[order]) != 0])
-    group, owner = np.cumsum(first) - 1, owner[order]
-    several = np.zeros(group[-1] + 1, dtype=bool)
-    several[group[owner != owner[first][group]]] = True
-    kept = order[several[group]]
-    return _blobs([(source, source, dump(indexes[kept[at]], places[kept[at]])) for source, at in _split(sources[kept])])
+        tops.append(wide.view("<u8").reshape(-1)), several.append(flags)
+    _, group, times = np.unique(np.concatenate(tops), return_inverse=True, return_counts=True)
+    shared = times > 1
+    shared[group[np.concatenate(several)]] = True
+    cuts = np.cumsum([len(t) for t in tops])[:-1]
+    return _blobs([(source, asked, dump(np.packbits(bits))) for source, bits in zip(sources, np.split(shared[group], cuts))])
 
 
 def _step_contexts(buckets: int):
-    """Texts and their shared anchors -> contexts by hash; and spans that this task knows already (with value first 0)."""
+    """Texts, marks of exact copies and bits of shared anchors -> contexts by hash; and spans that this task knows already (with value first 0)."""
 
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        if not shared.num_rows or not docs.num_rows:
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        if not docs.num_rows:
             return _blobs([])
         source, texts = docs.column("bucket")[0].as_py(), Texts(docs)
-        pairs = [load(v, "<u4", "<u4") for v in shared.column("value").to_pylist()]
-        index, place = (np.concatenate([p[i] for p in pairs]).astype(np.int64) for i in (0, 1))
-        order = np.lexsort((place, index))
-        index, place = index[order], place[order]
+        found = Anchors(texts, _copies(known), buckets)
+        bits = {s: load(v, "u1")[0] for s, v in zip(known.column("source").to_pylist(), known.column("value").to_pylist()) if v is not None}
+        shared = np.zeros(len(found.distinct), dtype=bool)
+        for bucket, at in found.parts:
+            shared[at] = np.unpackbits(bits[bucket], count=len(at)).astype(bool)
+        here = shared[found.group]
+        index, place = found.index[here].astype(np.int64), found.place[here].astype(np.int64)
+        if not len(index):
+            return _blobs([])
         rows, spans = [], []
         step = 200_000
         seen: dict[bytes, int] = {}
@@ -405,7 +422,7 @@ def _step_cut(as_text: bool, carried: list[str]):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         texts = Texts(docs)
         depth = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
-        copies = [(i, t) for i, t, v in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "tag", "value"))) if v is None]
+        copies = _copies(spans)
         if copies:
             marked = texts.marked(np.array([c[0] for c in copies]), np.array([c[1] for c in copies])) & (texts.length >= MATCH)
             np.add.at(depth, texts.start[:-1][marked], 1)
@@ -451,9 +468,9 @@ def remove_repeats(docs: DataFrame, rules: SuffixRules = SuffixRules(), as_text:
     spark = docs.sparkSession
     ship(spark)
     size = input_bytes(docs)
-    buckets = shuffle_partitions(spark)
-    if size < 1 << 50:  # else Spark doesn't know
-        buckets = max(buckets, -(-2 * size // rules.bucket_bytes))
+    if size >= 1 << 50:  # Spark doesn't know, or it is that large
+        size = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    buckets = max(shuffle_partitions(spark), -(-2 * size // rules.bucket_bytes))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     tagged = rows.withColumn("tag", F.xxhash64("text"))
     dealt = tagged.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets)).cast("int"))
@@ -464,35 +481,16 @@ def remove_repeats(docs: DataFrame, rules: SuffixRules = SuffixRules(), as_text:
         digests.join(least, "digest").where("doc_id > least").select("doc_id", "tag").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets)).cast("int"))
     )
     texts = dealt.groupBy("bucket")
-    found = texts.cogroup(copies.groupBy("bucket")).applyInArrow(_step_anchors(buckets), _BLOBS)
+    none = F.lit(None)
+    marks = copies.select("bucket", none.cast("int").alias("source"), "doc_id", "tag", none.cast("binary").alias("value"))
+    beside = lambda blobs: blobs.select("bucket", "source", none.cast("long").alias("doc_id"), none.cast("long").alias("tag"), "value").unionByName(marks).groupBy("bucket")
+    found = texts.cogroup(marks.groupBy("bucket")).applyInArrow(_step_anchors(buckets), _BLOBS)
     shared = found.groupBy("bucket").applyInArrow(_step_shared, _BLOBS)
-    contexts = texts.cogroup(shared.groupBy("bucket")).applyInArrow(_step_contexts(buckets), _BLOBS)
+    contexts = texts.cogroup(beside(shared)).applyInArrow(_step_contexts(buckets), _BLOBS)
     spans = contexts.groupBy("bucket").applyInArrow(_step_sorted, _BLOBS)
-    none = F.lit(None)
-    both = spans.select("bucket", none.cast("long").alias("doc_id"), none.cast("long").alias("tag"), "value").unionByName(
-        copies.select("bucket", "doc_id", "tag", none.cast("binary").alias("value"))
-    )
     inner = [f"carried_{k}" for k in range(len(carry))]
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     schema += "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(inner, carry))
-    out = texts.cogroup(both.groupBy("bucket")).applyInArrow(_step_cut(as_text, inner), schema)
+    out = texts.cogroup(beside(spans)).applyInArrow(_step_cut(as_text, inner), schema)
     doc_id = F.when(F.col("doc_id") == _NULL_ID, None).otherwise(F.col("doc_id")).alias("doc_id")
     return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept", *(F.col(n).alias(c) for n, c in zip(inner, carry)))
-
-
-def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, bytes]]:
-    """The same by a dictionary of all windows, for tests: n_bytes, n_removed, n_spans and the remaining bytes by doc_id."""
-    least: dict[bytes, int] = {}
-    raw = {i: (t or "").encode() for i, t in docs}
-    for i in sorted(raw):
-        for p in range(len(raw[i]) - MATCH + 1):
-            least.setdefault(raw[i][p : p + MATCH], i)
-    out = {}
-    for i, b in raw.items():
-        gone = np.zeros(len(b) + 1, dtype=bool)
-        for p in range(len(b) - MATCH + 1):
-            if least[b[p : p + MATCH]] < i:
-                gone[p : p + MATCH] = True
-        runs = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
-        out[i] = (len(b), int(gone.sum()), runs, bytes(np.frombuffer(b, np.uint8)[~gone[:-1]]))
-    return out
