@@ -35,7 +35,7 @@ MATCH = 50
 #: Bytes of an anchor, what a window may hold before it, and the bytes of one slice of work.
 SEED = 16
 LEFT = MATCH - SEED
-SLICE = 1 << 21
+SLICE = 1 << 20
 _INDEX_BITS = np.uint64(22)
 _LOW = (np.uint64(1) << _INDEX_BITS) - np.uint64(1)
 #: Depth to which multikey quicksort goes, in eight-byte characters, and the segments that it leaves to a plain sort.
@@ -360,7 +360,7 @@ def _step_contexts(buckets: int):
         if not len(index):
             return _blobs([])
         rows, spans = [], []
-        step = 200_000
+        step = 50_000
         seen: dict[bytes, int] = {}
         for lo in range(0, len(index), step):
             i, p = index[lo : lo + step], place[lo : lo + step]
