@@ -95,7 +95,7 @@ def standardised_features(spark, folder):
 
 
 @query(f"""WITH {_MONTHLY}, c AS (SELECT nation, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy FROM m GROUP BY 1), t AS (SELECT a.nation, sum(b.n) AS n, sum(b.x) AS x, sum(b.y) AS y, sum(b.xx) AS xx, sum(b.xy) AS xy FROM c a JOIN c b ON b.nation <> a.nation GROUP BY 1),
-f AS (SELECT *, (xy - x * y / n) / (xx - x * x / n + l) AS b FROM t, (SELECT unnest([0.0, 10.0, 1000.0, 100000.0]) AS l)), e AS (SELECT f.nation, f.l, avg(abs((f.y - b * f.x) / f.n + b * m.x - m.y)) AS e FROM m JOIN f USING (nation) GROUP BY 1, 2),
+f AS (SELECT *, (xy - x * y / n) / (xx - x * x / n + l) AS b FROM t, (SELECT CAST(unnest([0.0, 10.0, 1000.0, 100000.0]) AS DOUBLE) AS l)), e AS (SELECT f.nation, f.l, avg(abs((f.y - b * f.x) / f.n + b * m.x - m.y)) AS e FROM m JOIN f USING (nation) GROUP BY 1, 2),
 s AS (SELECT l AS penalty, avg(e) AS loss FROM e GROUP BY 1) SELECT penalty, round(loss, 6) AS loss, penalty = (SELECT max(penalty) FROM s WHERE loss <= (SELECT min(loss) FROM s) + 0.00002) AS chosen FROM s""")
 def nested_penalty_choice(spark, folder):
     return rounded(L.choose_penalty(_monthly(spark, folder), "nation", "x", "y", [0.0, 10.0, 1000.0, 100000.0], 0.00002), "loss")

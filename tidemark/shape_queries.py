@@ -308,7 +308,7 @@ def content_freeze(spark, folder):
 l AS (SELECT c_custkey, n.n AS n1, n.r AS r1, b.n AS n2, b.r AS r2 FROM c LEFT JOIN n USING (name) LEFT JOIN b USING (block))
 SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 3 WHEN n1 = 1 THEN r1 WHEN n1 > 1 OR c_custkey % 5 = 0 THEN NULL WHEN n2 = 1 THEN r2 END AS s_suppkey,
  CASE WHEN c_custkey % 11 = 0 THEN 'manual' WHEN n1 = 1 THEN 'exact name' WHEN n1 > 1 THEN 'ambiguous name' WHEN c_custkey % 5 = 0 THEN 'reviewed, none' WHEN n2 = 1 THEN 'only one in block' ELSE 'unmatched' END AS method,
- CASE WHEN c_custkey % 11 = 0 THEN 1.0 WHEN n1 = 1 THEN 0.95 WHEN n1 > 1 THEN 0.0 WHEN c_custkey % 5 = 0 THEN 1.0 WHEN n2 = 1 THEN 0.6 ELSE 0.0 END AS confidence FROM l""")
+ CAST(CASE WHEN c_custkey % 11 = 0 THEN 1.0 WHEN n1 = 1 THEN 0.95 WHEN n1 > 1 THEN 0.0 WHEN c_custkey % 5 = 0 THEN 1.0 WHEN n2 = 1 THEN 0.6 ELSE 0.0 END AS DOUBLE) AS confidence FROM l""")
 def audited_match(spark, folder):
     customers, suppliers = T.table(spark, folder, "customer"), T.table(spark, folder, "supplier")
     left = customers.select("c_custkey", F.concat(F.lit("k"), F.col("c_custkey") % 37).alias("name"), F.col("c_nationkey").alias("block"))
@@ -360,7 +360,7 @@ def supported_groups(spark, folder):
     return rounded(A.supported(T.table(spark, folder, "part"), ["p_brand", "p_type"], "p_name", "p_size", 4, 3), "mean")
 
 
-@query("""SELECT s, p_brand, count(*) AS rows, round(avg(greatest(-s, least(s, (p_retailprice - 1400) / 300))), 6) AS mean FROM part, (SELECT unnest([0.5, 1.0, 2.0]) AS s) GROUP BY 1, 2""")
+@query("""SELECT s, p_brand, count(*) AS rows, round(avg(greatest(-s, least(s, (p_retailprice - 1400) / 300))), 6) AS mean FROM part, (SELECT CAST(unnest([0.5, 1.0, 2.0]) AS DOUBLE) AS s) GROUP BY 1, 2""")
 def specification_grid(spark, folder):
     """Specifications that are data: each row is unfolded by the grid, whose size is fixed."""
     rows = T.table(spark, folder, "part").withColumn("s", F.explode(F.array(*map(F.lit, (0.5, 1.0, 2.0)))))
