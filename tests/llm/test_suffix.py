@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.helpers import docs, read
-from tidemark.llm.suffix import MATCH, deep_shallow_order, remove_repeats
+from tidemark.llm.suffix import MATCH, SuffixRules, deep_shallow_order, remove_repeats, window_digests
 
 
 def brute(rows):
@@ -26,8 +26,8 @@ def brute(rows):
     return out
 
 
-def got(df):
-    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df).collect())
+def got(df, **rules):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, SuffixRules(**rules)).collect())
 
 
 def test_same_as_brute_force(spark, tiny):
@@ -41,6 +41,29 @@ def test_overlapping_repeats(spark):
     rows = [(k, "".join(rng.choice(pool)[rng.randint(0, 10) :] for _ in range(rng.randint(0, 7)))) for k in range(80)]
     rows += [(100, "z" * 400), (101, "z" * 49), (102, "z" * 50), (103, "q" + "z" * 120 + "q")]
     assert got(docs(spark, rows)) == brute(rows)
+    assert got(docs(spark, rows), hot_anchor=3) == brute(rows)
+
+
+def test_hot_anchors_part_by_window(spark, tiny):
+    """One line among differing surroundings in most documents, with all anchors, many or the common ones dealt by window."""
+    rng = random.Random(9)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = "All rights are reserved by whoever wrote this text."
+    rows = [(k, words(rng.randint(0, 80)) + (line if k % 4 else words(40)) + words(rng.randint(0, 80))) for k in range(120)]
+    rows += [(5, rows[5][1]), (121, line * 3), (122, line[:50]), (None, line), (123, None)]
+    whole = brute([(-1 if i is None else i, t) for i, t in rows])
+    for hot in (0, 20, 100):
+        found = got(docs(spark, rows), hot_anchor=hot)
+        assert Counter({(-1 if k[0] is None else k[0], *k[1:]): n for k, n in found.items()}) == whole
+    table = read(spark, tiny, "documents")
+    assert got(table, hot_anchor=5) == brute([tuple(r) for r in table.select("doc_id", "text").collect()])
+
+
+def test_window_digests_tell_all_bytes():
+    raw = np.zeros((MATCH + 1, MATCH), dtype=np.uint8)
+    raw[np.arange(MATCH), np.arange(MATCH)] = 1
+    a, b = window_digests(raw.reshape(-1), np.arange(MATCH + 1) * MATCH)
+    assert len(set(a.tolist())) == len(set(b.tolist())) == MATCH + 1
 
 
 def test_text_form_carries_columns(spark):

@@ -4,14 +4,17 @@ A window of MATCH bytes holds one anchor, the SEED-byte string in it with the sm
 two documents hold the same anchor at the same place. Only suffixes that start at anchors are sorted:
 
 1. Exact copies of a document with a smaller id are marked; they need no search.
-2. The distinct anchors of each bucket of documents are dealt by hash, each with whether two documents hold it, and one bit
-   for each comes back: whether the corpus has it in two documents or more. Only such anchors stay.
+2. The distinct anchors of each bucket of documents are dealt by hash, each with how often it occurs and whether two
+   documents hold it, and two bits for each come back: whether the corpus has it in two documents or more, and whether
+   it is too common for one task to meet all its contexts. Only anchors of two documents stay.
 3. Their contexts, MATCH bytes to the right and what a window may hold to the left, are dealt by the same hash. Equal
    contexts of one task are one: the smallest document stands for them, and the others are covered already.
 4. In each bucket the right contexts and the reversed left contexts are sorted deep-shallow: multikey quicksort to a
    shallow depth, then a blind trie for each group that is still together. Neighbours' common prefixes give each
    window an identity, and a window whose identity also occurs in a smaller document is removed.
-5. Spans meet their documents again.
+5. Windows of very common anchors are dealt one by one, by 128 bits of their own bytes, so that differing surroundings
+   of one line part. Each bucket sends a window for its smallest document only.
+6. Spans meet their documents again.
 
 Rows between the steps are compressed arrays, one for each pair of buckets, and Spark deals them. The text itself
 is shuffled once: the plan's three uses of it share one exchange.
@@ -45,9 +48,10 @@ SMALL_SEGMENT = 256
 
 @dataclass(frozen=True)
 class SuffixRules:
-    """Bytes of text that one bucket should hold."""
+    """Bytes of text that one bucket should hold, and the occurrences from which on an anchor's windows are dealt one by one."""
 
     bucket_bytes: int = 32_000_000
+    hot_anchor: int = 200_000
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -278,6 +282,8 @@ def covered(right: np.ndarray, left: np.ndarray, right_size: np.ndarray, left_si
 
 _RIGHT = np.arange(MATCH)
 _BEFORE = np.arange(1, LEFT + 1)
+#: Added to the source of a value that holds hot windows.
+_HOT = 1 << 30
 _BLOBS = "bucket int, source int, value binary"
 
 
@@ -301,6 +307,7 @@ class Anchors:
         ids, tags = (np.array([c[k] for c in copies], dtype=np.int64) for k in (0, 1))
         self.index, self.place, h = bucket_anchors(texts, texts.marked(ids, tags))
         self.distinct, first, self.group = np.unique(h >> np.uint64(24), return_index=True, return_inverse=True)
+        self.times = np.bincount(self.group, minlength=len(self.distinct))
         self.several = np.zeros(len(self.distinct), dtype=bool)
         self.several[self.group[self.index != self.index[first][self.group]]] = True
         self.parts = _split((self.distinct % np.uint64(buckets)).astype(np.int64))
@@ -312,7 +319,7 @@ def _copies(table: pa.Table) -> list[tuple[int, int]]:
 
 
 def _step_anchors(buckets: int):
-    """Texts and marks of exact copies -> the distinct anchors and whether two documents here hold them, by hash."""
+    """Texts and marks of exact copies -> the distinct anchors by hash, each with twice its occurrences, and 1 more if two documents here hold it."""
 
     def run(docs: pa.Table, copies: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -321,45 +328,98 @@ def _step_anchors(buckets: int):
         rows = []
         for bucket, at in found.parts:
             low = np.ascontiguousarray(found.distinct[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-            rows.append((bucket, source, dump(low.reshape(-1), found.several[at])))
+            rows.append((bucket, source, dump(low.reshape(-1), (2 * found.times[at] + found.several[at]).astype("<u4"))))
         return _blobs(rows)
 
     return run
 
 
-def _step_shared(part: pa.Table) -> pa.Table:
-    """Anchors of one bucket -> to where they came from, in their order, whether two documents or more hold each."""
-    asked, sources = part.column("bucket")[0].as_py(), part.column("source").to_pylist()
-    tops, several = [], []
-    for value in part.column("value").to_pylist():
-        low, flags = load(value, "u1", "?")
-        wide = np.zeros((len(flags), 8), dtype=np.uint8)
-        wide[:, :5] = low.reshape(-1, 5)
-        tops.append(wide.view("<u8").reshape(-1)), several.append(flags)
-    _, group, times = np.unique(np.concatenate(tops), return_inverse=True, return_counts=True)
-    shared = times > 1
-    shared[group[np.concatenate(several)]] = True
-    cuts = np.cumsum([len(t) for t in tops])[:-1]
-    return _blobs([(source, asked, dump(np.packbits(bits))) for source, bits in zip(sources, np.split(shared[group], cuts))])
+def _step_shared(hot_anchor: int):
+    """Anchors of one bucket -> to where they came from, in their order, whether two documents or more hold each and whether it is hot."""
+
+    def run(part: pa.Table) -> pa.Table:
+        asked, sources = part.column("bucket")[0].as_py(), part.column("source").to_pylist()
+        tops, held = [], []
+        for value in part.column("value").to_pylist():
+            low, codes = load(value, "u1", "<u4")
+            wide = np.zeros((len(codes), 8), dtype=np.uint8)
+            wide[:, :5] = low.reshape(-1, 5)
+            tops.append(wide.view("<u8").reshape(-1)), held.append(codes)
+        _, group, buckets_with = np.unique(np.concatenate(tops), return_inverse=True, return_counts=True)
+        codes = np.concatenate(held)
+        shared = buckets_with > 1
+        shared[group[codes % 2 == 1]] = True
+        hot = np.bincount(group, weights=codes // 2) > hot_anchor
+        cuts = np.cumsum([len(t) for t in tops])[:-1]
+        parts = zip(sources, np.split(shared[group], cuts), np.split(hot[group], cuts))
+        return _blobs([(source, asked, dump(np.packbits(a), np.packbits(b))) for source, a, b in parts])
+
+    return run
+
+
+def window_digests(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the MATCH bytes at each start."""
+    a, b = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.uint64)
+    for at in (*range(0, MATCH - 8, 8), MATCH - 8):
+        word = np.ascontiguousarray(raw[starts[:, None] + np.arange(at, at + 8)]).view("<u8").reshape(-1)
+        a, b = seed_hash(a, word), seed_hash(word, b ^ np.uint64(at + 1))
+    return a, b
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, earlier rows first, and the number of each place's group in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    return order, np.cumsum(new)
+
+
+def hot_windows(texts: Texts, index: np.ndarray, place: np.ndarray):
+    """Windows around hot anchors, in parts of bounded size: digests, document, start, and whether a smaller document here holds the same one."""
+    first = np.maximum(0, place - LEFT)
+    many = np.maximum(0, np.minimum(place, texts.length[index] - MATCH) - first + 1)
+    edges = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
+    np.add.at(edges, texts.start[index] + first, np.sign(many))
+    np.add.at(edges, texts.start[index] + first + many, -np.sign(many))
+    starts = np.flatnonzero(np.cumsum(edges, dtype=np.int32) > 0)
+    if not len(starts):
+        return
+    a, b = map(np.concatenate, zip(*(window_digests(texts.bytes, starts[at : at + SLICE // 4]) for at in range(0, len(starts), SLICE // 4))))
+    parts = np.uint64(1 + len(starts) // SLICE)
+    for part in range(int(parts)):
+        at = np.flatnonzero(a % parts == part)
+        if len(at):
+            i = np.searchsorted(texts.start, starts[at], side="right") - 1
+            order, group = _groups(a[at], b[at])
+            least = texts.doc_id[i[order]][np.searchsorted(group, group)]  # documents come by id
+            known = np.empty(len(at), dtype=bool)
+            known[order] = texts.doc_id[i[order]] > least
+            yield a[at], b[at], i, starts[at] - texts.start[i], known
 
 
 def _step_contexts(buckets: int):
-    """Texts, marks of exact copies and bits of shared anchors -> contexts by hash; and spans that this task knows already (with value first 0)."""
+    """Texts, marks of exact copies and bits of anchors -> contexts and hot windows by hash; and spans that this task knows already."""
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _blobs([])
         source, texts = docs.column("bucket")[0].as_py(), Texts(docs)
         found = Anchors(texts, _copies(known), buckets)
-        bits = {s: load(v, "u1")[0] for s, v in zip(known.column("source").to_pylist(), known.column("value").to_pylist()) if v is not None}
-        shared = np.zeros(len(found.distinct), dtype=bool)
+        bits = {s: load(v, "u1", "u1") for s, v in zip(known.column("source").to_pylist(), known.column("value").to_pylist()) if v is not None}
+        shared, hot = np.zeros((2, len(found.distinct)), dtype=bool)
         for bucket, at in found.parts:
-            shared[at] = np.unpackbits(bits[bucket], count=len(at)).astype(bool)
-        here = shared[found.group]
+            shared[at], hot[at] = (np.unpackbits(x, count=len(at)).astype(bool) for x in bits[bucket])
+        rows, spans = [], [np.empty((0, 3), dtype=np.int64)]
+        here = (shared & hot)[found.group]
+        for a, b, i, start, known in hot_windows(texts, found.index[here].astype(np.int64), found.place[here].astype(np.int64)):
+            spans.append(np.column_stack([i[known], start[known], start[known] + MATCH]))
+            kept = np.flatnonzero(~known)
+            for bucket, at in _split((a[kept] % np.uint64(buckets)).astype(np.int64)):
+                at = kept[at]
+                rows.append((bucket, _HOT + source, dump(a[at], b[at], texts.doc_id[i[at]], i[at].astype("<u4"), start[at].astype("<u4"))))
+        here = (shared & ~hot)[found.group]
         index, place = found.index[here].astype(np.int64), found.place[here].astype(np.int64)
-        if not len(index):
-            return _blobs([])
-        rows, spans = [], []
         step = 50_000
         seen: dict[bytes, int] = {}
         for lo in range(0, len(index), step):
@@ -395,13 +455,17 @@ def _step_contexts(buckets: int):
 
 
 def _step_sorted(part: pa.Table) -> pa.Table:
-    """Contexts of one bucket -> spans to remove, by the documents' buckets; known spans pass through."""
+    """Contexts and hot windows of one bucket -> spans to remove, by the documents' buckets; known spans pass through."""
     width = MATCH + LEFT + 2
-    out, wholes, ids, indexes, places, sources = [], [], [], [], [], []
+    out, wholes, ids, indexes, places, sources, windows = [], [], [], [], [], [], []
     for source, value in sorted(zip(part.column("source").to_pylist(), part.column("value").to_pylist())):
         if source < 0:
             out.append((-1 - source, -1 - source, value))
             continue
+        if source >= _HOT:
+            windows.append([*load(value, "<u8", "<u8", "<i8", "<u4", "<u4")])
+            windows[-1].append(np.full(len(windows[-1][0]), source - _HOT, dtype=np.int64))
+            continue
         whole, doc_id, index, place = load(value, "u1", "<i8", "<u4", "<u4")
         wholes.append(whole.reshape(-1, width)), ids.append(doc_id), indexes.append(index), places.append(place)
         sources.append(np.full(len(place), source, dtype=np.int64))
@@ -413,6 +477,13 @@ def _step_sorted(part: pa.Table) -> pa.Table:
         start, end = place[found].astype(np.int64) - most[found], place[found].astype(np.int64) - fewest[found] + MATCH
         for source, at in _split(sources[found]):
             out.append((source, source, dump(index[found[at]], start[at].astype("<u4"), end[at].astype("<u4"))))
+    if windows:
+        a, b, doc_id, index, start, sources = map(np.concatenate, zip(*windows))
+        order, group = _groups(a, b)
+        least = np.minimum.reduceat(doc_id[order], np.flatnonzero(np.diff(group, prepend=-1)))
+        found = order[doc_id[order] > least[group]]
+        for source, at in _split(sources[found]):
+            out.append((source, source, dump(index[found[at]], start[found[at]], start[found[at]] + np.uint32(MATCH))))
     return _blobs(out)
 
 
@@ -485,7 +556,7 @@ def remove_repeats(docs: DataFrame, rules: SuffixRules = SuffixRules(), as_text:
     marks = copies.select("bucket", none.cast("int").alias("source"), "doc_id", "tag", none.cast("binary").alias("value"))
     beside = lambda blobs: blobs.select("bucket", "source", none.cast("long").alias("doc_id"), none.cast("long").alias("tag"), "value").unionByName(marks).groupBy("bucket")
     found = texts.cogroup(marks.groupBy("bucket")).applyInArrow(_step_anchors(buckets), _BLOBS)
-    shared = found.groupBy("bucket").applyInArrow(_step_shared, _BLOBS)
+    shared = found.groupBy("bucket").applyInArrow(_step_shared(rules.hot_anchor), _BLOBS)
     contexts = texts.cogroup(beside(shared)).applyInArrow(_step_contexts(buckets), _BLOBS)
     spans = contexts.groupBy("bucket").applyInArrow(_step_sorted, _BLOBS)
     inner = [f"carried_{k}" for k in range(len(carry))]
