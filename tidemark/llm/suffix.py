@@ -22,7 +22,6 @@ is shuffled once: the plan's three uses of it share one exchange.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +38,8 @@ MATCH = 50
 SEED = 16
 LEFT = MATCH - SEED
 SLICE = 1 << 20
+_RIGHT = np.arange(MATCH)
+_BEFORE = np.arange(1, LEFT + 1)
 _INDEX_BITS = np.uint64(22)
 _LOW = (np.uint64(1) << _INDEX_BITS) - np.uint64(1)
 #: Depth to which multikey quicksort goes, in eight-byte characters, and the segments that it leaves to a plain sort.
@@ -79,13 +80,20 @@ class Texts:
 
     def __init__(self, table: pa.Table):
         table = table.sort_by([("doc_id", "ascending"), ("tag", "ascending")])
-        self.table = table
         self.doc_id = table.column("doc_id").to_numpy()
-        texts = [t.encode("utf-8") if t else b"" for t in table.column("text").to_pylist()]
         self.tag = table.column("tag").to_numpy()
-        self.length = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.table = table.drop_columns(["text"])
+        chunks = [c.cast(pa.large_string()).cast(pa.large_binary()) for c in table.column("text").chunks]
+        ends = [np.frombuffer(c.buffers()[1], "<i8", len(c) + 1, 8 * c.offset) for c in chunks]
+        self.length = np.concatenate([np.zeros(0, np.int64), *(np.diff(e) for e in ends)])
         self.start = MATCH + np.concatenate([[0], np.cumsum(self.length)])
-        self.bytes = np.frombuffer(b"\0" * MATCH + b"".join(texts) + b"\0" * (MATCH + 8), dtype=np.uint8)
+        self.bytes = np.zeros(int(self.start[-1]) + MATCH + 8, dtype=np.uint8)
+        at = MATCH
+        for chunk, end in zip(chunks, ends):
+            size = int(end[-1] - end[0])
+            if size:
+                self.bytes[at : at + size] = np.frombuffer(chunk.buffers()[2], np.uint8, size, int(end[0]))
+            at += size
 
     def marked(self, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
         """Which documents are among the given (id, tag) pairs."""
@@ -280,8 +288,6 @@ def covered(right: np.ndarray, left: np.ndarray, right_size: np.ndarray, left_si
 
 # ---------------------------------------------------------------- the steps
 
-_RIGHT = np.arange(MATCH)
-_BEFORE = np.arange(1, LEFT + 1)
 #: Added to the source of a value that holds hot windows.
 _HOT = 1 << 30
 _BLOBS = "bucket int, source int, value binary"
@@ -357,15 +363,21 @@ def _step_shared(hot_anchor: int):
     return run
 
 
-def window_digests(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the MATCH bytes at each start."""
-    a, b = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.uint64)
-    for at in (*range(0, MATCH - 8, 8), MATCH - 8):
-        word = np.ascontiguousarray(raw[starts[:, None] + np.arange(at, at + 8)]).view("<u8").reshape(-1)
+def row_digests(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row of bytes."""
+    width = rows.shape[1]
+    a, b = np.zeros((2, len(rows)), dtype=np.uint64)
+    for at in (*range(0, width - 8, 8), width - 8):
+        word = np.ascontiguousarray(rows[:, at : at + 8]).view("<u8").reshape(-1)
         a, b = seed_hash(a, word), seed_hash(word, b ^ np.uint64(at + 1))
     return a, b
 
 
+def window_digests(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the MATCH bytes at each start."""
+    return row_digests(raw[starts[:, None] + _RIGHT])
+
+
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by the keys, earlier rows first, and the number of each place's group in it."""
     order = np.lexsort(keys[::-1])
@@ -375,27 +387,42 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
+def _known(doc_id: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows whose documents come by id: whether a smaller document has the same digest."""
+    order, group = _groups(a, b)
+    out = np.empty(len(order), dtype=bool)
+    out[order] = doc_id[order] > doc_id[order][np.searchsorted(group, group)]
+    return out
+
+
 def hot_windows(texts: Texts, index: np.ndarray, place: np.ndarray):
     """Windows around hot anchors, in parts of bounded size: digests, document, start, and whether a smaller document here holds the same one."""
     first = np.maximum(0, place - LEFT)
     many = np.maximum(0, np.minimum(place, texts.length[index] - MATCH) - first + 1)
-    edges = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
-    np.add.at(edges, texts.start[index] + first, np.sign(many))
-    np.add.at(edges, texts.start[index] + first + many, -np.sign(many))
-    starts = np.flatnonzero(np.cumsum(edges, dtype=np.int32) > 0)
+    edges = np.zeros(len(texts.bytes) + 1, dtype=np.int8)  # a window holds at most LEFT + 1 places
+    np.add.at(edges, texts.start[index] + first, (many > 0).astype(np.int8))
+    np.add.at(edges, texts.start[index] + first + many, -(many > 0).astype(np.int8))
+    starts = np.flatnonzero(np.cumsum(edges, dtype=np.int8, out=edges))
     if not len(starts):
         return
-    a, b = map(np.concatenate, zip(*(window_digests(texts.bytes, starts[at : at + SLICE // 4]) for at in range(0, len(starts), SLICE // 4))))
+    step = SLICE // 16
+    a, b = map(np.concatenate, zip(*(window_digests(texts.bytes, starts[at : at + step]) for at in range(0, len(starts), step))))
     parts = np.uint64(1 + len(starts) // SLICE)
     for part in range(int(parts)):
         at = np.flatnonzero(a % parts == part)
         if len(at):
             i = np.searchsorted(texts.start, starts[at], side="right") - 1
-            order, group = _groups(a[at], b[at])
-            least = texts.doc_id[i[order]][np.searchsorted(group, group)]  # documents come by id
-            known = np.empty(len(at), dtype=bool)
-            known[order] = texts.doc_id[i[order]] > least
-            yield a[at], b[at], i, starts[at] - texts.start[i], known
+            yield a[at], b[at], i, starts[at] - texts.start[i], _known(texts.doc_id[i], a[at], b[at])
+
+
+def _contexts(texts: Texts, index: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each anchor: the bytes to the right, those to the left from its edge on, and how many there are of both."""
+    flat = texts.start[index] + place
+    right_size, left_size = np.minimum(MATCH, texts.length[index] - place), np.minimum(LEFT, place)
+    right, left = texts.bytes[flat[:, None] + _RIGHT], texts.bytes[flat[:, None] - _BEFORE]
+    right[_RIGHT >= right_size[:, None]] = 0
+    left[_BEFORE > left_size[:, None]] = 0
+    return np.concatenate([right, left, right_size[:, None].astype(np.uint8), left_size[:, None].astype(np.uint8)], axis=1)
 
 
 def _step_contexts(buckets: int):
@@ -420,28 +447,19 @@ def _step_contexts(buckets: int):
                 rows.append((bucket, _HOT + source, dump(a[at], b[at], texts.doc_id[i[at]], i[at].astype("<u4"), start[at].astype("<u4"))))
         here = (shared & ~hot)[found.group]
         index, place = found.index[here].astype(np.int64), found.place[here].astype(np.int64)
-        step = 50_000
-        seen: dict[bytes, int] = {}
-        for lo in range(0, len(index), step):
-            i, p = index[lo : lo + step], place[lo : lo + step]
-            flat = texts.start[i] + p
-            right_size = np.minimum(MATCH, texts.length[i] - p)
-            left_size = np.minimum(LEFT, p)
-            right, left = texts.bytes[flat[:, None] + _RIGHT], texts.bytes[flat[:, None] - _BEFORE]
-            right[_RIGHT >= right_size[:, None]] = 0
-            left[_BEFORE > left_size[:, None]] = 0
-            whole = np.concatenate([right, left, right_size[:, None].astype(np.uint8), left_size[:, None].astype(np.uint8)], axis=1)
-            raw, width = whole.tobytes(), whole.shape[1]
-            ids = texts.doc_id[i].tolist()
-            keep = np.zeros(len(i), dtype=bool)
-            for k, doc in enumerate(ids):  # documents come by id: the first with a context is the smallest
-                key = hashlib.blake2b(raw[k * width : (k + 1) * width], digest_size=12).digest()
-                keep[k] = seen.setdefault(key, doc) == doc
-            known = ~keep & (right_size + left_size >= MATCH)
+        slices = [slice(at, at + 50_000) for at in range(0, len(index), 50_000)]
+        digests = [row_digests(_contexts(texts, index[at], place[at])) for at in slices]
+        repeated = _known(texts.doc_id[index], *map(np.concatenate, zip(*digests))) if digests else None
+        del digests
+        for at in slices:
+            i, p, again = index[at], place[at], repeated[at]
+            whole = _contexts(texts, i, p)
+            right, right_size, left_size = whole[:, :MATCH], whole[:, -2].astype(np.int64), whole[:, -1].astype(np.int64)
+            known = again & (right_size + left_size >= MATCH)
             spans.append(np.column_stack([i[known], p[known] - left_size[known], p[known] + right_size[known]]))
             h = seed_hash(*(np.ascontiguousarray(right[:, s : s + 8]).view("<u8").reshape(-1) for s in (0, 8)))
             target = ((h >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-            kept = np.flatnonzero(keep)
+            kept = np.flatnonzero(~again)
             for bucket, at in _split(target[kept]):
                 at = kept[at]
                 value = dump(whole[at].reshape(-1), texts.doc_id[i[at]], i[at].astype("<u4"), p[at].astype("<u4"))
@@ -487,24 +505,33 @@ def _step_sorted(part: pa.Table) -> pa.Table:
     return _blobs(out)
 
 
+def removed_bytes(firsts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of so many bytes are in a span."""
+    order = np.argsort(firsts, kind="stable")
+    firsts, reach = firsts[order], np.maximum.accumulate(ends[order])
+    new = np.ones(len(firsts), dtype=bool)
+    new[1:] = firsts[1:] > reach[:-1]
+    edges = np.zeros(size + 1, dtype=np.int8)  # spans are apart once they are merged
+    edges[firsts[new]] = 1
+    edges[reach[np.roll(new, -1)]] = -1
+    return np.cumsum(edges, dtype=np.int8, out=edges).view(bool)
+
+
 def _step_cut(as_text: bool, carried: list[str]):
     """Texts and spans -> what is left of each document, with the columns that it carries."""
 
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         texts = Texts(docs)
-        depth = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
+        firsts, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         copies = _copies(spans)
         if copies:
             marked = texts.marked(np.array([c[0] for c in copies]), np.array([c[1] for c in copies])) & (texts.length >= MATCH)
-            np.add.at(depth, texts.start[:-1][marked], 1)
-            np.add.at(depth, texts.start[1:][marked], -1)
+            firsts.append(texts.start[:-1][marked]), ends.append(texts.start[1:][marked])
         for value in spans.column("value").to_pylist():
             if value is not None:
                 index, start, end = load(value, "<u4", "<u4", "<u4")
-                base = texts.start[index]
-                np.add.at(depth, base + start, 1)
-                np.add.at(depth, base + end, -1)
-        gone = np.cumsum(depth) > 0
+                firsts.append(texts.start[index] + start), ends.append(texts.start[index] + end)
+        gone = removed_bytes(np.concatenate(firsts), np.concatenate(ends), len(texts.bytes))
         rows = []
         for i, n, at in zip(texts.doc_id.tolist(), texts.length.tolist(), texts.start.tolist()):
             away = gone[at : at + n]
