@@ -49,10 +49,13 @@ SMALL_SEGMENT = 256
 
 @dataclass(frozen=True)
 class SuffixRules:
-    """Bytes of text that one bucket should hold, and the occurrences from which on an anchor's windows are dealt one by one."""
+    """Bytes of text that one bucket should hold, the occurrences from which on an anchor's windows are dealt one by one,
+    and the rows from which on a group of exact copies isn't shuffled to one task; there are at most `hot_groups` such."""
 
     bucket_bytes: int = 32_000_000
     hot_anchor: int = 200_000
+    hot_copies: int = 10_000
+    hot_groups: int = 100_000
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -574,10 +577,14 @@ def remove_repeats(docs: DataFrame, rules: SuffixRules = SuffixRules(), as_text:
     dealt = tagged.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets)).cast("int"))
     # Exact copies: of each text, by a strong digest, all but the smallest id.
     digests = materialize(tagged.select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("digest")))
-    least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = materialize(
-        digests.join(least, "digest").where("doc_id > least").select("doc_id", "tag").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets)).cast("int"))
-    )
+    groups = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    groups = materialize(groups.where("least < most").drop("most"))
+    # At most hot_groups groups can hold over 1 / hot_groups of all rows: the table that is broadcast is bounded.
+    hot = F.col("n") > max(rules.hot_copies, digests.count() // rules.hot_groups)
+    large = F.broadcast(groups.where(hot))
+    several = digests.join(large, "digest").unionByName(digests.join(large, "digest", "left_anti").join(groups.where(~hot), "digest"))
+    copies = several.where("doc_id > least").select("doc_id", "tag").distinct()
+    copies = materialize(copies.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets)).cast("int")))
     texts = dealt.groupBy("bucket")
     none = F.lit(None)
     marks = copies.select("bucket", none.cast("int").alias("source"), "doc_id", "tag", none.cast("binary").alias("value"))
