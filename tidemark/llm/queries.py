@@ -18,6 +18,7 @@ from tidemark.llm.suffix import remove_repeats
 from tidemark.llm.template import main_text
 from tidemark.llm.tokenbin import packed_rows
 from tidemark.llm.toxicity import toxicity
+from tidemark.llm.whitening import whiten
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,6 +64,10 @@ def op10_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packed_token_rows": op8_packed_token_rows,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_certified_packing": op10_certified_packing,
+        "op12_exact_whitening": op12_exact_whitening,
     }
 
 
