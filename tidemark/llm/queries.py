@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.ann import nearest
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import table
+from tidemark.llm.fingerprints import document_fingerprints
 from tidemark.llm.gru import language_scores
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
@@ -68,6 +69,10 @@ def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_certified_packing": op10_certified_packing,
         "op12_exact_whitening": op12_exact_whitening,
+        "op13_one_permutation_minhash": op13_one_permutation_minhash,
     }
 
 
