@@ -15,6 +15,7 @@ from tidemark.llm.gru import language_scores
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.suffix import remove_repeats
 from tidemark.llm.template import main_text
 from tidemark.llm.tokenbin import packed_rows
@@ -65,6 +66,10 @@ def op10_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_parity_mask_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packed_token_rows": op8_packed_token_rows,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_certified_packing": op10_certified_packing,
+        "op11_parity_mask_spelling": op11_parity_mask_spelling,
         "op12_exact_whitening": op12_exact_whitening,
         "op13_one_permutation_minhash": op13_one_permutation_minhash,
     }
