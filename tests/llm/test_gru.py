@@ -31,7 +31,7 @@ def check_base(spark, table):
 def test_counts_match_brute_force_and_the_model_beats_them_on_held_out_documents(spark, small):
     got = check_base(spark, read(spark, small, "documents"))
     held = [r for r in got if r.held_out and r.n_tokens > 20]
-    assert sum(r.score for r in held) > 0.99 * sum(r.base_score for r in held)  # scores are negative
+    assert sum(r.score for r in held) > 0.96 * sum(r.base_score for r in held)  # scores are negative
 
 
 def test_odd_texts(spark):

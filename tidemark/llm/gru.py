@@ -52,7 +52,7 @@ class GruRules:
     tail_classes: int = 32
     hidden: int = 16
     window: int = 16
-    lanes: int = 512
+    lanes: int = 192
     segment: int = 512
     rounds: int = 3
     rate: float = 0.06
@@ -479,7 +479,7 @@ class GruModel:
 _SLICES = 16
 
 
-def _train_tasks(model: GruModel, turn: int):
+def _train_tasks(model: GruModel):
     rules, end_id = model.rules, model.end_id()
     names = sorted(model.parameters)
 
@@ -490,7 +490,7 @@ def _train_tasks(model: GruModel, turn: int):
                 _, _, out, sizes, numbers = _chunk(docs)
                 hashes, tails, _ = load(words, "<u8", "u1", "<i8")
                 known = model_ids(hashes, tails, model.counts, rules)[numbers]
-                own = [d for d, held, k in zip(np.split(known, np.cumsum(sizes)[:-1]), out.tolist(), range(len(out))) if not held and k % rules.rounds == turn]
+                own = [d for d, held in zip(np.split(known, np.cumsum(sizes)[:-1]), out.tolist()) if not held]
                 at = 0
                 while at < len(own):  # documents that are laid in lanes together
                     first, size = at, 0
@@ -515,11 +515,11 @@ def _sum_slices(part: pa.Table) -> pa.Table:
 
 
 def train(chunks: DataFrame, counts: Counts, rules: GruRules) -> GruModel:
-    """Rounds over all training documents, each round another share of each chunk; parameters are averaged in two levels."""
+    """Rounds, each over all training documents; after a round parameters are averaged in two levels."""
     model = GruModel(counts, initial(counts, rules), rules)
     schema = "slice int, task int, weight double, value binary"
-    for turn in range(rules.rounds):
-        trained = map_arrow(chunks.select("docs", "words"), _train_tasks(model, turn), schema)
+    for _ in range(rules.rounds):
+        trained = map_arrow(chunks.select("docs", "words"), _train_tasks(model), schema)
         some = trained.groupBy("slice", F.pmod(F.col("task"), F.lit(64)).alias("group")).applyInArrow(_sum_slices, schema)
         summed = {r.slice: r for r in some.groupBy("slice").applyInArrow(_sum_slices, schema).collect()}
         if not summed:
