@@ -9,6 +9,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.pairing import best_similar
+
 
 def unique_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join that fails if a key of the right side isn't unique; the check rides on the aggregate, not on an extra job."""
@@ -111,20 +113,32 @@ def field_changes(before: DataFrame, after: DataFrame, key: str, fields: list[st
     return a.join(b, key).select(key, F.explode(F.array_compact(F.array(*map(entry, fields)))).alias("_c")).select(key, "_c.*")
 
 
-def audited_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, block: str, manual: DataFrame, reviewed_none: DataFrame) -> DataFrame:
+def audited_match(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, block: str, manual: DataFrame, reviewed_none: DataFrame, least: float | None = None
+) -> DataFrame:
     """Each left row's match with the rule that found it and how far to trust it.
 
-    In order: a manual pair; the only right row of its name; several of its name (ambiguous, no match); reviewed as having none; the
-    only right row of its block; else unmatched. Candidates are counted, never listed.
+    In order: a manual pair; the only right row of its name; several of its name (ambiguous, no match); reviewed as having none; if
+    `least` is given, the only right row of the one most similar name (ambiguous if several are as good); the only right row of its
+    block; else unmatched. Candidates are counted, never listed; similar names meet on rare q-grams (:mod:`pairing`).
     """
     one = lambda column, n: right.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(f"_n{n}"), F.min(right_id).alias(f"_r{n}"))
     joined = left.join(manual.select(left_id, F.col(right_id).alias("_m")), left_id, "left").join(one(name, 1), name, "left")
     joined = joined.join(reviewed_none.select(left_id, F.lit(True).alias("_none")).distinct(), left_id, "left").join(one(block, 2), block, "left")
+    if least is None:
+        joined = joined.withColumn("_n3", F.lit(0)).withColumn("_r3", F.lit(None).cast(right.schema[right_id].dataType))
+    else:
+        unknown = left.join(right, name, "left_anti").select(name)
+        near = best_similar(unknown, right.select(name), least).select(F.col("left").alias(name), F.col("match").alias("_near"), "as_good")
+        held = one(name, 3).withColumnRenamed(name, "_near")
+        joined = joined.join(near.join(held, "_near").withColumn("_n3", F.greatest("_n3", "as_good")).drop("_near", "as_good"), name, "left")
     rules = [
         (F.col("_m").isNotNull(), "manual", F.col("_m"), 1.0),
         (F.col("_n1") == 1, "exact name", F.col("_r1"), 0.95),
         (F.col("_n1") > 1, "ambiguous name", None, 0.0),
         (F.col("_none"), "reviewed, none", None, 1.0),
+        (F.col("_n3") == 1, "similar name", F.col("_r3"), 0.8),
+        (F.col("_n3") > 1, "ambiguous similar name", None, 0.0),
         (F.col("_n2") == 1, "only one in block", F.col("_r2"), 0.6),
     ]
     pick = lambda i, last: reduce(lambda out, r: F.when(F.coalesce(r[0], F.lit(False)), r[i] if r[i] is not None else F.lit(None)).otherwise(out), reversed(rules), last)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefixes import prefix_medians
+from tidemark.session import materialize
 
 def left_with_defaults(df: DataFrame, other: DataFrame, keys: list[str], defaults: dict) -> DataFrame:
     """All rows of the left side; where the right one lacks a row or a value, its default."""
@@ -72,19 +74,37 @@ def stale_keys(mapping: DataFrame, left: DataFrame, right: DataFrame, left_key:
     return joined.withColumn("missing", missing).where("missing <> ''").drop("_l", "_r")
 
 
+def medians_of_others(medians: DataFrame, asked: DataFrame, group: str, day: str) -> DataFrame:
+    """For each (group, day) of `asked` the median of the day's other groups' medians, and how many these are.
+
+    `medians` has (group, day, median). Groups are ranked once a day; leaving one out moves the two middle ranks by at most one,
+    so four values a day answer for all groups.
+    """
+    order = Window.partitionBy(day).orderBy("median", group)
+    ranked = medians.withColumn("_p", F.row_number().over(order)).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(day)))
+    lower, upper = F.floor(F.col("_k") / 2), F.floor((F.col("_k") + 1) / 2)  # middle ranks of one group fewer
+    at = lambda rank: F.max(F.when(F.col("_p") == rank, F.col("median")))
+    middle = ranked.groupBy(day, "_k").agg(at(lower).alias("_a"), at(lower + 1).alias("_b"), at(upper).alias("_c"), at(upper + 1).alias("_d"))
+    met = asked.select(group, day).distinct().join(middle, day).join(ranked.select(group, day, "_p"), [group, day], "left")
+    low = F.when(lower >= F.col("_p"), F.col("_b")).otherwise(F.col("_a"))
+    high = F.when(upper >= F.col("_p"), F.col("_d")).otherwise(F.col("_c"))
+    whole = (F.when(F.col("_k") % 2 == 1, F.col("_c")).otherwise(F.col("_a")) + F.when(F.col("_k") % 2 == 1, F.col("_c")).otherwise(F.col("_b"))) / 2
+    out = F.when(F.col("_p").isNull(), whole).otherwise((low + high) / 2)
+    return met.select(group, day, out.alias("others"), (F.col("_k") - F.col("_p").isNotNull().cast("int")).alias("groups"))
+
+
 def tiered_imputation(df: DataFrame, key: str, group: str, day: str, direct: DataFrame, history: DataFrame, value: str, least_own: int, least_groups: int) -> DataFrame:
     """A value measured on the same key; else the median of enough earlier ones of its group; else the median over enough other groups of their medians.
 
-    `history` has (group, day, value). Medians of a group before a day change only where it has rows: they are found once for
-    each (group, day) asked for. A day's other groups are few, so its answer is a median over group medians.
+    `history` has (group, day, value). Medians of what a group had before a day come from sets that grow (:mod:`prefixes`), so no
+    history row meets a later day; a day's other groups are answered for from the ranks of their medians.
     """
     asked = df.select(group, day).distinct()
-    past = history.select(F.col(group).alias("_g"), F.col(day).alias("_d"), F.col(value).alias("_v")).where("_v is not null")
-    days = asked.select(day).distinct()
-    medians = past.join(days, F.col("_d") < F.col(day)).groupBy(day, "_g").agg(F.median("_v").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    own = medians.where(f"_n >= {least_own}").select(day, F.col("_g").alias(group), F.col("_m").alias("_own"))
-    pairs = asked.join(medians, day).where(F.col("_g") != F.col(group))
-    others = pairs.groupBy(group, day).agg(F.median("_m").alias("_other"), F.count(F.lit(1)).alias("_k")).where(f"_k >= {least_groups}").drop("_k")
+    days = df.agg(F.collect_set(day).alias("_days"))  # one row
+    every = history.select(group).distinct().crossJoin(days).select(group, F.explode("_days").alias(day))
+    medians = materialize(prefix_medians(history, every, [group], day, value))
+    own = medians.where(f"n >= {least_own}").select(group, day, F.col("median").alias("_own"))
+    others = medians_of_others(medians, asked, group, day).where(f"groups >= {least_groups}").select(group, day, F.col("others").alias("_other"))
     joined = df.join(direct.select(key, F.col(value).alias("_direct")), key, "left").join(own, [group, day], "left").join(others, [group, day], "left")
     tier = F.when(F.col("_direct").isNotNull(), "direct").when(F.col("_own").isNotNull(), "own group").when(F.col("_other").isNotNull(), "other groups").otherwise("none")
     return joined.withColumn("imputed", F.coalesce("_direct", "_own", "_other")).withColumn("tier", tier).drop("_direct", "_own", "_other")

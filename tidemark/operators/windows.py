@@ -41,24 +41,6 @@ def running_records(df: DataFrame, group: list[str], day: str, value: str) -> Da
     return daily.withColumn("_b", before).where(f"_b is null or {value} > _b").drop("_b")
 
 
-def prior_share(df: DataFrame, group: list[str], day: str, bucket: str) -> DataFrame:
-    """Of each (day, bucket), the rows on strictly earlier days and the share of them in no higher a bucket.
-
-    Rows are counted by day and bucket first. The days' cumulative counts then meet only the buckets, whose number is bounded.
-    """
-    counts = df.groupBy(*group, day, bucket).agg(F.count(F.lit(1)).alias("rows"))
-    days, buckets = counts.select(*group, day).distinct(), counts.select(*group, bucket).distinct()
-    grid = days.join(buckets, group).join(counts, [*group, day, bucket], "left").fillna(0, ["rows"])
-    upto = F.sum("rows").over(Window.partitionBy(*group, day).orderBy(bucket))
-    cumulative = grid.withColumn("_u", upto)
-    past = Window.partitionBy(*group, bucket).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    seen = cumulative.withColumn("at_most", F.sum("_u").over(past))
-    top = Window.partitionBy(*group, day)
-    return seen.withColumn("earlier", F.max("at_most").over(top)).where("rows > 0 and earlier > 0").select(
-        *group, day, bucket, "rows", "earlier", (F.col("at_most") / F.col("earlier")).alias("share")
-    )
-
-
 def chain_deltas(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """The change against the row before and against the first row."""
     chain = Window.partitionBy(*group).orderBy(*order_by(*order))

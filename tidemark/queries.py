@@ -12,6 +12,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import aggregates as A
 from tidemark.operators import matching as M
 from tidemark.operators import windows as W
+from tidemark.operators.prefixes import prefix_ranks
 from tidemark.plans import ensembles, regression, resampling
 from tidemark.registry import ORDERS as _ORDERS
 from tidemark.registry import QUERIES, SQL, Query, query, rounded
@@ -219,7 +220,7 @@ p AS (SELECT c.nation, c.day, c.bucket, any_value(c.n) AS n, sum(e.n) AS earlier
 SELECT nation, day, bucket, CAST(n AS BIGINT) AS "rows", CAST(earlier AS BIGINT) AS earlier, round(low / earlier, 6) AS share FROM p""")
 def prior_percentile_rank(spark, folder):
     rows = _orders(spark, folder).withColumn("bucket", F.floor(F.col("o_totalprice") / 50000))
-    return rounded(W.prior_share(rows, ["nation"], "day", "bucket"), "share")
+    return rounded(prefix_ranks(rows, ["nation"], "day", "bucket"), "share")
 
 
 @query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INTEGER) AS step, round(o_totalprice - lag(o_totalprice) OVER w, 4) AS from_previous, round(o_totalprice - first_value(o_totalprice) OVER w, 4) AS from_first
@@ -632,7 +633,7 @@ def user_sessions(spark, folder):
     return streams.sessions(T.table(spark, folder, "events"), "6 hours", "1 day")
 
 
-from tidemark import model_queries as _models, shape_queries as _shapes  # noqa: E402, F401  register their queries
+from tidemark import model_queries as _models, pair_queries as _pairs, shape_queries as _shapes  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Query]:
