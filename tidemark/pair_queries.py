@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import pairing as P
+from tidemark.operators.freezes import digest_tree, row_digests, verify_freeze
 from tidemark.operators.prefixes import prefix_medians, prefix_ranks
 from tidemark.registry import ORDERS, orders_panel, query, rounded
 from tidemark.sources import tables as T
@@ -49,3 +50,18 @@ FROM a JOIN b ON abs(length(a.w) - length(b.w)) <= 0.3 * greatest(length(a.w), l
 def similar_words(spark, folder):
     words = lambda t: T.table(spark, folder, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), 0)).alias("w"))
     return rounded(P.similar_pairs(words("benchmark"), words("conversations"), 0.7), "similarity")
+
+
+@query("""SELECT o_orderkey, substr(sha256('{"o_orderkey":' || o_orderkey || '}'), 1, 2) AS range, change FROM (
+SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 1 THEN 'removed' WHEN o_orderkey % 97 = 0 THEN 'changed' END AS change FROM orders UNION ALL SELECT o_orderkey + 100000000, 'added' FROM orders WHERE o_orderkey % 1013 = 2) WHERE change IS NOT NULL""")
+def freeze_verification(spark, folder):
+    """Orders are frozen, then some are changed, removed and added; verification names these and no others."""
+    orders = T.table(spark, folder, "orders")
+    changed = orders.where("o_orderkey % 1009 <> 1").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    added = orders.where("o_orderkey % 1013 = 2").withColumn("o_orderkey", F.col("o_orderkey") + 100000000)
+    return verify_freeze(row_digests(orders, ["o_orderkey"]), changed.unionByName(added), ["o_orderkey"]).select("o_orderkey", "range", "change")
+
+
+@query("""WITH r AS (SELECT substr(sha256('{"o_orderkey":' || o_orderkey || '}'), 1, 2) AS f FROM orders) SELECT level, substr(f, 1, level) AS range, count(*) AS rows FROM r, range(3) t(level) GROUP BY 1, 2""")
+def freeze_ranges(spark, folder):
+    return digest_tree(row_digests(T.table(spark, folder, "orders"), ["o_orderkey"])).select(F.col("level").cast("long").alias("level"), "range", "rows")
