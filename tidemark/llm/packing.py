@@ -138,14 +138,17 @@ def _pack_partition(rules: PackingRules, turn: int, last: bool):
 
 
 def best_fit(pieces_: DataFrame, rules: PackingRules = PackingRules()) -> DataFrame:
-    """Assign each piece a sequence and an offset; `pieces_` is read once for each of a logarithmic number of turns."""
+    """Assign each piece a sequence and an offset; `pieces_` is read once for each of a logarithmic number of turns.
+
+    Pieces are dealt by id and place in the table, so that repeated rows, as of many null ids, are spread too.
+    """
     ship(pieces_.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
     left, done, turn = pieces_, None, 0
     partitions = max(1, -(-left.count() // rules.partition_pieces))
     while True:
         last = partitions == 1
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(partitions)).cast("int"))
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(partitions)).cast("int"))
         packed = materialize(dealt.groupBy("part").applyInArrow(_pack_partition(rules, turn, last), schema))
         settled = packed.where("not loose").drop("loose")
         done = settled if done is None else done.unionByName(settled)
