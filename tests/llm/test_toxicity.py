@@ -1,5 +1,10 @@
+import math
 import zlib
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tests.llm.helpers import docs, read
 from tidemark.llm.toxicity import automaton, features, fit, fold, phrases, toxicity
 
@@ -28,9 +33,40 @@ def test_empty_tables(spark):
     assert toxicity(docs(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
-def test_folding_and_phrases():
-    assert fold("Ｉd1ОT, $tupid!") == " idiot tupid " or fold("Ｉd1ОT") == " idiot "
-    assert fold("n@sty") == " nasty " and fold(None) == " "
+@pytest.mark.parametrize(
+    ("text", "folded"),
+    [
+        ("Ｉd1ОT, $tupid!", " idiot stupid "),
+        ("@sshole a$$ as$ !diot n@sty", " asshole ass ass idiot nasty "),
+        ("stupid! |stupid| stupid!! wow!", " stupid stupid stupid wow "),
+        ("455 4.55 $455 4$5 year 1984, 5tup1d 4ss", " 455 4 55 455 4 5 year 1984 stupid ass "),
+        ("a | b |c| || !! @ $", " a b c "),
+        ("tail\u200bed s\u0301tupid _455_ x_1", " tailed stupid 455 x 1 "),
+        (None, " "),
+    ],
+)
+def test_folding(text, folded):
+    assert fold(text) == folded
+
+
+def plain_total(lexicon, harmless, folded):
+    """The weight of every entry at every place, and that of entries inside a harmless phrase taken back at every place of it."""
+    places = lambda entry, text: sum(text.startswith(entry, k) for k in range(len(text)))
+    inside = {p: sum(w * places(e, f" {p} ") for e, w in lexicon.items()) for p in harmless}
+    return max(0.0, sum(w * places(e, folded) for e, w in lexicon.items()) - sum(w * places(f" {p} ", folded) for p, w in inside.items()))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("trash trashy can tra $tra5h 45 sh ash can! the".split()), max_size=12))
+def test_matching_against_every_place(words):
+    lexicon, harmless = {" trash ": 2.0, " tra": 0.5, " can ": 0.25, " ash": 1.5}, ("trash can", "the ash", "can can")
+    text = " ".join(words)
+    total = plain_total(lexicon, harmless, fold(text))
+    a, b = features(automaton(lexicon, harmless), text)
+    assert a == pytest.approx(math.log1p(total)) and b == pytest.approx(math.log1p(100 * total / max(1, len(fold(text).split()))))
+
+
+def test_phrases_of_exception_take_weight_back():
     matcher = automaton({" trash ": 2.0})
     assert features(matcher, "what trash")[0] > 0 and features(matcher, "the trash can")[0] == 0
 

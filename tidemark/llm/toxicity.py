@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, column, map_arrow
@@ -33,20 +33,19 @@ LOOKALIKES = dict(zip("аеорсухіјѕһԁɡքոսαορτνικβεηυχ"
 DIGITS = dict(zip("01345789", "oieastbg"))
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 
-_SIGN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
+#: A run of letters, digits and signs, and a number that stands alone; digits of such are kept aside.
+_SIGNED = re.compile(r"[^\W_]*[@$!|](?:[^\W_]|[@$!|])*")
+_NUMBER = re.compile(r"(?<![^\W_])[0-9]+(?![^\W_])")
+_ASIDE = {ord("0") + d: chr(0xE000 + d) for d in range(10)}
+_SIGN_TABLE = str.maketrans(SIGNS)
+HELD = 300_000
 
 
 @dataclass(frozen=True)
 class ToxicityRules:
-    """Bounds and smoothing. At most max_labelled labelled rows are used to fit; of what they hold, at most max_candidates
-
-    entries are counted, max_entries kept and max_phrases of exception learned, the most frequent first.
-    """
+    """Bounds and smoothing. At most max_labelled labelled rows are used to fit; what they hold bounds the lexicon and its phrases."""
 
     max_labelled: int = 20_000
-    max_candidates: int = 50_000
-    max_entries: int = 2_000
-    max_phrases: int = 2_000
     prefix_lengths: tuple[int, ...] = (4, 5, 6, 7, 8)
     min_documents: int = 3
     prior: float = 0.1
@@ -69,19 +68,32 @@ def _fold_table() -> dict[int, str]:
         table[code] = unicodedata.normalize("NFKC", chr(code)).lower()
     for code in (0x200B, 0x200C, 0x200D, 0xAD, 0xFEFF, *range(0x300, 0x370)):
         table[code] = ""
+    for kept in _ASIDE.values():
+        table[ord(kept)] = chr(ord(kept) - 0xE000 + ord("0"))
     return table
 
 
 _FOLD = _fold_table()
 
 
+def _unsigned(found: re.Match) -> str:
+    """Signs of a word as letters; those that may close or frame it (! and |) stay signs at its end, | at its start too."""
+    word = found[0]
+    body = word.rstrip("!|")
+    start = len(body) - len(body.lstrip("|"))
+    if not any(c.isalpha() for c in body):
+        return word
+    return word[:start] + body[start:].translate(_SIGN_TABLE) + word[len(body) :]
+
+
 def fold(text: str | None) -> str:
-    """The folded words, each between single spaces."""
+    """The folded words, each between single spaces. Words of digits alone stay numbers."""
     if not text:
         return " "
     text = text.lower()
     if "@" in text or "$" in text or "!" in text or "|" in text:
-        text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
+        text = _SIGNED.sub(_unsigned, text)
+    text = _NUMBER.sub(lambda m: m[0].translate(_ASIDE), text)
     return f" {' '.join(text.translate(_FOLD).split())} "
 
 
@@ -95,17 +107,23 @@ def _entries(folded: str, lengths: tuple[int, ...]) -> set[str]:
     return out
 
 
-def _count_entries(lengths: tuple[int, ...], wanted: frozenset | None):
-    """In each task: documents by entry and fold."""
+def _count_entries(lengths: tuple[int, ...]):
+    """In each task: documents by entry, label and half; handed on whenever HELD entries are held."""
+
+    def hand_on(counts):
+        entry, toxic, half = zip(*counts)
+        return batch(entry=pa.array(entry, pa.string()), toxic=pa.array(toxic, pa.int32()), half=pa.array(half, pa.int32()), n=pa.array(counts.values(), pa.int64()))
 
     def run(batches):
         counts: Counter = Counter()
         for part in batches:
-            for text, half in zip(column(part, "text"), column(part, "half")):
-                found = _entries(fold(text), lengths)
-                counts.update((e, half) for e in (found if wanted is None else found & wanted))
-        keys = list(counts)
-        yield batch(entry=pa.array([k[0] for k in keys], pa.string()), half=pa.array([k[1] for k in keys], pa.int32()), n=pa.array([counts[k] for k in keys], pa.int64()))
+            for text, toxic, half in zip(column(part, "text"), column(part, "toxic"), column(part, "half")):
+                counts.update((e, toxic, half) for e in _entries(fold(text), lengths))
+                if len(counts) >= HELD:
+                    yield hand_on(counts)
+                    counts = Counter()
+        if counts:
+            yield hand_on(counts)
 
     return run
 
@@ -118,13 +136,11 @@ def choose(toxic: dict[str, float], clean: dict[str, float], n_toxic: int, n_cle
         c = clean.get(entry, 0)
         if t < rules.min_documents:
             continue
-        weight = math.log((t + rules.prior) / (n_toxic + 1)) - math.log((c + rules.prior * max(1.0, n_clean / max(1, n_toxic))) / (n_clean + 1))
+        weight = math.log(t + rules.prior) - math.log(n_toxic + 1) - math.log(c + rules.prior * max(1.0, n_clean / max(1, n_toxic))) + math.log(n_clean + 1)
         if weight >= rules.min_weight and _evidence(t, c, rate) >= rules.min_evidence:
             scored.append((-t * weight, len(entry), entry, weight))
     chosen: dict[str, float] = {}
     for _, _, entry, weight in sorted(scored):
-        if len(chosen) >= rules.max_entries:
-            break
         covered = any(entry[:k] in chosen for k in range(4, len(entry)))
         if not covered and not any(longer.startswith(entry) for longer in chosen):
             chosen[entry] = weight
@@ -250,21 +266,22 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
     if not n(0, 0, 1) or not n(1, 0, 1):
         discard(train)
         return ToxicityModel({f" {w} ": FALLBACK_WEIGHT for w in INSULTS}, FALLBACK_CURVE, rules.threshold)
-    lengths = rules.prefix_lengths
-    schema = "entry string, half int, n long"
-
-    def tally(kind: int, wanted: frozenset | None):
-        return map_arrow(train.where(F.col("toxic") == kind).select("text", "half"), _count_entries(lengths, wanted), schema).groupBy("entry", "half").agg(F.sum("n").alias("n"))
-
-    toxic = tally(1, None).groupBy("entry").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)))
-    best = toxic.where(F.col("n") >= rules.min_documents).orderBy(F.desc("n"), "entry").limit(rules.max_candidates).collect()
-    wanted = frozenset(r.entry for r in best)
-    clean: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    for r in tally(0, wanted).collect():
-        clean[r.half][r.entry] = r.n
-    both = {e: clean[0].get(e, 0) + clean[1].get(e, 0) for e in wanted}
-    lexicon = choose({r.entry: r.n for r in best}, both, n(1, 0, 1), n(0, 0, 1), rules)
-    halves = {h: choose({r.entry: r[f"n{h}"] for r in best}, clean[h], n(1, h), n(0, h), rules) for h in (0, 1)}
+    tally = map_arrow(train, _count_entries(rules.prefix_lengths), "entry string, toxic int, half int, n long")
+    of = lambda kind, half: F.sum(F.when((F.col("toxic") == kind) & (F.col("half") == half), F.col("n")).otherwise(0)).alias(f"{'ct'[kind]}{half}")
+    counted = tally.groupBy("entry").agg(*(of(kind, half) for kind in (0, 1) for half in (0, 1)))
+
+    def may(t: Column, c: Column, *k: int) -> Column:
+        """Whether :func:`choose` could take an entry, by a weight that is no smaller than its own and by the same evidence."""
+        rate, share = (n(1, *k) + 1) / (n(1, *k) + n(0, *k) + 2), t / (t + c)
+        weight = F.log(t + rules.prior) - math.log(n(1, *k) + 1) - F.log(c + rules.prior) + math.log(n(0, *k) + 1)
+        evidence = 2 * (t * F.log(share / rate) + F.when(c > 0, c * F.log((1 - share) / (1 - rate))).otherwise(0.0))
+        return F.when(t >= rules.min_documents, (weight >= rules.min_weight) & (share > rate) & (evidence >= rules.min_evidence - 1e-6)).otherwise(False)
+
+    # Only such entries come to the driver.
+    t0, t1, c0, c1 = map(F.col, ("t0", "t1", "c0", "c1"))
+    best = counted.where(may(t0 + t1, c0 + c1, 0, 1) | may(t0, c0, 0) | may(t1, c1, 1)).collect()
+    lexicon = choose({r.entry: r.t0 + r.t1 for r in best}, {r.entry: r.c0 + r.c1 for r in best}, n(1, 0, 1), n(0, 0, 1), rules)
+    halves = {h: choose({r.entry: r[f"t{h}"] for r in best}, {r.entry: r[f"c{h}"] for r in best}, n(1, h), n(0, h), rules) for h in (0, 1)}
 
     def unseen(batches):
         matchers = {h: automaton(halves[1 - h]) for h in (0, 1)}
@@ -275,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
     points = map_arrow(train, unseen, "a double, b double, y int").toPandas()
     around = map_arrow(train.select("text", "toxic"), _count_phrases(lexicon), "phrase string, toxic int, n long").groupBy("phrase")
     sides = around.agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((0, "clean"), (1, "bad"))))
-    learned = sides.where(F.col("clean") >= rules.min_documents).where("bad = 0").orderBy(F.desc("clean"), "phrase").limit(rules.max_phrases).collect()
+    learned = sides.where(F.col("clean") >= rules.min_documents).where("bad = 0").orderBy("phrase").collect()
     discard(train)
     curve = _fit_curve(points[["a", "b"]].to_numpy(), points.y.to_numpy(float))
     return ToxicityModel(lexicon, tuple(map(float, curve)), rules.threshold, HARMLESS + tuple(r.phrase for r in learned))
