@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import pairing as P
 from tidemark.operators.freezes import digest_tree, row_digests, verify_freeze
 from tidemark.operators.prefixes import prefix_medians, prefix_ranks
+from tidemark.plans.simplex import simplex_search
 from tidemark.registry import ORDERS, orders_panel, query, rounded
 from tidemark.sources import tables as T
 
@@ -65,3 +66,24 @@ def freeze_verification(spark, folder):
 @query("""WITH r AS (SELECT substr(sha256('{"o_orderkey":' || o_orderkey || '}'), 1, 2) AS f FROM orders) SELECT level, substr(f, 1, level) AS range, count(*) AS rows FROM r, range(3) t(level) GROUP BY 1, 2""")
 def freeze_ranges(spark, folder):
     return digest_tree(row_digests(T.table(spark, folder, "orders"), ["o_orderkey"])).select(F.col("level").cast("long").alias("level"), "range", "rows")
+
+
+_PREDICTORS = """e AS (SELECT ln(p_retailprice) AS y, CASE WHEN p_partkey % 5 <> 0 THEN 7.0 + p_size / 100.0 END AS a, 7.5 - p_size / 200.0 AS b, CASE WHEN p_partkey % 3 <> 0 THEN 7.2 + (p_partkey % 10) / 50.0 END AS c, CASE WHEN p_partkey % 7 <> 0 THEN 6.8 + (p_partkey % 13) / 40.0 END AS d FROM part)"""
+
+
+@query(f"""WITH {_PREDICTORS}, g AS (SELECT a.i AS w0, b.i AS w1, c.i AS w2, 50 - a.i - b.i - c.i AS w3 FROM range(51) a(i), range(51) b(i), range(51) c(i) WHERE a.i + b.i + c.i <= 50),
+s AS (SELECT w0, w1, w2, w3, abs((CASE WHEN a IS NULL THEN 0 ELSE w0 * a END + w1 * b + CASE WHEN c IS NULL THEN 0 ELSE w2 * c END + CASE WHEN d IS NULL THEN 0 ELSE w3 * d END) / nullif(CASE WHEN a IS NULL THEN 0 ELSE w0 END + w1 + CASE WHEN c IS NULL THEN 0 ELSE w2 END + CASE WHEN d IS NULL THEN 0 ELSE w3 END, 0) - y) AS e FROM e, g),
+l AS (SELECT w0, w1, w2, w3, avg(e * e) AS mse, avg(e) AS mae, median(e) AS median, quantile_cont(e, 0.8) AS p80 FROM s GROUP BY 1, 2, 3, 4 HAVING count(e) = count(*)),
+u AS (UNPIVOT l ON mse, mae, median, p80 INTO NAME objective VALUE loss), r AS (SELECT *, row_number() OVER (PARTITION BY objective ORDER BY round(loss, 9), w0, w1, w2) AS r FROM u)
+SELECT objective, CAST(w0 AS INTEGER) AS w0, CAST(w1 AS INTEGER) AS w1, CAST(w2 AS INTEGER) AS w2, CAST(w3 AS INTEGER) AS w3, round(loss, 6) AS loss FROM r WHERE r = 1""")
+def fine_weight_search(spark, folder):
+    """Four predictors in steps of 0.02: the best of 23,426 vectors for each objective."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = T.table(spark, folder, "part").select(
+        F.log("p_retailprice").alias("y"),
+        F.when(k % 5 != 0, 7.0 + size / 100).alias("a"),
+        (7.5 - size / 200).alias("b"),
+        F.when(k % 3 != 0, 7.2 + (k % 10) / 50).alias("c"),
+        F.when(k % 7 != 0, 6.8 + (k % 13) / 40).alias("d"),
+    )
+    return rounded(simplex_search(rows, ["a", "b", "c", "d"], "y").drop("evaluated"), "loss")
