@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import pairing as P
 from tidemark.operators.freezes import digest_tree, row_digests, verify_freeze
 from tidemark.operators.prefixes import prefix_medians, prefix_ranks
+from tidemark.plans.nested import nested_selection
 from tidemark.plans.simplex import simplex_search
 from tidemark.registry import ORDERS, orders_panel, query, rounded
 from tidemark.sources import tables as T
@@ -87,3 +88,35 @@ def fine_weight_search(spark, folder):
         F.when(k % 7 != 0, 6.8 + (k % 13) / 40).alias("d"),
     )
     return rounded(simplex_search(rows, ["a", "b", "c", "d"], "y").drop("evaluated"), "loss")
+
+
+def _one_feature(x: str, train: str, held: str) -> str:
+    """The mean squared error on one set of sums of a line with penalty l fitted to another, and the line."""
+    t = lambda c: f"{train}.{c}"
+    b = f"({t(x + 'y')} - {t(x)} * {t('y')} / {t('n')}) / ({t(x + x)} - {t(x)} * {t(x)} / {t('n')} + l)"
+    a = f"(({t('y')} - ({b}) * {t(x)}) / {t('n')})"
+    v = lambda c: f"{held}.{c}"
+    return f"({v('yy')} - 2 * {a} * {v('y')} - 2 * ({b}) * {v(x + 'y')} + {a} * {a} * {v('n')} + 2 * {a} * ({b}) * {v(x)} + ({b}) * ({b}) * {v(x + x)}) / {v('n')}"
+
+
+_SUMS = ("n", "x", "p", "y", "xx", "pp", "xy", "py", "yy")
+_SUMMED = "count(*) AS n, sum(x) AS x, sum(p) AS p, sum(y) AS y, sum(x * x) AS xx, sum(p * p) AS pp, sum(x * y) AS xy, sum(p * y) AS py, sum(y * y) AS yy"
+_LESS = ", ".join(f"t.{c} - g.{c} AS {c}" for c in _SUMS)
+_LESS_TWO = ", ".join(f"o.{c} - v.{c} AS {c}" for c in _SUMS)
+_ADDED = ", ".join(f"sum({c}) AS {c}" for c in _SUMS)
+_LINE = lambda x: f"""SELECT o.nation, o.yr, '{x}' AS f, l, ({x}y - {x} * y / n) / ({x}{x} - {x} * {x} / n + l) AS b, (y - ({x}y - {x} * y / n) / ({x}{x} - {x} * {x} / n + l) * {x}) / n AS a FROM o, k WHERE k.f = '{x}'"""
+
+
+@query(f"""WITH {ORDERS}, m AS (SELECT nation, year(o_orderdate) AS yr, x, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS p, y FROM orders_by_nation), k AS (SELECT * FROM (VALUES (0, 'x', 0.0), (1, 'x', 2000.0), (2, 'p', 0.0), (3, 'p', 2000.0)) k(policy, f, l)),
+c AS (SELECT nation, yr, {_SUMMED} FROM m GROUP BY 1, 2), h AS (SELECT f.nation, f.yr, {_ADDED} FROM (SELECT DISTINCT a.nation, b.yr FROM c a, c b) f JOIN c e ON e.nation = f.nation AND e.yr < f.yr GROUP BY 1, 2), t AS (SELECT yr, {_ADDED} FROM h GROUP BY 1),
+o AS (SELECT c.nation, c.yr, {_LESS} FROM c JOIN h g USING (nation, yr) JOIN t USING (yr)), i AS (SELECT o.nation, o.yr, v.nation AS h, {_LESS_TWO} FROM o JOIN h v ON v.yr = o.yr AND v.nation <> o.nation),
+e AS (SELECT i.nation, i.yr, policy, avg(CASE f WHEN 'x' THEN {_one_feature('x', 'i', 'v')} ELSE {_one_feature('p', 'i', 'v')} END) AS loss FROM i JOIN h v ON v.yr = i.yr AND v.nation = i.h CROSS JOIN k GROUP BY 1, 2, 3),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY nation, yr ORDER BY -l, policy) AS r FROM (SELECT *, min(loss) OVER (PARTITION BY nation, yr) AS best FROM e) e JOIN k USING (policy) WHERE loss <= best + 0.0001),
+z AS ({_LINE('x')} UNION ALL {_LINE('p')}), w AS (SELECT r.nation, r.yr, r.policy, r.loss, z.a, z.b, k.f FROM r JOIN k USING (policy) JOIN z ON z.nation = r.nation AND z.yr = r.yr AND z.f = k.f AND z.l = k.l WHERE r = 1)
+SELECT m.nation, m.yr, CAST(any_value(policy) AS INTEGER) AS policy, round(any_value(loss), 6) AS inner_loss, count(*) AS tests, round(avg(abs(w.a + w.b * CASE w.f WHEN 'x' THEN m.x ELSE m.p END - m.y)), 6) AS mean_abs_error FROM m JOIN w USING (nation, yr) GROUP BY 1, 2""")
+def nested_policy_choice(spark, folder):
+    """Each nation and year under the policy that leaving out the other nations in earlier years chooses."""
+    rows = orders_panel(spark, folder).select("nation", F.year("o_orderdate").alias("yr"), "x", F.substring("o_orderpriority", 1, 1).cast("double").alias("p"), "y")
+    policies = [(("x",), 0.0), (("x",), 2000.0), (("p",), 0.0), (("p",), 2000.0)]
+    out = nested_selection(rows, "nation", ["x", "p"], "y", policies, "yr", tolerance=0.0001)
+    return rounded(out.select("nation", F.col("yr").cast("long").alias("yr"), "policy", "inner_loss", "tests", "mean_abs_error"), "inner_loss", "mean_abs_error")
