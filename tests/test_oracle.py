@@ -48,3 +48,13 @@ def test_same_rows_as_sql(spark, duck, name):
     assert len(actual) == len(expected)
     wrong = [(a, b) for a, b in zip(actual, expected) if a != b]
     assert not wrong, wrong[:3]
+
+
+@pytest.mark.parametrize("name", ["threshold_listing"])
+def test_listings_come_in_the_order_of_the_sql(spark, duck, name):
+    from tests.conftest import TESTDATA
+
+    got = core.queries()[name](spark, f"{TESTDATA}/{SF}")
+    found = duck.execute(core.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    assert [tuple(map(plain, r)) for r in got.select(columns).collect()] == [tuple(map(plain, r)) for r in found.fetchall()]

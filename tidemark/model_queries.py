@@ -273,13 +273,14 @@ def timing_comparison(spark, folder):
     return rounded(E.compared(fit(early), fit(early.where("o_orderstatus <> 'P' and nation <> 3")), ["nation"], "v", 0.01), "first", "second")
 
 
-@query("""SELECT nation, 'same' AS status FROM (SELECT DISTINCT c_nationkey AS nation FROM customer JOIN orders ON o_custkey = c_custkey)""")
+@query(f"""WITH {_MONTHLY}, a AS (SELECT nation, regr_slope(y, x) AS v FROM m GROUP BY 1), b AS (SELECT nation, regr_slope(y, x) AS v FROM m WHERE nation % 5 <> 0 OR o_orderstatus <> 'P' GROUP BY 1)
+SELECT nation, CASE WHEN abs(a.v - b.v) <= 1e-6 THEN 'same' ELSE 'changed' END AS status, round(a.v, 6) AS first, round(b.v, 6) AS second FROM a JOIN b USING (nation)""")
 def recomputation_audit(spark, folder):
-    """The slope by sums and by the built-in aggregate, which must agree on every nation."""
+    """The slope by sums, and recomputed by the built-in aggregate from rows of which every fifth nation lacks some: the audit finds these."""
     rows = _monthly(spark, folder)
     first = L.weighted_fit(rows, ["nation"], ["x"], "y").select("nation", F.col("b1").alias("v"))
-    second = rows.groupBy("nation").agg(F.regr_slope("y", "x").alias("v"))
-    return E.compared(first, second, ["nation"], "v", 1e-6).select("nation", "status")
+    second = rows.where("nation % 5 <> 0 or o_orderstatus <> 'P'").groupBy("nation").agg(F.regr_slope("y", "x").alias("v"))
+    return rounded(E.compared(first, second, ["nation"], "v", 1e-6), "first", "second")
 
 
 @query("""WITH t AS (SELECT p_brand, max(p_size) AS top FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1) SELECT p_partkey, coalesce(p_size > top, true) AS beyond, round(p_size / top, 6) AS extrapolation FROM part LEFT JOIN t USING (p_brand) WHERE p_partkey % 4 = 0""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import pairing as P
 from tidemark.operators.freezes import digest_tree, row_digests, verify_freeze
 from tidemark.operators.prefixes import prefix_medians, prefix_ranks
+from tidemark.plans import resampling as R
 from tidemark.plans.nested import nested_selection
 from tidemark.plans.simplex import simplex_search
 from tidemark.registry import ORDERS, orders_panel, query, rounded
@@ -120,3 +121,66 @@ def nested_policy_choice(spark, folder):
     policies = [(("x",), 0.0), (("x",), 2000.0), (("p",), 0.0), (("p",), 2000.0)]
     out = nested_selection(rows, "nation", ["x", "p"], "y", policies, "yr", tolerance=0.0001)
     return rounded(out.select("nation", F.col("yr").cast("long").alias("yr"), "policy", "inner_loss", "tests", "mean_abs_error"), "inner_loss", "mean_abs_error")
+
+
+# ---------------------------------------------------------------- resampling without numbered clusters
+
+
+def _poisson(*parts: str) -> str:
+    """The SQL of a Poisson number of mean 1 from a digest."""
+    number = "CAST('0x' || substr(md5({}), 1, 8) AS UBIGINT)".format(" || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts))
+    cases = " ".join(f"WHEN u < {limit} THEN {k}" for k, limit in enumerate(R.POISSON))
+    return f"(SELECT CASE {cases} ELSE {len(R.POISSON)} END FROM (SELECT {number} AS u))"
+
+
+_SPREAD = "round(quantile_cont(v, 0.05), 6) AS low, round(quantile_cont(v, 0.5), 6) AS middle, round(quantile_cont(v, 0.95), 6) AS high, round(avg(CAST(v < 0 AS INTEGER)), 6) AS share_below_zero, count(v) AS defined"
+_ERRORS = "e AS (SELECT o_custkey AS k, o_orderpriority AS p, y - 11.7 AS v FROM orders_by_nation)"
+_DRAWS = 200
+
+
+def _errors(spark, folder):
+    return orders_panel(spark, folder).select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p"), (F.col("y") - 11.7).alias("v"))
+
+
+def _spread_rounded(df):
+    return rounded(df, "observed", "low", "middle", "high", "share_below_zero")
+
+
+@query(f"""WITH {ORDERS}, {_ERRORS}, c AS (SELECT k, avg(v) AS m FROM e GROUP BY 1), d AS (SELECT d AS draw, {_poisson('7', 'd', 'k')} AS w, m FROM c, range({_DRAWS}) r(d)), s AS (SELECT draw, sum(w * m) / sum(w) AS v FROM d GROUP BY 1)
+SELECT round((SELECT avg(m) FROM c), 6) AS observed, (SELECT count(*) FROM c) AS clusters, {_SPREAD} FROM s""")
+def poisson_cluster_bootstrap(spark, folder):
+    return _spread_rounded(R.poisson_bootstrap(_errors(spark, folder), ["k"], "v", _DRAWS, 7))
+
+
+@query(f"""WITH {ORDERS}, {_ERRORS}, c AS (SELECT k, sum(v) AS s, count(*) AS n FROM e GROUP BY 1), d AS (SELECT d AS draw, {_poisson('8', 'd', 'k')} AS w, s, n FROM c, range({_DRAWS}) r(d)), s AS (SELECT draw, sum(w * s) / sum(w * n) AS v FROM d GROUP BY 1)
+SELECT round((SELECT sum(s) / sum(n) FROM c), 6) AS observed, (SELECT count(*) FROM c) AS clusters, {_SPREAD} FROM s""")
+def poisson_row_bootstrap(spark, folder):
+    return _spread_rounded(R.poisson_bootstrap(_errors(spark, folder), ["k"], "v", _DRAWS, 8, by_row=True))
+
+
+@query(f"""WITH {ORDERS}, {_ERRORS}, c AS (SELECT k, p, avg(v) AS m FROM e GROUP BY 1, 2), d AS (SELECT d AS draw, {_poisson('9', 'd', 'k')} * {_poisson('10', 'd', 'k', 'p')} AS w, m FROM c, range({_DRAWS}) r(d)), s AS (SELECT draw, sum(w * m) / sum(w) AS v FROM d GROUP BY 1)
+SELECT round((SELECT avg(m) FROM c), 6) AS observed, (SELECT count(*) FROM c) AS clusters, {_SPREAD} FROM s""")
+def poisson_two_level_bootstrap(spark, folder):
+    return _spread_rounded(R.poisson_bootstrap(_errors(spark, folder), ["p"], "v", _DRAWS, 9, outer=["k"]))
+
+
+@query(f"""WITH {ORDERS}, c AS (SELECT o_custkey AS k, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy FROM orders_by_nation GROUP BY 1), d AS (SELECT d AS draw, {_poisson('11', 'd', 'k')} AS w, c.* FROM c, range({_DRAWS}) r(d)),
+s AS (SELECT draw, sum(w * n) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * xx) AS xx, sum(w * xy) AS xy FROM d GROUP BY 1), b AS (SELECT (n * xy - x * y) / (n * xx - x * x) AS b FROM s), z AS (SELECT CASE WHEN b > 0 THEN b END AS v FROM b) SELECT {_SPREAD} FROM z""")
+def poisson_coefficient_bootstrap(spark, folder):
+    """The slope over draws; draws without a rising line aren't defined and don't count."""
+    rows = orders_panel(spark, folder)
+    cells = rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(n) for n, c in {"x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y")}.items()))
+    each = R.poisson_sums(cells, [["o_custkey"]], [], {c: F.col(c) for c in ("n", "x", "y", "xx", "xy")}, _DRAWS, 11)
+    slope = F.expr("(n * xy - x * y) / (n * xx - x * x)")
+    return rounded(R.spread(each, F.when(slope > 0, slope)), "low", "middle", "high", "share_below_zero")
+
+
+@query(f"""WITH {_PREDICTORS.replace('SELECT ln', 'SELECT p_partkey % 400 AS g, ln')}, c AS (SELECT g, w, sum(pow(w / 20.0 * a + (1 - w / 20.0) * c - y, 2)) AS s, count(*) AS n FROM e, range(21) t(w) WHERE a IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2), d AS (SELECT d AS draw, {_poisson('12', 'd', 'g')} AS m, c.* FROM c, range({_DRAWS}) r(d)),
+l AS (SELECT draw, w, round(sum(m * s) / sum(m * n), 9) AS l FROM d GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY l, w) AS r FROM l) SELECT w / 20.0 AS weight, count(*) AS draws FROM r WHERE r = 1 GROUP BY 1""")
+def poisson_weight_bootstrap(spark, folder):
+    """How often each blend weight is the best one over draws of groups."""
+    rows = T.table(spark, folder, "part").where("p_partkey % 5 <> 0 and p_partkey % 3 <> 0").select((F.col("p_partkey") % 400).alias("g"), F.log("p_retailprice").alias("y"), (7.0 + F.col("p_size") / 100).alias("a"), (7.2 + (F.col("p_partkey") % 10) / 50).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("w"))
+    cells = rows.groupBy("g", "w").agg(F.sum(F.expr("pow(w / 20 * a + (1 - w / 20) * c - y, 2)")).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    each = R.poisson_sums(cells, [["g"]], ["w"], {"s": F.col("s"), "n": F.col("n")}, _DRAWS, 12)
+    best = each.groupBy("draw").agg(F.min(F.struct(F.round(F.col("s") / F.col("n"), 9).alias("l"), "w")).alias("_b"))
+    return best.groupBy((F.col("_b.w") / 20).alias("weight")).agg(F.count(F.lit(1)).alias("draws"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +45,50 @@ def max_t_sign_flips(df: DataFrame, test: str, cluster: str, value: str, flips:
     tops = cells.join(signed, cluster).groupBy("flip", test).agg(studentised(F.col("_v") * F.col("_g")).alias("_t")).groupBy("flip").agg(F.max("_t").alias("_top"))
     reached = own.crossJoin(tops).groupBy(test).agg(F.count_if(F.col("_top") >= F.col("statistic") - 1e-9).alias("_hits"))
     return own.join(reached, test).select(test, "clusters", "statistic", ((F.col("_hits") + 1) / F.lit(flips + 1.0)).alias("p_value"))
+
+
+#: Below these 32-bit numbers a draw counts a cluster 0, 1, 2, ... times: cumulative chances of the Poisson distribution of mean 1.
+POISSON = tuple(int(p * (1 << 32)) for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+
+
+def poisson_weight(*parts: Column) -> Column:
+    """How often a draw counts a cluster: a Poisson number of mean 1 from the digest of the parts."""
+    number = digest_number(*parts)
+    out = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        out = F.when(number < POISSON[k], k).otherwise(out)
+    return out
+
+
+def poisson_sums(cells: DataFrame, levels: list[list[str]], by: list[str], sums: dict[str, Column], draws: int, seed: int) -> DataFrame:
+    """(draw, by, sums): what each draw of clusters adds up to, where a cluster's rows count as often as its digest says.
+
+    `cells` has a row for each cluster (of the finest level). Each level, a list of columns, draws a number of its own, and they are multiplied:
+    with two, whole outer clusters are drawn and inner ones in them. Clusters aren't numbered and never meet each other; tasks add
+    up their own, so what is shuffled is a row for each draw and task. For clusters in their thousands the numbers drawn differ little from
+    drawing as many clusters as there are.
+    """
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    weight = F.lit(1)
+    for at, level in enumerate(levels):
+        weight = weight * poisson_weight(F.lit(seed + at), F.col("draw"), *map(F.col, level))
+    weighted = drawn.withColumn("_w", weight).where("_w > 0")
+    return weighted.groupBy("draw", *by).agg(*(F.sum(F.col("_w") * c).alias(name) for name, c in sums.items()))
+
+
+def spread(each: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
+    """The 5 %, 50 % and 95 % points of a statistic over draws, the share under zero, and the draws in which it is defined."""
+    v = value
+    return each.groupBy(*(by or [])).agg(
+        F.percentile(v, F.lit(0.05)).alias("low"), F.percentile(v, F.lit(0.5)).alias("middle"), F.percentile(v, F.lit(0.95)).alias("high"), F.avg((v < 0).cast("double")).alias("share_below_zero"), F.count(v).alias("defined")
+    )
+
+
+def poisson_bootstrap(df: DataFrame, cluster: list[str], value: str, draws: int, seed: int, by_row: bool = False, outer: list[str] | None = None) -> DataFrame:
+    """The mean of cluster means (or of the clusters' pooled rows), observed and over draws; with `outer`, clusters are drawn inside outer ones."""
+    keys = [*(outer or []), *cluster]
+    cells = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).cast("double").alias("_n"))
+    sums = {"a": F.col("_s"), "b": F.col("_n")} if by_row else {"a": F.col("_s") / F.col("_n"), "b": F.lit(1.0)}
+    observed = cells.agg((F.sum(sums["a"]) / F.sum(sums["b"])).alias("observed"), F.count(F.lit(1)).alias("clusters"))
+    each = poisson_sums(cells, [outer, keys] if outer else [keys], [], sums, draws, seed)
+    return observed.crossJoin(spread(each, F.col("a") / F.col("b")))  # single rows

@@ -34,9 +34,15 @@ def specification_summary(spark, folder):
     return rounded(rows.groupBy("specification").agg(F.count(F.lit(1)).alias("rows"), F.avg("p_retailprice").alias("mean")), "mean", digits=4)
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS deep FROM events")
+_NESTED = """'{"a":{"b":' || props || ',"t":"' || event_type || '"}}'"""
+
+
+@query(f"""SELECT event_id, json_extract_string({_NESTED}, '$.a.b.k') AS k, json_extract_string({_NESTED}, '$.a.t') AS t, json_extract_string({_NESTED}, '$.a.b.none') AS none, json_extract_string(props, '$.k') AS shallow FROM events""")
 def nested_paths(spark, folder):
-    return T.table(spark, folder, "events").select("event_id", H.nested(F.col("props"), "k").alias("k"), H.nested(F.col("props"), "k", "deeper").alias("deep"))
+    events = T.table(spark, folder, "events")
+    text = F.concat(F.lit('{"a":{"b":'), "props", F.lit(',"t":"'), "event_type", F.lit('"}}'))
+    paths = {"k": ("a", "b", "k"), "t": ("a", "t"), "none": ("a", "b", "none")}
+    return events.select("event_id", *(H.nested(text, *path).alias(name) for name, path in paths.items()), H.nested(F.col("props"), "k").alias("shallow"))
 
 
 @query("SELECT p_partkey, round(p_retailprice * 1e6, 2) AS per_million, round(p_size * 1e-3, 6) AS seconds FROM part")
@@ -442,11 +448,14 @@ def payload_tiers(spark, folder):
     return D.tier_rows(parts, ["p_partkey"], "tiers", "standard")
 
 
-@query("""SELECT count(*) AS rows, 0 AS changed_numbers, count(DISTINCT c_name) AS pseudonyms FROM customer""")
+@query("""WITH a AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), b AS (SELECT c_custkey, c_nationkey, c_acctbal + CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS c_acctbal FROM customer)
+SELECT count(*) AS rows, count(DISTINCT c_name) AS pseudonyms, count(*) FILTER (length(sha256('salt' || c_name)) = 64) AS hidden, (SELECT count(*) FROM (FROM a EXCEPT ALL FROM a)) AS changed_numbers, (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) + (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS changed_when_spoiled FROM customer""")
 def privacy_projection(spark, folder):
-    """Names become pseudonyms; the numbers beside them must be the same multiset as before."""
+    """Names become pseudonyms; the numbers beside them must be the same multiset as before, and a table with spoiled numbers is caught."""
     customers = T.table(spark, folder, "customer")
     hidden = T.pseudonyms(customers, ["c_name"], "salt")
+    spoiled = hidden.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 50 == 0, 1).otherwise(0))
     numbers = ["c_custkey", "c_nationkey", "c_acctbal"]
-    changed = M.multiset_difference(customers, hidden, numbers).agg(F.count(F.lit(1)).cast("int").alias("changed_numbers"))
-    return hidden.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("c_name").alias("pseudonyms")).crossJoin(changed)  # single rows
+    changed = lambda df, name: M.multiset_difference(customers, df, numbers).agg(F.count(F.lit(1)).alias(name))
+    counts = hidden.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("c_name").alias("pseudonyms"), F.count_if(F.length("c_name") == 64).alias("hidden"))
+    return counts.crossJoin(changed(hidden, "changed_numbers")).crossJoin(changed(spoiled, "changed_when_spoiled"))  # single rows
