@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +44,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or one beside the warehouse if that is unset."""
+    """The shared folder for cut lineage: spark.checkpoint.dir. If that is unset, one beside the warehouse, which executors must share.
+
+    A local session shares any folder; on a cluster a warehouse on the driver's own disk is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        master = spark.sparkContext.master
+        if urlparse(root).scheme in ("", "file") and not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,18 @@ def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = Tru
     return raw.dropna("all")
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], key: list[str]) -> None:
-    """CSV with columns and row order fixed; null is an empty field. Files are cut by key ranges, not gathered in one."""
-    df.select(*columns).orderBy(*key).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
+def first_seen_union(*tables: DataFrame) -> DataFrame:
+    """All rows of tables of unlike columns, with the columns in the order in which they are first seen; what a table lacks is null."""
+    columns = list(dict.fromkeys(c for t in tables for c in t.columns))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select(*(F.col(f"`{c}`") for c in columns))
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None, key: list[str]) -> None:
+    """CSV with columns (the table's own, if none are given) and row order fixed; null is an empty field.
+
+    Files are cut by key ranges, not gathered in one.
+    """
+    df.select(*(columns or df.columns)).orderBy(*key).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
 
 
 def write_gzip_csv(df: DataFrame, path: str, columns: list[str], key: list[str]) -> None:
