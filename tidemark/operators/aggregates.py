@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAD_SCALE = 1.4826
+#: Of the sketches that bracket a quantile: ranks are right to one in so many.
+ACCURACY = 10_000
 
 
 def cumulative_counts(df: DataFrame, keys: list[str], value: str, slices: int = 32) -> DataFrame:
@@ -24,14 +28,34 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, slices: int =
     return cut.join(starts, [*keys, "_s"]).withColumn("before", F.col("_b") + inside).drop("_s", "_b")
 
 
+def beside(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` with what a table has for its keys (null ones too); without keys the table is one row."""
+    if not keys:
+        return df.crossJoin(table)
+    named = table.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    return df.join(named, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]).drop(*(f"_key_{k}" for k in keys))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, for keys of any size: the two order statistics around each level."""
-    counts = cumulative_counts(df.where(f"{value} is not null"), keys, value)
-    sizes = counts.groupBy(*keys).agg(F.sum("rows").alias("_n"))
-    joined = counts.join(sizes, keys) if keys else counts.crossJoin(sizes)  # without keys the size is one row
-    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (F.col("before") + F.col("rows") > rank), F.col(value)))
+    """Exact quantiles with linear interpolation, for keys of any size: the two order statistics around each level.
+
+    Sketches bracket each level between two values that are sure to lie on either side of it. A second pass counts the rows between brackets, and the
+    values inside them one by one, so a few in ten thousand values of a large key are shuffled and sorted; a small key's are all.
+    """
+    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_q"))
+    margin, small = 3 / ACCURACY, 2 * ACCURACY
+    shares = [p for q in levels.values() for p in (max(0.0, q - margin), min(1.0, q + margin))]
+    edges = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_q").alias("_least"), F.max("_q").alias("_most"), F.percentile_approx("_q", shares, F.lit(ACCURACY)).alias("_edges"))
+    joined, v, tiny = beside(held, edges, keys), F.col("_q"), F.col("_n") < small
+    pairs = [(F.when(tiny, F.col("_least")).otherwise(F.col("_edges")[2 * i]), F.when(tiny, F.col("_most")).otherwise(F.col("_edges")[2 * i + 1])) for i in range(len(levels))]
+    region = reduce(lambda a, b: a + b, ((v >= low).cast("int") + (v > high).cast("int") for low, high in pairs))
+    inside = reduce(lambda a, b: a | b, (v.between(low, high) for low, high in pairs))
+    counted = joined.groupBy(*keys, "_n", region.alias("_region"), F.when(inside, v).alias("_q")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_region", "_q").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     place = {n: (F.col("_n") - 1) * F.lit(q) for n, q in levels.items()}
-    found = joined.groupBy(*keys, "_n").agg(*(at(f(p)).alias(f"_{n}{k}") for n, p in place.items() for k, f in (("l", F.floor), ("h", F.ceil))))
+    at = lambda rank: F.max(F.when((F.col("_before") <= rank) & (F.col("_before") + F.col("_rows") > rank), v))
+    found = placed.groupBy(*keys, "_n").agg(*(at(f(p)).alias(f"_{n}{k}") for n, p in place.items() for k, f in (("l", F.floor), ("h", F.ceil))))
     return found.select(*keys, *((F.col(f"_{n}l") + (F.col(f"_{n}h") - F.col(f"_{n}l")) * (p - F.floor(p))).alias(n) for n, p in place.items()))
 
 
@@ -49,18 +73,19 @@ def error_bundle(df: DataFrame, keys: list[str], error: str) -> DataFrame:
     """What a set of log10 errors says: counts, typical and tail factors, bias and shares within factors."""
     e, size = F.col(error), F.abs(F.col(error))
     within = lambda factor: F.avg((size <= F.log10(F.lit(factor))).cast("double"))
-    return df.where(e.isNotNull()).groupBy(*keys).agg(
+    held = df.where(e.isNotNull())
+    factors = {"median_factor": 0.5, "p80_factor": 0.8, "p90_factor": 0.9}
+    sized = quantiles(held.select(*keys, size.alias("_size")), keys, "_size", factors)
+    sums = held.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.pow(F.lit(10.0), F.median(size)).alias("median_factor"),
         F.pow(F.lit(10.0), F.avg(size)).alias("geomean_factor"),
         F.sqrt(F.avg(e * e)).alias("rmse_log10"),
         F.pow(F.lit(10.0), F.avg(e)).alias("bias_factor"),
         within(1.5).alias("within_1_5"),
         within(2.0).alias("within_2"),
         within(3.0).alias("within_3"),
-        F.pow(F.lit(10.0), F.percentile(size, F.lit(0.8))).alias("p80_factor"),
-        F.pow(F.lit(10.0), F.percentile(size, F.lit(0.9))).alias("p90_factor"),
     )
+    return beside(sums, sized.withColumns({f: F.pow(F.lit(10.0), F.col(f)) for f in factors}), keys)
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -88,20 +113,21 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
 
 def volatility(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The spread of a positive series on the log scale: deviation, median absolute deviation, ratio of extremes."""
-    logs = df.where(F.col(value) > 0).withColumn("_l", F.log(value))
-    centre = logs.groupBy(*keys).agg(F.median("_l").alias("_m"))
-    return logs.join(centre, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.stddev_pop("_l").alias("log_std"),
-        F.median(F.abs(F.col("_l") - F.col("_m"))).alias("log_mad"),
-        (F.max(value) / F.min(value)).alias("max_over_min"),
-    )
+    logs = df.where(F.col(value) > 0).withColumn("_l", F.log(value)).select(*keys, value, "_l")
+    sums = logs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_l").alias("log_std"), (F.max(value) / F.min(value)).alias("max_over_min"))
+    return beside(sums, absolute_deviation(logs, keys, "_l").select(*keys, F.col("deviation").alias("log_mad")), keys)
+
+
+def absolute_deviation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The median (centre) and the median absolute deviation from it (deviation), for keys of any size."""
+    centres = quantiles(df, keys, value, {"centre": 0.5})
+    away = beside(df.select(*keys, F.col(value).alias("_x")), centres, keys).select(*keys, F.abs(F.col("_x") - F.col("centre")).alias("_away"))
+    return beside(centres, quantiles(away, keys, "_away", {"deviation": 0.5}), keys)
 
 
 def robust_scale(df: DataFrame, keys: list[str], value: str, least: float = 1e-6) -> DataFrame:
     """Median and scaled absolute deviation; where that vanishes, the standard deviation; where that does too, 1."""
-    centre = df.groupBy(*keys).agg(F.median(value).alias("centre"))
-    spread = df.join(centre, keys).groupBy(*keys).agg(F.first("centre").alias("centre"), (MAD_SCALE * F.median(F.abs(F.col(value) - F.col("centre")))).alias("_mad"), F.stddev_pop(value).alias("_sd"))
+    spread = beside(absolute_deviation(df, keys, value), df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd")), keys).withColumn("_mad", MAD_SCALE * F.col("deviation"))
     scale = F.when(F.col("_mad") >= least, F.col("_mad")).when(F.col("_sd") >= least, F.col("_sd")).otherwise(1.0)
     return spread.select(*keys, "centre", scale.alias("scale"))
 
@@ -217,7 +243,8 @@ def normalised_index(df: DataFrame, fine: str, coarse: str, entity: str, value:
     """Entities' geometric index after removing the median of (coarse, fine) with enough rows, else of coarse, else of fine, else of all."""
     logs = df.where(F.col(value) > 0).select(entity, coarse, fine, F.log(value).alias("_l"))
     levels = [([coarse, fine], "_a"), ([coarse], "_b"), ([fine], "_c")]
-    medians = {name: logs.groupBy(*keys).agg(F.median("_l").alias(name), F.count(F.lit(1)).alias(f"{name}n")) for keys, name in levels}
+    sizes = {name: logs.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}n")) for keys, name in levels}
+    medians = {name: beside(sizes[name], quantiles(logs, keys, "_l", {name: 0.5}), keys) for keys, name in levels}
     table = medians["_a"].join(medians["_b"], coarse).join(medians["_c"], fine).crossJoin(quantiles(logs, [], "_l", {"_d": 0.5}))  # one row
     base = F.col("_d")
     for _, name in reversed(levels):
