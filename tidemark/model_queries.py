@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import aggregates as A
 from tidemark.operators import windows as W
 from tidemark.plans import evaluation as E
 from tidemark.plans import linear as L
@@ -211,8 +212,8 @@ def split_half_normal(spark, folder):
 @query("""WITH k AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.1) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.9) AS c FROM orders GROUP BY 1), g AS (SELECT *, unnest([0.05, 0.1, 0.3, 0.5, 0.8, 0.95]) AS p FROM k)
 SELECT o_orderpriority, CAST(p AS DOUBLE) AS p, round(CASE WHEN p <= 0.1 THEN a WHEN p <= 0.5 THEN exp(ln(a) + (p - 0.1) / 0.4 * (ln(b) - ln(a))) WHEN p <= 0.9 THEN exp(ln(b) + (p - 0.5) / 0.4 * (ln(c) - ln(b))) ELSE c END, 2) AS value FROM g""")
 def quantile_reconstruction(spark, folder):
-    known = T.table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", [0.1, 0.5, 0.9]).alias("k"))
-    levels = known.withColumn("p", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.3, 0.5, 0.8, 0.95)))))
+    known = A.quantiles(T.table(spark, folder, "orders"), ["o_orderpriority"], "o_totalprice", {"a": 0.1, "b": 0.5, "c": 0.9})
+    levels = known.select("o_orderpriority", F.array("a", "b", "c").alias("k")).withColumn("p", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.3, 0.5, 0.8, 0.95)))))
     value = E.quantile_function(F.col("p"), [(q, F.col("k")[i]) for i, q in enumerate((0.1, 0.5, 0.9))])
     return levels.select("o_orderpriority", "p", F.round(value, 2).alias("value"))
 

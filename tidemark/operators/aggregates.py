@@ -12,20 +12,19 @@ MAD_SCALE = 1.4826
 ACCURACY = 10_000
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, slices: int = 32) -> DataFrame:
-    """Each distinct value of a key with its rows and the rows below it.
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, slices: int = 32, weight: Column | None = None) -> DataFrame:
+    """Each distinct value of a key with its rows (or the sum of a weight) and those below it.
 
     Values are counted first, and a key's values are cut into slices at approximate quantiles; running sums go inside a slice and
     over a key's few slices, so that no task sorts or holds a whole key.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows"))
+    counts = df.groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("rows"))
     edges = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], F.lit(1000)).alias("_e"))
-    joined = counts.join(edges, keys) if keys else counts.crossJoin(edges)  # without keys the edges are one row
-    cut = joined.withColumn("_s", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    cut = beside(counts, edges, keys).withColumn("_s", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
     earlier = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy(*keys, "_s").agg(F.sum("rows").alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
-    inside = F.sum("rows").over(Window.partitionBy(*keys, "_s").orderBy(value)) - F.col("rows")
-    return cut.join(starts, [*keys, "_s"]).withColumn("before", F.col("_b") + inside).drop("_s", "_b")
+    inside = F.coalesce(F.sum("rows").over(Window.partitionBy(*keys, "_s").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return beside(cut, starts, [*keys, "_s"]).withColumn("before", F.col("_b") + inside).drop("_s", "_b")
 
 
 def beside(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,27 +87,25 @@ def error_bundle(df: DataFrame, keys: list[str], error: str) -> DataFrame:
     return beside(sums, sized.withColumns({f: F.pow(F.lit(10.0), F.col(f)) for f in factors}), keys)
 
 
+def _cumulative_weights(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """Distinct values with their weight (rows), the weight below them (before) and the key's whole weight (_t)."""
+    sums = cumulative_counts(df.where(f"{weight} > 0 and {value} is not null"), keys, value, weight=F.col(weight))
+    return beside(sums, sums.groupBy(*keys).agg(F.sum("rows").alias("_t")), keys)
+
+
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """The smallest value at which the cumulative weight reaches half the total; equal values are summed first."""
-    sums = df.where(f"{weight} > 0 and {value} is not null").groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    up = Window.partitionBy(*keys).orderBy(value)
-    ranked = sums.withColumn("_c", F.sum("_w").over(up)).withColumn("_t", F.sum("_w").over(Window.partitionBy(*keys)))
-    return ranked.where("_c >= _t / 2").groupBy(*keys).agg(F.min(value).alias("weighted_median"))
+    """The smallest value at which the cumulative weight reaches half the total; equal values are summed first, in slices of a key."""
+    sums = _cumulative_weights(df, keys, value, weight)
+    return sums.where(F.col("before") + F.col("rows") >= F.col("_t") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
     """Linear interpolation between mid-point positions (cumulative weight less half of one's own, over the total), clamped."""
-    sums = df.where(f"{weight} > 0 and {value} is not null").groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    up = Window.partitionBy(*keys).orderBy(value)
-    position = (F.sum("_w").over(up) - F.col("_w") / 2) / F.sum("_w").over(Window.partitionBy(*keys))
-    placed = sums.withColumn("_p", position)
-    bracketed = placed.withColumn("_v2", F.lead(value).over(up)).withColumn("_p2", F.lead("_p").over(up))
-    between = (F.col("_p") <= q) & (F.col("_p2") > q)
-    inside = F.max(F.when(between, F.col(value) + (F.col("_v2") - F.col(value)) * (q - F.col("_p")) / (F.col("_p2") - F.col("_p"))))
-    below, above = F.min(F.struct("_p", value)), F.max(F.struct("_p", value))
-    return bracketed.groupBy(*keys).agg(inside.alias("_i"), below.alias("_b"), above.alias("_a")).select(
-        *keys, F.coalesce("_i", F.when(F.col("_b._p") > q, F.col(f"_b.{value}")).otherwise(F.col(f"_a.{value}"))).alias("weighted_quantile")
-    )
+    placed = _cumulative_weights(df, keys, value, weight).withColumn("_p", (F.col("before") + F.col("rows") / 2) / F.col("_t"))
+    at = F.struct("_p", F.col(value).alias("_v"))
+    ends = placed.groupBy(*keys).agg(F.max(F.when(F.col("_p") <= q, at)).alias("_a"), F.min(F.when(F.col("_p") > q, at)).alias("_b"))
+    between = F.col("_a._v") + (F.col("_b._v") - F.col("_a._v")) * (q - F.col("_a._p")) / (F.col("_b._p") - F.col("_a._p"))
+    return ends.select(*keys, F.coalesce(between, F.col("_a._v"), F.col("_b._v")).alias("weighted_quantile"))
 
 
 def volatility(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.aggregates import beside, quantiles
+
 
 def log_blend(estimates: list[Column], weights: list[float]) -> Column:
     """The weighted geometric mean of the estimates that are there, weights spread anew over them; null if none is."""
@@ -45,12 +47,13 @@ def simplex(df: DataFrame, predictors: list[str], actual: str, steps: int) -> Da
 
 def winsorised_tail(df: DataFrame, keys: list[str], value: str, reference: float, strengths: list[float]) -> DataFrame:
     """Values above a reference pulled towards it by each strength, the centre never lowered: medians and upper quantiles."""
-    centre = df.groupBy(*keys).agg(F.median(value).alias("_m"))
+    centre = quantiles(df, keys, value, {"_m": 0.5})
     levels = F.explode(F.array(*map(F.lit, strengths))).alias("strength")
     limit = F.greatest(F.col("_m"), F.lit(reference))
     pulled = F.when(F.col(value) > limit, F.exp(F.log(value) + F.col("strength") * (F.log(limit) - F.log(value)))).otherwise(F.col(value))
-    spread = df.join(centre, keys).select("*", levels).withColumn("_p", pulled)
-    return spread.groupBy(*keys, "strength").agg(F.median("_p").alias("median"), F.percentile("_p", F.lit(0.9)).alias("p90"), F.avg("_p").alias("mean"))
+    rows = beside(df.where(f"{value} is not null").select(*keys, value), centre, keys).select("*", levels).select(*keys, "strength", pulled.alias("_p"))
+    by = [*keys, "strength"]
+    return beside(rows.groupBy(*by).agg(F.avg("_p").alias("mean")), quantiles(rows, by, "_p", {"median": 0.5, "p90": 0.9}), by)
 
 
 def sequential_coverage(df: DataFrame, group: str, day: str, error: str, factor_log10: float, least: int) -> DataFrame:

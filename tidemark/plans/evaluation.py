@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.aggregates import beside, cumulative_counts, quantiles
 from tidemark.plans.resampling import digest_number
 
 LOG10_E = 0.4342944819032518
@@ -84,9 +85,8 @@ def factor_envelope(df: DataFrame, specifications: list[str], size: str, coverag
 
     Errors are counted by value first, so that ranks are running sums over distinct values.
     """
-    counts = df.where(f"{size} is not null").groupBy(*specifications, size).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*specifications).orderBy(size)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(up)).withColumn("n", F.sum("_c").over(Window.partitionBy(*specifications)))
+    counts = cumulative_counts(df.where(f"{size} is not null"), specifications, size).withColumn("_upto", F.col("before") + F.col("rows"))
+    ranked = beside(counts, counts.groupBy(*specifications).agg(F.sum("rows").alias("n")), specifications)
     reached = ranked.withColumn("rank", F.ceil((F.col("n") + 1) * F.lit(coverage)).cast("long")).where("_upto >= rank")
     each = reached.groupBy(*specifications, "n", "rank").agg(F.min(size).alias("factor"))
     return each.crossJoin(each.agg(F.max("factor").alias("envelope")))  # the envelope is one row
@@ -204,5 +204,6 @@ def calibrated(df: DataFrame, anchor: Column, actual: str, estimate: str) -> Dat
 
 def error_band(df: DataFrame, held_out: Column, error: str, central: str, quantile: float = 0.8) -> DataFrame:
     """A central value divided and multiplied by ten to the quantile of held-out absolute log10 errors."""
-    factor = df.where(held_out).agg(F.pow(F.lit(10.0), F.percentile(F.abs(F.col(error)), F.lit(quantile))).alias("_f"))
+    sizes = df.where(held_out).select(F.abs(F.col(error)).alias("_size"))
+    factor = quantiles(sizes, [], "_size", {"_f": quantile}).select(F.pow(F.lit(10.0), F.col("_f")).alias("_f"))
     return df.crossJoin(factor).withColumn("low", F.col(central) / F.col("_f")).withColumn("high", F.col(central) * F.col("_f")).drop("_f")  # one row

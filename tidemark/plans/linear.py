@@ -154,7 +154,7 @@ def residual_ridge(df: DataFrame, keys: list[str], part: str, feature: str, resi
 
 def feature_bases(df: DataFrame, train: Column, x: str, z: str) -> DataFrame:
     """Square, interaction and hinges at the quartiles of x, which are those of the training rows."""
-    knots = df.where(train).agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_k"))
+    knots = quantiles(df.where(train), [], x, {"_a": 0.25, "_b": 0.5, "_c": 0.75}).select(F.array("_a", "_b", "_c").alias("_k"))
     hinges = {f"hinge_{i + 1}": F.greatest(F.lit(0.0), F.col(x) - F.col("_k")[i]) for i in range(3)}
     return df.crossJoin(knots).withColumns({"square": F.col(x) * F.col(x), "interaction": F.col(x) * F.col(z), **hinges}).drop("_k")  # knots are one row
 
