@@ -26,8 +26,8 @@ def test_walk_forward_never_sees_its_group_or_its_day(spark):
 def test_huber_resists_outliers(spark):
     rng = random.Random(4)
     rows = [("a", float(x), 3.0 + 2.0 * x + rng.gauss(0, 0.1)) for x in range(100)] + [("a", 50.0, 9000.0)] * 5 + [("a", None, 1.0)]
-    fit = regression.huber_line(spark.createDataFrame(rows, "g string, x double, y double"), "g", "x", "y").first()
-    assert fit.n == 105 and fit.slope == pytest.approx(2.0, abs=0.02) and fit.intercept == pytest.approx(3.0, abs=0.5)
+    fit = linear.huber_fit(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], ["x"], "y").first()
+    assert fit.n == 105 and fit.b1 == pytest.approx(2.0, abs=0.02) and fit.b0 == pytest.approx(3.0, abs=0.5)
 
 
 def test_student_t_by_table(spark):

@@ -54,10 +54,10 @@ def solve(sums: DataFrame, keys: list[str], k: int, ridge: float | str = 0.0) ->
     return asked.mapInPandas(run, schema)
 
 
-def huber_fit(df: DataFrame, keys: list[str], features: list[str], y: str, ridge: float = 0.0, turns: int = 12, c: float = 1.345) -> DataFrame:
+def huber_fit(df: DataFrame, keys: list[str], features: list[str], y: str, ridge: float = 0.0, turns: int = 12, c: float = 1.345, still: float = 1e-12) -> DataFrame:
     """Several features by iteratively reweighted least squares with Huber's weights; the scale is 1.4826 times the exact median of absolute residuals.
 
-    A turn is one pass of weighted sums and one exact median; coefficients are written between turns, so that a lost executor costs one turn.
+    It ends after `turns`, or once no coefficient of any key moves by more than `still` of its size. A turn is one pass of weighted sums and one exact median; coefficients are written between turns, so that a lost executor costs one turn.
     """
     rows = materialize(complete(df, [*features, y]).select(*keys, *features, y))
     fits, weighted = None, rows.withColumn("_w", F.lit(1.0))
@@ -65,13 +65,23 @@ def huber_fit(df: DataFrame, keys: list[str], features: list[str], y: str, ridge
         sums = weighted.groupBy(*keys).agg(*product_sums(features, y, F.col("_w")))
         last, fits = fits, materialize(solve(sums, keys, len(features), ridge).join(sums.select(*keys, F.col("n").cast("long").alias("n")), keys))
         if last is not None:
+            moved = _largest_move(last, fits, keys, len(features))
             discard(last)
+            if moved <= still:
+                break
         left = rows.join(fits, keys).withColumn("_r", F.abs(F.col(y) - predicted(features))).select(*rows.columns, "_r")
         scales = quantiles(left, keys, "_r", {"_s": 0.5})
         weighted = left.join(scales, keys).withColumn("_w", F.least(F.lit(1.0), c * F.greatest(1.4826 * F.col("_s"), F.lit(1e-9)) / F.greatest("_r", F.lit(1e-12)))).drop("_r", "_s")
     return fits
 
 
+def _largest_move(before: DataFrame, after: DataFrame, keys: list[str], k: int) -> float:
+    """The largest change of any coefficient between two turns, relative to one more than its size."""
+    old = before.select(*keys, *(F.col(f"b{i}").alias(f"_b{i}") for i in range(k + 1)))
+    moves = [F.abs(F.col(f"b{i}") - F.col(f"_b{i}")) / (1 + F.abs(f"b{i}")) for i in range(k + 1)]
+    return after.join(old, keys).agg(F.max(F.greatest(*moves, F.lit(0.0))).alias("m")).first().m or 0.0
+
+
 def predicted(features: list[str]) -> Column:
     out = F.col("b0")
     for i, f in enumerate(features, 1):

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import discard, materialize
-
 _SUMS = ("_n", "_x", "_y", "_xx", "_xy")
 
 
@@ -57,25 +55,3 @@ def within_group_slope(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     xy = F.sum(F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_n"))
     xx = F.sum(F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_n"))
     return cells.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").cast("long").alias("n"), (xy / xx).alias("slope"))
-
-
-def huber_line(df: DataFrame, group: str, x: str, y: str, turns: int = 12, c: float = 1.345, ridge: float = 1e-6) -> DataFrame:
-    """A line for each group by iteratively reweighted least squares with Huber's weights and a scale from the median deviation.
-
-    Each turn is one pass of weighted sums; the coefficients of the groups are written to the shared folder between
-    turns, so a lost executor costs one turn.
-    """
-    rows = materialize(df.select(group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null"))
-    weighted, fits = rows.withColumn("_w", F.lit(1.0)), None
-    for _ in range(turns):
-        w, a, b = F.col("_w"), F.col("_x"), F.col("_y")
-        sums = weighted.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * a).alias("x"), F.sum(w * b).alias("y"), F.sum(w * a * a).alias("xx"), F.sum(w * a * b).alias("xy"))
-        slope = (F.col("xy") - F.col("x") * F.col("y") / F.col("w")) / (F.col("xx") - F.col("x") * F.col("x") / F.col("w") + ridge)
-        last, fits = fits, materialize(sums.withColumn("slope", slope).select(group, "n", "slope", ((F.col("y") - F.col("slope") * F.col("x")) / F.col("w")).alias("intercept")))
-        if last is not None:
-            discard(last)
-        residual = F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))
-        joined = rows.join(fits.select(group, "slope", "intercept"), group).withColumn("_r", residual).drop("slope", "intercept")
-        scale = joined.groupBy(group).agg((1.4826 * F.percentile_approx("_r", F.lit(0.5), F.lit(10_000))).alias("_s"))
-        weighted = joined.join(scale, group).withColumn("_w", F.least(F.lit(1.0), c * F.greatest("_s", F.lit(1e-9)) / F.greatest("_r", F.lit(1e-12))))
-    return fits

@@ -13,7 +13,7 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import matching as M
 from tidemark.operators import windows as W
 from tidemark.operators.prefixes import prefix_ranks
-from tidemark.plans import ensembles, regression, resampling
+from tidemark.plans import ensembles, linear, regression, resampling
 from tidemark.registry import ORDERS as _ORDERS
 from tidemark.registry import QUERIES, SQL, Query, query, rounded
 from tidemark.registry import orders_panel as _orders
@@ -599,10 +599,21 @@ def promotion_gate(spark, folder):
     return ensembles.promotion_gate(facts, ["p_brand"], {"enough": F.col("n") >= 70, "large": F.col("size") > 25, "dear": F.col("price") > 1500})
 
 
-@query()
+def _huber_sql(turns: int, c: float = 1.345) -> str:
+    """Huber's reweighted lines, turn by turn: a fit, its residuals, their median, and the next weights."""
+    out = ["r0 AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y, CAST(1 AS DOUBLE) AS w FROM lineitem)"]
+    for k in range(turns):
+        out.append(f"s{k} AS (SELECT g, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy, count(*) AS n FROM r{k} GROUP BY g)")
+        out.append(f"f{k} AS (SELECT g, n, (xy - x * y / w) / (xx - x * x / w) AS b, (y - (xy - x * y / w) / (xx - x * x / w) * x) / w AS a FROM s{k})")
+        out.append(f"e{k} AS (SELECT g, x, y, abs(y - a - b * x) AS e FROM r{k} JOIN f{k} USING (g))")
+        out.append(f"r{k + 1} AS (SELECT g, x, y, least(1.0, {c} * greatest(1.4826 * m, 1e-9) / greatest(e, 1e-12)) AS w FROM e{k} JOIN (SELECT g, median(e) AS m FROM e{k} GROUP BY g) USING (g))")
+    return f"WITH {', '.join(out)} SELECT g AS l_returnflag, n, round(b, 3) AS slope, round(a, 3) AS intercept FROM f{turns - 1}"
+
+
+@query(_huber_sql(12))
 def huber_line_fit(spark, folder):
-    """No SQL: iterative. Tests hold it against a plain loop."""
-    return rounded(regression.huber_line(T.table(spark, folder, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice"), "slope", "intercept", digits=4)
+    fits = linear.huber_fit(T.table(spark, folder, "lineitem"), ["l_returnflag"], ["l_quantity"], "l_extendedprice")
+    return rounded(fits.select("l_returnflag", "n", F.col("b1").alias("slope"), F.col("b0").alias("intercept")), "slope", "intercept", digits=3)
 
 
 @query()
