@@ -76,7 +76,6 @@ def test_of_two_writers_one_publishes(rows, tmp_path):
 
     def run(total):
         writer = Slow(tmp_path / "race", rows.schema)
-        writer.staging.mkdir(parents=True)
         (writer.staging / "p").write_text("x")
         try:
             writer.commit([Written("p", 1, total, "0")])

@@ -59,6 +59,16 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, folder: Path, schema: StructType):
         self.folder, self.fields = folder, [f.simpleString() for f in schema.fields if f.name != DIGEST]
         self.staging = folder / f".staging-{uuid.uuid4().hex}"
+        self.staging.mkdir(parents=True)  # here and not in tasks: one that outlives an abort can't bring it back
+
+    def _clear(self) -> None:
+        """Take the staging folder away, with what tasks that are being ended still write into it."""
+        gone = self.folder / f".aborted-{uuid.uuid4().hex}"
+        try:
+            os.replace(self.staging, gone)
+        except FileNotFoundError:
+            return
+        shutil.rmtree(gone, ignore_errors=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """One file; a task that fails takes its part of it away."""
@@ -71,7 +81,6 @@ class _Writer(DataSourceArrowWriter):
                 rows += part.num_rows
                 kept = part.drop_columns([DIGEST])
                 if out is None:
-                    self.staging.mkdir(parents=True, exist_ok=True)
                     out = pq.ParquetWriter(path, kept.schema)
                 out.write_batch(kept)
             if out is None:
@@ -90,17 +99,16 @@ class _Writer(DataSourceArrowWriter):
         total = sum(m.total for m in parts) % SPACE
         said = f"{json.dumps(self.fields)}|{sum(m.rows for m in parts)}|{total:064x}"
         digest = hashlib.sha256(said.encode()).hexdigest()
-        self.folder.mkdir(parents=True, exist_ok=True)
         try:
             if self._known(digest):
                 return
             kept = {m.file for m in parts}
             data = self.folder / f"data-{uuid.uuid4().hex}"
             if parts:
-                for left in self.staging.iterdir():  # of attempts that weren't taken
+                os.replace(self.staging, data)
+                for left in data.iterdir():  # of attempts that weren't taken
                     if left.name not in kept:
                         left.unlink()
-                os.replace(self.staging, data)
             files = [{"name": f"{data.name}/{m.file}", "rows": m.rows, "sha256": m.sha256} for m in parts]
             draft = self.folder / f".manifest-{uuid.uuid4().hex}"
             draft.write_text(json.dumps({"fields": self.fields, "rows": sum(m.rows for m in parts), "digest": digest, "files": files}, indent=1))
@@ -112,7 +120,7 @@ class _Writer(DataSourceArrowWriter):
             finally:
                 draft.unlink()
         finally:
-            shutil.rmtree(self.staging, ignore_errors=True)
+            self._clear()
 
     def _known(self, digest: str) -> bool:
         """Whether these rows are published already; fails if others are."""
@@ -124,7 +132,7 @@ class _Writer(DataSourceArrowWriter):
         return True
 
     def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self._clear()
 
 
 class OnceSource(DataSource):
