@@ -103,8 +103,9 @@ def test_scores_match_plain_code_and_probabilities_add_up():
     counts = Counts(40, 8, np.arange(8, dtype=np.uint64), np.arange(8, 0, -1).astype(float), np.array([2, 2]), np.array([1, 1]))
     p = {k: 3 * v.astype(np.float64) + 0.1 for k, v in initial(counts, rules).items()}
     docs = [np.array(d, dtype=np.int32) for d in ([1, 4, 9, 0], [5, 0], [0], [8, 2, 2, 7, 3, 6, 0])]
-    for got, doc in zip(score_documents(p, docs, 0, rules), docs):
-        assert got == pytest.approx(plain_score(p, doc.tolist(), 0, rules), rel=1e-9)
+    for lanes in (1, 2, 512):  # documents that follow another in its lane, too
+        for got, doc in zip(score_documents(p, docs, 0, rules, lanes), docs):
+            assert got == pytest.approx(plain_score(p, doc.tolist(), 0, rules), rel=1e-9)
     ends = [np.array([3, t], dtype=np.int32) for t in range(10)]
     first = score_documents(p, [np.array([3], dtype=np.int32)], 0, rules)[0]
     assert np.exp(score_documents(p, ends, 0, rules) - first).sum() == pytest.approx(1.0)

@@ -266,53 +266,92 @@ def initial(counts: Counts, rules: GruRules) -> Parameters:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
 
+def step(state: np.ndarray, x: np.ndarray, h: np.ndarray, gates: np.ndarray, new: np.ndarray, inner: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """One step for all lanes: the new state, in `out`; `gates`, `new` and `inner` take what back-propagation needs.
 
-def step(parameters: Parameters, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step for all lanes: the new state, and what back-propagation needs."""
-    size = h.shape[1]
-    a = h @ parameters["state"]
-    gates = _sigmoid(x[:, : 2 * size] + a[:, : 2 * size])
-    z, r = gates[:, :size], gates[:, size:]
-    inner = a[:, 2 * size :]
-    n = np.tanh(x[:, 2 * size :] + r * inner)
-    return n + z * (h - n), z, r, n, inner
+    Here and below a feature is a row and a lane or token a column, so that numpy's inner loops run over lanes. `state`
+    is the transposed table of that name.
+    """
+    size = len(h)
+    a = state @ h
+    np.add(a[: 2 * size], x[: 2 * size], out=gates)
+    _sigmoid(gates)
+    inner[:] = a[2 * size :]
+    np.multiply(gates[size:], inner, out=new)
+    new += x[2 * size :]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=out)
+    out *= gates[:size]
+    out += new
+    return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+def _softmax_gradient(x: np.ndarray, at: np.ndarray, scale: np.floating) -> np.ndarray:
+    """In place, `scale` times the gradient of each column's cross entropy to the row that is right."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= scale / x.sum(axis=0)
+    x[at, np.arange(x.shape[1])] -= scale
     return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax at one column of each row."""
-    x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), at]
-    return picked - np.log(np.exp(x, out=x).sum(axis=1))
+    """The logarithm of the softmax at one row of each column."""
+    x -= x.max(axis=0)
+    picked = x[at, np.arange(x.shape[1])]
+    return picked - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def _with_ones(states: np.ndarray) -> np.ndarray:
+    """States with a last row of ones, which carries the biases through a product."""
+    return np.concatenate([states, np.ones((1, states.shape[1]), dtype=states.dtype)])
+
+
+def _with_bias(parameters: Parameters, name: str) -> np.ndarray:
+    return np.concatenate([parameters[name], parameters[name + "_bias"][..., None, :]], axis=-2)
 
 
 def _classes(target: np.ndarray, rules: GruRules) -> np.ndarray:
     return np.where(target < rules.words, target // rules.class_words, rules.word_classes + target - rules.words)
 
 
-def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def _order(keys: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of keys below `most`, by radix where they fit in 16 bits."""
+    return np.argsort(keys.astype(np.min_scalar_type(most)), kind="stable")
+
+
+def _by_class(cls: np.ndarray, rules: GruRules) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by class, and of each word class that occurs its number and its run in that order."""
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
-    return order, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    edges = np.cumsum(np.bincount(cls, minlength=rules.word_classes)[: rules.word_classes]).tolist()
+    return _order(cls, rules.word_classes + rules.tail_classes), [(c, a, b) for c, (a, b) in enumerate(zip([0, *edges], edges)) if b > a]
+
+
+def _word_logits(words: np.ndarray, states: np.ndarray, runs: list[tuple[int, int, int]], size: int) -> np.ndarray:
+    """Of tokens in the order of their classes, the logits of the words in their class."""
+    out = np.empty((size, runs[-1][2] if runs else 0), dtype=states.dtype)
+    for c, a, b in runs:
+        np.matmul(words[c].T, states[:, a:b], out=out[:, a:b])
+    return out
 
 
 def log_likelihood(parameters: Parameters, states: np.ndarray, target: np.ndarray, rules: GruRules) -> np.ndarray:
     """The natural log probability of each target's class, and of the word in it unless the class is a tail."""
     cls = _classes(target, rules)
-    out = _log_softmax_at(states @ parameters["class"] + parameters["class_bias"], cls).astype(np.float64)
-    order, runs = _by_class(cls, rules.word_classes)
-    states, place = states[order], target[order] % rules.class_words
-    for c, a, b in runs:
-        out[order[a:b]] += _log_softmax_at(states[a:b] @ parameters["word"][c] + parameters["word_bias"][c], place[a:b])
+    order, runs = _by_class(cls, rules)
+    states, cls, target = _with_ones(np.take(states, order, axis=1)), cls[order], target[order]
+    found = _log_softmax_at(_with_bias(parameters, "class").T @ states, cls).astype(np.float64)
+    logits = _word_logits(_with_bias(parameters, "word"), states, runs, rules.class_words)
+    m = logits.shape[1]
+    found[:m] += _log_softmax_at(logits, target[:m] % rules.class_words)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -351,17 +390,19 @@ def score_documents(parameters: Parameters, docs: list[np.ndarray], end_id: int,
     """Of each document of model ids, the sum of its tokens' log likelihoods, without what tail counts add."""
     out = np.zeros(len(docs))
     laid = Lanes(docs, lanes, np.full(len(docs), end_id, dtype=np.int32))
-    h = np.zeros((laid.target.shape[1], rules.hidden), dtype=np.float32)
-    block = 64
+    state = np.ascontiguousarray(parameters["state"].T)
+    h = np.zeros((rules.hidden, laid.target.shape[1]), dtype=state.dtype)
+    block = 16
     for first in range(0, laid.length, block):
         states, targets, owners = [], [], []
         for at in range(first, min(first + block, laid.length)):
             n = laid.active[at]
-            h = h[:n]
-            h[laid.fresh[at, :n]] = 0
-            h = step(parameters, parameters["input"][laid.read[at, :n]], h)[0]
+            h = h[:, :n].copy()  # states already kept stay as they are
+            h[:, laid.fresh[at, :n]] = 0
+            gates, new, inner, out_ = (np.empty((k * rules.hidden, n), dtype=state.dtype) for k in (2, 1, 1, 1))
+            h = step(state, np.ascontiguousarray(parameters["input"][laid.read[at, :n]].T), h, gates, new, inner, out_)
             states.append(h), targets.append(laid.target[at, :n]), owners.append(laid.doc[at, :n])
-        found = log_likelihood(parameters, np.concatenate(states), np.concatenate(targets), rules)
+        found = log_likelihood(parameters, np.concatenate(states, axis=1), np.concatenate(targets), rules)
         out += np.bincount(np.concatenate(owners), weights=found, minlength=len(docs))
     return out
 
@@ -384,59 +425,68 @@ class Trainer:
         """One window of all lanes that reach it; `learned` marks the tokens that count, which those after a lane's end don't."""
         p, rules, size = self.parameters, self.rules, self.rules.hidden
         last = min(first + rules.window, laid.length)
-        n = int(laid.active[first])
-        h, kept, starts = h[:n], [], []
-        states = np.empty((last - first, n, size), dtype=np.float32)
-        x = p["input"][laid.read[first:last, :n]]
-        for k, at in enumerate(range(first, last)):
-            start = np.where(laid.fresh[at, :n, None], np.float32(0), h)
-            h, *saved = step(p, x[k], start)
-            states[k] = h
-            kept.append(saved), starts.append(start)
+        steps, n = last - first, int(laid.active[first])
+        state = np.ascontiguousarray(p["state"].T)
+        empty = lambda rows: np.empty((steps, rows, n), dtype=state.dtype)
+        starts, states, gates, new, inner, d_in = empty(size), empty(size), empty(2 * size), empty(size), empty(size), empty(3 * size)
+        fresh, read = laid.fresh[first:last, :n], laid.read[first:last, :n]
+        restarts = fresh.any(axis=1).tolist()
+        x = p["input"][read]
+        h = h[:, :n]
+        for k in range(steps):
+            starts[k] = h
+            if restarts[k]:
+                starts[k][:, fresh[k]] = 0
+            h = step(state, np.ascontiguousarray(x[k].T), starts[k], gates[k], new[k], inner[k], states[k])
+        h = h.copy()
         counted = np.flatnonzero(learned[first:last, :n].reshape(-1))
         if not len(counted):
             return h
-        hs, target = states.reshape(-1, size)[counted], laid.target[first:last, :n].reshape(-1)[counted]
-        share = np.float32(len(counted) / (last - first))
+        target = laid.target[first:last, :n].reshape(-1)[counted]
         cls = _classes(target, rules)
-        d_class = _softmax(hs @ p["class"] + p["class_bias"])
-        d_class[np.arange(len(cls)), cls] -= 1
-        d_class /= share
-        d_counted = d_class @ p["class"].T
-        g_word, g_word_bias = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-        order, runs = _by_class(cls, rules.word_classes)
-        sorted_hs, place = hs[order], target[order] % rules.class_words
+        order, runs = _by_class(cls, rules)
+        counted, target, cls = counted[order], target[order], cls[order]
+        hs = _with_ones(np.take(states.transpose(1, 0, 2).reshape(size, -1), counted, axis=1))
+        scale = state.dtype.type(steps / len(counted))
+        classes, words = _with_bias(p, "class"), _with_bias(p, "word")
+        d_class = _softmax_gradient(classes.T @ hs, cls, scale)
+        g_class, d_counted = hs @ d_class.T, p["class"] @ d_class
+        logits = _word_logits(words, hs, runs, rules.class_words)
+        d_word = _softmax_gradient(logits, target[: logits.shape[1]] % rules.class_words, scale)
+        g_word = np.zeros_like(words)
         for c, a, b in runs:
-            d = _softmax(sorted_hs[a:b] @ p["word"][c] + p["word_bias"][c])
-            d[np.arange(b - a), place[a:b]] -= 1
-            d /= share
-            g_word[c], g_word_bias[c] = sorted_hs[a:b].T @ d, d.sum(axis=0)
-            d_counted[order[a:b]] += d @ p["word"][c].T
-        gradient_class, gradient_bias = hs.T @ d_class, d_class.sum(axis=0)
-        d_h = np.zeros(((last - first) * n, size), dtype=np.float32)
-        d_h[counted] = d_counted
-        d_h = d_h.reshape(last - first, n, size)
-        carried, g_state = np.zeros((n, size), np.float32), np.zeros_like(p["state"])
-        d_x = np.empty((last - first, n, 3 * size), dtype=np.float32)
-        for k in range(last - first - 1, -1, -1):
-            z, r, inside, inner = kept[k]
-            start, d_in = starts[k], d_x[k]
-            d = d_h[k] + carried
-            d_n = d * (1 - z) * (1 - inside * inside)
-            d_in[:, :size] = d * (start - inside) * z * (1 - z)
-            d_in[:, size : 2 * size] = d_n * inner * r * (1 - r)
-            d_in[:, 2 * size :] = d_n * r
-            g_state += start.T @ d_in
-            carried = d * z + d_in @ p["state"].T
-            carried[laid.fresh[first + k, :n]] = 0
-            d_in[:, 2 * size :] = d_n
-        read = laid.read[first:last, :n].reshape(-1)
-        order = np.argsort(read, kind="stable")
+            np.matmul(hs[:, a:b], d_word[:, a:b].T, out=g_word[c])
+            d_counted[:, a:b] += p["word"][c] @ d_word[:, a:b]
+        d_h = np.zeros((size, steps * n), dtype=state.dtype)
+        d_h[:, counted] = d_counted
+        d_h = np.ascontiguousarray(d_h.reshape(size, steps, n).transpose(1, 0, 2))
+        # What of the gradients doesn't depend on later steps is found for all steps at once.
+        z, r = gates[:, :size], gates[:, size:]
+        rest = 1 - z
+        to_update = (starts - new) * z * rest
+        to_new = (1 - new * new) * rest
+        to_reset = inner * r * (1 - r)
+        d_new, carried = empty(size), np.zeros((size, n), dtype=state.dtype)
+        for k in range(steps - 1, -1, -1):
+            carried += d_h[k]
+            np.multiply(carried, to_update[k], out=d_in[k, :size])
+            d_n = np.multiply(carried, to_new[k], out=d_new[k])
+            np.multiply(d_n, to_reset[k], out=d_in[k, size : 2 * size])
+            np.multiply(d_n, r[k], out=d_in[k, 2 * size :])
+            carried *= z[k]
+            carried += p["state"] @ d_in[k]
+            if restarts[k]:
+                carried[:, fresh[k]] = 0
+        by_lane = d_in.transpose(0, 2, 1).reshape(-1, 3 * size)
+        g_state = starts.transpose(1, 0, 2).reshape(size, -1) @ by_lane
+        by_lane[:, 2 * size :] = d_new.transpose(0, 2, 1).reshape(-1, size)
+        read = read.reshape(-1)
+        order = _order(read, rules.inputs)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(read[order])) + 1])
-        self._move("input", np.add.reduceat(d_x.reshape(-1, 3 * size)[order], edges, axis=0), read[order][edges])
+        self._move("input", np.add.reduceat(by_lane[order], edges, axis=0), read[order][edges])
         self._move("state", g_state)
-        self._move("class", gradient_class), self._move("class_bias", gradient_bias)
-        self._move("word", g_word), self._move("word_bias", g_word_bias)
+        self._move("class", g_class[:-1]), self._move("class_bias", g_class[-1])
+        self._move("word", g_word[:, :-1]), self._move("word_bias", g_word[:, -1])
         self.updates, self.tokens = self.updates + 1, self.tokens + len(counted)
         return h
 
@@ -454,7 +504,7 @@ class Trainer:
         learned = np.arange(laid.target.shape[1]) < laid.active[:, None]
         for at, lane in zip(*np.nonzero(laid.fresh)):
             learned[at : at + lead[laid.doc[at, lane]], lane] = False
-        h = np.zeros((laid.target.shape[1], self.rules.hidden), dtype=np.float32)
+        h = np.zeros((self.rules.hidden, laid.target.shape[1]), dtype=self.parameters["state"].dtype)
         for first in range(0, laid.length, self.rules.window):
             h = self._window(laid, learned, first, h)
 
