@@ -1,12 +1,15 @@
 import math
 import random
+import re
 import statistics
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import shaping
 from tidemark.plans import linear, regression
 
 
@@ -54,6 +57,38 @@ def test_urls_paths_pointers(spark):
     assert tuple(row) == ("https://hub.example/org/model", "/home/_/file", "/x/a~1b~0c")
 
 
+def test_keys_are_decomposed(spark):
+    """Each character beyond ASCII that decomposes to letters or digits, and some that don't, against the standard library."""
+    odd = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFKD", chr(c)) != chr(c)]
+    texts = [*odd, "Straße Œuvre", "ﬁ½㎏ Ⅷ ⑩ Ａｂ", "naïve — Ünder 7", "", "plain 12"]
+    got = spark.createDataFrame([(t, t.lower()) for t in texts], "a string, low string").select("a", S.compatible_letters(F.col("low")).alias("c")).collect()
+    letters = lambda t: re.sub("[^a-z0-9]", "", t)
+    for row in got:
+        assert letters(row.c) == letters(unicodedata.normalize("NFKD", row.a.lower())), row.a
+    keys = spark.createDataFrame([("Ünder-Straße ½ (Thinking)",), (None,)], "a string").select(S.normal_key(F.col("a"), ("thinking",))).collect()
+    assert [k[0] for k in keys] == ["understrae12", None]
+
+
+def test_predicates_and_identities(spark):
+    rows = spark.createDataFrame([("An Éclair 42",), ("eclair",), (None,)], "a string")
+    one = F.col("a")
+    tests = rows.select(S.accepted(one), S.accepted(one, ("eclair",)), S.accepted(one, contains=("éCLAIR", "x")), S.accepted(one, contains=("clair",), pattern=r"\d+$")).collect()
+    assert [tuple(t) for t in tests] == [(True, False, True, True), (True, True, False, False), (False,) * 4]
+    people = spark.sql("SELECT array(struct('Jo' AS name, 3 AS n), struct(NULL AS name, 4 AS n)) AS r, 'in /srv/jo/app/x, /srv/jo/y, /srv/joan/z' AS p")
+    row = people.select(S.without_identities(F.col("r"), ("name",)), S.portable_paths(F.col("p"), "/srv/jo/app", "/srv/jo/")).first()
+    assert [tuple(x) for x in row[0]] == [("<name>", 3), ("<name>", 4)] and row[1] == "in ./x, ~/y, /srv/joan/z"
+
+
+def test_contracts_fail_the_load(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert shaping.require_contract(rows, ["k", "v"], ["k"], 2) is rows
+    assert shaping.require_contract(rows.limit(0), ["k", "v"], ["k"], 0).count() == 0
+    repeated, blank = rows.unionByName(rows.limit(1)), rows.withColumn("k", F.nullif("k", F.lit(2)))
+    for df, header, count, words in ((rows, ["v", "k"], None, "columns are"), (rows, ["k", "v"], 3, "2 of 3 rows"), (repeated, ["k", "v"], None, "1 repeated"), (blank, ["k", "v"], None, "1 with a null"), (rows.limit(0), ["k", "v"], 1, "0 of 1")):
+        with pytest.raises(ValueError, match=words):
+            shaping.require_contract(df, header, ["k"], count)
+
+
 def test_huber_with_several_features(spark):
     rng = random.Random(6)
     rows = [("a", float(x), float(x * x % 17), 3.0 + 2.0 * x - 0.5 * (x * x % 17) + rng.gauss(0, 0.1)) for x in range(120)] + [("a", 60.0, 3.0, 9000.0)] * 6

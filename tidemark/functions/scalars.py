@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import sys
+import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 DAYS_A_YEAR = 365.25
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyys"
 
 
 def finite_number(x: Column) -> Column:
@@ -40,14 +41,48 @@ def first_non_blank(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
 
 
+@cache
+def _compatible() -> dict[str, str]:
+    """Of each character beyond ASCII, the letters a-z and digits in its compatibility decomposition (NFKD), if any."""
+    kept = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+    found = ((chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if x in kept)) for c in range(0x80, sys.maxunicode + 1))
+    return {c: plain for c, plain in found if plain}
+
+
+def compatible_letters(x: Column) -> Column:
+    """Characters beyond ASCII as the letters a-z and digits that they decompose to (NFKD); those without any stay as they are.
+
+    Characters that give one letter are translated; only texts that hold others ('ﬁ', '½', '㎏') are taken apart.
+    """
+    table = _compatible()
+    single = [c for c, plain in table.items() if len(plain) == 1]
+    several = [c for c, plain in table.items() if len(plain) > 1]
+    folded = F.translate(x, "".join(single), "".join(table[c] for c in single))
+    spelled = F.map_from_arrays(F.lit(several), F.lit([table[c] for c in several]))
+    apart = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(spelled, c), c))
+    return F.when(folded.rlike("[" + "".join(several) + "]"), F.array_join(apart, "")).otherwise(folded)
+
+
 def normal_key(x: Column, without: tuple[str, ...] = ()) -> Column:
-    """Lower case, accents folded, everything but letters and digits gone; words named in `without` (modes like 'thinking') are dropped first."""
-    folded = F.translate(F.lower(x), ACCENTED, PLAIN)
+    """Lower case, decomposed (NFKD), everything but a-z and digits gone; words named in `without` (modes like 'thinking') are dropped first."""
+    folded = compatible_letters(F.lower(x))
     if without:
         folded = F.regexp_replace(folded, r"(?<![a-z0-9])(?:" + "|".join(without) + r")(?![a-z0-9])", "")
     return F.regexp_replace(folded, "[^a-z0-9]+", "")
 
 
+def accepted(x: Column, allowed: tuple[str, ...] = (), contains: tuple[str, ...] = (), pattern: str | None = None) -> Column:
+    """Whether a text passes all of the tests that are given: one of a list, holding one of some literals in any case, matching a pattern. Null doesn't."""
+    tests = [x.isNotNull()]
+    if allowed:
+        tests.append(x.isin(*allowed))
+    if contains:
+        tests.append(F.exists(F.lit([c.lower() for c in contains]), lambda c: F.contains(F.lower(x), c)))
+    if pattern:
+        tests.append(x.rlike(pattern))
+    return F.coalesce(F.forall(F.array(*tests), lambda t: t), F.lit(False))
+
+
 def slug(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), F.lit("-"))
 
@@ -130,6 +165,25 @@ def scrub_paths(x: Column) -> Column:
     return F.regexp_replace(x, r"(/(?:home|Users)/)[^/\s\"]+", "$1_")
 
 
+def portable_paths(x: Column, root: str, home: str) -> Column:
+    """Paths under `root` from '.', then paths under `home` from '~', with slashes of either kind; a longer name that begins alike stays."""
+    for folder, mark in ((root, "."), (home, "~")):
+        for slash in ("/", "\\"):
+            x = F.replace(x, F.lit(folder.rstrip("/").replace("/", slash) + slash), F.lit(mark + slash))
+    return x
+
+
+def without_identities(records: Column, fields: tuple[str, ...]) -> Column:
+    """An array of records in which each named text field holds its own name in brackets, so that redacted and full records compare."""
+
+    def redacted(record: Column) -> Column:
+        for name in fields:
+            record = record.withField(name, F.lit(f"<{name}>"))
+        return record
+
+    return F.transform(records, redacted)
+
+
 def near(a: Column, b: Column, tolerance: float) -> Column:
     return F.coalesce(F.abs(a - b) <= tolerance, a.isNull() & b.isNull())
 

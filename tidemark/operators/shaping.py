@@ -158,6 +158,20 @@ def unique_key_report(df: DataFrame, keys: list[str], rows: int | None = None) -
     return out.withColumn("valid", fits)
 
 
+def require_contract(df: DataFrame, header: list[str], keys: list[str], rows: int | None = None) -> DataFrame:
+    """The rows, once they are known to have these columns in this order, no null or repeated key, and this number of rows; else ValueError.
+
+    The check is one aggregate over the keys, run at once: a load that doesn't fit fails before anything is made of it.
+    """
+    if df.columns != header:
+        raise ValueError(f"columns are {df.columns}, not {header}")
+    found = unique_key_report(df, keys, rows).first()
+    if not found.valid:
+        wanted = "" if rows is None else f" of {rows}"
+        raise ValueError(f"{found.rows}{wanted} rows, {found.null_keys} with a null in {keys}, {found.repeated_keys} repeated keys")
+    return df
+
+
 def renamed_shim(df: DataFrame, legacy: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
     """Columns of old archives under their new names, with what was renamed, so that :func:`restored` can undo it."""
     applied = {old: new for old, new in legacy.items() if old in df.columns and new not in df.columns}

@@ -179,6 +179,13 @@ def load_contract(spark, folder):
     return H.unique_key_report(T.table(spark, folder, "orders"), ["o_custkey"])
 
 
+@query("SELECT o_orderstatus, count(*) AS n_orders, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers FROM orders GROUP BY 1")
+def contract_enforced(spark, folder):
+    orders = T.table(spark, folder, "orders")
+    checked = H.require_contract(orders, orders.columns, ["o_orderkey"])
+    return checked.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"), F.countDistinct("o_custkey").alias("customers"))
+
+
 @query("SELECT p_partkey, p_name AS label, p_size FROM part")
 def legacy_columns(spark, folder):
     renamed, applied = H.renamed_shim(T.table(spark, folder, "part").select("p_partkey", "p_name", "p_size"), {"p_name": "label", "absent": "other"})
@@ -377,6 +384,32 @@ def specification_grid(spark, folder):
 # ---------------------------------------------------------------- scalars
 
 
+@query("""SELECT doc_id, length(k) AS letters, md5(k) AS key_digest FROM (SELECT doc_id, regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '', 'g') AS k FROM documents)""")
+def decomposed_keys(spark, folder):
+    key = S.normal_key(F.col("text"))
+    return T.table(spark, folder, "documents").select("doc_id", F.length(key).cast("long").alias("letters"), F.md5(key).alias("key_digest"))
+
+
+@query("""SELECT doc_id, lang IN ('en', 'de') AS listed, coalesce(contains(lower(text), 'the ') OR contains(lower(text), 'http'), false) AS literal, coalesce(regexp_matches(text, '[0-9]{3}[- ][0-9]{2,}'), false) AS matching,
+ coalesce(lang IN ('en', 'fr') AND contains(lower(text), 'é') AND regexp_matches(text, '[0-9]{2}'), false) AS together FROM documents""")
+def predicate_modes(spark, folder):
+    lang, text = F.col("lang"), F.col("text")
+    together = S.accepted(lang, ("en", "fr")) & S.accepted(text, contains=("É",), pattern="[0-9]{2}")
+    return T.table(spark, folder, "documents").select(
+        "doc_id", S.accepted(lang, ("en", "de")).alias("listed"), S.accepted(text, contains=("The ", "HTTP")).alias("literal"),
+        S.accepted(text, pattern="[0-9]{3}[- ][0-9]{2,}").alias("matching"), together.alias("together"),
+    )
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN './' WHEN 1 THEN '~/' WHEN 2 THEN '/home/jones/' ELSE '.\\' END || c_mktsegment AS path, '<name>' AS name_0, c_nationkey AS nation_0 FROM customer""")
+def privacy_forms(spark, folder):
+    kind = F.col("c_custkey") % 4
+    folder_ = F.when(kind == 0, "/home/jo/work/").when(kind == 1, "/home/jo/").when(kind == 2, "/home/jones/").otherwise("\\home\\jo\\work\\")
+    records = S.without_identities(F.array(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))), ("name",))
+    path = S.portable_paths(F.concat(folder_, "c_mktsegment"), "/home/jo/work", "/home/jo")
+    return T.table(spark, folder, "customer").select("c_custkey", path.alias("path"), records[0]["name"].alias("name_0"), records[0]["nation"].alias("nation_0"))
+
+
 @query("""SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS plain_key, 'https://hub.example/' || lower(replace(p_name, ' ', '-')) AS url FROM part""")
 def key_and_url_modes(spark, folder):
     named = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (Thinking)").otherwise(" high"))
