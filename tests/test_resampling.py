@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.resampling import POISSON, cluster_bootstrap, poisson_bootstrap, poisson_weight
+from tidemark.plans.resampling import POISSON, cluster_bootstrap, drawn, numbered, poisson_bootstrap, poisson_weight
 from tidemark.registry import orders_panel
 
 
@@ -34,3 +34,24 @@ def test_whole_outer_clusters_are_drawn(spark):
     rows = spark.range(2000).select((F.col("id") % 20).alias("o"), F.col("id").alias("i"), (F.col("id") % 20 + F.rand(3)).alias("v"))
     loose, nested = poisson_bootstrap(rows, ["i"], "v", 200, 1).first(), poisson_bootstrap(rows, ["i"], "v", 200, 1, outer=["o"]).first()
     assert nested.high - nested.low > 2 * (loose.high - loose.low)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_numbers_are_those_of_a_sorted_list(spark, parts):
+    """A key that holds most rows, null keys and values, words as order, and no rows at all."""
+    rows = [("hot" if i % 5 else None if i % 2 else f"k{i % 3}", f"r{i * 7919 % 1000:04d}" if i != 50 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, r string").repartition(parts)
+    place = lambda v: (v is not None, v or "")
+    for within in ([], ["k"]):
+        groups = {}
+        for k, r in rows:
+            groups.setdefault(k if within else "", []).append((k, r))
+        expected = sorted(((k, r, n, len(g)) for g in groups.values() for n, (k, r) in enumerate(sorted(g, key=lambda x: place(x[1])))), key=repr)
+        assert sorted((tuple(x) for x in numbered(df, within, "r").select("k", "r", "_k", "_m").collect()), key=repr) == expected
+    assert numbered(df.limit(0), ["k"], "r").count() == 0
+
+
+def test_a_draw_has_as_many_slots_as_cells(spark):
+    cells = numbered(spark.range(11).withColumnRenamed("id", "c"), [], "c")
+    got = drawn(cells, 4, 3).groupBy("draw").agg(F.count_distinct("slot").alias("n"), F.min("_k").alias("low"), F.max("_k").alias("high")).collect()
+    assert len(got) == 4 and all(r.n == 11 and 0 <= r.low <= r.high < 11 for r in got)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import beside, cumulative_counts, quantiles
-from tidemark.plans.resampling import digest_number
+from tidemark.plans.resampling import digest_number, drawn, numbered
 
 LOG10_E = 0.4342944819032518
 
@@ -54,10 +54,8 @@ def weight_bootstrap(df: DataFrame, group: str, first: str, second: str, actual:
     weights = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("w")
     loss = F.pow(F.col("w") / steps * F.col(first) + (1 - F.col("w") / steps) * F.col(second) - F.col(actual), F.lit(2.0))
     cells = df.select(group, first, second, actual, weights).groupBy(group, "w").agg(F.sum(loss).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    names = df.select(group).distinct()
-    numbered = names.withColumn("_k", F.row_number().over(Window.orderBy(group)) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
-    slots = numbered.select(F.col("_k").alias("slot"), "_m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picked = slots.withColumn("_k", (digest_number(F.lit(seed), F.col("draw"), F.col("slot")) % F.col("_m")).cast("int")).select("draw", "_k").join(numbered.select("_k", group), "_k")
+    names = numbered(df.select(group).distinct(), [], group)
+    picked = drawn(names, draws, seed).join(names.select("_k", group), "_k")
     losses = picked.join(cells, group).groupBy("draw", "w").agg(F.round(F.sum("_s") / F.sum("_n"), 9).alias("_l"))
     best = losses.groupBy("draw").agg(F.min(F.struct("_l", "w")).alias("_b"))
     return best.groupBy((F.col("_b.w") / steps).alias("weight")).agg(F.count(F.lit(1)).alias("draws"))
@@ -69,14 +67,12 @@ def two_level_bootstrap(df: DataFrame, cluster: str, row: str, value: str, draws
     Rows are numbered inside their cluster by `row`. The work is rows times draws, since each draw takes rows anew.
     """
     held = df.where(f"{value} is not null").select(cluster, row, value)
-    rows = held.withColumn("_r", F.row_number().over(Window.partitionBy(cluster).orderBy(row)) - 1)
-    sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
-    numbered = sizes.withColumn("_k", F.row_number().over(Window.orderBy(cluster)) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
-    slots = numbered.select(F.col("_k").alias("slot"), "_m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picked = slots.withColumn("_k", (digest_number(F.lit(seed), F.col("draw"), F.col("slot")) % F.col("_m")).cast("int")).join(numbered.select("_k", cluster, "_size"), "_k")
+    rows = numbered(held, [cluster], row, "_r", "_size")
+    sizes = numbered(rows.select(cluster, "_size").distinct(), [], cluster)
+    picked = drawn(sizes, draws, seed).join(sizes.select("_k", cluster, "_size"), "_k")
     inner = picked.select("draw", "slot", cluster, "_size", F.explode(F.sequence(F.lit(0), F.col("_size").cast("int") - 1)).alias("place"))
     taken = inner.withColumn("_r", (digest_number(F.lit(seed), F.col("draw"), F.col("slot"), F.col("place")) % F.col("_size")).cast("int"))
-    means = taken.join(rows, [cluster, "_r"]).groupBy("draw", "slot").agg(F.avg(value).alias("_v")).groupBy("draw").agg(F.avg("_v").alias("_v"))
+    means = taken.join(rows.select(cluster, "_r", value), [cluster, "_r"]).groupBy("draw", "slot").agg(F.avg(value).alias("_v")).groupBy("draw").agg(F.avg("_v").alias("_v"))
     return means.agg(F.count(F.lit(1)).alias("draws"), F.avg("_v").alias("mean"), F.percentile("_v", F.lit(0.05)).alias("low"), F.percentile("_v", F.lit(0.95)).alias("high"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import quantiles, robust_scale
-from tidemark.plans.resampling import digest_number
+from tidemark.plans.resampling import drawn, numbered
 from tidemark.session import discard, materialize, ship
 
 
@@ -218,13 +218,11 @@ def inverse_prediction(target: Column, slope: Column, intercept: Column) -> Colu
 def coefficient_bootstrap(df: DataFrame, cluster: str, x: str, y: str, wanted: int, tries: int, seed: int) -> DataFrame:
     """The slope of lines through resampled clusters; draws without a rising line are rejected, and the first `wanted` others are kept.
 
-    Clusters are summed first and numbered by name; a draw adds up as many clusters as there are. Meant for clusters in their thousands.
+    Clusters are summed first and numbered by name; a draw adds up as many clusters as there are.
     """
     sums = complete(df, [x, y]).groupBy(cluster).agg(*product_sums([x], y))
-    numbered = sums.withColumn("_k", F.row_number().over(Window.orderBy(cluster)) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
-    slots = numbered.select(F.col("_k").alias("slot"), "_m", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("draw"))
-    picked = slots.withColumn("_k", (digest_number(F.lit(seed), F.col("draw"), F.col("slot")) % F.col("_m")).cast("int")).select("draw", "_k")
+    placed = numbered(sums, [], cluster)
     n, sx, sxx, sy, sxy = (F.sum(c) for c in ("n", "s0_1", "s1_1", "t0", "t1"))
-    slopes = picked.join(numbered, "_k").groupBy("draw").agg(F.when(n * sxx - sx * sx > 1e-9, (n * sxy - sx * sy) / (n * sxx - sx * sx)).alias("slope"))
+    slopes = drawn(placed, tries, seed).join(placed, "_k").groupBy("draw").agg(F.when(n * sxx - sx * sx > 1e-9, (n * sxy - sx * sy) / (n * sxx - sx * sx)).alias("slope"))
     kept = slopes.where("slope > 0").orderBy("draw").limit(wanted)
     return kept.agg(F.count(F.lit(1)).alias("accepted"), (F.max("draw") + 1).alias("tried"), F.percentile("slope", F.lit(0.05)).alias("low"), F.percentile("slope", F.lit(0.5)).alias("middle"), F.percentile("slope", F.lit(0.95)).alias("high"))

@@ -8,12 +8,35 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.aggregates import beside
+from tidemark.session import materialize
+
 
 def digest_number(*parts: Column) -> Column:
     """The first eight hexadecimal digits of the MD5 of the parts joined by '|', as a number."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
+def numbered(df: DataFrame, within: list[str], order: str, number: str = "_k", total: str = "_m") -> DataFrame:
+    """Rows of each key in `within` (of all, without any) numbered from 0 by `order`, with how many there are; nulls come first.
+
+    Rows are dealt to ranges of (key, order), which are written once, so that their bounds stay; numbers run inside a range
+    and start at the sum of a key's earlier ranges. No task sorts or holds a whole key. Ties of `order` share a range and come in any order.
+    """
+    ranged = materialize(df.repartitionByRange(*within, order).withColumn("_slice", F.spark_partition_id()))
+    sizes = ranged.groupBy(*within, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*within).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a key's ranges, not its rows
+    starts = sizes.select(*within, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(*within)).alias(total))
+    inside = ranged.withColumn("_inside", F.row_number().over(Window.partitionBy(*within, "_slice").orderBy(order)) - 1)
+    return beside(inside, starts, [*within, "_slice"]).withColumn(number, F.col("_start") + F.col("_inside")).drop("_slice", "_start", "_inside")
+
+
+def drawn(cells: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Of each draw as many slots as there are numbered cells, each with the number of the cell that it takes."""
+    slots = cells.select(F.col("_k").alias("slot"), "_m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    return slots.select("draw", "slot", (digest_number(F.lit(seed), F.col("draw"), F.col("slot")) % F.col("_m")).alias("_k"))
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed: int, by_row: bool = False) -> DataFrame:
     """The mean of cluster means (or of the clusters' pooled rows) with its 5 % to 95 % interval and the share of draws under zero.
 
@@ -21,12 +44,9 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed:
     number of clusters, not of rows.
     """
     cells = df.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    numbered = cells.withColumn("_k", F.row_number().over(Window.orderBy(cluster)) - 1).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy()))
-    spark = df.sparkSession
-    slots = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(numbered.select(F.col("_k").alias("slot"), F.col("_size").alias("_m")))
-    picked = slots.withColumn("_k", (digest_number(F.lit(seed), F.col("draw"), F.col("slot")) % F.col("_m")).cast("int"))
+    placed = numbered(cells, [], cluster)
     weight = F.sum("_s") / F.sum("_n") if by_row else F.avg(F.col("_s") / F.col("_n"))
-    each = picked.join(numbered.select("_k", "_s", "_n"), "_k").groupBy("draw").agg(weight.alias("_v"))
+    each = drawn(placed, draws, seed).join(placed.select("_k", "_s", "_n"), "_k").groupBy("draw").agg(weight.alias("_v"))
     observed = cells.agg(weight.alias("observed"), F.count(F.lit(1)).alias("clusters"))
     spread = each.agg(F.percentile("_v", F.lit(0.05)).alias("low"), F.percentile("_v", F.lit(0.95)).alias("high"), F.avg((F.col("_v") < 0).cast("double")).alias("share_below_zero"))
     return observed.crossJoin(spread)
