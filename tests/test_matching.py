@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,3 +32,33 @@ def test_any_present(spark):
     rows = spark.createDataFrame([(1, None, None), (2, 1, None)], "k int, a int, b int")
     assert [r.k for r in M.any_present(rows, ["a", "b"]).collect()] == [2]
     assert M.same_rows(rows, rows).count() == 0 and M.same_rows(rows, rows.where(F.col("k") == 1)).count() == 1
+
+
+def test_ratio_match_pairs_distinct_sizes_and_names(spark):
+    """Copies meet as one; the best of all pairs is found whatever is null, repeated or tied."""
+    draw = random.Random(5)
+    name = lambda: "".join(draw.choice("abc") for _ in range(draw.randrange(0, 6)))
+    rows = lambda n: [(k, 10 ** draw.uniform(0, 0.5), name()) for k in range(n)] + [(n, None, "abc"), (n + 1, 2.0, None), (n + 2, -1.0, "abc"), (n + 3, 0.0, "abc")]
+    left, right = rows(60), rows(50)
+    left, right = left + [(k + 100, s, t) for k, s, t in left], right + [(k + 200, s, t) for k, s, t in right] * 2
+    make = lambda r: spark.createDataFrame(r, "k long, s double, t string")
+    make_right = make(right).withColumnRenamed("k", "j")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    expected = {}
+    for k, s, t in left:
+        fine = [(-(1 - edits(t, u) / max(len(t), len(u), 1)), round(max(s / z, z / s), 9), j) for j, z, u in right if None not in (s, t, z, u) and s > 0 and z > 0 and max(s / z, z / s) <= 1.1]
+        if fine and min(fine)[0] <= -0.5:
+            expected[k] = (min(fine)[2], -min(fine)[0])
+    got = M.ratio_match(make(left), make_right, "k", "j", "s", "t", 1.1, 0.5).collect()
+    assert {r.k: (r.j, r.similarity) for r in got} == expected
+    same = lambda c: spark.range(3000).select(F.col("id").alias(c), F.lit(5.0).alias("s"), F.lit("name").alias("t"))
+    assert M.ratio_candidates(same("k"), same("j"), "j", "s", "t", 1.1).count() == 1
+    assert M.ratio_match(same("k"), same("j"), "k", "j", "s", "t", 1.1, 0.5).where("j = 0 and similarity = 1").count() == 3000

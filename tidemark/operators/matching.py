@@ -145,19 +145,33 @@ def audited_match(
     return joined.select(left_id, pick(2, F.lit(None)).alias(right_id), pick(1, F.lit("unmatched")).alias("method"), pick(3, F.lit(0.0)).alias("confidence"))
 
 
+def ratio_candidates(left: DataFrame, right: DataFrame, right_id: str, size: str, name: str, ratio: float, cells: int = 4) -> DataFrame:
+    """Pairs of distinct (size, name) whose sizes lie within a ratio (`gap`), with the smallest id of the right one's rows.
+
+    Rows that agree on both are one candidate, however many there are. Sizes are cut into `cells` buckets for each step of the ratio on
+    the log scale; a left one is offered to all buckets that can hold a partner: an equi-join.
+    """
+    bucket = lambda c: F.floor(F.log(c) * cells / F.log(F.lit(ratio)))
+    held = lambda df: df.where(f"{size} > 0 and {name} is not null")
+    a = held(left).select(F.col(size).alias("_ls"), F.col(name).alias("_ln")).distinct()
+    a = a.select("*", F.explode(F.sequence(bucket("_ls") - cells - 1, bucket("_ls") + cells + 1)).alias("_b"))
+    b = held(right).groupBy(F.col(size).alias("_rs"), F.col(name).alias("_rn")).agg(F.min(F.struct(right_id)).alias("_r")).withColumn("_b", bucket("_rs"))
+    gap = F.greatest(F.col("_ls") / F.col("_rs"), F.col("_rs") / F.col("_ls"))
+    return a.join(b, "_b").drop("_b").withColumn("gap", gap).where(F.col("gap") <= ratio)
+
+
 def ratio_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: str, name: str, ratio: float, least_similarity: float) -> DataFrame:
     """The most similar right name (ties to the nearer size, then the smaller id) whose size is within a ratio, if similar enough.
 
-    Sizes are bucketed on the log scale by the ratio, so a pair within it lies in one bucket or in neighbours: an equi-join.
-    Similarity is one less the edit distance over the longer length.
+    Similarity is one less the edit distance over the longer length. Distinct sizes and names meet (:func:`ratio_candidates`), each
+    distinct left one gets its best, and rows get theirs by size and name. Pairs that meet are as many as distinct partners within the
+    ratio: that grows with the square of distinct sizes and names, in bounded memory.
     """
-    bucket = F.floor(F.log(size) / F.log(F.lit(ratio)))
-    a = left.where(f"{size} > 0").select(left_id, F.col(size).alias("_ls"), F.col(name).alias("_ln"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    b = right.where(f"{size} > 0").select(right_id, F.col(size).alias("_rs"), F.col(name).alias("_rn"), bucket.alias("_b"))
-    gap = F.greatest(F.col("_ls") / F.col("_rs"), F.col("_rs") / F.col("_ls"))
     alike = 1 - F.levenshtein("_ln", "_rn") / F.greatest(F.length("_ln"), F.length("_rn"), F.lit(1))
-    pairs = a.join(b, "_b").withColumn("gap", gap).where(F.col("gap") <= ratio).withColumn("similarity", alike).where(F.col("similarity") >= least_similarity)
-    best = pairs.groupBy(left_id).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.round("gap", 9).alias("g"), F.col(right_id).alias("r"))).alias("_x"))
+    pairs = ratio_candidates(left, right, right_id, size, name, ratio).select("_ls", "_ln", F.struct((-alike).alias("s"), F.round("gap", 9).alias("g"), F.col("_r")[right_id].alias("r")).alias("_x"))
+    tops = pairs.groupBy("_ls", "_ln").agg(F.min("_x").alias("_x")).where(F.col("_x.s") <= -least_similarity)
+    rows = left.select(left_id, F.col(size).alias("_ls"), F.col(name).alias("_ln")).join(tops, ["_ls", "_ln"])
+    best = rows.groupBy(left_id).agg(F.min("_x").alias("_x"))
     return best.select(left_id, F.col("_x.r").alias(right_id), (-F.col("_x.s")).alias("similarity"))
 
 
