@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.resampling import POISSON, cluster_bootstrap, drawn, numbered, poisson_bootstrap, poisson_weight
+from tidemark.plans.resampling import POISSON, cluster_bootstrap, drawn, numbered, poisson_bootstrap, poisson_sums, poisson_weight
 from tidemark.registry import orders_panel
 
 
@@ -55,3 +55,15 @@ def test_a_draw_has_as_many_slots_as_cells(spark):
     cells = numbered(spark.range(11).withColumnRenamed("id", "c"), [], "c")
     got = drawn(cells, 4, 3).groupBy("draw").agg(F.count_distinct("slot").alias("n"), F.min("_k").alias("low"), F.max("_k").alias("high")).collect()
     assert len(got) == 4 and all(r.n == 11 and 0 <= r.low <= r.high < 11 for r in got)
+
+
+def test_draws_are_dealt_and_digests_taken_once(spark):
+    """Few bytes of clusters are dealt over all tasks, and no filter repeats the digests; draws of nothing give no row."""
+    cells = spark.range(300).select((F.col("id") % 40).alias("o"), F.col("id").alias("i"), F.lit(1.0).alias("s")).groupBy("o", "i").agg(F.sum("s").alias("s"))
+    got = poisson_sums(cells, [["o"], ["o", "i"]], [], {"s": F.col("s")}, 30, 3)
+    plan = got._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("md5(") == 2 and re.search(r"xxhash64\(.*REPARTITION_BY_NUM", plan.toString())
+    weights = cells.select("s", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("draw"), "o", "i").select("draw", (poisson_weight(F.lit(3), F.col("draw"), F.col("o")) * poisson_weight(F.lit(4), F.col("draw"), F.col("o"), F.col("i"))).alias("w"))
+    assert {r.draw: r.s for r in got.collect()} == {r.draw: r.s for r in weights.groupBy("draw").agg(F.sum("w").cast("double").alias("s")).collect()}
+    one = poisson_sums(cells.limit(1), [["o"]], [], {"s": F.col("s")}, 200, 3).collect()
+    assert 90 < len(one) < 160 and all(r.s > 0 for r in one)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import beside
-from tidemark.session import materialize
+from tidemark.session import materialize, shuffle_partitions
 
 
 def digest_number(*parts: Column) -> Column:
@@ -71,15 +71,24 @@ def max_t_sign_flips(df: DataFrame, test: str, cluster: str, value: str, flips:
 POISSON = tuple(int(p * (1 << 32)) for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
 
 
-def poisson_weight(*parts: Column) -> Column:
-    """How often a draw counts a cluster: a Poisson number of mean 1 from the digest of the parts."""
-    number = digest_number(*parts)
+def digest_text(*parts: Column) -> Column:
+    """The first eight hexadecimal digits of the MD5 of the parts joined by '|'; as texts they are in the order of their numbers."""
+    return F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8)
+
+
+def poisson_number(digits: Column) -> Column:
+    """A Poisson number of mean 1 from the digits of :func:`digest_text`."""
     out = F.lit(len(POISSON))
     for k in reversed(range(len(POISSON))):
-        out = F.when(number < POISSON[k], k).otherwise(out)
+        out = F.when(digits < f"{POISSON[k]:08x}", k).otherwise(out)
     return out
 
 
+def poisson_weight(*parts: Column) -> Column:
+    """How often a draw counts a cluster: a Poisson number of mean 1 from the digest of the parts."""
+    return poisson_number(digest_text(*parts))
+
+
 def poisson_sums(cells: DataFrame, levels: list[list[str]], by: list[str], sums: dict[str, Column], draws: int, seed: int) -> DataFrame:
     """(draw, by, sums): what each draw of clusters adds up to, where a cluster's rows count as often as its digest says.
 
@@ -87,13 +96,19 @@ def poisson_sums(cells: DataFrame, levels: list[list[str]], by: list[str], sums:
     with two, whole outer clusters are drawn and inner ones in them. Clusters aren't numbered and never meet each other; tasks add
     up their own, so what is shuffled is a row for each draw and task. For clusters in their thousands the numbers drawn differ little from
     drawing as many clusters as there are.
+
+    Draws times clusters digests are the work. Clusters are dealt over all tasks first, since few bytes of them are much work. Digests
+    are columns of their own, so that each is taken once; an inner one is taken only where the outer number isn't zero, and no filter
+    follows, since Spark would push it below and take all digests again.
     """
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    weight = F.lit(1)
+    dealt = cells.repartition(shuffle_partitions(cells.sparkSession), F.xxhash64(*levels[-1]))  # of another kind than that of the cells, which may be few partitions
+    drawn = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_w", F.lit(1))
     for at, level in enumerate(levels):
-        weight = weight * poisson_weight(F.lit(seed + at), F.col("draw"), *map(F.col, level))
-    weighted = drawn.withColumn("_w", weight).where("_w > 0")
-    return weighted.groupBy("draw", *by).agg(*(F.sum(F.col("_w") * c).alias(name) for name, c in sums.items()))
+        digits = digest_text(F.lit(seed + at), F.col("draw"), *map(F.col, level))
+        drawn = drawn.withColumn("_u", F.when(F.col("_w") > 0, digits) if at else digits)
+        drawn = drawn.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w") * poisson_number(F.col("_u"))).otherwise(0) if at else poisson_number(F.col("_u")))
+    counted = drawn.groupBy("draw", *by).agg(*(F.sum(F.col("_w") * c).alias(name) for name, c in sums.items()), F.max("_w").alias("_w"))
+    return counted.where("_w > 0").drop("_w")
 
 
 def spread(each: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
