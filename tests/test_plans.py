@@ -69,6 +69,16 @@ def test_keys_are_decomposed(spark):
     assert [k[0] for k in keys] == ["understrae12", None]
 
 
+def test_ascii_texts_meet_no_table(spark):
+    """The table is met by distinct characters beyond ASCII only, and its patterns are ranges."""
+    assert len(S._ranges([chr(c) for c in range(0x2460, 0x2474)])) < 20
+    texts = ["plain text " * 2000, "é½ﬁ x" * 3000 + "éé", "中文 only", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "a string").select("a", S.normal_key(F.col("a")).alias("k"))
+    assert "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
+    for row in df.collect():
+        assert row.k == re.sub("[^a-z0-9]", "", unicodedata.normalize("NFKD", row.a.lower()))
+
+
 def test_predicates_and_identities(spark):
     rows = spark.createDataFrame([("An Éclair 42",), ("eclair",), (None,)], "a string")
     one = F.col("a")

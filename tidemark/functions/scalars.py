@@ -49,18 +49,33 @@ def _compatible() -> dict[str, str]:
     return {c: plain for c, plain in found if plain}
 
 
+def _ranges(chars: list[str]) -> str:
+    """A pattern's class of characters, as ranges."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def compatible_letters(x: Column) -> Column:
     """Characters beyond ASCII as the letters a-z and digits that they decompose to (NFKD); those without any stay as they are.
 
-    Characters that give one letter are translated; only texts that hold others ('ﬁ', '½', '㎏') are taken apart.
+    Texts of ASCII alone, told by their number of bytes, are left alone. Of others the characters beyond ASCII are taken out, and only the
+    distinct ones among them that have letters are looked up and replaced; so the table is met by few characters, not by every one.
     """
     table = _compatible()
     single = [c for c, plain in table.items() if len(plain) == 1]
     several = [c for c, plain in table.items() if len(plain) > 1]
-    folded = F.translate(x, "".join(single), "".join(table[c] for c in single))
     spelled = F.map_from_arrays(F.lit(several), F.lit([table[c] for c in several]))
-    apart = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(spelled, c), c))
-    return F.when(folded.rlike("[" + "".join(several) + "]"), F.array_join(apart, "")).otherwise(folded)
+    beyond = F.regexp_replace(x, r"[\x00-\x7F]+", "")
+    found = lambda chars: F.array_distinct(F.regexp_extract_all(beyond, F.lit(_ranges(chars)), F.lit(0)))
+    plain = F.translate(F.array_join(found(single), ""), "".join(single), "".join(table[c] for c in single))
+    folded = F.call_function("translate", x, F.array_join(found(single), ""), plain)
+    out = F.aggregate(found(several), folded, lambda text, c: F.replace(text, c, F.element_at(spelled, c)))
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(out)
 
 
 def normal_key(x: Column, without: tuple[str, ...] = ()) -> Column:
