@@ -40,3 +40,23 @@ def test_deviations(spark):
     got = {r.k: (r.centre, r.deviation) for r in A.absolute_deviation(rows, ["k"], "v").collect()}
     assert got == {1: (9.0, 7.0), 2: (4.0, 0.0), None: (3.0, 2.0)}
     assert A.quantiles(rows.where("false"), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+def test_size_medians_are_exact(spark):
+    """Keys of one, two and many values, zeros, ties, a null key and values that share a bucket."""
+    draw = random.Random(8)
+    values = {"a": [3.0], "b": [0.0, 2.0], "c": [0.0] * 5 + [1.0] * 2, "d": [abs(draw.gauss(0, 1)) for _ in range(3001)], None: [10 ** draw.uniform(-9, 9) for _ in range(400)], "e": [5.0 + k * 1e-9 for k in range(50)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(5)
+    for cells in (1, 2048):
+        assert {r.k: r.m for r in A.size_medians(df, ["k"], "v", "m", cells).collect()} == {k: float(np.median(vs)) for k, vs in values.items()}
+    assert A.size_medians(df.limit(0), ["k"], "v", "m").count() == 0
+    assert A.size_medians(df.where("k = 'd'"), [], "v", "m").first().m == float(np.median(values["d"]))
+
+
+def test_unfolded_rows_are_not_broadcast(spark, tmp_path):
+    """A small table unfolded many times looks small to Spark; with few keys it is the brackets that are broadcast."""
+    spark.range(1000).selectExpr("id * 1.0D AS v").write.parquet(str(tmp_path / "rows"))
+    unfolded = spark.read.parquet(str(tmp_path / "rows")).select("v", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    got = A.quantiles(unfolded, ["k"], "v", {"m": 0.5}, few=True)
+    assert "BuildRight" in got._jdf.queryExecution().executedPlan().toString() and "BuildLeft" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.m for r in got.collect()} == {k: 499.5 for k in range(10)}

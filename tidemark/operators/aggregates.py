@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import discard, materialize
+
 MAD_SCALE = 1.4826
 #: Of the sketches that bracket a quantile: ranks are right to one in so many.
 ACCURACY = 10_000
@@ -35,9 +37,11 @@ def beside(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(named, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]).drop(*(f"_key_{k}" for k in keys))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float], few: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation, for keys of any size: the two order statistics around each level.
 
+    With `few` keys their brackets are broadcast; else Spark chooses by sizes it estimates, and unfolded rows look small to it.
+
     Sketches bracket each level between two values that are sure to lie on either side of it. A second pass counts the rows between brackets, and the
     values inside them one by one, so a few in ten thousand values of a large key are shuffled and sorted; a small key's are all.
     """
@@ -45,7 +49,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, floa
     margin, small = 3 / ACCURACY, 2 * ACCURACY
     shares = [p for q in levels.values() for p in (max(0.0, q - margin), min(1.0, q + margin))]
     edges = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_q").alias("_least"), F.max("_q").alias("_most"), F.percentile_approx("_q", shares, F.lit(ACCURACY)).alias("_edges"))
-    joined, v, tiny = beside(held, edges, keys), F.col("_q"), F.col("_n") < small
+    joined, v, tiny = beside(held, F.broadcast(edges) if few else edges, keys), F.col("_q"), F.col("_n") < small
     pairs = [(F.when(tiny, F.col("_least")).otherwise(F.col("_edges")[2 * i]), F.when(tiny, F.col("_most")).otherwise(F.col("_edges")[2 * i + 1])) for i in range(len(levels))]
     region = reduce(lambda a, b: a + b, ((v >= low).cast("int") + (v > high).cast("int") for low, high in pairs))
     inside = reduce(lambda a, b: a | b, (v.between(low, high) for low, high in pairs))
@@ -58,6 +62,28 @@ def quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, floa
     return found.select(*keys, *((F.col(f"_{n}l") + (F.col(f"_{n}h") - F.col(f"_{n}l")) * (p - F.floor(p))).alias(n) for n, p in place.items()))
 
 
+def size_medians(df: DataFrame, keys: list[str], value: str, name: str, cells: int = 2048) -> DataFrame:
+    """Exact medians of values that aren't negative, for keys of any size, from two passes without sketches; none of the rows' columns is null.
+
+    The first counts rows by `cells` buckets to each factor of e; the second takes, value by value, the one or two buckets that hold the
+    middle. What lies between is written, so that Spark knows how small it is and doesn't shuffle the rows to meet it.
+    """
+    bucketed = df.select(*keys, F.col(value).alias("_q"), F.coalesce(F.floor(F.log(F.when(F.col(value) > 0, F.col(value))) * cells), F.lit(-(1 << 62))).alias("_b"))
+    counts = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select("*", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy(*keys)).alias("_n"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    holds = lambda rank: (F.col("_before") <= rank) & (F.col("_before") + F.col("_rows") > rank)
+    middle = materialize(placed.where(holds(low) | holds(high)).select(*keys, "_b", "_before", "_n"))
+    inside = beside(bucketed, middle, [*keys, "_b"]).groupBy(*keys, "_b", "_before", "_n", "_q").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = Window.partitionBy(*keys, "_b").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_rows").over(upto), F.lit(0)))
+    ends = ranked.groupBy(*keys).agg(F.max(F.when(holds(low), F.col("_q"))).alias("_l"), F.max(F.when(holds(high), F.col("_q"))).alias("_h"))
+    out = materialize(ends.select(*keys, F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(F.col("_l") + (F.col("_h") - F.col("_l")) * 0.5).alias(name)))
+    discard(middle)
+    return out
+
+
 def geometric_mean(x: Column) -> Column:
     """Of the positive values; others don't count."""
     return F.exp(F.avg(F.when(x > 0, F.log(x))))

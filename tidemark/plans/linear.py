@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregates import quantiles, robust_scale
+from tidemark.operators.aggregates import quantiles, robust_scale, size_medians
 from tidemark.plans.resampling import drawn, numbered
 from tidemark.session import discard, materialize, ship
 
@@ -57,20 +57,25 @@ def solve(sums: DataFrame, keys: list[str], k: int, ridge: float | str = 0.0) ->
 def huber_fit(df: DataFrame, keys: list[str], features: list[str], y: str, ridge: float = 0.0, turns: int = 12, c: float = 1.345, still: float = 1e-12) -> DataFrame:
     """Several features by iteratively reweighted least squares with Huber's weights; the scale is 1.4826 times the exact median of absolute residuals.
 
-    It ends after `turns`, or once no coefficient of any key moves by more than `still` of its size. A turn is one pass of weighted sums and one exact median; coefficients are written between turns, so that a lost executor costs one turn.
+    It ends after `turns`, or once no coefficient of any key moves by more than `still` of its size. A turn is one pass of weighted sums and one exact median (two passes that count);
+    sums, medians and coefficients are written, so that rows meet tables of known size and aren't shuffled, and a lost executor costs one turn.
     """
     rows = materialize(complete(df, [*features, y]).select(*keys, *features, y))
-    fits, weighted = None, rows.withColumn("_w", F.lit(1.0))
+    fits, scales, weighted = None, None, rows.withColumn("_w", F.lit(1.0))
     for _ in range(turns):
         sums = weighted.groupBy(*keys).agg(*product_sums(features, y, F.col("_w")))
-        last, fits = fits, materialize(solve(sums, keys, len(features), ridge).join(sums.select(*keys, F.col("n").cast("long").alias("n")), keys))
+        held = materialize(sums)  # both the systems and their rows are read from it: one pass
+        last, fits = fits, materialize(solve(held, keys, len(features), ridge).join(held.select(*keys, F.col("n").cast("long").alias("n")), keys))
+        discard(held)
+        if scales is not None:
+            discard(scales)
         if last is not None:
             moved = _largest_move(last, fits, keys, len(features))
             discard(last)
             if moved <= still:
                 break
         left = rows.join(fits, keys).withColumn("_r", F.abs(F.col(y) - predicted(features))).select(*rows.columns, "_r")
-        scales = quantiles(left, keys, "_r", {"_s": 0.5})
+        scales = size_medians(left, keys, "_r", "_s")
         weighted = left.join(scales, keys).withColumn("_w", F.least(F.lit(1.0), c * F.greatest(1.4826 * F.col("_s"), F.lit(1e-9)) / F.greatest("_r", F.lit(1e-12)))).drop("_r", "_s")
     return fits
 
