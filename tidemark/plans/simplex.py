@@ -95,7 +95,7 @@ def _losses(rows: DataFrame, predictors: list[str], actual: str, points: np.ndar
     blend = add([h * F.coalesce(F.col(p), F.lit(0.0)) for h, p in zip(held, predictors)]) / add(held)
     errors = rows.select("*", vectors).select("point", F.abs(blend - F.col(actual)).alias("_size"))
     means = errors.groupBy("point").agg(F.avg("_size").alias("mae"))
-    found = quantiles(errors, ["point"], "_size", LEVELS).join(means, "point").orderBy("point").collect()  # a row a point
+    found = quantiles(errors, ["point"], "_size", LEVELS, few=True).join(means, "point").orderBy("point").collect()  # a row a point
     return [{name: round(r[name], DIGITS) for name in ("mae", *LEVELS)} for r in found]
 
 
