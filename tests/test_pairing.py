@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import matching as M
-from tidemark.operators.pairing import best_similar, one_to_one, similar_pairs, window_pairs
+from tidemark.operators.pairing import best_similar, one_to_one, similar_pairs, window_match, window_pairs
 
 
 def greedy(pairs):
@@ -47,6 +47,22 @@ def test_window_pairs_against_all_pairs(spark):
     assert sorted((r.l_k, r.r_k) for r in got.collect()) == sorted((x[3], y[3]) for x in a for y in b if fine(x, y))
 
 
+@pytest.mark.parametrize("near", [0.05, 100.0])
+def test_window_match_is_the_greedy_over_all_pairs(spark, near):
+    """Copies, ties between classes of unlike sizes, and single rows; in many tiers and in one. Rounds don't grow with copies."""
+    draw, start = random.Random(7), date(2024, 1, 1)
+    spots = [(draw.randrange(2), draw.randrange(0, 60, 10), draw.choice([1.0, 1.1, 1.21, 10 ** draw.uniform(0, 0.3)])) for _ in range(24)]
+    rows = lambda base: [(g, start + timedelta(d), v, base + 7 * k + c * 1000) for k, (g, d, v) in enumerate(draw.sample(spots, 16)) for c in range(draw.randrange(1, 4))] + [(0, None, 1.0, -1), (0, start, -1.0, -3)]
+    a, b = rows(1), rows(3)
+    make = lambda r: spark.createDataFrame(r, "g int, day date, v double, k long")
+    pairs = window_pairs(make(a), make(b), ["g"], "day", 20, "v", 0.8, 1.2).withColumns({"gap": F.round(F.abs(F.log("ratio")), 9), "away": F.abs("days_apart")}).collect()
+    got = window_match(make(a), make(b), "k", ["g"], "day", 20, "v", 0.8, 1.2, near).collect()
+    assert sorted((r.left, r.right) for r in got) == sorted(greedy([((r.gap, r.away), r.l_k, r.r_k) for r in pairs]))
+    many = make([(0, start, 1.0, k) for k in range(3000)] + [(0, start, 1.1, 5000 + k) for k in range(100)])
+    got = window_match(many, many, "k", ["g"], "day", 20, "v", 0.8, 1.2, near).collect()
+    assert len(got) == 3100 and all(r.left == r.right for r in got) and max(r.round for r in got) == 1
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -42,9 +42,8 @@ SELECT l AS order_f, r AS order_o FROM g WHERE won""")
 def one_to_one_match(spark, folder):
     rows = orders_panel(spark, folder).select("nation", F.col("o_orderpriority").alias("p"), "day", F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("k"), "o_orderstatus")
     side = lambda s: rows.where(F.col("o_orderstatus") == s).drop("o_orderstatus")
-    pairs = P.window_pairs(side("F"), side("O"), ["nation", "p"], "day", 45, "v", 0.8, 1.2)
-    scored = pairs.withColumns({"gap": F.round(F.abs(F.log("ratio")), 9), "away": F.abs("days_apart")})
-    return P.one_to_one(scored, "l_k", "r_k", ["gap", "away"]).select(F.col("l_k").alias("order_f"), F.col("r_k").alias("order_o"))
+    found = P.window_match(side("F"), side("O"), "k", ["nation", "p"], "day", 45, "v", 0.8, 1.2)
+    return found.select(F.col("left").alias("order_f"), F.col("right").alias("order_o"))
 
 
 @query("""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS w FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS w FROM conversations)
