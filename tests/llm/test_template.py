@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tidemark.llm.template import TemplateRules, main_text, read_page
+from tidemark.llm.template import TemplateRules, chains, main_text, page_sequence, read_page
 
 HEAD = "<!doctype html><html><head><title>t{n}</title><style>p{{}}</style></head><body><div class='top'><a href=/>Home</a><a href=/a>About</a></div>"
 FOOT = "<div class='bottom'>All rights reserved</div><script>var a = '<p>no</p>';</script></body></html>"
@@ -137,3 +137,61 @@ def test_a_fourth_page_takes_repeats_only(spark):
 def test_copies_on_a_small_host_leave_its_template(spark):
     rows = [(n, f"http://a.example/{n}", f"<body>{NOTICE}<p>Story {max(n, 1)} is here</p></body>") for n in range(4)]
     assert texts(spark, rows) == {n: f"Story {max(n, 1)} is here" for n in range(4)}
+
+
+def ordered_host(parts, pages=12, on=8):
+    """Pages of one host, of which `on` hold the parts that `parts` gives for them."""
+    return [(n, f"http://a.example/{n}", f"<body><p>Story {n} begins</p>{''.join(f'<p>{x}</p>' for x in (parts(n) if n < on else ()))}<p>Story {n} ends</p></body>") for n in range(pages)]
+
+
+def taken(spark, rows):
+    """The blocks beside stories that some page keeps, the same however pages are dealt."""
+    got = texts(spark, rows, by_position=True)
+    assert texts(spark, rows, by_position=True, hot_host_chars=200, chunk_pages=2) == got
+    return {x for t in got.values() for x in t.split("\n") if not x.startswith("Story")}
+
+
+def test_a_class_stands_in_one_order(spark):
+    """Short blocks of one class are template in one order only; a part that keeps its order and is large stays a class."""
+    assert taken(spark, ordered_host(lambda n: ["Tip", "Read on"])) == set()
+    assert taken(spark, ordered_host(lambda n: ["Tip", "Read on"][:: 1 if n % 2 else -1])) == {"Tip", "Read on"}
+    swapped = lambda n: (["One", "Two", "Three", "Four", "Five", "Six"] * 2)[3 * (n % 2) :][:6]
+    assert taken(spark, ordered_host(swapped)) == set()
+    moved = lambda n: (["Note", "One", "Two", "Three"], ["One", "Two", "Three", "Note"])[n % 2]
+    assert taken(spark, ordered_host(moved)) == {"Note"}
+
+
+def test_a_class_stands_in_one_gap_of_others(spark):
+    outer = ["First part here", "Last part here"]
+    within = lambda n: [outer[0], "Some small note"][: 2 if n < 7 else 1] + [outer[1]]
+    assert taken(spark, ordered_host(within)) == set()
+    inside_and_out = lambda n: (within(n), ["Some small note"] * (n < 7) + outer)[n % 2]
+    assert taken(spark, ordered_host(inside_and_out)) == {"Some small note"}
+    crossing = lambda n: ["First part here", "Left small note", "Last part here", "Right small note"] if n < 7 else outer
+    assert taken(spark, ordered_host(crossing)) == {"Left small note", "Right small note"}
+
+
+@pytest.mark.parametrize("rounds", (1, 2, 3))
+def test_members_of_a_chain_follow_each_other(rounds):
+    draw = random.Random(rounds)
+    follows = lambda a, b: all(x < y for x, y in zip(a, b)) and all(y < x for x, y in zip(a[1:], b))
+    broken = 0
+    for _ in range(300):
+        size = draw.randrange(1, 8)
+        found = list(range(size)) * rounds
+        for _ in range(draw.randrange(4)):
+            i, j = draw.randrange(len(found)), draw.randrange(len(found))
+            found[i], found[j] = found[j], found[i]
+        places = [[at for at, x in enumerate(found) if x == k] for k in range(size)]
+        numbers = chains([((0, k, 1, rounds, draw.randrange(1, 5), True), p) for k, p in enumerate(places)])
+        assert all(follows(places[a], places[b]) for b in range(size) for a in range(b) if numbers[a] == numbers[b])
+        whole = all(follows(places[a], places[b]) for b in range(size) for a in range(b))
+        assert not whole or not any(numbers)
+        broken += not whole
+    assert broken > 100
+
+
+def test_sequence_of_a_page_is_its_order():
+    tags, blocks = read_page("<body> \n<b>One</b> two<div>three</p>four<br>five</div>six</body>")
+    assert [b.at for b in blocks] == [2, 4, 4, 5] and [b.text for b in blocks] == ["One two", "three", "four five", "six"]
+    assert len(page_sequence(tags, blocks)) == len(tags) + len(blocks) == 10

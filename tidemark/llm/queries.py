@@ -17,7 +17,7 @@ from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.suffix import remove_repeats
-from tidemark.llm.template import main_text
+from tidemark.llm.template import TemplateRules, main_text
 from tidemark.llm.tokenbin import packed_rows
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.whitening import whiten
@@ -46,7 +46,7 @@ def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(table(spark, sf_dir, "pages"), TemplateRules(by_position=True))
 
 
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

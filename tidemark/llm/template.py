@@ -2,20 +2,25 @@
 
 A page is a sequence of tokens (tags and words), each told apart by its path of open elements. Tokens that occur
 equally often on every page of a host share an occurrence vector and form an equivalence class. A class is valid
-if it is large and frequent; the valid classes are the host's template, and their paths say where they stand.
+if it is large and frequent and, with `by_position`, ordered and nested: its tokens follow each other in one order on
+every page, round by round, and it stands in one gap of each class that it meets. A class whose order varies is broken
+into ordered ones, each large again; of two classes that aren't nested the less frequent goes. The valid classes are
+the host's template.
 What stands between template tokens are its slots. A block of text belongs to the article if it is filled from a
 slot: words of the template itself (menus, notices, footers that repeat) go, and so do slots inside elements that
 are page furniture by name. A host of under four pages has no template: there all blocks but furniture are slots, so one more page
 on a host takes nothing from the others but what repeats.
 
 Occurrences are added up over all pages of a host, however they are dealt: hosts over a bounded share of all bytes
-are salted, tasks stream their pages and send sums by token, and the template is joined back to the pages.
+are salted, tasks stream their pages and send sums by token, and the template is joined back to the pages. Order and
+nesting are added up alike, in a reading each, for hosts where a class holds a block that may go.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
@@ -75,17 +80,18 @@ class TemplateRules:
     min_support: float = 0.5
     min_pages: int = 4
     block_share: float = 0.5
+    by_position: bool = False
     hot_host_chars: int = 2_000_000
     hot_hosts: int = 500_000
 
 
 class Block:
-    """One block of text: its path, raw text, whether furniture surrounds it, and which content roots hold it."""
+    """One block of text: its path, raw text, whether furniture surrounds it, which content roots hold it, and the tags before it."""
 
-    __slots__ = ("path", "text", "furniture", "roots")
+    __slots__ = ("path", "text", "furniture", "roots", "at")
 
-    def __init__(self, path: str, text: str, furniture: bool, roots: tuple):
-        self.path, self.text, self.furniture, self.roots = path, text, furniture, roots
+    def __init__(self, path: str, text: str, furniture: bool, roots: tuple, at: int):
+        self.path, self.text, self.furniture, self.roots, self.at = path, text, furniture, roots, at
 
 
 def _is_furniture(tag: str, attributes: str) -> bool:
@@ -107,17 +113,20 @@ def read_page(source: str | None) -> tuple[list[tuple[str, str]], list[Block]]:
     stack: list[tuple[str, bool, str]] = []  # element, inside furniture, path
     roots: list[int] = []
     run: list[str] = []
-    serial = 0
+    serial = began = 0
+    worded = False
 
     def path() -> str:
         return stack[-1][2] if stack else ""
 
     def flush() -> None:
+        nonlocal worded
+        worded = False
         if run:
             text = _SPACE.sub(" ", html_lib.unescape("".join(run))).strip()
             run.clear()
             if text:
-                blocks.append(Block(path(), text, bool(stack) and stack[-1][1], tuple(roots)))
+                blocks.append(Block(path(), text, bool(stack) and stack[-1][1], tuple(roots), began))
 
     def close(at: int) -> None:
         for name, _, _ in stack[at:]:
@@ -139,6 +148,8 @@ def read_page(source: str | None) -> tuple[list[tuple[str, str]], list[Block]]:
             text = found[0]
             if text[0] != "<" or text == "<":
                 run.append(text)
+                if not worded and not text.isspace():
+                    worded, began = True, len(tags)
             continue
         tag = tag.lower()
         if found[0][1] == "/":
@@ -197,8 +208,19 @@ def _body(blocks: list[Block]) -> int:
     return _digest(*([x for x in texts if len(x) > 200] or texts))
 
 
-#: Of a token, or of a token beside one article: pages, occurrences, digest of the occurrence vector, size in tokens, articles.
-_SUMS = ("n", "total", "vector", "size", "bodies")
+def page_sequence(tags: list[tuple[str, str]], blocks: list[Block]) -> list[int]:
+    """The tokens of a page in its order."""
+    out, done = [], 0
+    for block in blocks:
+        out += [_tag_token(*tag) for tag in tags[done : block.at]]
+        out.append(block_token(block))
+        done = block.at
+    return out + [_tag_token(*tag) for tag in tags[done:]]
+
+
+#: Of a token, or of a token beside one article: pages, occurrences, digest of the occurrence vector, size in tokens, articles,
+#: and its place on the page of least digest that holds it, which is one page for all tokens of a class.
+_SUMS = ("n", "total", "vector", "size", "bodies", "place")
 #: The token that every page holds once.
 _PAGE = 0
 
@@ -214,11 +236,20 @@ def page_tokens(page: str, tags: list[tuple[str, str]], blocks: list[Block]) ->
         sizes[key] = block.text.count(" ") + 1
     # Two vectors are equal if the sums over pages of a random number for (page, count) are; 31 bits, so that sums fit.
     salt = _digest(page) | 1
-    out = {k: [1, c, ((salt * (2 * c + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> 33, sizes.get(k, 1), int(k[1] != 0)] for k, c in counts.items()}
-    out[_PAGE, 0] = [1, 1, 0, 0, 0]
+    places: dict = {}
+    for at, token in enumerate(page_sequence(tags, blocks)):
+        places.setdefault(token, at)
+    here = (salt >> 2 & 0x7FFFFFFF) << 32
+    out = {k: [1, c, _share(salt, c), sizes.get(k, 1), int(k[1] != 0), here | places[k[0]]] for k, c in counts.items()}
+    out[_PAGE, 0] = [1, 1, 0, 0, 0, 0]
     return out
 
 
+def _share(salt: int, number: int) -> int:
+    """A random number for (page, number)."""
+    return ((salt * (2 * number + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> 33
+
+
 def _add(sums: dict, key, row: list[int]) -> None:
     held = sums.get(key)
     if held is None:
@@ -226,6 +257,7 @@ def _add(sums: dict, key, row: list[int]) -> None:
     else:
         for i in (0, 1, 2):
             held[i] += row[i]
+        held[5] = min(held[5], row[5])
 
 
 def least_pages(pages: int, rules: TemplateRules) -> float:
@@ -236,7 +268,7 @@ def equivalence_classes(tokens: dict[int, list[int]], rules: TemplateRules) -> l
     """The large and frequent classes of a host's tokens, whose sums are over all its pages; words of a block count one by one."""
     pages = tokens[_PAGE][0]
     classes: dict[tuple, list[int]] = defaultdict(list)
-    for token, (n, total, vector, _, _) in tokens.items():
+    for token, (n, total, vector, *_) in tokens.items():
         if token != _PAGE and pages >= rules.min_pages and n >= least_pages(pages, rules):
             classes[n, total, vector].append(token)
     return [c for c in classes.values() if sum(tokens[t][3] for t in c) >= rules.min_class_size]
@@ -247,13 +279,161 @@ def deduce(tokens: dict[int, list[int]], rules: TemplateRules) -> list[int] | No
     pages = tokens[_PAGE][0]
     if pages < rules.min_pages:
         return None
-    # A block repeats as part of the template only beside different articles: copies of one article aren't a template.
-    return sorted(
-        t
-        for members in equivalence_classes(tokens, rules)
-        for t in members
-        if tokens[t][0] >= rules.block_share * pages and tokens[t][4] >= max(2, 0.5 * tokens[t][0])
-    )
+    return sorted(t for members in equivalence_classes(tokens, rules) for t in members if _may_go(tokens[t], pages, rules))
+
+
+def _may_go(row: list[int], pages: int, rules: TemplateRules) -> bool:
+    """A block repeats as part of the template only beside different articles: copies of one article aren't a template."""
+    return row[0] >= rules.block_share * pages and row[4] >= max(2, 0.5 * row[0])
+
+
+#: A member of a class: its class's number, its token, pages, occurrences, size in words, and whether it is a block that may go.
+_MEMBER = ("class", "token", "n", "total", "size", "goes")
+_MEMBERS = "members array<struct<class: int, token: long, n: long, total: long, size: long, goes: boolean>>"
+
+
+def candidates(tokens: dict[int, list[int]], rules: TemplateRules) -> list[tuple]:
+    """The members of a host's large and frequent classes, each class in the order of one page; none if no block may go."""
+    pages = tokens[_PAGE][0]
+    classes = sorted((sorted(c, key=lambda t: (tokens[t][5], t)) for c in equivalence_classes(tokens, rules)), key=lambda c: (tokens[c[0]][5], c[0]))
+    out = [(k, t, tokens[t][0], tokens[t][1], tokens[t][3], _may_go(tokens[t], pages, rules)) for k, members in enumerate(classes) for t in members]
+    return out if any(m[5] for m in out) else []
+
+
+def _by_class(members: list[tuple]) -> list[list[tuple]]:
+    out: dict[int, list[tuple]] = defaultdict(list)
+    for member in members:
+        out[member[0]].append(member)
+    return [out[k] for k in sorted(out)]
+
+
+def class_places(members: list[tuple], sequence: list[int]) -> dict[int, list[tuple[tuple, list[int]]]]:
+    """Of each class on a page, its members and their places."""
+    of = {m[1]: [] for m in members}
+    for at, token in enumerate(sequence):
+        if (held := of.get(token)) is not None:
+            held.append(at)
+    out: dict[int, list] = defaultdict(list)
+    for m in members:
+        if of[m[1]]:
+            out[m[0]].append((m, of[m[1]]))
+    return out
+
+
+def chains(members: list[tuple[tuple, list[int]]]) -> list[int]:
+    """A number for each member of a class on one page; members of one number follow each other in the given order, round by round.
+
+    Number 0 is the heaviest run in order by first places; the rest are laid on the run that ends latest before them.
+    """
+    firsts = [places[0] for _, places in members]
+    if all(a < b for a, b in zip(firsts, firsts[1:])) and all(members[-1][1][i] < members[0][1][i + 1] for i in range(len(members[0][1]) - 1)):
+        if all(x < y for (_, a), (_, b) in zip(members, members[1:]) for x, y in zip(a, b)):
+            return [0] * len(members)
+    found: list[int | None] = [None] * len(members)
+    runs: list[tuple[list[int], list[int]]] = []  # first and last member's places
+
+    def lay(k: int, run: int) -> bool:
+        first, last = runs[run]
+        own = members[k][1]
+        if all(x < y for x, y in zip(last, own)) and all(x < y for x, y in zip(own, first[1:])):
+            runs[run], found[k] = (first, own), run
+            return True
+        return False
+
+    for k in _heaviest(firsts, [m[4] for m, _ in members]):
+        if not runs:
+            runs.append((members[k][1], members[k][1]))
+            found[k] = 0
+        else:
+            lay(k, 0)
+    ends: list[tuple[int, int]] = []  # last first place and number of each further run, rising
+    for k in range(len(members)):
+        if found[k] is None:
+            at = bisect(ends, (firsts[k],)) - 1
+            if at < 0 or not lay(k, ends[at][1]):
+                found[k] = len(runs)
+                runs.append((members[k][1], members[k][1]))
+                ends.insert(at + 1, (firsts[k], found[k]))
+            else:
+                ends[at] = (firsts[k], ends[at][1])
+    return found
+
+
+def _heaviest(values: list[int], weights: list[int]) -> list[int]:
+    """The rising subsequence of largest weight, by its indices."""
+    best: list[tuple[int, int, int]] = []  # value at the end, weight, index: both rising
+    before: list[int] = [-1] * len(values)
+    for k, (value, weight) in enumerate(zip(values, weights)):
+        at = bisect(best, (value,))
+        total = weight
+        if at:
+            total, before[k] = total + best[at - 1][1], best[at - 1][2]
+        end = at
+        while end < len(best) and best[end][1] <= total:
+            end += 1
+        best[at:end] = [(value, total, k)]
+    out, k = [], best[-1][2]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def order_facts(members: list[tuple], salt: int, sequence: list[int], sums: Counter) -> None:
+    """Add what tells the chains of each class on one page apart; members that have equal sums stand in one order on all pages."""
+    for found in class_places(members, sequence).values():
+        for (member, _), chain in zip(found, chains(found)):
+            if chain:
+                sums[member[1], 0, 0] += _share(salt, chain)
+
+
+def ordered_classes(members: list[tuple], sums: dict[int, int], rules: TemplateRules) -> list[tuple]:
+    """Each class broken by its members' sums; what is large stays."""
+    out: list[tuple] = []
+    number = 0
+    for whole in _by_class(members):
+        parts: dict[int, list[tuple]] = defaultdict(list)
+        for member in whole:
+            parts[sums.get(member[1], 0)].append(member)
+        for part in parts.values():
+            if sum(m[4] for m in part) >= rules.min_class_size:
+                out += [(number, *m[1:]) for m in part]
+                number += 1
+    return out if any(m[5] for m in out) else []
+
+
+def nesting_facts(members: list[tuple], salt: int, sequence: list[int], sums: Counter) -> None:
+    """Count, by two classes and gap, how often the second stands in that gap of the first; gap 0: they cross."""
+    spans = []
+    for k, found in class_places(members, sequence).items():
+        spans += [(places[0], places[-1], k, places) for places in zip(*(p for _, p in found))]
+    open_: list[tuple] = []
+    for span in sorted(spans):
+        start, end, k, _ = span
+        open_ = [s for s in open_ if s[1] > start]
+        for _, last, outer, places in open_:
+            gap = bisect(places, start)
+            sums[outer, k, gap if end < last and bisect(places, end) == gap else 0] += 1
+        open_.append(span)
+
+
+def nested_blocks(members: list[tuple], sums: dict[tuple[int, int, int], int]) -> list[int]:
+    """The blocks that may go of the classes that stand, nested, beside all more frequent ones that do."""
+    classes = {c[0][0]: c for c in _by_class(members)}
+    gaps: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for (outer, inner, gap), n in sums.items():
+        gaps[outer, inner].append((gap, n))
+    against: dict[int, set[int]] = defaultdict(set)
+    for (outer, inner), found in gaps.items():
+        # Nested: every occurrence of the inner class is in one gap of the outer.
+        if len(found) > 1 or found[0][0] == 0 or found[0][1] != classes[inner][0][3]:
+            against[outer].add(inner)
+            against[inner].add(outer)
+    kept: set[int] = set()
+    for k in sorted(classes, key=lambda k: (-classes[k][0][2], -sum(m[4] for m in classes[k]), k)):
+        if kept.isdisjoint(against[k]):
+            kept.add(k)
+    return sorted(m[1] for m in members if m[5] and m[0] in kept)
 
 
 def extract(fixed: list[int] | None, blocks: list[Block]) -> str:
@@ -322,6 +502,95 @@ def _deduce_hosts(rules: TemplateRules):
     return run
 
 
+def _candidate_hosts(rules: TemplateRules):
+    def run(batches):
+        for part in batches:
+            rows = []
+            for host, salts, tokens in zip(*(column(part, c) for c in ("host", "salts", "tokens"))):
+                rows.append((host, salts, candidates({x["token"]: [x[c] for c in _SUMS] for x in tokens}, rules)))
+            yield _members_batch([x for x in rows if x[2]])
+
+    return run
+
+
+_MEMBER_TYPE = pa.list_(pa.struct([("class", pa.int32()), ("token", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("size", pa.int64()), ("goes", pa.bool_())]))
+
+
+def _members_batch(rows: list[tuple]) -> pa.RecordBatch:
+    members = [[dict(zip(_MEMBER, m)) for m in x[2]] for x in rows]
+    return batch(host=pa.array([x[0] for x in rows], pa.string()), salts=pa.array([x[1] for x in rows], pa.int32()), members=pa.array(members, _MEMBER_TYPE))
+
+
+def _members(value: list[dict]) -> list[tuple]:
+    return [tuple(m[c] for c in _MEMBER) for m in value]
+
+
+def _page_facts(add):
+    """In each task, by host: what `add` counts on its pages, by three numbers."""
+
+    def run(batches):
+        key, members, sums = None, [], Counter()
+
+        def done():
+            n = len(sums)
+            return batch(
+                host=pa.array([key[0]] * n, pa.string()),
+                **{name: pa.array([k[i] for k in sums], pa.int64()) for i, name in enumerate("abc")},
+                value=pa.array(list(sums.values()), pa.int64()),
+            )
+
+        for part in batches:
+            part = part.filter(part.column(part.schema.get_field_index("members")).is_valid())
+            hosts, salts = column(part, "host"), column(part, "salt")
+            held = part.column(part.schema.get_field_index("members"))
+            for k, (page_id, url, source) in enumerate(zip(*(column(part, c) for c in ("page_id", "url", "html")))):
+                if (hosts[k], salts[k]) != key:
+                    if sums:
+                        yield done()
+                    key, members, sums = (hosts[k], salts[k]), _members(held[k].as_py()), Counter()
+                add(members, _digest(f"{page_id} {url} {source}") | 1, page_sequence(*read_page(source)), sums)
+        if sums:
+            yield done()
+
+    return run
+
+
+def _judge_hosts(rules: TemplateRules, nesting: bool):
+    """Classes with what was counted of them: the ordered ones, or the blocks of those that are nested too."""
+
+    def run(batches):
+        for part in batches:
+            rows = []
+            for host, salts, members, facts in zip(*(column(part, c) for c in ("host", "salts", "members", "facts"))):
+                facts, members = facts or [], _members(members)
+                if nesting:
+                    rows.append((host, salts, nested_blocks(members, {(x["a"], x["b"], x["c"]): x["value"] for x in facts})))
+                else:
+                    rows.append((host, salts, ordered_classes(members, {x["a"]: x["value"] for x in facts}, rules)))
+            rows = [x for x in rows if x[2]]
+            if nesting:
+                yield batch(host=pa.array([x[0] for x in rows], pa.string()), salts=pa.array([x[1] for x in rows], pa.int32()), fixed=pa.array([x[2] for x in rows], pa.list_(pa.int64())))
+            else:
+                yield _members_batch(rows)
+
+    return run
+
+
+def _judged(dealt: DataFrame, classes: DataFrame, add, rules: TemplateRules, nesting: bool, schema: str) -> DataFrame:
+    """One reading of the pages of hosts with classes, and the classes judged by what it found."""
+    # A left join keeps the dealt pages as they are, so that all readings are one exchange; tasks skip pages of other hosts.
+    with_classes = dealt.join(_by_salt(classes), ["host", "salt"], "left")
+    found = map_arrow(with_classes, _page_facts(add), "host string, a long, b long, c long, value long")
+    summed = found.groupBy("host", "a", "b", "c").agg(F.sum("value").alias("value"))
+    facts = summed.groupBy("host").agg(F.collect_list(F.struct("a", "b", "c", "value")).alias("facts"))
+    return map_arrow(classes.join(facts, "host", "left"), _judge_hosts(rules, nesting), schema)
+
+
+def _by_salt(hosts: DataFrame) -> DataFrame:
+    """A row for each salt of a host."""
+    return hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
 def _extract_pages(rules: TemplateRules):
     def run(batches):
         chunk, chars = [], 0
@@ -367,13 +636,18 @@ def main_text(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataF
     dealt = salted.repartition(shuffle_partitions(pages.sparkSession), "host", "salt").sortWithinPartitions("host", "salt")
 
     schema = "host string, salts int, pages long, token long, body long, " + ", ".join(f"{c} long" for c in _SUMS)
-    added = [F.sum(c).alias(c) for c in ("n", "total", "vector")] + [F.max("size").alias("size")]
+    added = [F.sum(c).alias(c) for c in ("n", "total", "vector")] + [F.max("size").alias("size"), F.min("place").alias("place")]
     beside = map_arrow(dealt, _count_tokens(rules), schema).groupBy("host", "salts", "pages", "token", "body").agg(*added, F.max("bodies").alias("bodies"))
     tokens = beside.groupBy("host", "salts", "pages", "token").agg(*added, F.sum("bodies").alias("bodies"))
     # What is left of a host is bounded: at most 1 / min_support times the tokens of its mean page.
     frequent = tokens.where((F.col("token") == _PAGE) | ((F.col("n") >= 2) & (F.col("n") >= rules.min_support * F.col("pages"))))
     by_host = frequent.groupBy("host", "salts").agg(F.collect_list(F.struct("token", *_SUMS)).alias("tokens"))
-    templates = map_arrow(by_host, _deduce_hosts(rules), "host string, salts int, fixed array<long>")
-    templates = templates.select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fixed")
-    # All columns go on, so that both readings of the dealt pages are one exchange.
-    return map_arrow(dealt.join(templates, ["host", "salt"], "left"), _extract_pages(rules), "page_id long, url string, text string, n_chars long")
+    fixed, classes = "host string, salts int, fixed array<long>", f"host string, salts int, {_MEMBERS}"
+    if rules.by_position:
+        found = map_arrow(by_host, _candidate_hosts(rules), classes)
+        ordered = _judged(dealt, found, order_facts, rules, False, classes)
+        templates = _judged(dealt, ordered, nesting_facts, rules, True, fixed)
+    else:
+        templates = map_arrow(by_host, _deduce_hosts(rules), fixed)
+    # All columns go on, so that all readings of the dealt pages are one exchange.
+    return map_arrow(dealt.join(_by_salt(templates), ["host", "salt"], "left"), _extract_pages(rules), "page_id long, url string, text string, n_chars long")
