@@ -228,17 +228,19 @@ _PAGE = 0
 def page_tokens(page: str, tags: list[tuple[str, str]], blocks: list[Block]) -> dict[tuple[int, int], list[int]]:
     """The sums of one page by (token, article beside it; 0 for tags and furniture)."""
     body = _body(blocks)
-    counts: Counter = Counter((_tag_token(*tag), 0) for tag in tags)
+    counts: Counter = Counter()
     sizes: dict = {}
-    for block in blocks:
-        key = (block_token(block), 0 if block.furniture else body)
-        counts[key] += 1
-        sizes[key] = block.text.count(" ") + 1
-    # Two vectors are equal if the sums over pages of a random number for (page, count) are; 31 bits, so that sums fit.
-    salt = _digest(page) | 1
     places: dict = {}
+    block_at = {block.at + k: block for k, block in enumerate(blocks)}
     for at, token in enumerate(page_sequence(tags, blocks)):
+        block = block_at.get(at)
+        key = (token, 0 if block is None or block.furniture else body)
+        counts[key] += 1
         places.setdefault(token, at)
+        if block is not None:
+            sizes[key] = block.text.count(" ") + 1
+    # Two vectors are equal if the sums over pages of a random number for (page, count) are; 31 bits, so that sums fit.
+    salt = _digest(page) | 1
     here = (salt >> 2 & 0x7FFFFFFF) << 32
     out = {k: [1, c, _share(salt, c), sizes.get(k, 1), int(k[1] != 0), here | places[k[0]]] for k, c in counts.items()}
     out[_PAGE, 0] = [1, 1, 0, 0, 0, 0]
