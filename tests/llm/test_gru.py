@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -109,3 +110,30 @@ def test_scores_match_plain_code_and_probabilities_add_up():
     ends = [np.array([3, t], dtype=np.int32) for t in range(10)]
     first = score_documents(p, [np.array([3], dtype=np.int32)], 0, rules)[0]
     assert np.exp(score_documents(p, ends, 0, rules) - first).sum() == pytest.approx(1.0)
+
+
+def test_scores_of_several_blocks_match_plain_code():
+    rules = GruRules(words=8, class_words=4, tail_classes=2, hidden=3)
+    counts = Counts(40, 8, np.arange(8, dtype=np.uint64), np.arange(8, 0, -1).astype(float), np.array([2, 2]), np.array([1, 1]))
+    p = {k: 3 * v.astype(np.float64) + 0.1 for k, v in initial(counts, rules).items()}
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.integers(1, 10, n), 0).astype(np.int32) for n in (70, 33, 1, 20, 5, 40)]
+    for lanes in (1, 2, 3):  # blocks end inside documents, and lanes end inside blocks
+        assert score_documents(p, docs, 0, rules, lanes) == pytest.approx([plain_score(p, d.tolist(), 0, rules) for d in docs], rel=1e-9)
+
+
+def test_windows_after_the_first_keep_their_arrays():
+    """What a window of many lanes takes afresh is small; its arrays of all tokens and features stay from the first one."""
+    rules = GruRules(segment=32, lanes=64)
+    counts = Counts(2000, 1024, np.arange(1024, dtype=np.uint64), np.ones(1024), np.ones(32, dtype=np.int64), np.ones(32, dtype=np.int64))
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 1056, 32).astype(np.int32) for _ in range(512)]
+    trainer = Trainer(initial(counts, rules), rules)
+    trainer.learn(docs, 0)
+    tracemalloc.start()
+    try:
+        trainer.learn(docs, 0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert trainer.updates > 2 and peak < 2_000_000

@@ -99,7 +99,7 @@ class Lexicon:
         kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
         sizes = np.diff(kept[split.offsets.to_numpy()])
         coded = found.filter(real).dictionary_encode()
-        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)  # bytes objects, made much faster than as a list
         own = np.fromiter(map(self.numbers.__getitem__, distinct), np.int32, len(distinct))
         return np.insert(own[coded.indices.to_numpy()], np.cumsum(sizes), self.numbers[END]).astype(np.int32), sizes + 1
 
@@ -273,33 +273,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def step(state: np.ndarray, x: np.ndarray, h: np.ndarray, gates: np.ndarray, new: np.ndarray, inner: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """One step for all lanes: the new state, in `out`; `gates`, `new` and `inner` take what back-propagation needs.
+class Buffers:
+    """Arrays by name, kept from one window or block to the next. What numpy allocates afresh at these sizes comes from the
+    system in pages and goes back at once, which takes longer than the arithmetic in it.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        """Unset values; what the name held before is lost."""
+        size = math.prod(shape)
+        if name not in self.kept or self.kept[name].size < size:
+            self.kept[name] = np.empty(size, dtype=self.dtype)
+        return self.kept[name][:size].reshape(shape)
+
+
+def step(state: np.ndarray, x: np.ndarray, h: np.ndarray, gates: np.ndarray, new: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """One step for all lanes: the new state, in `out`; `gates` and `new` take what back-propagation needs, `gates` after
+    both gates what the state adds to the new value.
 
     Here and below a feature is a row and a lane or token a column, so that numpy's inner loops run over lanes. `state`
     is the transposed table of that name.
     """
     size = len(h)
-    a = state @ h
-    np.add(a[: 2 * size], x[: 2 * size], out=gates)
-    _sigmoid(gates)
-    inner[:] = a[2 * size :]
-    np.multiply(gates[size:], inner, out=new)
+    np.matmul(state, h, out=gates)
+    both, inner = gates[: 2 * size], gates[2 * size :]
+    both += x[: 2 * size]
+    _sigmoid(both)
+    np.multiply(both[size:], inner, out=new)
     new += x[2 * size :]
     np.tanh(new, out=new)
     np.subtract(h, new, out=out)
-    out *= gates[:size]
+    out *= both[:size]
     out += new
     return out
 
 
 def _softmax_gradient(x: np.ndarray, at: np.ndarray, scale: np.floating) -> np.ndarray:
-    """In place, `scale` times the gradient of each column's cross entropy to the row that is right."""
+    """In place, the gradient of each column's cross entropy to the row that is right, but for the column's factor; returns the factors, each with `scale` in it."""
     x -= x.max(axis=0)
     np.exp(x, out=x)
-    x *= scale / x.sum(axis=0)
-    x[at, np.arange(x.shape[1])] -= scale
-    return x
+    total = x.sum(axis=0)
+    x[at, np.arange(x.shape[1])] -= total
+    return scale / total
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -309,9 +327,12 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return picked - np.log(np.exp(x, out=x).sum(axis=0))
 
 
-def _with_ones(states: np.ndarray) -> np.ndarray:
-    """States with a last row of ones, which carries the biases through a product."""
-    return np.concatenate([states, np.ones((1, states.shape[1]), dtype=states.dtype)])
+def _taken(states: np.ndarray, at: np.ndarray, kept: Buffers) -> np.ndarray:
+    """Those columns of states, with a last row of ones, which carries the biases through a product."""
+    out = kept("taken", len(states) + 1, len(at))
+    np.take(states, at, axis=1, out=out[:-1], mode="clip")  # other modes fill a copy of `out` first
+    out[-1] = 1
+    return out
 
 
 def _with_bias(parameters: Parameters, name: str) -> np.ndarray:
@@ -333,21 +354,21 @@ def _by_class(cls: np.ndarray, rules: GruRules) -> tuple[np.ndarray, list[tuple[
     return _order(cls, rules.word_classes + rules.tail_classes), [(c, a, b) for c, (a, b) in enumerate(zip([0, *edges], edges)) if b > a]
 
 
-def _word_logits(words: np.ndarray, states: np.ndarray, runs: list[tuple[int, int, int]], size: int) -> np.ndarray:
+def _word_logits(words: np.ndarray, states: np.ndarray, runs: list[tuple[int, int, int]], kept: Buffers) -> np.ndarray:
     """Of tokens in the order of their classes, the logits of the words in their class."""
-    out = np.empty((size, runs[-1][2] if runs else 0), dtype=states.dtype)
+    out = kept("word logits", words.shape[2], runs[-1][2] if runs else 0)
     for c, a, b in runs:
         np.matmul(words[c].T, states[:, a:b], out=out[:, a:b])
     return out
 
 
-def log_likelihood(parameters: Parameters, states: np.ndarray, target: np.ndarray, rules: GruRules) -> np.ndarray:
+def log_likelihood(parameters: Parameters, states: np.ndarray, target: np.ndarray, rules: GruRules, kept: Buffers) -> np.ndarray:
     """The natural log probability of each target's class, and of the word in it unless the class is a tail."""
     cls = _classes(target, rules)
     order, runs = _by_class(cls, rules)
-    states, cls, target = _with_ones(np.take(states, order, axis=1)), cls[order], target[order]
-    found = _log_softmax_at(_with_bias(parameters, "class").T @ states, cls).astype(np.float64)
-    logits = _word_logits(_with_bias(parameters, "word"), states, runs, rules.class_words)
+    states, cls, target, classes = _taken(states, order, kept), cls[order], target[order], _with_bias(parameters, "class")
+    found = _log_softmax_at(np.matmul(classes.T, states, out=kept("class logits", classes.shape[1], len(order))), cls).astype(np.float64)
+    logits = _word_logits(_with_bias(parameters, "word"), states, runs, kept)
     m = logits.shape[1]
     found[:m] += _log_softmax_at(logits, target[:m] % rules.class_words)
     out = np.empty_like(found)
@@ -392,18 +413,25 @@ def score_documents(parameters: Parameters, docs: list[np.ndarray], end_id: int,
     laid = Lanes(docs, lanes, np.full(len(docs), end_id, dtype=np.int32))
     state = np.ascontiguousarray(parameters["state"].T)
     h = np.zeros((rules.hidden, laid.target.shape[1]), dtype=state.dtype)
-    block = 16
-    for first in range(0, laid.length, block):
-        states, targets, owners = [], [], []
-        for at in range(first, min(first + block, laid.length)):
-            n = laid.active[at]
-            h = h[:, :n].copy()  # states already kept stay as they are
+    kept, most = Buffers(state.dtype), 16 * lanes
+    active, restarts = laid.active.tolist(), laid.fresh.any(axis=1).tolist()
+    states, targets, owners, held, n = [], [], [], 0, 0
+    for at in range(laid.length):
+        if active[at] != n:
+            n = active[at]
+            h = h[:, :n].copy()
+            x, gates, new = (kept(name, k * rules.hidden, n) for name, k in (("x", 3), ("gates", 3), ("new", 1)))
+        if restarts[at]:
+            h = h.copy()  # states already kept stay as they are
             h[:, laid.fresh[at, :n]] = 0
-            gates, new, inner, out_ = (np.empty((k * rules.hidden, n), dtype=state.dtype) for k in (2, 1, 1, 1))
-            h = step(state, np.ascontiguousarray(parameters["input"][laid.read[at, :n]].T), h, gates, new, inner, out_)
-            states.append(h), targets.append(laid.target[at, :n]), owners.append(laid.doc[at, :n])
-        found = log_likelihood(parameters, np.concatenate(states, axis=1), np.concatenate(targets), rules)
-        out += np.bincount(np.concatenate(owners), weights=found, minlength=len(docs))
+        x[:] = parameters["input"].take(laid.read[at, :n], axis=0).T
+        h = step(state, x, h, gates, new, np.empty_like(h))
+        states.append(h), targets.append(laid.target[at, :n]), owners.append(laid.doc[at, :n])
+        held += n
+        if held >= most or at == laid.length - 1:  # steps are judged together by tokens, so that few lanes make long blocks
+            found = log_likelihood(parameters, np.concatenate(states, axis=1, out=kept("states", rules.hidden, held)), np.concatenate(targets), rules, kept)
+            out += np.bincount(np.concatenate(owners), weights=found, minlength=len(docs))
+            states, targets, owners, held = [], [], [], 0
     return out
 
 
@@ -414,30 +442,34 @@ class Trainer:
         self.parameters = {k: v.copy() for k, v in parameters.items()}
         self.squares = {k: squares[k].copy() if squares else np.full(v.shape, 1e-3, dtype=np.float32) for k, v in parameters.items()}
         self.rules = rules
+        self.kept = Buffers(parameters["state"].dtype)
         self.updates = self.tokens = 0
 
     def _move(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
         np.clip(gradient, -1, 1, out=gradient)
-        self.squares[name][rows] += gradient * gradient
-        self.parameters[name][rows] -= self.rules.rate * gradient / np.sqrt(self.squares[name][rows])
+        squares = self.squares[name][rows]
+        squares += gradient * gradient
+        self.squares[name][rows] = squares
+        self.parameters[name][rows] -= self.rules.rate * gradient / np.sqrt(squares)
 
     def _window(self, laid: Lanes, learned: np.ndarray, first: int, h: np.ndarray) -> np.ndarray:
         """One window of all lanes that reach it; `learned` marks the tokens that count, which those after a lane's end don't."""
-        p, rules, size = self.parameters, self.rules, self.rules.hidden
+        p, rules, size, kept = self.parameters, self.rules, self.rules.hidden, self.kept
         last = min(first + rules.window, laid.length)
         steps, n = last - first, int(laid.active[first])
         state = np.ascontiguousarray(p["state"].T)
-        empty = lambda rows: np.empty((steps, rows, n), dtype=state.dtype)
-        starts, states, gates, new, inner, d_in = empty(size), empty(size), empty(2 * size), empty(size), empty(size), empty(3 * size)
+        room = lambda name, rows: kept(name, steps, rows, n)
+        starts, states, gates, new = room("starts", size), room("states", size), room("gates", 3 * size), room("new", size)
         fresh, read = laid.fresh[first:last, :n], laid.read[first:last, :n]
         restarts = fresh.any(axis=1).tolist()
-        x = p["input"][read]
+        x = kept("x", 3 * size, n)
         h = h[:, :n]
         for k in range(steps):
             starts[k] = h
             if restarts[k]:
                 starts[k][:, fresh[k]] = 0
-            h = step(state, np.ascontiguousarray(x[k].T), starts[k], gates[k], new[k], inner[k], states[k])
+            x[:] = p["input"].take(read[k], axis=0).T
+            h = step(state, x, starts[k], gates[k], new[k], states[k])
         h = h.copy()
         counted = np.flatnonzero(learned[first:last, :n].reshape(-1))
         if not len(counted):
@@ -446,44 +478,69 @@ class Trainer:
         cls = _classes(target, rules)
         order, runs = _by_class(cls, rules)
         counted, target, cls = counted[order], target[order], cls[order]
-        hs = _with_ones(np.take(states.transpose(1, 0, 2).reshape(size, -1), counted, axis=1))
+        by_feature = kept("by feature", size, steps, n)
+        by_feature[:] = states.transpose(1, 0, 2)
+        hs = _taken(by_feature.reshape(size, -1), counted, kept)
         scale = state.dtype.type(steps / len(counted))
         classes, words = _with_bias(p, "class"), _with_bias(p, "word")
-        d_class = _softmax_gradient(classes.T @ hs, cls, scale)
-        g_class, d_counted = hs @ d_class.T, p["class"] @ d_class
-        logits = _word_logits(words, hs, runs, rules.class_words)
-        d_word = _softmax_gradient(logits, target[: logits.shape[1]] % rules.class_words, scale)
-        g_word = np.zeros_like(words)
+        # A column's factor goes to the states that its gradient meets, which have fewer rows.
+        d_class = np.matmul(classes.T, hs, out=kept("class logits", classes.shape[1], len(counted)))
+        factor = _softmax_gradient(d_class, cls, scale)
+        scaled = np.multiply(hs, factor, out=kept("scaled", *hs.shape))
+        g_class = (d_class @ scaled.T).T
+        d_counted = np.matmul(d_class.T, p["class"].T, out=kept("d counted", len(counted), size))
+        d_counted *= factor[:, None]
+        d_word = _word_logits(words, hs, runs, kept)
+        m = d_word.shape[1]
+        factor = _softmax_gradient(d_word, target[:m] % rules.class_words, scale)
+        scaled = np.multiply(hs[:, :m], factor, out=kept("scaled", len(hs), m))
+        g_word, from_words = np.zeros_like(words), kept("from words", m, size)
         for c, a, b in runs:
-            np.matmul(hs[:, a:b], d_word[:, a:b].T, out=g_word[c])
-            d_counted[:, a:b] += p["word"][c] @ d_word[:, a:b]
-        d_h = np.zeros((size, steps * n), dtype=state.dtype)
-        d_h[:, counted] = d_counted
-        d_h = np.ascontiguousarray(d_h.reshape(size, steps, n).transpose(1, 0, 2))
+            np.matmul(scaled[:, a:b], d_word[:, a:b].T, out=g_word[c])
+            np.matmul(d_word[:, a:b].T, p["word"][c].T, out=from_words[a:b])
+        from_words *= factor[:, None]
+        d_counted[:m] += from_words
+        by_token = kept("by token", steps * n, size)
+        if len(counted) < len(by_token):
+            by_token[:] = 0
+        by_token[counted] = d_counted
+        d_h = room("d h", size)
+        d_h[:] = by_token.reshape(steps, n, size).transpose(0, 2, 1)
         # What of the gradients doesn't depend on later steps is found for all steps at once.
-        z, r = gates[:, :size], gates[:, size:]
-        rest = 1 - z
-        to_update = (starts - new) * z * rest
-        to_new = (1 - new * new) * rest
-        to_reset = inner * r * (1 - r)
-        d_new, carried = empty(size), np.zeros((size, n), dtype=state.dtype)
+        z, r, inner = (gates[:, k * size : (k + 1) * size] for k in range(3))
+        rest = np.subtract(1, z, out=room("rest", size))
+        to_update = np.subtract(starts, new, out=room("to update", size))
+        to_update *= z
+        to_update *= rest
+        to_new = np.multiply(new, new, out=new)
+        np.subtract(1, to_new, out=to_new)
+        to_new *= rest
+        to_reset = np.subtract(1, r, out=rest)
+        to_reset *= r
+        to_reset *= inner
+        # Of each step the gradients of the new value, both gates, and the new value by way of the state: an input's are the first three, the state's the last three.
+        d_in, carried, back = room("d in", 4 * size), np.zeros((size, n), dtype=state.dtype), np.empty((size, n), dtype=state.dtype)
         for k in range(steps - 1, -1, -1):
             carried += d_h[k]
-            np.multiply(carried, to_update[k], out=d_in[k, :size])
-            d_n = np.multiply(carried, to_new[k], out=d_new[k])
-            np.multiply(d_n, to_reset[k], out=d_in[k, size : 2 * size])
-            np.multiply(d_n, r[k], out=d_in[k, 2 * size :])
+            d_n = np.multiply(carried, to_new[k], out=d_in[k, :size])
+            np.multiply(carried, to_update[k], out=d_in[k, size : 2 * size])
+            np.multiply(d_n, to_reset[k], out=d_in[k, 2 * size : 3 * size])
+            np.multiply(d_n, r[k], out=d_in[k, 3 * size :])
             carried *= z[k]
-            carried += p["state"] @ d_in[k]
+            carried += np.matmul(p["state"], d_in[k, size:], out=back)
             if restarts[k]:
                 carried[:, fresh[k]] = 0
-        by_lane = d_in.transpose(0, 2, 1).reshape(-1, 3 * size)
-        g_state = starts.transpose(1, 0, 2).reshape(size, -1) @ by_lane
-        by_lane[:, 2 * size :] = d_new.transpose(0, 2, 1).reshape(-1, size)
+        g_state = np.matmul(starts, d_in[:, size:].transpose(0, 2, 1)).sum(axis=0)
+        even = 3 * size + size % 2
+        by_lane = kept("by lane", steps, n, even)
+        by_lane[:] = d_in[:, :even].transpose(0, 2, 1)
         read = read.reshape(-1)
         order = _order(read, rules.inputs)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(read[order])) + 1])
-        self._move("input", np.add.reduceat(by_lane[order], edges, axis=0), read[order][edges])
+        # Two values are summed as one complex number: the time goes into the sums' number, not their size.
+        rows = np.take(by_lane.reshape(-1, even), order, axis=0, out=kept("rows", len(order), even), mode="clip")
+        g_input = np.add.reduceat(rows.view(np.result_type(rows, np.complex64)), edges, axis=0).view(rows.dtype)
+        self._move("input", np.concatenate([g_input[:, size : 3 * size], g_input[:, :size]], axis=1), read[order][edges])
         self._move("state", g_state)
         self._move("class", g_class[:-1]), self._move("class_bias", g_class[-1])
         self._move("word", g_word[:, :-1]), self._move("word_bias", g_word[:, -1])
