@@ -8,8 +8,11 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators.likeness import most_similar
 from tidemark.operators.pairing import best_similar
+from tidemark.session import ship, shuffle_partitions
 
 
 def unique_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -145,33 +148,56 @@ def audited_match(
     return joined.select(left_id, pick(2, F.lit(None)).alias(right_id), pick(1, F.lit("unmatched")).alias("method"), pick(3, F.lit(0.0)).alias("confidence"))
 
 
-def ratio_candidates(left: DataFrame, right: DataFrame, right_id: str, size: str, name: str, ratio: float, cells: int = 4) -> DataFrame:
-    """Pairs of distinct (size, name) whose sizes lie within a ratio (`gap`), with the smallest id of the right one's rows.
+def _ratio_sides(left: DataFrame, right: DataFrame, right_id: str, size: str, name: str, ratio: float, cells: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (size, name) of both sides, right ones with the smallest id of their rows, by bucket (`_b`) of the size.
 
     Rows that agree on both are one candidate, however many there are. Sizes are cut into `cells` buckets for each step of the ratio on
-    the log scale; a left one is offered to all buckets that can hold a partner: an equi-join.
+    the log scale; a right one is offered to all buckets that can hold a partner. The step is a little wider than the ratio, so that
+    rounding loses none. Sizes must be positive and finite.
     """
-    bucket = lambda c: F.floor(F.log(c) * cells / F.log(F.lit(ratio)))
-    held = lambda df: df.where(f"{size} > 0 and {name} is not null")
-    a = held(left).select(F.col(size).alias("_ls"), F.col(name).alias("_ln")).distinct()
-    a = a.select("*", F.explode(F.sequence(bucket("_ls") - cells - 1, bucket("_ls") + cells + 1)).alias("_b"))
-    b = held(right).groupBy(F.col(size).alias("_rs"), F.col(name).alias("_rn")).agg(F.min(F.struct(right_id)).alias("_r")).withColumn("_b", bucket("_rs"))
+    bucket = lambda c: F.floor(F.log(c) * cells / F.log(F.lit(ratio * (1 + 1e-9))))
+    held = lambda df: df.where(f"{size} > 0 and {size} < double('Infinity') and {name} is not null")
+    a = held(left).select(F.col(size).alias("_ls"), F.col(name).alias("_ln")).distinct().withColumn("_b", bucket("_ls"))
+    b = held(right).groupBy(F.col(size).alias("_rs"), F.col(name).alias("_rn")).agg(F.min(F.struct(right_id)).alias("_r"))
+    return a, b.select("*", F.explode(F.sequence(bucket("_rs") - cells, bucket("_rs") + cells)).alias("_b"))
+
+
+def ratio_candidates(left: DataFrame, right: DataFrame, right_id: str, size: str, name: str, ratio: float, cells: int = 4) -> DataFrame:
+    """Pairs of distinct (size, name) whose sizes lie within a ratio (`gap`), with the smallest id of the right one's rows: an equi-join."""
+    a, b = _ratio_sides(left, right, right_id, size, name, ratio, cells)
     gap = F.greatest(F.col("_ls") / F.col("_rs"), F.col("_rs") / F.col("_ls"))
     return a.join(b, "_b").drop("_b").withColumn("gap", gap).where(F.col("gap") <= ratio)
 
 
-def ratio_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: str, name: str, ratio: float, least_similarity: float) -> DataFrame:
+def ratio_match(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: str, name: str, ratio: float, least_similarity: float, cells: int = 2, block: int = 8192
+) -> DataFrame:
     """The most similar right name (ties to the nearer size, then the smaller id) whose size is within a ratio, if similar enough.
 
-    Similarity is one less the edit distance over the longer length. Distinct sizes and names meet (:func:`ratio_candidates`), each
-    distinct left one gets its best, and rows get theirs by size and name. Pairs that meet are as many as distinct partners within the
-    ratio: that grows with the square of distinct sizes and names, in bounded memory.
+    Similarity is one less the edit distance over the longer length. Distinct sizes and names meet by bucket of the size, each distinct
+    left one gets its best, and rows get theirs by size and name. A bucket is dealt into blocks of some `block` rows of each side
+    (fewer, if names have over 32 letters), counted before, and a task holds one block (:mod:`likeness`): pairs are neither listed nor
+    sorted, and no bucket is too large. The comparisons are as many as distinct partners within the ratio: time grows with the square
+    of distinct sizes and names, what is shuffled with the rows and, where buckets hold more than a block, with the blocks of the other
+    side.
     """
-    alike = 1 - F.levenshtein("_ln", "_rn") / F.greatest(F.length("_ln"), F.length("_rn"), F.lit(1))
-    pairs = ratio_candidates(left, right, right_id, size, name, ratio).select("_ls", "_ln", F.struct((-alike).alias("s"), F.round("gap", 9).alias("g"), F.col("_r")[right_id].alias("r")).alias("_x"))
-    tops = pairs.groupBy("_ls", "_ln").agg(F.min("_x").alias("_x")).where(F.col("_x.s") <= -least_similarity)
-    rows = left.select(left_id, F.col(size).alias("_ls"), F.col(name).alias("_ln")).join(tops, ["_ls", "_ln"])
-    best = rows.groupBy(left_id).agg(F.min("_x").alias("_x"))
+    spark = left.sparkSession
+    ship(spark)
+    a, b = _ratio_sides(left, right, right_id, size, name, ratio, cells)
+    count = lambda df, name, n: df.groupBy("_b").agg(F.ceil(F.sum(F.greatest(F.length(name) / 32, F.lit(1.0))) / block).alias(n))
+    blocks = count(a, "_ln", "_m").join(count(b, "_rn", "_n"), "_b")
+    deal = lambda df, own, n, key, other, m: df.join(blocks, "_b").select(
+        "*", F.pmod(F.xxhash64(*key), n).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1)).alias(other)
+    )
+    cell = ["_b", "_i", "_j"]
+    dealt = lambda df: df.repartition(shuffle_partitions(spark), *cell).groupBy(*cell)
+    rows = dealt(deal(a, "_i", "_m", ["_ls", "_ln"], "_j", "_n").select(*cell, "_ls", "_ln"))
+    partners = dealt(deal(b, "_j", "_n", ["_rs", "_rn"], "_i", "_m").select(*cell, "_rs", "_rn", "_r"))
+    schema = T.StructType([a.schema["_ls"], a.schema["_ln"], T.StructField("s", T.DoubleType()), T.StructField("g", T.DoubleType()), T.StructField("r", right.schema[right_id].dataType)])
+    found = rows.cogroup(partners).applyInArrow(most_similar(ratio, least_similarity, schema), schema)
+    tops = found.groupBy("_ls", "_ln").agg(F.min(F.struct("s", "g", "r")).alias("_x"))
+    met = left.select(left_id, F.col(size).alias("_ls"), F.col(name).alias("_ln")).join(tops, ["_ls", "_ln"])
+    best = met.groupBy(left_id).agg(F.min("_x").alias("_x"))
     return best.select(left_id, F.col("_x.r").alias(right_id), (-F.col("_x.s")).alias("similarity"))
 
 
